@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import importlib
 
+from .decontaminate import OP1_SQL
+from .url_filter import OP3_SQL
+
 #: query -> (module, function)
 _WHERE = {
+    "op1_decontaminate": ("decontaminate", "op1_decontaminate"),
+    "op3_url_filter": ("url_filter", "op3_url_filter"),
     "op5_near_dedup": ("near_dedup", "op5_near_dedup"),
 }
 
@@ -15,4 +20,4 @@ def _query(module: str, function: str):
 
 
 QUERIES = {name: _query(*where) for name, where in _WHERE.items()}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL}
