@@ -6,12 +6,16 @@ import importlib
 
 from .decontaminate import OP1_SQL
 from .url_filter import OP3_SQL
+from .warc import OP9_SQL
 
 #: query -> (module, function)
 _WHERE = {
     "op1_decontaminate": ("decontaminate", "op1_decontaminate"),
+    "op2_language_id": ("language_id", "op2_language_id"),
     "op3_url_filter": ("url_filter", "op3_url_filter"),
     "op5_near_dedup": ("near_dedup", "op5_near_dedup"),
+    "op8_fingerprints": ("fingerprint", "op8_fingerprints"),
+    "op9_warc": ("warc", "op9_warc"),
 }
 
 
@@ -20,4 +24,4 @@ def _query(module: str, function: str):
 
 
 QUERIES = {name: _query(*where) for name, where in _WHERE.items()}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_warc": OP9_SQL}
