@@ -13,6 +13,7 @@ _WHERE = {
     "op1_decontaminate": ("decontaminate", "op1_decontaminate"),
     "op2_language_id": ("language_id", "op2_language_id"),
     "op3_url_filter": ("url_filter", "op3_url_filter"),
+    "op4_packing": ("packing", "op4_packing"),
     "op5_near_dedup": ("near_dedup", "op5_near_dedup"),
     "op8_fingerprints": ("fingerprint", "op8_fingerprints"),
     "op9_warc": ("warc", "op9_warc"),
