@@ -15,6 +15,7 @@ _WHERE = {
     "op3_url_filter": ("url_filter", "op3_url_filter"),
     "op4_packing": ("packing", "op4_packing"),
     "op5_near_dedup": ("near_dedup", "op5_near_dedup"),
+    "op6_substring_dedup": ("substring_dedup", "op6_substring_dedup"),
     "op8_fingerprints": ("fingerprint", "op8_fingerprints"),
     "op9_warc": ("warc", "op9_warc"),
 }
