@@ -16,6 +16,7 @@ _WHERE = {
     "op4_packing": ("packing", "op4_packing"),
     "op5_near_dedup": ("near_dedup", "op5_near_dedup"),
     "op6_substring_dedup": ("substring_dedup", "op6_substring_dedup"),
+    "op7_quality": ("quality", "op7_quality"),
     "op8_fingerprints": ("fingerprint", "op8_fingerprints"),
     "op9_warc": ("warc", "op9_warc"),
 }
