@@ -19,6 +19,7 @@ _WHERE = {
     "op7_quality": ("quality", "op7_quality"),
     "op8_fingerprints": ("fingerprint", "op8_fingerprints"),
     "op9_warc": ("warc", "op9_warc"),
+    "op10_lm_score": ("lm_score", "op10_lm_score"),
 }
 
 
