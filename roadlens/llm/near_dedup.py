@@ -23,8 +23,8 @@ from .common import keep_ids, map_arrow, materialize, mix64, odd_multipliers, ut
 
 TREES, DEPTH, CHILDREN = 4, 8, 2
 SKETCH = TREES * DEPTH * CHILDREN
-#: Nodes of at most so many classes are compared pair by pair.
-SMALL = 16
+#: Nodes of at most so many classes are compared exhaustively (2048 sketches are half a megabyte).
+SMALL = 2048
 
 _A = odd_multipliers(SKETCH, 17)
 _B = odd_multipliers(SKETCH, 18)
@@ -97,10 +97,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, num: in
 def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """id, root: every id of an edge (a, b) and the smallest id that it is connected with.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join, until nothing changes.
+    Alternates large-star and small-star steps, each a grouped minimum and a join, until every id has one root that has none itself.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -108,10 +107,9 @@ def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = materialize(small, "stars")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if not ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("down")).where("ups > 1 or (ups = 1 and down = 0)").limit(1).count():
             break
-        mark = seen
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
@@ -129,9 +127,32 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     return grown.select(tree.alias("tree"), F.xxhash64(above, tree, F.lit(level), child, F.get("sketch", coordinate)).alias("node"), "id")
 
 
-def _alike(x: str, y: str, at_least: int):
-    """Whether two sketches agree in at least so many places."""
-    return F.expr(f"size(filter(zip_with({x}, {y}, (p, q) -> p = q), e -> e)) >= {at_least}")
+def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("root", F.col("id"))
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _node_pairs(rows: DataFrame, sketches: DataFrame, at_least: int) -> DataFrame:
+    """a, b: the pairs of unconnected classes within the nodes of rows (tree, node, id, root) whose sketches agree enough."""
+    members = rows.join(sketches, "id").groupBy("tree", "node").agg(F.collect_list(F.struct("id", "root", "sketch")).alias("m"))
+
+    def fn(batch: pa.RecordBatch) -> dict[str, object]:
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        lists = batch.column(0)
+        flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        ids, roots = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        marks = flat.field(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            for row in range(lo, hi - 1):
+                rest = np.flatnonzero(roots[row + 1 : hi] != roots[row]) + row + 1
+                if len(rest):
+                    rest = rest[np.count_nonzero(marks[rest] == marks[row], axis=1) >= at_least]
+                    out_a.append(np.minimum(ids[row], ids[rest]))
+                    out_b.append(np.maximum(ids[row], ids[rest]))
+        return {"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))}
+
+    return map_arrow(members.select("m"), fn, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -140,57 +161,46 @@ def similar_components(docs: DataFrame, classes: DataFrame, width: int, num: int
     j = num / den
     # six standard deviations below the expected agreement at the threshold
     at_least = max(1, int(SKETCH * j - 6 * (SKETCH * j * (1 - j)) ** 0.5))
-    edges: DataFrame | None = None
-    roots: DataFrame | None = None
+    sketches = classes.select("id", "sketch")
+    alike = F.expr(f"size(filter(zip_with(sa, sb, (p, q) -> p = q), e -> e)) >= {at_least}")
+    tested = edges = roots = None
+
+    def link(pairs: DataFrame) -> None:
+        """Confirm the pairs that have not been tested yet and renew the components."""
+        nonlocal tested, edges, roots
+        fresh = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if n := fresh.count():
+            tested = fresh if tested is None else tested.union(fresh)
+            found = materialize(confirm(docs, fresh, n, width, num, den), "near-links")
+            if found.limit(1).count():
+                edges = found if edges is None else edges.union(found)
+                roots = star_components(edges)
+
     rows, level = _children(classes, 0), 0
-    pending: DataFrame | None = None  # small nodes of the level above, compared pair by pair next
     while True:
-        if roots is None:
-            labelled = rows.withColumn("root", F.col("id"))
-        else:
-            labelled = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        labelled = _labelled(rows, roots)
         nodes = labelled.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("root", "id")).alias("pivot"), F.max("root").alias("last"))
         nodes = nodes.where("n > 1 and pivot.root < last").select("tree", "node", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.root").alias("pivot_root"))
-        mixed = materialize(labelled.join(nodes, ["tree", "node"]), "near-nodes")
-        hubs = mixed.where("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        if pending is not None:
-            hubs = hubs.union(_pairs(pending, roots)).distinct()
-        sketches = classes.select("id", "sketch")
-        pairs = hubs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        pairs = materialize(pairs.where(_alike("sa", "sb", at_least)).select("a", "b"), "near-pairs")
-        n_pairs = pairs.count()
-        if n_pairs:
-            found = confirm(docs, pairs, n_pairs, width, num, den)
-            found = materialize(found if edges is None else found.union(edges), "near-links")
-            edges = found
-            roots = materialize(star_components(edges), "near-roots")
-        pending = mixed.where(f"n <= {SMALL}").select("tree", "node", "id")
-        deeper = mixed.where(f"n > {SMALL}").select("tree", "node", "id")
-        level += 1
-        more = deeper.limit(1).count()
-        if level == DEPTH and more:  # shingle sets that eight minwise hashes do not part: every pair of unconnected classes
-            pending, more = pending.union(deeper), 0
-        if not more:
-            rest = _pairs(pending, roots)
-            pairs = rest.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-            pairs = materialize(pairs.where(_alike("sa", "sb", at_least)).select("a", "b"), "near-pairs")
-            if n_pairs := pairs.count():
-                found = confirm(docs, pairs, n_pairs, width, num, den)
-                roots = materialize(star_components(found if edges is None else found.union(edges)), "near-roots")
+        mixed = materialize(labelled.join(nodes, ["tree", "node"]).drop("root"), "near-nodes")
+        hubs = _labelled(mixed, roots).where("root <> pivot_root").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+        with_sketches = hubs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+        link(with_sketches.where(alike).select("a", "b"))
+        labelled = _labelled(mixed.select("tree", "node", "n", "id"), roots)
+        still = labelled.groupBy("tree", "node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "node")
+        labelled = labelled.join(still, ["tree", "node"], "left_semi")
+        link(_node_pairs(labelled.where(f"n <= {SMALL}"), sketches, at_least))
+        deeper, level = labelled.where(f"n > {SMALL}").select("tree", "node", "id"), level + 1
+        if not deeper.limit(1).count():
+            break
+        if level == DEPTH:  # classes that eight minwise hashes do not part: join each node's unconnected ones on their sketches
+            left = _labelled(deeper, roots).join(sketches.withColumnRenamed("sketch", "sa"), "id").withColumnRenamed("id", "a")
+            right = left.select("tree", "node", F.col("a").alias("b"), F.col("root").alias("root_b"), F.col("sa").alias("sb"))
+            link(left.join(right, ["tree", "node"]).where("a < b and root <> root_b").where(alike).select("a", "b").distinct())
             break
-        rows = _children(deeper.join(sketches, "id"), level)
+        rows = _children(materialize(deeper, "near-rows").join(sketches, "id"), level)
     return roots if roots is not None else spark.createDataFrame([], "id long, root long")
 
 
-def _pairs(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs of classes that share a node and are not connected yet."""
-    left = nodes.withColumn("root", F.col("id")) if roots is None else nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = left.groupBy("tree", "node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "node")
-    left = left.join(mixed, ["tree", "node"], "left_semi")
-    right = left.select("tree", "node", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    return left.withColumnRenamed("id", "a").join(right, ["tree", "node"]).where("a < b and root <> root_b").select("a", "b").distinct()
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
