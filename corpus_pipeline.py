@@ -1,4 +1,68 @@
-"""Cleaning pipeline over `documents`: language ID, near-dedup, substring dedup, decontamination, packing."""
+"""Cleaning pipeline over `documents`: language ID, near-dedup, substring dedup, decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as Parquet into the shared folder and reads
+it back for the next stage. All but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadlens.llm.common import materialize
+from roadlens.llm.decontaminate import decontaminate
+from roadlens.llm.language_id import fold, keep_identified, train
+from roadlens.llm.near_dedup import near_duplicates
+from roadlens.llm.packing import pack
+from roadlens.llm.substring_dedup import dedup_substrings
+
+#: Texts whose language has a lower posterior probability are rejected, as are those without a letter.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told. Learned from two thirds of the stage's own rows by id."""
+    learn = docs.where(F.col("doc_id").isNotNull() & ~fold("doc_id", 3, 1))
+    return keep_identified(docs, train(learn), LEAST_SCORE)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    copies = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    single = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return single.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without units of text that an earlier document has; those of which nothing is left go."""
+    return dedup_substrings(docs).select(*docs.columns).where(F.length(F.trim("text")) > 0)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 ids."""
+    return pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Naive Bayes over hashed n-grams and tokenisation have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

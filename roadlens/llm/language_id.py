@@ -141,6 +141,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), fn, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs whose language can be told: a letter, a learned language, a score of at least least_score. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            names, scores = shared.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(column: str, parts: int, held: int):
     """Whether crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == held, F.lit(False))

@@ -29,3 +29,12 @@ def _query(module: str, function: str):
 
 QUERIES = {name: _query(*where) for name, where in _WHERE.items()}
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_warc": OP9_SQL}
+
+
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
