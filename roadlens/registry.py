@@ -8,3 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for name in ("scalars",):
+        importlib.import_module(f"roadlens.plans.{name}")
