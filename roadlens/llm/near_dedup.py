@@ -25,6 +25,8 @@ TREES, DEPTH, CHILDREN = 4, 8, 2
 SKETCH = TREES * DEPTH * CHILDREN
 #: Nodes of at most so many classes are compared exhaustively (2048 sketches are half a megabyte).
 SMALL = 2048
+#: ... and of at most so many shingles in all, so that their sets fit into a task.
+SMALL_SHINGLES = 4_000_000
 
 _A = odd_multipliers(SKETCH, 17)
 _B = odd_multipliers(SKETCH, 18)
@@ -117,14 +119,14 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     """tree, node, id of the next level: CHILDREN nodes for each row, named by the node above and one more minwise shingle."""
     width = DEPTH * CHILDREN
     if level == 0:
-        grown = rows.select("id", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES * CHILDREN - 1))).alias("k"))
+        grown = rows.select("id", "size", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES * CHILDREN - 1))).alias("k"))
         tree, child = F.expr(f"int(k div {CHILDREN})"), F.expr(f"k % {CHILDREN}")
         above = F.lit(0).cast("long")
     else:
-        grown = rows.select("id", "sketch", "tree", "node", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))).alias("k"))
+        grown = rows.select("id", "size", "sketch", "tree", "node", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))).alias("k"))
         tree, child, above = F.col("tree"), F.col("k"), F.col("node")
     coordinate = tree * width + level * CHILDREN + child
-    return grown.select(tree.alias("tree"), F.xxhash64(above, tree, F.lit(level), child, F.get("sketch", coordinate)).alias("node"), "id")
+    return grown.select(tree.alias("tree"), F.xxhash64(above, tree, F.lit(level), child, F.get("sketch", coordinate)).alias("node"), "id", "size")
 
 
 def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -133,69 +135,129 @@ def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _node_pairs(rows: DataFrame, sketches: DataFrame, at_least: int) -> DataFrame:
-    """a, b: the pairs of unconnected classes within the nodes of rows (tree, node, id, root) whose sketches agree enough."""
+def _close_members(rows: DataFrame, sketches: DataFrame, at_least: int) -> DataFrame:
+    """g, id, root: the members of each node of rows (tree, node, id, root) that agree enough with an unconnected member."""
     members = rows.join(sketches, "id").groupBy("tree", "node").agg(F.collect_list(F.struct("id", "root", "sketch")).alias("m"))
 
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
-        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        lists = batch.column(0)
+        lists, groups = batch.column(1), batch.column(0).to_numpy()
         flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         ids, roots = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         marks = flat.field(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+        close = np.zeros(len(ids), bool)
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             for row in range(lo, hi - 1):
                 rest = np.flatnonzero(roots[row + 1 : hi] != roots[row]) + row + 1
                 if len(rest):
                     rest = rest[np.count_nonzero(marks[rest] == marks[row], axis=1) >= at_least]
-                    out_a.append(np.minimum(ids[row], ids[rest]))
-                    out_b.append(np.maximum(ids[row], ids[rest]))
-        return {"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))}
+                    if len(rest):
+                        close[row] = close[rest] = True
+        return {"g": pa.array(np.repeat(groups, np.diff(ends))[close]), "id": pa.array(ids[close]), "root": pa.array(roots[close])}
 
-    return map_arrow(members.select("m"), fn, "a long, b long").distinct()
+    return map_arrow(members.select(F.xxhash64("tree", "node").alias("g"), "m"), fn, "g long, id long, root long")
+
+
+def links_within(ids: list[int], roots: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect the members which exact similarities connect, at most one less than there are members.
+
+    Intersection sizes of all pairs come from products of 0/1 matrices over blocks of the shingles that two members or more have.
+    """
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets])
+    _, where, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(often >= 2) - 1
+    shared = often[where] >= 2
+    member, place = np.repeat(np.arange(n), sizes)[shared], column[where[shared]]
+    order = np.argsort(place, kind="stable")
+    member, place = member[order], place[order]
+    common = np.zeros((n, n), np.float32)
+    step = max(256, 4_000_000 // n)
+    edges = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + step, step))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        block = np.zeros((n, step), np.float32)
+        block[member[a:b], place[a:b] - k * step] = 1
+        common += block @ block.T
+    near = den * common.astype(np.float64) >= num * (sizes[:, None] + sizes[None, :] - common)
+    labels, out = np.unique(roots, return_inverse=True)[1], []
+    for i in range(n):
+        others = np.flatnonzero(near[i] & (labels != labels[i]))
+        for label in np.unique(labels[others]).tolist():
+            out.append((ids[i], ids[int(others[labels[others] == label][0])]))
+            labels[labels == label] = labels[i]
+    return out
+
+
+def _node_links(docs: DataFrame, members: DataFrame, n_members: int, width: int, num: int, den: int) -> DataFrame:
+    """a, b: links within each group of members (g, id, root), confirmed on full sets inside the group's task."""
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = keep_ids(docs.select("doc_id", "text"), "doc_id", ids, n_members).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = members.join(texts.select(F.col("doc_id").alias("id"), utf8("text").alias("text")), "id").select("g", "id", "root", "text")
+    rows = rows.repartition("g").sortWithinPartitions("g")
+
+    def run(batches):
+        group, ids, roots, sets = None, [], [], []
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            for g, i, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    if len(ids) > 1:
+                        found += links_within(ids, roots, sets, num, den)
+                    group, ids, roots, sets = g, [], [], []
+                ids.append(i)
+                roots.append(root)
+                sets.append(shingle_set(text, width))
+        if len(ids) > 1:
+            found += links_within(ids, roots, sets, num, den)
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """id, root for the classes (id, sketch) that are linked with another one."""
+    """id, root for the classes (id, size, sketch) that are linked with another one."""
     spark = docs.sparkSession
     j = num / den
     # six standard deviations below the expected agreement at the threshold
     at_least = max(1, int(SKETCH * j - 6 * (SKETCH * j * (1 - j)) ** 0.5))
     sketches = classes.select("id", "sketch")
     alike = F.expr(f"size(filter(zip_with(sa, sb, (p, q) -> p = q), e -> e)) >= {at_least}")
-    tested = edges = roots = None
-
-    def link(pairs: DataFrame) -> None:
-        """Confirm the pairs that have not been tested yet and renew the components."""
-        nonlocal tested, edges, roots
-        fresh = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if n := fresh.count():
-            tested = fresh if tested is None else tested.union(fresh)
-            found = materialize(confirm(docs, fresh, n, width, num, den), "near-links")
-            if found.limit(1).count():
-                edges = found if edges is None else edges.union(found)
-                roots = star_components(edges)
+    edges = roots = None
+
+    def add(found: DataFrame) -> None:
+        """Renew the components with more links."""
+        nonlocal edges, roots
+        found = materialize(found, "near-links")
+        if found.limit(1).count():
+            edges = found if edges is None else edges.union(found)
+            roots = star_components(edges)
+
+    def check_pairs(pairs: DataFrame) -> None:
+        both = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+        alike_pairs = materialize(both.where(alike).select("a", "b").distinct(), "near-pairs")
+        if n := alike_pairs.count():
+            add(confirm(docs, alike_pairs, n, width, num, den))
 
     rows, level = _children(classes, 0), 0
     while True:
         labelled = _labelled(rows, roots)
-        nodes = labelled.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("root", "id")).alias("pivot"), F.max("root").alias("last"))
-        nodes = nodes.where("n > 1 and pivot.root < last").select("tree", "node", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.root").alias("pivot_root"))
+        nodes = labelled.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min(F.struct("root", "id")).alias("pivot"), F.max("root").alias("last"))
+        nodes = nodes.where("n > 1 and pivot.root < last").select("tree", "node", "n", "shingles", F.col("pivot.id").alias("pivot"), F.col("pivot.root").alias("pivot_root"))
         mixed = materialize(labelled.join(nodes, ["tree", "node"]).drop("root"), "near-nodes")
-        hubs = _labelled(mixed, roots).where("root <> pivot_root").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-        with_sketches = hubs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        link(with_sketches.where(alike).select("a", "b"))
-        labelled = _labelled(mixed.select("tree", "node", "n", "id"), roots)
+        check_pairs(_labelled(mixed, roots).where("root <> pivot_root").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")))
+        labelled = _labelled(mixed.where("n > 2").select("tree", "node", "n", "shingles", "id", "size"), roots)  # of two members the pair is known
         still = labelled.groupBy("tree", "node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "node")
         labelled = labelled.join(still, ["tree", "node"], "left_semi")
-        link(_node_pairs(labelled.where(f"n <= {SMALL}"), sketches, at_least))
-        deeper, level = labelled.where(f"n > {SMALL}").select("tree", "node", "id"), level + 1
+        small = F.expr(f"n <= {SMALL} and shingles <= {SMALL_SHINGLES}")
+        close = materialize(_close_members(labelled.where(small), sketches, at_least), "near-members")
+        if n := close.count():
+            add(_node_links(docs, close, n, width, num, den))
+        deeper, level = labelled.where(~small).select("tree", "node", "id", "size"), level + 1
         if not deeper.limit(1).count():
             break
-        if level == DEPTH:  # classes that eight minwise hashes do not part: join each node's unconnected ones on their sketches
-            left = _labelled(deeper, roots).join(sketches.withColumnRenamed("sketch", "sa"), "id").withColumnRenamed("id", "a")
-            right = left.select("tree", "node", F.col("a").alias("b"), F.col("root").alias("root_b"), F.col("sa").alias("sb"))
-            link(left.join(right, ["tree", "node"]).where("a < b and root <> root_b").where(alike).select("a", "b").distinct())
+        if level == DEPTH:  # classes that eight minwise hashes do not part: join each node's unconnected ones
+            left = _labelled(deeper, roots).withColumnRenamed("id", "a")
+            right = left.select("tree", "node", F.col("a").alias("b"), F.col("root").alias("root_b"))
+            check_pairs(left.join(right, ["tree", "node"]).where("a < b and root <> root_b").select("a", "b"))
             break
         rows = _children(materialize(deeper, "near-rows").join(sketches, "id"), level)
     return roots if roots is not None else spark.createDataFrame([], "id long, root long")
@@ -209,7 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sets = materialize(shingle_sets(docs, width), "near-sets")
-    classes = materialize(sets.where("set_digest is not null and doc_id is not null").groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "near-classes")
+    classes = materialize(sets.where("set_digest is not null and doc_id is not null").groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "near-classes")
     roots = similar_components(docs, classes, width, num, den)
     named = classes.join(roots, "id", "left").select("set_digest", F.coalesce("root", "id").alias("root"))
     out = sets.select("doc_id", "n_shingles", "set_digest").join(named, "set_digest", "left")
