@@ -14,5 +14,5 @@ def load() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for name in ("scalars",):
+    for name in ("scalars", "relational"):
         importlib.import_module(f"roadlens.plans.{name}")
