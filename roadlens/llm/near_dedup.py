@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, map_arrow, materialize, mix64, odd_multipliers, utf8, word_hashes
+from .common import keep_ids, map_arrow, materialize, mix64, odd_multipliers, partitions, utf8, word_hashes
 
 TREES, DEPTH, CHILDREN = 4, 8, 2
 SKETCH = TREES * DEPTH * CHILDREN
-#: Nodes of at most so many classes are compared exhaustively (2048 sketches are half a megabyte).
-SMALL = 2048
+#: Nodes of at most so many classes are compared exhaustively (4096 sketches are a megabyte).
+SMALL = 4096
 #: ... and of at most so many shingles in all, so that their sets fit into a task.
 SMALL_SHINGLES = 4_000_000
+#: Block sizes of the products: rows, and shingles.
+_ROWS, _STEP = 512, 2048
 
 _A = odd_multipliers(SKETCH, 17)
 _B = odd_multipliers(SKETCH, 18)
@@ -108,7 +110,7 @@ def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = materialize(small, "stars")
+        now = materialize(small.coalesce(max(1, partitions(small.sparkSession) // 8)), "stars")
         ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
         if not ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("down")).where("ups > 1 or (ups = 1 and down = 0)").limit(1).count():
             break
@@ -170,20 +172,22 @@ def links_within(ids: list[int], roots: list[int], sets: list[np.ndarray], num:
     member, place = np.repeat(np.arange(n), sizes)[shared], column[where[shared]]
     order = np.argsort(place, kind="stable")
     member, place = member[order], place[order]
-    common = np.zeros((n, n), np.float32)
-    step = max(256, 4_000_000 // n)
-    edges = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + step, step))
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        block = np.zeros((n, step), np.float32)
-        block[member[a:b], place[a:b] - k * step] = 1
-        common += block @ block.T
-    near = den * common.astype(np.float64) >= num * (sizes[:, None] + sizes[None, :] - common)
+    edges = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + _STEP, _STEP))
     labels, out = np.unique(roots, return_inverse=True)[1], []
-    for i in range(n):
-        others = np.flatnonzero(near[i] & (labels != labels[i]))
-        for label in np.unique(labels[others]).tolist():
-            out.append((ids[i], ids[int(others[labels[others] == label][0])]))
-            labels[labels == label] = labels[i]
+    for top in range(0, n, _ROWS):  # blocks of rows: memory stays below a few megabytes
+        rows = min(_ROWS, n - top)
+        common = np.zeros((rows, n), np.float32)
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            block = np.zeros((n, _STEP), np.float32)
+            block[member[a:b], place[a:b] - k * _STEP] = 1
+            common += block[top : top + rows] @ block.T
+        near = den * common.astype(np.float64) >= num * (sizes[top : top + rows, None] + sizes[None, :] - common)
+        for r in range(rows):
+            i = top + r
+            others = np.flatnonzero(near[r] & (labels != labels[i]))
+            for label in np.unique(labels[others]).tolist():
+                out.append((ids[i], ids[int(others[labels[others] == label][0])]))
+                labels[labels == label] = labels[i]
     return out
 
 
@@ -237,29 +241,31 @@ def similar_components(docs: DataFrame, classes: DataFrame, width: int, num: int
         if n := alike_pairs.count():
             add(confirm(docs, alike_pairs, n, width, num, den))
 
+    small = F.expr(f"n <= {SMALL} and shingles <= {SMALL_SHINGLES}")
     rows, level = _children(classes, 0), 0
     while True:
         labelled = _labelled(rows, roots)
         nodes = labelled.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min(F.struct("root", "id")).alias("pivot"), F.max("root").alias("last"))
         nodes = nodes.where("n > 1 and pivot.root < last").select("tree", "node", "n", "shingles", F.col("pivot.id").alias("pivot"), F.col("pivot.root").alias("pivot_root"))
-        mixed = materialize(labelled.join(nodes, ["tree", "node"]).drop("root"), "near-nodes")
-        check_pairs(_labelled(mixed, roots).where("root <> pivot_root").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")))
-        labelled = _labelled(mixed.where("n > 2").select("tree", "node", "n", "shingles", "id", "size"), roots)  # of two members the pair is known
-        still = labelled.groupBy("tree", "node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "node")
-        labelled = labelled.join(still, ["tree", "node"], "left_semi")
-        small = F.expr(f"n <= {SMALL} and shingles <= {SMALL_SHINGLES}")
-        close = materialize(_close_members(labelled.where(small), sketches, at_least), "near-members")
+        mixed = materialize(labelled.join(nodes, ["tree", "node"]), "near-nodes")
+        close = materialize(_close_members(mixed.where(small), sketches, at_least), "near-members")
         if n := close.count():
             add(_node_links(docs, close, n, width, num, den))
-        deeper, level = labelled.where(~small).select("tree", "node", "id", "size"), level + 1
-        if not deeper.limit(1).count():
+        large, level = mixed.where(~small), level + 1
+        if not large.limit(1).count():
+            break
+        check_pairs(_labelled(large.drop("root"), roots).where("root <> pivot_root").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")))
+        left = _labelled(large.select("tree", "node", "id", "size"), roots)
+        still = left.groupBy("tree", "node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "node")
+        left = materialize(left.join(still, ["tree", "node"], "left_semi"), "near-rows")
+        if not left.limit(1).count():
             break
         if level == DEPTH:  # classes that eight minwise hashes do not part: join each node's unconnected ones
-            left = _labelled(deeper, roots).withColumnRenamed("id", "a")
+            left = left.withColumnRenamed("id", "a")
             right = left.select("tree", "node", F.col("a").alias("b"), F.col("root").alias("root_b"))
             check_pairs(left.join(right, ["tree", "node"]).where("a < b and root <> root_b").select("a", "b"))
             break
-        rows = _children(materialize(deeper, "near-rows").join(sketches, "id"), level)
+        rows = _children(left.drop("root").join(sketches, "id"), level)
     return roots if roots is not None else spark.createDataFrame([], "id long, root long")
 
 
