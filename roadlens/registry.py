@@ -14,5 +14,5 @@ def load() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for name in ("scalars", "relational", "joins", "aggregates", "windows"):
+    for name in ("scalars", "relational", "joins", "aggregates", "windows", "flows"):
         importlib.import_module(f"roadlens.plans.{name}")
