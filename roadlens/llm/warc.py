@@ -23,6 +23,8 @@ from .common import bucket_of, id_bounds, materialize, partitions, shared_dir
 
 ROLL_BYTES = 16 << 20
 MIN_REVISIT = 100
+#: Groups of equal payloads that are broadcast (about 100 bytes each); more of them are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _LEVEL = 4
 
@@ -87,7 +89,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = rows.where((F.length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
+    first = materialize(first, "warc-copies")
+    joined = rows.join(F.broadcast(first) if first.count() <= BROADCAST_GROUPS else first, "digest", "left")  # payloads stay where they are
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
