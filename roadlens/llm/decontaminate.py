@@ -156,8 +156,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, dro
         return {"doc_id": pa.array(ids, pa.int64()), "old": pa.array(texts, pa.string()), "cut": pa.array(cleaned, pa.string())}
 
     changes = map_arrow(marked, fn, "doc_id long, old string, cut string")
-    changes = changes.groupBy("doc_id", F.xxhash64("old").alias("h")).agg(F.first("cut").alias("cut"), F.lit(True).alias("hit"))
-    joined = packed.withColumn("h", F.xxhash64("text")).join(changes, ["doc_id", "h"], "left").where("hit is null or cut is not null")
+    changes = changes.groupBy(F.col("doc_id").alias("changed_id"), F.xxhash64("old").alias("changed_hash")).agg(F.first("cut").alias("cut"), F.lit(True).alias("hit"))
+    same = F.col("doc_id").eqNullSafe(F.col("changed_id")) & (F.xxhash64("text") == F.col("changed_hash"))
+    joined = packed.join(changes, same, "left").where("hit is null or cut is not null")
     out = {"doc_id": F.col("doc_id"), "text": F.when(F.col("hit"), F.col("cut")).otherwise(F.col("text"))} | {c: F.col(f"rest.`{c}`") for c in rest}
     if "n_chars" in out:
         out["n_chars"] = F.when(F.col("hit"), F.length("cut").cast("long")).otherwise(F.col("rest.n_chars"))
