@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 #: Largest id list that is broadcast (8 bytes a row); longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Most rows of an Arrow batch: some megabytes of text, where Spark's default of 10,000 rows would be tens of them in each worker.
+BATCH_ROWS = 2_000
 
 _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a new temporary one only where that setting is missing (local tests)."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-ckpt-")
@@ -44,6 +47,13 @@ def utf8(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python in batches of at most BATCH_ROWS, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch; fn returns the columns of the output batch."""
 
@@ -52,6 +62,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object] |
             if batch.num_rows and (columns := fn(batch)) is not None:
                 yield pa.RecordBatch.from_pydict(columns)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -70,20 +81,21 @@ def odd_multipliers(n: int, seed: int) -> np.ndarray:
 
 
 def worker_state(key: str, make: Callable[[], object]) -> object:
-    """An object kept for the life of the Python worker, so that a later task in it finds a warm cache."""
+    """An object kept for the life of the Python worker, so that a later task in it finds a warm cache; one at a time, to bound memory."""
     import sys
     import types
 
     state = sys.modules.setdefault("_roadlens_worker_state", types.ModuleType("_roadlens_worker_state"))
-    if not hasattr(state, key):
-        setattr(state, key, make())
-    return getattr(state, key)
+    if (getattr(state, "held", None) or (None, None))[0] != key:
+        state.held = None
+        state.held = (key, make())
+    return state.held[1]
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, filled on demand; emptied when it holds `most` words, so memory stays bounded."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 250_000) -> None:
         super().__init__()
         self.most = most
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, small_batches
 
 ORDERS = (1, 2, 3)
 #: Most n-gram buckets, and most numbers in the broadcast matrix (buckets times languages).
@@ -89,6 +89,7 @@ class Model:
 
 def train(labelled: DataFrame, alpha: float = 0.5) -> Model:
     """The model learned from all rows of labelled (text, lang); rows with a null are left out."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
     found = sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     languages = [r["lang"] for r in found]
@@ -143,6 +144,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
     """The rows of docs whose language can be told: a letter, a learned language, a score of at least least_score. No shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -29,7 +29,7 @@ _SPACES = re.compile(r"\s\s")
 class Chunks(dict):
     """space-delimited chunk -> its ids as little-endian 32-bit numbers; emptied when it holds `most` chunks."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         import tiktoken
         from public_tokenizers import PATTERN
 
