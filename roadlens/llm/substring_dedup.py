@@ -1,7 +1,10 @@
 """Substring dedup by hashing units of text.
 
-Lines are split into units after sentence ends and before a capital that follows an uncapitalised word; a part of fewer than
-MIN_WORDS words joins the part after it (the line's last one the part before it; a line of fewer words is no unit), and a part of more than LONG_WORDS words is split after words that their hash selects.
+Lines are split into units after sentence ends and before a capital that follows an uncapitalised word. Parts of fewer than MIN_WORDS
+words are joined: their unit ends where it has MIN_WORDS words and the last part's hash selects it, or where a longer part ends it (what is
+left of a line is a unit of its own if it has MIN_WORDS words, and else belongs to the unit before it). A unit of more than LONG_WORDS
+words is split after words that their hash selects. So every line of MIN_WORDS words or more lies in units as a whole. Characters of
+scripts without spaces between words count as words.
 All of these bounds depend on nearby text alone, so a passage has the same inner units wherever it stands, be it a line of its own or
 inside one. Units are normalised (case, white space) and hashed; digests are grouped over the corpus; the occurrence that
 comes first by (doc_id, offset) stays and all others are removed. Offsets refer to the original text.
@@ -19,9 +22,12 @@ from .common import map_arrow, materialize
 
 MIN_WORDS, LONG_WORDS = 5, 40
 _LINE = re.compile(r"[^\n]+")
-#: Bounds inside a line: white space after a sentence end, or (if a lower-case letter stands before it) before a capitalised word.
-_BOUND = re.compile(r"[.!?…。]\s+|\s+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
-_WORD = re.compile(r"\S+")
+#: Bounds inside a line: white space after a sentence end, a sentence end of scripts without spaces, or (if a lower-case letter stands before it) before a capitalised word.
+_BOUND = re.compile(r"[.!?…。！？]\s+|[。！？]|\s+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Chinese characters.
+_UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 
 
 def units(text: str, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
@@ -29,22 +35,31 @@ def units(text: str, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -
     import xxhash
 
     out: list[tuple[int, int]] = []
+    spaced = text.isascii() or not _ANY_UNSPACED.search(text)
+
+    def words_of(a: int, b: int) -> int:
+        return len(text[a:b].split()) if spaced else sum(1 for _ in _WORD.finditer(text, a, b))
 
     def add(a: int, b: int, n_words: int) -> None:
         if n_words <= long_words:
             out.append((a, b))
             return
-        start, k = a, 0
+        start, k, cuts = a, 0, 0
         for m in _WORD.finditer(text, a, b):
+            start = m.start() if start is None else start
             k += 1
             if k >= min_words and b - m.end() > 1 and xxhash.xxh3_64_intdigest(m.group()) % 8 == 0:
                 out.append((start, m.end()))
-                start, k = m.end() + 1, 0
-        if k and k < min_words and start > a:
+                start, k, cuts = None, 0, cuts + 1
+        if cuts and k < min_words:
             out[-1] = (out[-1][0], b)
-        elif start < b:
+        else:
             out.append((start, b))
 
+    def selected(a: int, b: int) -> bool:
+        last = text[a:b].rsplit(None, 1)[-1:]
+        return bool(last) and xxhash.xxh3_64_intdigest(last[0].lower()) % 4 == 0
+
     for line in _LINE.finditer(text):
         a, end = line.span()
         parts, at = [], a
@@ -57,14 +72,19 @@ def units(text: str, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -
             parts.append((at, cut))
             at = bound.end()
         parts.append((at, end))
-        begin, first = None, len(out)
+        begin, n, before, first = None, 0, a, len(out)
         for start, stop in parts:
-            n_words = len(text[start:stop].split())
-            begin = start if begin is None else begin
-            if n_words >= min_words:
-                add(begin, stop, n_words)
-                begin = None
-        if begin is not None and len(out) > first:  # a short rest of the line ends its last unit
+            n_words = words_of(start, stop)
+            if n >= min_words <= n_words:  # joined parts before a long one are a unit of their own
+                add(begin, before, n)
+                begin, n = None, 0
+            begin, n, before = start if begin is None else begin, n + n_words, stop
+            if n_words >= min_words or (n >= min_words and selected(start, stop)):
+                add(begin, stop, n)
+                begin, n = None, 0
+        if begin is not None and n >= min_words:
+            add(begin, end, n)
+        elif begin is not None and len(out) > first:  # a short rest of the line ends its last unit
             out[-1] = (out[-1][0], end)
     return out
 

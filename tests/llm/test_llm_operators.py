@@ -139,6 +139,24 @@ def test_passages_inside_lines_are_found(spark):
     assert "Every spring the water rose up to its door." not in out[2].text and out[2].text.endswith("and others after it")
 
 
+def test_lines_of_short_parts_are_units(spark):
+    """Whole repeated lines go, and repeated passages of short parts go wherever they stand in a line."""
+    rng = np.random.default_rng(8)
+    name = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+    titles = " ".join(name().title() for _ in range(60))
+    lines = ["He ran. She sat. They saw it. A dog barked. It was late.", titles, "STOP!! " * 12, "Ann Lee, Bob Ray, Cy Dow, Di Fox", "雨が降る日に本を読む。猫は窓の外を見る", "今日は良い天気ですね", "x " * 3 + "Abc " * 50]
+    for line in lines:
+        assert S.units(line) and sum(b - a for a, b in S.units(line)) >= 0.8 * len(line.strip())
+    rows = [(i + 10 * k, line + "\n") for k in (0, 1) for i, line in enumerate(lines)]
+    got = {r.doc_id: r.text for r in S.dedup_substrings(docs_of(spark, rows)).collect()}
+    assert {i: got[i + 10].strip() for i in range(len(lines))} == dict.fromkeys(range(len(lines)), "")
+    assert all(got[i] == lines[i] + "\n" for i in (0, 1, 3, 4, 5))
+    for passage in (titles, "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 5000, 200))):
+        shifted = [(1, passage), (2, f"Xa Yb Zc 前 {passage} Other Words Stand Here Now")]
+        out = {r.doc_id: r.text for r in S.dedup_substrings(docs_of(spark, shifted)).collect()}
+        assert out[1] == passage and len(out[2]) < 0.5 * len(passage)
+
+
 def test_substring_odd_rows(spark):
     line = "one two three four five six"
     rows = [*ODD, (20, line), (21, f"{line}\n{line}"), (22, line.upper())]
