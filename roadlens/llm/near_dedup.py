@@ -4,12 +4,13 @@ Every text becomes its set of distinct word shingles. Texts with equal sets are
 doc_id, so copies are never paired. Classes branch in independent trees: at each level of a tree a class goes to two child
 nodes, each chosen by the minwise shingle of one more hash function, so similar classes stay together and others part. A node of
 at most `small` classes is compared exhaustively; in a larger one every class is compared with the node's first class, and
-those that are still not connected with each other branch further. Candidates pass a sketch of 64 minwise hashes (an estimate
+those that are still not connected with each other branch further. Candidates pass a sketch of SKETCH minwise hashes (an estimate
 far below the threshold drops them) and are confirmed on full shingle sets of the whole texts. Connected components are found
 by alternating star contraction, all of it as joins.
 
-A pair at the threshold t meets in a tree with probability 1 - q, q = (1 - t + t q)^2: q is 0.031 at 0.85 and 0.063 at 0.8,
-so TREES = 4 trees miss about 1e-6 and 2e-5 of such pairs, fewer of more similar ones.
+The hash function of a child is picked by the node itself, so the nodes of a level part a pair nearly independently of each other: a pair
+at the threshold t meets in a tree with probability 1 - q, q = (1 - t + t q)^2: q is 0.031 at 0.85 and 0.063 at 0.8. TREES = 4
+trees miss about 1e-6 and 3e-5 of such pairs at any depth (simulated with sketches of SKETCH values), fewer of more similar ones.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import keep_ids, map_arrow, materialize, mix64, odd_multipliers, partitions, utf8, word_hashes
 
 TREES, DEPTH, CHILDREN = 4, 8, 2
-SKETCH = TREES * DEPTH * CHILDREN
-#: Nodes of at most so many classes are compared exhaustively (4096 sketches are a megabyte).
+#: Minwise hashes of a class; with fewer, nodes pick the same ones too often.
+SKETCH = 128
+#: Nodes of at most so many classes are compared exhaustively (4096 sketches are two megabytes).
 SMALL = 4096
 #: ... and of at most so many shingles in all, so that their sets fit into a task.
 SMALL_SHINGLES = 4_000_000
@@ -51,8 +53,8 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The minwise value under each of SKETCH hash functions, as 32-bit numbers."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[i : i + 1024, None] * _A[None, :] + _B[None, :]).min(axis=0), out=least)
+    for i in range(0, len(shingles), 512):
+        np.minimum(least, (shingles[i : i + 512, None] * _A[None, :] + _B[None, :]).min(axis=0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -119,7 +121,6 @@ def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
     """tree, node, id of the next level: CHILDREN nodes for each row, named by the node above and one more minwise shingle."""
-    width = DEPTH * CHILDREN
     if level == 0:
         grown = rows.select("id", "size", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES * CHILDREN - 1))).alias("k"))
         tree, child = F.expr(f"int(k div {CHILDREN})"), F.expr(f"k % {CHILDREN}")
@@ -127,7 +128,7 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     else:
         grown = rows.select("id", "size", "sketch", "tree", "node", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))).alias("k"))
         tree, child, above = F.col("tree"), F.col("k"), F.col("node")
-    coordinate = tree * width + level * CHILDREN + child
+    coordinate = tree * CHILDREN + child if level == 0 else F.pmod(F.xxhash64(above, tree, F.lit(level), child, F.lit("coordinate")), F.lit(SKETCH)).cast("int")
     return grown.select(tree.alias("tree"), F.xxhash64(above, tree, F.lit(level), child, F.get("sketch", coordinate)).alias("node"), "id", "size")
 
 

@@ -100,6 +100,22 @@ def test_near_dedup_of_chains_and_groups(spark, monkeypatch):
         assert got == want
 
 
+def test_deep_nodes_keep_pairs_together(spark):
+    """Pairs whose sketches agree at 0.7 of the places share a node of the last level as often as independent choices let them."""
+    rng, n = np.random.default_rng(11), 600
+    one = rng.integers(-(1 << 31), 1 << 31, (n, N.SKETCH))
+    other = np.where(rng.random(one.shape) < 0.7, one, rng.integers(-(1 << 31), 1 << 31, one.shape))
+    rows = [(2 * i + k, 1, [int(x) for x in marks[i]]) for i in range(n) for k, marks in enumerate((one, other))]
+    base = spark.createDataFrame(rows, "id long, size long, sketch array<int>").localCheckpoint()
+    level = base
+    for depth in range(N.DEPTH):
+        nodes = N._children(level, depth)
+        pair = F.expr("id div 2").alias("pair")
+        shared = nodes.groupBy("tree", "node", pair).agg(F.collect_set("id").alias("ids")).where("size(ids) = 2").localCheckpoint()
+        level = shared.select("tree", "node", F.explode("ids").alias("id")).join(base, "id")
+    assert n - shared.select("pair").distinct().count() <= 6
+
+
 def test_near_dedup_odd_rows(spark):
     rows = N.near_duplicates(docs_of(spark, ODD), 3, 85, 100).collect()
     assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == Counter([(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (5, 4, False), (6, 6, True), (None, None, True), (7, 7, True)])
