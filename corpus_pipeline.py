@@ -13,7 +13,7 @@ from roadlens.llm.common import materialize
 from roadlens.llm.decontaminate import decontaminate
 from roadlens.llm.language_id import fold, keep_identified, train
 from roadlens.llm.near_dedup import near_duplicates
-from roadlens.llm.packing import pack
+from roadlens.llm.packing import added_tokens, pack
 from roadlens.llm.substring_dedup import dedup_substrings
 
 #: Texts whose language has a lower posterior probability are rejected, as are those without a letter.
@@ -45,7 +45,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 ids."""
-    return pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack(docs, added=added_tokens()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [

@@ -11,6 +11,7 @@ equal length, which is counted in salted slots, so a length that a third of the
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -65,18 +66,34 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def tokenize(text: str | None, path: str, end: int = END) -> bytes:
+def added_tokens() -> dict[str, int]:
+    """The added tokens of byte_bpe_50k.json and their ids: tokenizers finds these in a text before it splits the rest."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def tokenize(text: str | None, path: str, end: int = END, added: dict[str, int] | None = None) -> bytes:
+    """The text's ids and the end id; an added token in the text is one id, or plain text where none are given."""
     chunks = worker_state("chunks", lambda: Chunks(path))
-    return chunks.ids(text or "") + end.to_bytes(4, "little")
+    text = text or ""
+    if not any(token in text for token in added or ()):
+        return chunks.ids(text) + end.to_bytes(4, "little")
+    out, at = [], 0
+    for m in re.finditer("|".join(map(re.escape, sorted(added, key=len, reverse=True))), text):
+        out += [chunks.ids(text[at : m.start()]), added[m.group()].to_bytes(4, "little")]
+        at = m.end()
+    return b"".join([*out, chunks.ids(text[at:]), end.to_bytes(4, "little")])
 
 
-def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, row_hash, start, length, ids_crc32, doc_tokens: the full windows of each document and its remainder."""
 
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
         ids, hashes, starts, lengths, crcs, totals = [], [], [], [], [], []
         for doc_id, row_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = tokenize(text, path, end)
+            data = tokenize(text, path, end, added)
             n = len(data) // 4
             for start in range(0, n, window):
                 piece = data[4 * start : 4 * (start + window)]
@@ -160,7 +177,7 @@ def _rank(pieces: DataFrame) -> DataFrame:
     return salted.withColumn("own", F.row_number().over(own) - 1).join(counts, ["length", "slot"]).withColumn("rank", F.col("base") + F.col("own")).drop("slot", "own", "base")
 
 
-def cut_ids(docs: DataFrame, pieces: DataFrame, path: str, end: int = END, keep_ids: bool = False) -> DataFrame:
+def cut_ids(docs: DataFrame, pieces: DataFrame, path: str, end: int = END, keep_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """pieces (doc_id, row_hash, start, length, doc_tokens, sequence_id, offset) with ids_crc32 from their documents' ids, and the ids."""
     fields = ["start", "length", "doc_tokens", "sequence_id", "offset"]
     listed = pieces.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct(*fields)).alias("pieces"))
@@ -174,7 +191,7 @@ def cut_ids(docs: DataFrame, pieces: DataFrame, path: str, end: int = END, keep_
         out = {k: [] for k in ("doc_id", "row_hash", *fields, "ids_crc32")}
         ids = []
         for doc_id, row_hash, places, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = tokenize(text, path, end)
+            data = tokenize(text, path, end, added)
             for place in places:
                 piece = data[4 * place["start"] : 4 * (place["start"] + place["length"])]
                 out["doc_id"].append(doc_id)
@@ -190,15 +207,16 @@ def cut_ids(docs: DataFrame, pieces: DataFrame, path: str, end: int = END, keep_
     return map_arrow(joined, fn, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, row_hash, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece of docs (doc_id, text).
 
     A null or empty text is the end id alone; equal rows are packed one by one; no rows give no pieces. `cut_ids` adds the ids.
+    Tokens of `added` (see added_tokens) become their ids; without it they are plain text.
     """
     spark = docs.sparkSession
     path = path or default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = materialize(pieces_of(docs, path, window, end), "pieces")
+    pieces = materialize(pieces_of(docs, path, window, end, added), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows
     whole, laid, first_laid, total = plan(counts, window)
     table = sorted([(n, lo, 0, a, b, c) for n, lo, a, b, c in whole] + [(n, lo, 1, at, 0, 0) for n, lo, at in laid])
@@ -243,11 +261,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
 
     ranked = _rank(pieces).select("doc_id", "row_hash", "start", "length", "ids_crc32", "doc_tokens", "rank")
     placed = materialize(map_arrow(ranked, fn, ", ".join(f"{k} long" for k in names)), "placed")
-    cut = cut_ids(docs, placed.where("ids_crc32 is null"), path, end)
+    cut = cut_ids(docs, placed.where("ids_crc32 is null"), path, end, added=added)
     return placed.where("ids_crc32 is not null").unionByName(cut)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
     """All documents into windows of 2048 ids."""
-    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), added=added_tokens())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -335,6 +335,17 @@ def test_packing_is_an_exact_partition(spark, folder, documents):
     assert K.pack(docs_of(spark, [(5, "a"), (5, "a")])).count() >= 2
 
 
+def test_added_tokens_are_found_as_tokenizers_does(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "x  <|endoftext|><|endoftext|>  y z " * 900, 4: "a <|endoftext| > b", 5: None}
+    docs_of(spark, list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts.items()}
+    assert 50256 in ids[1] and held_pieces(queries.QUERIES["op4_packing"](spark, str(tmp_path)).collect(), ids) == 0
+
+
 # Fingerprints ------------------------------------------------------------------------------------------------------------------
 
 
