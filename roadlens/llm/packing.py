@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,39 +26,26 @@ from .common import map_arrow, materialize, partitions, worker_state
 
 WINDOW = 2048
 END = 1
-_SPACES = re.compile(r"\s\s")
+#: Pieces that are cut anew go to all executors up to so many (about 100 bytes each); more of them are joined by a shuffle.
+BROADCAST_PIECES = 200_000
 
 
-class Chunks(dict):
-    """space-delimited chunk -> its ids as little-endian 32-bit numbers; emptied when it holds `most` chunks."""
+class Encoder:
+    """Ids of whole texts as little-endian 32-bit numbers. Most words of a corpus are rare, so a cache of words costs more than it saves."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str) -> None:
         import tiktoken
         from public_tokenizers import PATTERN
 
-        super().__init__()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.most = most
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[chunk] = self.whole(chunk)
-        return value
 
     def ids(self, text: str) -> bytes:
-        """The text's ids. A single space before a word always begins a token, so chunks split there are independent."""
-        if _SPACES.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        if len(first) > 4096:  # not a word: not worth a place in the cache
-            return self.whole(text)
-        return b"".join([self[first] if first else b"", *map(self.__getitem__, [" " + x for x in rest])])
+        ids = array("I", self.encode(text))
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def default_vocabulary() -> str:
@@ -76,15 +65,15 @@ def added_tokens() -> dict[str, int]:
 
 def tokenize(text: str | None, path: str, end: int = END, added: dict[str, int] | None = None) -> bytes:
     """The text's ids and the end id; an added token in the text is one id, or plain text where none are given."""
-    chunks = worker_state("chunks", lambda: Chunks(path))
+    encoder = worker_state("encoder", lambda: Encoder(path))
     text = text or ""
     if not any(token in text for token in added or ()):
-        return chunks.ids(text) + end.to_bytes(4, "little")
+        return encoder.ids(text) + end.to_bytes(4, "little")
     out, at = [], 0
     for m in re.finditer("|".join(map(re.escape, sorted(added, key=len, reverse=True))), text):
-        out += [chunks.ids(text[at : m.start()]), added[m.group()].to_bytes(4, "little")]
+        out += [encoder.ids(text[at : m.start()]), added[m.group()].to_bytes(4, "little")]
         at = m.end()
-    return b"".join([*out, chunks.ids(text[at:]), end.to_bytes(4, "little")])
+    return b"".join([*out, encoder.ids(text[at:]), end.to_bytes(4, "little")])
 
 
 def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, added: dict[str, int] | None = None) -> DataFrame:
@@ -181,11 +170,12 @@ def cut_ids(docs: DataFrame, pieces: DataFrame, path: str, end: int = END, keep_
     """pieces (doc_id, row_hash, start, length, doc_tokens, sequence_id, offset) with ids_crc32 from their documents' ids, and the ids."""
     fields = ["start", "length", "doc_tokens", "sequence_id", "offset"]
     listed = pieces.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct(*fields)).alias("pieces"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text").groupBy("doc_id", "row_hash").agg(F.first("text").alias("text")) if keep_ids else docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
+    if pieces.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:  # texts stay where they are
+        listed = F.broadcast(listed)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
     on = [F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("p.row_hash") == F.col("t.row_hash")]
     joined = texts.alias("t").join(listed.alias("p"), on).select("p.doc_id", "p.row_hash", "p.pieces", "t.text")
-    if not keep_ids:
-        joined = joined.dropDuplicates(["doc_id", "row_hash"])
+    joined = joined.groupBy("doc_id", "row_hash").agg(F.first("pieces").alias("pieces"), F.first("text").alias("text"))  # equal rows share their pieces
 
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
         out = {k: [] for k in ("doc_id", "row_hash", *fields, "ids_crc32")}
