@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 AGE_BANDS = [(3, "0-2"), (6, "3-5"), (11, "6-10"), (16, "11-15")]
 MILEAGE_BANDS = [(30_000, "0-30k"), (60_000, "30k-60k"), (100_000, "60k-100k")]
 SERVING_AGE_BANDS = [(3, "0-3"), (5, "3-5"), (10, "6-10"), (15, "11-15")]
+AGE_KEYS = {
+    "0-2": ["0-2", "0-1", "1-2", "2-3", "0-3"],
+    "3-5": ["3-5", "3-4", "4-5"],
+    "6-10": ["6-10", "5-6", "6-7", "7-8", "8-9", "9-10", "5-10"],
+    "11-15": ["11-15", "10-11", "11-12", "12-13", "13-14", "14-15", "10-15"],
+}
 GAP_BANDS = [(300, "early"), (365, "on_time"), (400, "slightly_late"), (500, "late")]
 USAGE_BANDS = [(5_000, "low"), (10_000, "average"), (15_000, "high")]
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
@@ -43,8 +49,8 @@ def serving_age_band(age: Column) -> Column:
 
 
 def tests_band(n_prior: Column) -> Column:
-    """Right-closed bins of the number of earlier tests."""
-    return below(F.coalesce(n_prior, F.lit(0)), [(0, "0"), (2, "1-2"), (5, "3-5"), (10, "6-10")], "10+", closed=True)
+    """The age band that the number of earlier tests stands for (right-closed bins)."""
+    return below(F.coalesce(n_prior, F.lit(0)), [(0, "0-2"), (2, "3-5"), (5, "6-10"), (10, "11-15")], "15+", closed=True)
 
 
 def closed_mileage_band(miles: Column) -> Column:
@@ -53,7 +59,10 @@ def closed_mileage_band(miles: Column) -> Column:
 
 def age_key(band: Column) -> Column:
     """Finer age bands as the keys of the priors."""
-    return F.when(band.isin("0-2", "0-3"), "0-3").when(band.isin("3-5"), "3-5").when(band.isin("6-10"), "6-10").otherwise("10+")
+    key = F.lit("15+")
+    for name, members in reversed(AGE_KEYS.items()):
+        key = F.when(band.isin(members), F.lit(name)).otherwise(key)
+    return F.when(band.isNull() | (band == "UNKNOWN"), "Unknown").otherwise(key)
 
 
 def gap_band(days: Column) -> Column:
@@ -69,8 +78,9 @@ def confidence_class(n: Column) -> Column:
 
 
 def negligence(advisories: Column, tests: Column) -> tuple[Column, Column]:
-    ratio = F.coalesce(F.least(F.try_divide(advisories.cast("double"), tests.cast("double")), F.lit(1.0)), F.lit(0.0))
-    return ratio, F.when(ratio <= 0, "clean").when(ratio < 0.3, "low").when(ratio < 0.6, "medium").otherwise("high")
+    """Advisories for each test, at most 1 and 0 without tests, and its band."""
+    ratio = F.least(F.coalesce(F.try_divide(advisories.cast("double"), tests.cast("double")), F.lit(0.0)), F.lit(1.0))
+    return ratio, F.when(ratio <= 0, "clean").when(ratio < 0.3, "low").when(ratio < 0.6, "high").otherwise("chronic")
 
 
 def cut_class(value: Column, high: float, medium: float, names: tuple[str, str, str] = ("high", "medium", "low")) -> Column:
@@ -78,7 +88,21 @@ def cut_class(value: Column, high: float, medium: float, names: tuple[str, str,
 
 
 def verdict(p: Column) -> Column:
-    return F.when(p < 0.15, "low").when(p < 0.30, "moderate").when(p < 0.45, "elevated").otherwise("high")
+    return below(p, [(0.15, "Good reliability"), (0.30, "Moderate reliability"), (0.45, "Below average reliability")], "High risk vehicle")
+
+
+def decay(counts: dict[str, Column], step: float = 0.2) -> tuple[Column, Column]:
+    """Decay index (0.2 for each advisory, at most 1, of the worst system) and that system's name, the first of equal ones; CLEAN at 0."""
+    parts = {name: F.least(step * c, F.lit(1.0)) for name, c in counts.items()}
+    top = F.greatest(*parts.values())
+    return top, F.when(top <= 0, "CLEAN").otherwise(first_argmax(parts))
+
+
+def mechanisms(counts: dict[str, Column], tests: Column) -> tuple[Column, Column]:
+    """How many mechanisms occur, and the most frequent one's name (the first of equal ones); CLEAN without any, NO_HISTORY without tests."""
+    kinds = reduce(lambda a, b: a + b, [(c > 0).cast("int") for c in counts.values()])
+    named = {name.upper(): c.cast("double") for name, c in counts.items()}
+    return kinds, F.when(kinds > 0, first_argmax(named)).when(tests > 0, "CLEAN").otherwise("NO_HISTORY")
 
 
 def recommendation(p: Column, days_left: Column, expired: Column, has_cost: Column) -> Column:

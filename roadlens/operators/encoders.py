@@ -47,6 +47,34 @@ class Encoder:
         return out.withColumn(name, F.coalesce(*fine_first, F.col("_rate"))).drop("_rate", *[f"_rate_{i}" for i in range(len(self.levels))])
 
 
+def regime_hierarchy(rows: DataFrame, target: str, segment: list[str], regimes: list[str], powertrains: list[str], k=(10.0, 10.0, 10.0, 5.0)) -> dict[str, DataFrame]:
+    """Rates of regime, powertrain (both dense: a missing one has its parent's rate), make and segment, each shrunk towards the level above.
+
+    rows: regime, powertrain, make, the segment columns and the target. A make with several powertrains takes the rate of the last one by
+    name. All levels come from one aggregation at the union of their keys.
+    """
+    spark = rows.sparkSession
+    shrunk = lambda k, parent: F.try_divide(F.col("f") + k * F.col(parent), F.col("n") + k)
+    base = rows.groupBy("regime", "powertrain", "make", *segment).agg(F.sum(target).alias("f"), F.count(F.lit(1)).alias("n"))
+    sums = lambda keys: base.groupBy(*keys).agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
+    overall = base.agg(F.coalesce(F.try_divide(F.sum("f"), F.sum("n")), F.lit(0.0)).alias("overall"))
+
+    def dense(names: list[str], keys: list[tuple], parent: DataFrame, on: list[str], up: str, k: float) -> DataFrame:
+        every = spark.createDataFrame(keys, ", ".join(f"{c} string" for c in names))
+        joined = every.join(sums(names), names, "left").na.fill(0, ["f", "n"])
+        joined = joined.join(parent, on) if on else joined.join(F.broadcast(parent))  # one row
+        return joined.select(*names, "n", shrunk(k, up).alias("rate"))
+
+    regime = dense(["regime"], [(r,) for r in regimes], overall, [], "overall", k[0])
+    up = regime.select("regime", F.col("rate").alias("up"))
+    power = dense(["regime", "powertrain"], [(r, p) for r in regimes for p in powertrains], up, ["regime"], "up", k[1])
+    up = power.select("regime", "powertrain", F.col("rate").alias("up"))
+    makes = sums(["make", "regime", "powertrain"]).join(up, ["regime", "powertrain"]).withColumn("rate", shrunk(k[2], "up"))
+    make = makes.groupBy("make").agg(F.max(F.struct("regime", "powertrain", "rate")).alias("last"), F.sum("n").alias("n")).select("make", "n", F.col("last.rate").alias("rate"))
+    segments = sums(["make", *segment]).join(make.select("make", F.col("rate").alias("up")), "make")
+    return {"overall": overall, "regime": regime, "powertrain": power, "make": make, "segment": segments.select("make", *segment, "n", shrunk(k[3], "up").alias("rate"))}
+
+
 def shrink(rows: DataFrame, key: str, target: str, k: float, least: int = 0) -> DataFrame:
     """key, n, rate: one level shrunk to the overall rate."""
     return Encoder([[key]], [k], least).fit(rows, target)[1]

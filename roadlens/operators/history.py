@@ -78,3 +78,35 @@ def anomaly(delta: Column, days: Column) -> Column:
     """1 if days are not positive, the reading falls by over 1000, jumps by over 100000, or the yearly use is over 40000."""
     yearly = F.try_divide(delta * 365.0, days)
     return F.when((days <= 0) | (delta < -1000) | (delta > 100_000) | (yearly > 40_000), 1).otherwise(0)
+
+
+def advisory_trend(rows: DataFrame, advisories: str) -> DataFrame:
+    """vehicle_id, trend: advisories of the newest test against those of the one before; unknown with fewer than two tests."""
+    numbered = rows.withColumn("_r", F.row_number().over(newest_first())).where("_r <= 2")
+    at = lambda r: F.max(F.when(F.col("_r") == r, F.col(advisories)))
+    two = numbered.groupBy(VEHICLE).agg(F.count(F.lit(1)).alias("_n"), at(1).alias("_now"), at(2).alias("_before"))
+    now, before = F.col("_now"), F.col("_before")
+    return two.select(VEHICLE, F.when(F.col("_n") < 2, "unknown").when(now > before, "increasing").when(now < before, "decreasing").otherwise("stable").alias("trend"))
+
+
+def days_late(as_of: Column, expiry: Column) -> Column:
+    """Days since the expiry date, 0 before it and without one."""
+    return F.greatest(F.lit(0), F.coalesce(F.datediff(as_of, expiry), F.lit(0)))
+
+
+def training_days_late(days_since: Column) -> Column:
+    """Days since the last test less a year; 730 days stand for no test."""
+    return F.coalesce(days_since, F.lit(730)) - 365
+
+
+def to_miles(reading: Column, unit: Column) -> Column:
+    """Kilometres as whole miles (halves to even); other units and none as they are."""
+    return F.when(F.lower(unit) == "km", F.bround(reading * 0.621371)).otherwise(reading)
+
+
+def serving_reading(reading: Column, unit: Column, before: Column, days: Column) -> tuple[Column, Column]:
+    """Reading in miles and whether it is implausible: more than 50000 miles a year since the reading before, which then replaces it."""
+    now, last = to_miles(reading, unit), to_miles(before, unit)
+    yearly = F.try_divide((now - last) * 365.0, F.when((days > 0) & (now > last), days))
+    odd = F.coalesce(yearly > 50_000, F.lit(False))
+    return F.when(odd, last).otherwise(now), odd.cast("int")

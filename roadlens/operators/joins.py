@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlens.functions.rules import haversine
+from roadlens.functions.rules import EARTH_MILES, haversine
 
 
 def as_of_month(rows: DataFrame, priors: DataFrame, date: str, month: str, keys: list[str], latest: str) -> DataFrame:
@@ -14,16 +16,20 @@ def as_of_month(rows: DataFrame, priors: DataFrame, date: str, month: str, keys:
     return rows.withColumn(month, clipped).join(priors, [*keys, month], "left")
 
 
-def latest_before(rows: DataFrame, facts: DataFrame, key: str, at: str, fact_at: str, value: str) -> DataFrame:
-    """rows with the value of the newest fact of their key that is not later than they are.
+def latest_before(rows: DataFrame, facts: DataFrame, key: str, at: str, fact_at: str, value: str, tie: str | None = None) -> DataFrame:
+    """rows with the value of the newest fact of their key that is not later than they are, null if that fact's value is null.
 
-    Rows and facts are unioned and swept in time order inside each key; nothing is joined by inequality.
+    Of facts at one time the one with the largest `tie` column (else the largest value) counts. Rows and facts are unioned and swept in
+    time order inside each key; nothing is joined by inequality.
     """
-    tagged = rows.withColumns({"_at": F.col(at), "_value": F.lit(None), "_row": F.lit(1)})
-    known = facts.select(key, F.col(fact_at).alias("_at"), F.col(value).alias("_value"), F.lit(0).alias("_row"))
-    sweep = Window.partitionBy(key).orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.struct(F.col(value).alias("v"))
+    order = F.col(tie or value)
+    known = facts.select(key, F.col(fact_at).alias("_at"), order.alias("_tie"), held.alias("_held"), F.lit(0).alias("_row"))
+    nothing = F.lit(None).cast(known.schema["_held"].dataType)
+    tagged = rows.withColumns({"_at": F.col(at), "_held": nothing, "_row": F.lit(1)})
+    sweep = Window.partitionBy(key).orderBy("_at", "_row", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = tagged.unionByName(known, allowMissingColumns=True)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(sweep)).where("_row = 1").drop("_at", "_value", "_row")
+    return both.withColumn(value, F.last("_held", ignorenulls=True).over(sweep)["v"]).where("_row = 1").drop("_at", "_held", "_row", "_tie")
 
 
 def guard_fan_out(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,20 +37,46 @@ def guard_fan_out(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     return right.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").join(left.select(*keys).distinct(), keys, "left_semi")
 
 
-def within_radius(left: DataFrame, right: DataFrame, miles: float) -> DataFrame:
-    """Pairs at most so many miles apart: left (id, lat, lon) and right (rid, rlat, rlon).
+def check_fan_out(joined: DataFrame, n_before: int, factor: float) -> DataFrame:
+    """joined, which fails while it runs if it has more than factor times n_before rows."""
+    n = joined.agg(F.count(F.lit(1)).alias("_n"))
+    message = F.concat(F.lit("join fans out: "), F.col("_n").cast("string"), F.lit(f" rows from {n_before}"))
+    checked = n.select(F.when(F.col("_n") > factor * n_before, F.raise_error(message)).otherwise(F.lit(True)).alias("_ok"))
+    return joined.join(F.broadcast(checked)).where("_ok").drop("_ok")  # one row
+
+
+def _cells(band: Column, high: float) -> Column:
+    """How many cells a band of latitude has: each at least as wide as the band is high."""
+    farthest = F.least(F.lit(90.0), F.greatest(F.abs(band * high), F.abs((band + 1) * high)))
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(farthest)) / high)).cast("long")
+
+
+def within_radius(left: DataFrame, right: DataFrame, miles: float, salts: int = 8) -> DataFrame:
+    """Pairs at most so many miles apart: left (id, lat, lon) and right (rid, rlat, rlon), at all latitudes and over 180 degrees.
 
-    Both sides fall into cells at least as wide as the radius; the right side visits its own and the neighbouring cells, so pairs come
-    from an equi-join on cells and the exact distance decides. Cells narrow with latitude, so their width in degrees of longitude
-    follows the radius at 60 degrees.
+    Bands of latitude are as high as the radius and cut into cells of their own width. The right side visits all cells of its own and
+    the neighbouring bands that its circle can reach (near a pole, whole bands), so pairs come from an equi-join on cells and the exact
+    distance decides. Rows of one cell on the left side are dealt over `salts` keys, so that a city is no hot key.
     """
-    high, wide = miles / 69.0, miles / 34.0
-    cell = lambda lat, lon: (F.floor(F.col(lat) / high).cast("long"), F.floor(F.col(lon) / wide).cast("long"))
-    a, b = cell("lat", "lon")
-    c, d = cell("rlat", "rlon")
-    near = F.sequence(F.lit(-1), F.lit(1))
-    spread = right.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumns({"_y": c + F.col("_dy"), "_x": d + F.col("_dx")}).drop("_dy", "_dx")
-    pairs = left.withColumns({"_y": a, "_x": b}).join(spread, ["_y", "_x"]).drop("_y", "_x")
+    high = miles / 69.0  # a degree of latitude is a little longer
+    round_ = lambda lon: F.pmod(lon + 180.0, F.lit(360.0))
+    band = F.floor(F.col("lat") / high).cast("long")
+    n = _cells(F.col("_y"), high)
+    placed = left.withColumn("_y", band).withColumn("_x", F.least(F.floor(round_(F.col("lon")) * n / 360), n - 1).cast("long"))
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+
+    reach = miles / EARTH_MILES
+    shrunk = F.cos(F.radians(F.col("rlat")))
+    half = F.when(shrunk <= math.sin(reach), 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / shrunk)))) + 1e-9
+    spread = right.withColumn("_dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    spread = spread.withColumn("_y", F.floor(F.col("rlat") / high).cast("long") + F.col("_dy")).withColumn("_n", n)
+    first, last = (F.floor((F.col("rlon") + 180.0 + sign * half) * F.col("_n") / 360).cast("long") for sign in (-1, 1))
+    all_cells = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    some = F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.col("_n")))
+    spread = spread.withColumn("_x", F.explode(F.when(last - first + 1 >= F.col("_n"), all_cells).otherwise(some)))
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("_dy", "_n")
+
+    pairs = placed.join(spread, ["_y", "_x", "_salt"]).drop("_y", "_x", "_salt")
     distance = haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
     return pairs.withColumn("miles", distance).where(F.col("miles") <= miles)
 

@@ -4,19 +4,72 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Ranges that ordered values are cut into; each is sorted by one task.
+SLOTS = 256
+
+
+def with_slots(rows: DataFrame, order: str, slots: int = SLOTS) -> DataFrame:
+    """rows with _slot: the range of `order` that a row falls into, between approximate quantiles; equal values share a slot.
+
+    The quantiles are one row, found by a mergeable sketch, so no task sorts all values.
+    """
+    bounds = rows.agg(F.percentile_approx(order, [i / slots for i in range(1, slots)], 10_000).alias("_bounds"))
+    return rows.join(F.broadcast(bounds)).withColumn("_slot", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")  # one row
+
+
+def preceding(values: DataFrame, order: str, columns: list[str], keys: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
+    """values with before_<column>: sums over all rows of equal keys that come before in order, 0 without any.
+
+    Running sums go over one slot each; the sums of earlier slots are added from a table of at most `slots` rows for each key.
+    """
+    keys = keys or []
+    slotted = with_slots(values, order, slots)
+    inside = Window.partitionBy(*keys, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = slotted.groupBy(*keys, "_slot").agg(*[F.sum(c).alias(c) for c in columns])
+    sums = sums.select(*keys, "_slot", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    joined = slotted.join(sums if keys else F.broadcast(sums), [*keys, "_slot"])  # at most `slots` rows
+    total = lambda c: F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))
+    return joined.withColumns({f"before_{c}": total(c) for c in columns}).drop("_slot", *[f"_{c}" for c in columns])
 
 
 def auc(scored: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """keys, n, auc: tie-aware area under the ROC curve; null where a class is missing.
 
-    Scores are first counted by value, so the running sum goes over distinct scores, not rows.
+    Scores are first counted by value, and values are ranked in ranges, so no task holds all of them.
     """
     keys = keys or []
-    values = scored.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("less", F.coalesce(F.sum(F.col("n") - F.col("p")).over(below), F.lit(0)))
-    wins = F.sum(F.col("p") * (F.col("less") + (F.col("n") - F.col("p")) / 2.0))
-    return ranked.groupBy(*keys).agg(F.sum("n").alias("n"), F.try_divide(wins, F.sum("p") * F.sum(F.col("n") - F.col("p"))).alias("auc"))
+    values = scored.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("q", F.col("n") - F.col("p"))
+    ranked = preceding(values, score, ["q"], keys)
+    wins = F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2.0))
+    return ranked.groupBy(*keys).agg(F.sum("n").alias("n"), F.try_divide(wins, F.sum("p") * F.sum("q")).alias("auc"))
+
+
+def percent_ranks(rows: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
+    """rows with their percent rank by value among rows of equal keys, from counts by value (0 for a single row)."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranks = preceding(counts, value, ["_n"], keys).join(totals, keys)
+    rank = F.coalesce(F.try_divide(F.col("before__n").cast("double"), F.col("_total") - 1), F.lit(0.0))
+    return rows.join(ranks.select(*keys, value, rank.alias(name)), [*keys, value])
+
+
+def calibration_check(scored: DataFrame, raw: str, calibrated: str, buckets: int = 10) -> DataFrame:
+    """bucket, n, outside, falling: values outside (0, 1), and values lower than that of the row before them in raw order.
+
+    The first row of each range is compared with the last one of the ranges before it, so falls between ranges count too.
+    """
+    rows = with_slots(scored.select(F.col(raw).alias("_raw"), F.col(calibrated).alias("_cal")), "_raw")
+    last = rows.groupBy("_slot").agg(F.max(F.struct("_raw", "_cal"))["_cal"].alias("_last"))
+    last = last.withColumn("_last", F.lag("_last").over(Window.orderBy("_slot")))  # at most SLOTS rows
+    own = Window.partitionBy("_slot").orderBy("_raw", "_cal")
+    compared = rows.join(F.broadcast(last), "_slot").withColumn("_before", F.coalesce(F.lag("_cal").over(own), "_last"))
+    bucket = F.least(F.lit(buckets - 1), F.floor(F.col("_raw") * buckets)).cast("int")
+    outside = F.count_if((F.col("_cal") <= 0) | (F.col("_cal") >= 1))
+    return compared.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), outside.alias("outside"), F.count_if(F.col("_cal") < F.col("_before")).alias("falling"))
 
 
 def brier_and_loss(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -38,10 +91,9 @@ def top_share_lift(scored: DataFrame, score: str, label: str, tie: str, parts: i
     Rows above the score at which the share is reached are all in; of that score's own rows the smallest ids fill the rest.
     """
     total = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("base"))
-    by_score = scored.groupBy(score).agg(F.count(F.lit(1)).alias("m"))
-    above = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)  # over distinct scores
-    cut = by_score.withColumn("above", F.coalesce(F.sum("m").over(above), F.lit(0)))
-    cut = cut.join(F.broadcast(total)).select(score, F.floor(F.col("n") / parts).alias("want"), "above", "base").where("above < want")
+    by_score = preceding(scored.groupBy(score).agg(F.count(F.lit(1)).alias("m")), score, ["m"])
+    cut = by_score.join(F.broadcast(total)).withColumn("above", F.col("n") - F.col("before_m") - F.col("m"))  # one row
+    cut = cut.select(score, F.floor(F.col("n") / parts).alias("want"), "above", "base").where("above < want")
     rows = scored.join(cut, score).withColumn("r", F.row_number().over(Window.partitionBy(score).orderBy(tie))).where(F.col("above") + F.col("r") <= F.col("want"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(label) / F.first("base"), 6).alias("lift"))
 
@@ -49,8 +101,59 @@ def top_share_lift(scored: DataFrame, score: str, label: str, tie: str, parts: i
 def latency(rows: DataFrame, ms: str, failed: str, at: str) -> DataFrame:
     """n, nearest-rank p50, p95 and p99, least, most, error_pct, rps of a request log."""
     by_value = rows.groupBy(ms).agg(F.count(F.lit(1)).alias("m"), F.sum(failed).alias("e"), F.min(at).alias("first"), F.max(at).alias("last"))
-    upto = Window.orderBy(ms).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over distinct values
-    run = by_value.withColumns({"upto": F.sum("m").over(upto), "n": F.sum("m").over(Window.partitionBy())})
+    total = by_value.agg(F.sum("m").alias("n"))
+    run = preceding(by_value, ms, ["m"]).withColumn("upto", F.col("before_m") + F.col("m")).join(F.broadcast(total))  # one row
     rank = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(ms)))
     span = F.unix_micros(F.max("last").cast("timestamp")) - F.unix_micros(F.min("first").cast("timestamp"))
     return run.agg(F.sum("m").alias("n"), rank(50).alias("p50"), rank(95).alias("p95"), rank(99).alias("p99"), F.min(ms).alias("least"), F.max(ms).alias("most"), F.round(F.sum("e") * 100.0 / F.sum("m"), 6).alias("error_pct"), F.round(F.try_divide(F.sum("m"), span / 1e6), 6).alias("rps"))
+
+
+def falls(cube: DataFrame, axis: str, order: list[str], scope: str | None = None, rate: str = "risk", weight: str = "n", tolerance: float = 2.0, least: int = 100) -> DataFrame:
+    """scope, axis, soft, hard: how often the weighted rate falls from one band of an axis to the next, by scope (or over all).
+
+    A fall of more than `tolerance` per cent between bands of at least `least` tests is hard, any other one soft. Bands outside the order are left out.
+    """
+    place = F.array_position(F.array(*[F.lit(b) for b in order]), F.col(axis))
+    key = F.col(scope) if scope else F.lit("all")
+    bands = cube.where(place > 0).groupBy(key.alias("scope"), place.alias("_place"))
+    bands = bands.agg(F.try_divide(F.sum(F.col(rate) * F.col(weight)), F.sum(weight)).alias("_rate"), F.sum(weight).alias("_n"))
+    up = Window.partitionBy("scope").orderBy("_place")  # as many rows as there are bands
+    steps = bands.withColumns({"_before": F.lag("_rate").over(up), "_before_n": F.lag("_n").over(up)})
+    fall = 100 * F.try_divide(F.col("_before") - F.col("_rate"), F.col("_before"))
+    hard = (fall > tolerance) & (F.least("_n", "_before_n") >= least)
+    return steps.groupBy("scope").agg(F.lit(axis).alias("axis"), F.count_if((fall > 0) & ~hard).alias("soft"), F.count_if(hard).alias("hard"))
+
+
+def trend_votes(cube: DataFrame, entity: str, axis: str, midpoints: dict[str, float], rate: str, more_than: int = 3, cut: float = 0.1) -> DataFrame:
+    """trend, models: how entities with more than so many cells vote, by the correlation of the axis' midpoints with the rate."""
+    middle = F.try_element_at(F.create_map(*[F.lit(x) for p in midpoints.items() for x in p]), F.col(axis))
+    found = cube.withColumn("_m", middle).where("_m is not null").groupBy(entity).agg(F.corr("_m", rate).alias("_r"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > more_than)
+    return found.groupBy(F.when(F.col("_r") > cut, "rising").when(F.col("_r") < -cut, "falling").otherwise("flat").alias("trend")).agg(F.count(F.lit(1)).alias("models"))
+
+
+def risk_categories(scored: DataFrame, score: str, label: str, amber: float = 0.10, red: float = 0.40) -> DataFrame:
+    """category, n, share, lift of GREEN, AMBER and RED scores."""
+    category = F.when(F.col(score) < amber, "GREEN").when(F.col(score) < red, "AMBER").otherwise("RED")
+    by = scored.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("_rate"))
+    base = scored.agg(F.count(F.lit(1)).alias("_all"), F.avg(label).alias("_base"))
+    return by.join(F.broadcast(base)).select(  # one row
+        "category", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"), F.round(F.try_divide(F.col("_rate"), F.col("_base")), 6).alias("lift")
+    )
+
+
+def golden_diff(current: DataFrame, golden: DataFrame, rate: str, tolerance: float = 0.01) -> DataFrame:
+    """One row: shapes of two tables and whether they are equal, means of a rate, their difference and whether it is within the tolerance."""
+    side = lambda df, s: df.agg(F.count(F.lit(1)).alias(f"rows_{s}"), F.lit(len(df.columns)).alias(f"columns_{s}"), F.avg(rate).alias(f"_mean_{s}"))
+    both = side(current, "now").join(F.broadcast(side(golden, "golden")))  # one row each
+    diff = F.abs(F.col("_mean_now") - F.col("_mean_golden"))
+    same = (F.col("rows_now") == F.col("rows_golden")) & (F.col("columns_now") == F.col("columns_golden"))
+    means = [F.round(f"_mean_{s}", 9).alias(f"mean_{s}") for s in ("now", "golden")]
+    return both.select("rows_now", "rows_golden", "columns_now", "columns_golden", same.alias("same_shape"), *means, F.round(diff, 9).alias("diff"), (diff <= tolerance).alias("ok"))
+
+
+def schema_check(rows: DataFrame, required: list[str], numbers: list[str], prefix: str) -> DataFrame:
+    """name, present, numeric of the required columns and of all that begin with the prefix; numeric is null for columns that may be text."""
+    types = {f.name: isinstance(f.dataType, T.NumericType) for f in rows.schema.fields}
+    names = required + [c for c in rows.columns if c.startswith(prefix) and c not in required]
+    found = [(c, c in types, types.get(c, False) if c in numbers or c.startswith(prefix) else None) for c in names]
+    return rows.sparkSession.createDataFrame(found, "name string, present boolean, numeric boolean")

@@ -44,22 +44,34 @@ encoder_query("ag04_make_model", [["make"], ["make", "model_id"]], [10.0, 20.0],
 encoder_query("ag06_station_outcome", [["area"], ["area", "prev_outcome"]], [100.0, 50.0])
 encoder_query("ag41_unified_prior", [["prev_outcome"], ["prev_outcome", "age_band"], ["prev_outcome", "age_band", "make"], ["prev_outcome", "age_band", "make", "model_id"]], [50.0, 50.0, 20.0, 10.0])
 
-_REGIMES = ["Car", "Motorcycle", "Commercial"]
-_POWER = ["ICE", "HEV", "PHEV", "BEV"]
+_REGIME_SQL = VE + f""", v AS (SELECT {REGIME_SQL} AS regime, {POWER_SQL} AS powertrain, split_part(model_id, ' ', 1) AS make, (price > 1400)::INT AS target,
+CASE WHEN size % 20 < 3 THEN '0-2' WHEN size % 20 < 6 THEN '3-5' WHEN size % 20 < 11 THEN '6-10' WHEN size % 20 < 16 THEN '11-15' ELSE '15+' END AS age_band, CASE WHEN price < 1300 THEN '0-30k' ELSE '30k-60k' END AS mileage_band FROM vehicles),
+g AS (SELECT avg(target) AS rate FROM v), d AS (SELECT unnest(['Car', 'Motorcycle', 'Commercial']) AS regime), w AS (SELECT unnest(['ICE', 'HEV', 'PHEV', 'BEV']) AS powertrain),
+r AS (SELECT regime, (coalesce(sum(target), 0) + 10 * (SELECT rate FROM g)) / (count(target) + 10) AS rate FROM d LEFT JOIN v USING (regime) GROUP BY 1),
+p AS (SELECT regime, powertrain, count(target) AS n, (coalesce(sum(target), 0) + 10 * any_value(r.rate)) / (count(target) + 10) AS rate FROM d CROSS JOIN w JOIN r USING (regime) LEFT JOIN v USING (regime, powertrain) GROUP BY ALL)"""
 
 
-@query("ag05_regime_dense", VE + f""", v AS (SELECT {REGIME_SQL} AS regime, {POWER_SQL} AS powertrain, (price > 1400)::INT AS target FROM vehicles), g AS (SELECT avg(target) AS rate FROM v),
-r AS (SELECT regime, (sum(target) + 20 * (SELECT rate FROM g)) / (count(*) + 20) AS rate FROM v GROUP BY 1), p AS (SELECT regime, powertrain, sum(target) AS f, count(*) AS n FROM v GROUP BY ALL),
-d AS (SELECT unnest(['Car', 'Motorcycle', 'Commercial']) AS regime), w AS (SELECT unnest(['ICE', 'HEV', 'PHEV', 'BEV']) AS powertrain)
-SELECT d.regime, w.powertrain, coalesce(n, 0) AS n, round((coalesce(f, 0) + 10 * coalesce(r.rate, (SELECT rate FROM g))) / (coalesce(n, 0) + 10), 6) AS rate FROM d CROSS JOIN w LEFT JOIN p ON p.regime = d.regime AND p.powertrain = w.powertrain LEFT JOIN r ON r.regime = d.regime""")
+def _regimes(t):
+    rows = t.vehicles().select(
+        X.regime(F.col("raw_make")).alias("regime"), X.powertrain(F.col("model_id")).alias("powertrain"), X.first_word(F.col("model_id")).alias("make"), (F.col("price") > 1400).cast("int").alias("target"),
+        R.age_band(F.col("size") % 20).alias("age_band"), F.when(F.col("price") < 1300, "0-30k").otherwise("30k-60k").alias("mileage_band"),
+    )
+    return E.regime_hierarchy(rows, "target", ["age_band", "mileage_band"], ["Car", "Motorcycle", "Commercial"], ["ICE", "HEV", "PHEV", "BEV"])
+
+
+@query("ag05_regime_dense", _REGIME_SQL + " SELECT regime, powertrain, n, round(rate, 6) AS rate FROM p")
+def _(t):
+    return _regimes(t)["powertrain"].withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    "ag05b_regime_segments",
+    _REGIME_SQL + """, k AS (SELECT make, regime, powertrain, (sum(target) + 10 * any_value(p.rate)) / (count(*) + 10) AS rate FROM v JOIN p USING (regime, powertrain) GROUP BY ALL),
+m AS (SELECT make, arg_max(rate, regime || '/' || powertrain) AS rate FROM k GROUP BY 1)
+SELECT make, age_band, mileage_band, count(*) AS n, round((sum(target) + 5 * any_value(m.rate)) / (count(*) + 5), 6) AS rate FROM v JOIN m USING (make) GROUP BY ALL""",
+)
 def _(t):
-    rows = t.vehicles().select(X.regime(F.col("raw_make")).alias("regime"), X.powertrain(F.col("model_id")).alias("powertrain"), (F.col("price") > 1400).cast("int").alias("target"))
-    tables = E.Encoder([["regime"], ["regime", "powertrain"]], [20.0, 10.0]).fit(rows, "target")
-    every = t.spark.range(len(_REGIMES) * len(_POWER)).select(  # the two enumerations
-        F.element_at(F.array(*map(F.lit, _REGIMES)), (F.col("id") % 3).cast("int") + 1).alias("regime"), F.element_at(F.array(*map(F.lit, _POWER)), F.floor(F.col("id") / 3).cast("int") + 1).alias("powertrain")
-    )
-    joined = every.join(tables[2].withColumnRenamed("rate", "own"), ["regime", "powertrain"], "left").join(tables[1].select("regime", F.col("rate").alias("parent")), "regime", "left").join(F.broadcast(tables[0].select(F.col("rate").alias("overall"))))
-    return joined.select("regime", "powertrain", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("own", "parent", "overall"), 6).alias("rate"))
+    return _regimes(t)["segment"].withColumn("rate", F.round("rate", 6))
 
 
 @query("ag07_strictness", BA + ", c AS (SELECT make, age_band, avg(target) AS expected FROM banded GROUP BY ALL) SELECT area, round(greatest(0.5, least(2.0, (sum(target) + 10.0) / (sum(expected) + 10.0))), 6) AS strictness FROM banded JOIN c USING (make, age_band) GROUP BY area")
@@ -67,12 +79,12 @@ def _(t):
     return E.observed_expected(t.banded(), "area", ["make", "age_band"], "target").withColumn("strictness", F.round("strictness", 6))
 
 
-@query("ag08_cohort_mean", BA + ", c AS (SELECT model_id, age_band, avg(test_mileage) AS m, count(*) AS n FROM banded WHERE line < 3 GROUP BY ALL), o AS (SELECT model_id, avg(test_mileage) AS m FROM banded WHERE line < 3 GROUP BY 1) SELECT c.model_id, age_band, n, round(CASE WHEN n < 10 THEN o.m ELSE c.m END, 4) AS mean FROM c JOIN o USING (model_id)")
+@query("ag08_cohort_mean", BA + ", c AS (SELECT model_id, age_band, avg(test_mileage) AS m, count(*) AS n FROM banded GROUP BY ALL), o AS (SELECT model_id, avg(test_mileage) AS m FROM banded GROUP BY 1) SELECT c.model_id, age_band, n, round(CASE WHEN n < 40 THEN o.m ELSE c.m END, 4) AS mean FROM c JOIN o USING (model_id)")
 def _(t):
-    rows = t.banded().where("line < 3")
+    rows = t.banded()
     cells = rows.groupBy("model_id", "age_band").agg(F.avg("test_mileage").alias("m"), count())
     models = rows.groupBy("model_id").agg(F.avg("test_mileage").alias("om"))
-    return cells.join(models, "model_id").select("model_id", "age_band", "n", F.round(F.when(F.col("n") < 10, F.col("om")).otherwise(F.col("m")), 4).alias("mean"))
+    return cells.join(models, "model_id").select("model_id", "age_band", "n", F.round(F.when(F.col("n") < 40, F.col("om")).otherwise(F.col("m")), 4).alias("mean"))
 
 
 @query("ag09_weighted_rates", CU + f"SELECT model_id, age_band, sum(n)::BIGINT AS n, round(sum(risk * n) / sum(n), 6) AS risk, {COMPONENT_SUMS} FROM cube GROUP BY model_id, age_band")
@@ -155,11 +167,17 @@ def _(t):
     return t.vehicles().select(X.canonical_make(F.col("raw_make")).alias("make")).where("make is not null").groupBy("make").agg(count()).where("n >= 10")
 
 
-@query("ag22_base_models", VE + ", " + BASE_MODEL_CTE + ", c AS (SELECT b.make, b.model, v.model_id, count(*) AS n FROM base b JOIN vehicles v USING (vehicle_id) WHERE model IS NOT NULL GROUP BY ALL) SELECT make, model, max(n) AS support, count(*) AS variants FROM c GROUP BY make, model")
+@query(
+    "ag22_base_models",
+    VE + ", " + BASE_MODEL_CTE + """, c AS (SELECT b.make, b.model, v.model_id, count(*) AS n FROM base b JOIN vehicles v USING (vehicle_id) WHERE model IS NOT NULL GROUP BY ALL),
+d AS (SELECT make, model, max(n) AS support, count(*) AS variants FROM c GROUP BY make, model)
+SELECT * FROM d WHERE (make = 'FORD' AND model IN ('FIESTA', 'TRANSIT', 'FOCUS')) OR (make = 'BMW' AND model IN ('3 SERIES'))
+UNION ALL SELECT make, model, support, variants FROM (SELECT *, row_number() OVER (PARTITION BY make ORDER BY model) AS r FROM d WHERE make NOT IN ('FORD', 'BMW') AND regexp_full_match(model, '[A-Za-z]{3,}')) WHERE r <= 30""",
+)
 def _(t):
-    make, _ = X.split_make(F.col("model_id"))
+    make = X.raw_make(F.col("model_id"))
     cells = t.vehicles().select(make.alias("make"), X.base_model(F.col("model_id"), make).alias("model"), "model_id").where("model is not null").groupBy("make", "model", "model_id").agg(count())
-    return cells.groupBy("make", "model").agg(F.max("n").alias("support"), F.count(F.lit(1)).alias("variants"))
+    return C.base_model_list(cells, {"FORD": ["FIESTA", "TRANSIT", "FOCUS"], "BMW": ["3 SERIES"]})
 
 
 _MID = "CASE age_band WHEN '0-2' THEN 1 WHEN '3-5' THEN 4 WHEN '6-10' THEN 8 WHEN '11-15' THEN 13 ELSE 17 END"
@@ -198,27 +216,41 @@ def _(t):
 _PLACE = "CASE mileage_band WHEN '0-30k' THEN 1 WHEN '30k-60k' THEN 2 WHEN '60k-100k' THEN 3 ELSE 4 END"
 
 
-@query("ag27_monotonicity", CU + f", r AS (SELECT model_id, {_PLACE} AS place, round(sum(risk * n) / sum(n), 9) AS risk FROM cube GROUP BY ALL), d AS (SELECT *, lag(risk) OVER (PARTITION BY model_id ORDER BY place) AS before FROM r) SELECT model_id, count(*) FILTER (risk < before * 0.98) AS soft, count(*) FILTER (risk < before * 0.9) AS hard FROM d GROUP BY 1")
+def _falls_sql(scope: str, axis: str, order: list[str]) -> str:
+    place = "CASE " + axis + " " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(order)) + " END"
+    return f"""SELECT scope, '{axis}' AS axis, count(*) FILTER (fall > 0 AND NOT (fall > 2 AND least(n, before_n) >= 100)) AS soft, count(*) FILTER (fall > 2 AND least(n, before_n) >= 100) AS hard
+FROM (SELECT scope, n, lag(n) OVER w AS before_n, 100 * (lag(risk) OVER w - risk) / lag(risk) OVER w AS fall FROM (SELECT {scope} AS scope, {place} AS place, sum(n) AS n, sum(risk * n) / sum(n) AS risk
+FROM cube WHERE {place} IS NOT NULL GROUP BY ALL) WINDOW w AS (PARTITION BY scope ORDER BY place)) GROUP BY scope"""
+
+
+_AGES, _MILES = ["0-2", "3-5", "6-10", "11-15", "15+"], ["0-30k", "30k-60k", "60k-100k", "100k+"]
+
+
+@query("ag27_monotonicity", CU + " UNION ALL ".join(_falls_sql(scope, axis, order) for scope in ("model_id", "'all'") for axis, order in (("age_band", _AGES), ("mileage_band", _MILES))))
 def _(t):
-    place = C.band_order(F.col("mileage_band"), ["0-30k", "30k-60k", "60k-100k", "100k+"])
-    bands = t.cube().groupBy("model_id", place.alias("place")).agg(C.weighted("risk", digits=9).alias("risk"))
-    drops = bands.withColumn("before", F.lag("risk").over(Window.partitionBy("model_id").orderBy("place")))
-    return drops.groupBy("model_id").agg(F.count_if(F.col("risk") < F.col("before") * 0.98).alias("soft"), F.count_if(F.col("risk") < F.col("before") * 0.9).alias("hard"))
+    cube = t.cube()
+    parts = [M.falls(cube, axis, order, scope) for scope in ("model_id", None) for axis, order in (("age_band", _AGES), ("mileage_band", _MILES))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("ag28_trend_votes", CU + f", c AS (SELECT model_id, corr({_PLACE} * 1.0, risk) AS r FROM cube GROUP BY 1 HAVING count(*) >= 3) SELECT CASE WHEN r > 0.1 THEN 'rising' WHEN r < -0.1 THEN 'falling' ELSE 'flat' END AS trend, count(*) AS models FROM c GROUP BY 1")
+@query(
+    "ag28_trend_votes",
+    CU + """, m AS (SELECT model_id, CASE mileage_band WHEN '0-30k' THEN 15000.0 WHEN '30k-60k' THEN 45000.0 WHEN '60k-100k' THEN 80000.0 WHEN '100k+' THEN 120000.0 END AS m, risk FROM cube),
+c AS (SELECT model_id, corr(m, risk) AS r FROM m WHERE m IS NOT NULL GROUP BY 1 HAVING count(*) > 3)
+SELECT CASE WHEN r > 0.1 THEN 'rising' WHEN r < -0.1 THEN 'falling' ELSE 'flat' END AS trend, count(*) AS models FROM c GROUP BY 1""",
+)
 def _(t):
-    place = C.band_order(F.col("mileage_band"), ["0-30k", "30k-60k", "60k-100k", "100k+"]).cast("double")
-    found = t.cube().groupBy("model_id").agg(F.corr(place, F.col("risk")).alias("r"), count()).where("n >= 3")
-    return found.groupBy(F.when(F.col("r") > 0.1, "rising").when(F.col("r") < -0.1, "falling").otherwise("flat").alias("trend")).agg(F.count(F.lit(1)).alias("models"))
+    return M.trend_votes(t.cube(), "model_id", "mileage_band", {"0-30k": 15000.0, "30k-60k": 45000.0, "60k-100k": 80000.0, "100k+": 120000.0}, "risk")
 
 
-@query("ag29_golden_diff", BA + ", a AS (SELECT age_band, avg(target) AS m, count(*) AS n FROM banded WHERE line <= 3 GROUP BY 1), b AS (SELECT age_band, avg(target) AS m, count(*) AS n FROM banded WHERE line > 3 GROUP BY 1) SELECT age_band, a.n AS n_old, b.n AS n_new, round(abs(a.m - b.m), 6) AS diff, abs(a.m - b.m) <= 0.01 AS ok FROM a JOIN b USING (age_band)")
+@query(
+    "ag29_golden_diff",
+    CU + """, g AS (SELECT count(*) AS n, avg(risk) AS m FROM cube WHERE n >= 3), c AS (SELECT count(*) AS n, avg(risk) AS m FROM cube)
+SELECT c.n AS rows_now, g.n AS rows_golden, 13 AS columns_now, 12 AS columns_golden, false AS same_shape, round(c.m, 9) AS mean_now, round(g.m, 9) AS mean_golden, round(abs(c.m - g.m), 9) AS diff, abs(c.m - g.m) <= 0.01 AS ok FROM c, g""",
+)
 def _(t):
-    rows = t.banded()
-    half = lambda where, s: rows.where(where).groupBy("age_band").agg(F.avg("target").alias(f"m_{s}"), F.count(F.lit(1)).alias(f"n_{s}"))
-    diff = F.abs(F.col("m_old") - F.col("m_new"))
-    return half("line <= 3", "old").join(half("line > 3", "new"), "age_band").select("age_band", "n_old", "n_new", F.round(diff, 6).alias("diff"), (diff <= 0.01).alias("ok"))
+    cube = t.cube()
+    return M.golden_diff(cube, cube.where("n >= 3").drop("failures"), "risk")  # a golden table of fewer rows and columns
 
 
 @query("ag30_weighted_brier", CU + "SELECT round(sum(n * pow(risk - failures / n, 2)) / sum(n), 9) AS weighted, round(avg(pow(risk - failures / n, 2)), 9) AS plain, round(sum(n * risk - failures) / sum(n), 9) AS bias, CASE WHEN sum(n * pow(risk - failures / n, 2)) / sum(n) < 0.001 THEN 'excellent' WHEN sum(n * pow(risk - failures / n, 2)) / sum(n) < 0.01 THEN 'good' WHEN sum(n * pow(risk - failures / n, 2)) / sum(n) < 0.05 THEN 'moderate' ELSE 'poor' END AS grade FROM cube")
@@ -228,11 +260,18 @@ def _(t):
     return one.select(F.round("w", 9).alias("weighted"), "plain", "bias", R.below(F.col("w"), [(0.001, "excellent"), (0.01, "good"), (0.05, "moderate")], "poor").alias("grade"))
 
 
-@query("ag31_schema_check", "SELECT * FROM (VALUES ('model_id', 'string', true), ('n', 'bigint', true), ('risk', 'double', true), ('risk_lamps', 'double', true)) AS v(name, dtype, ok)")
+@query(
+    "ag31_schema_check",
+    CU + """, w AS (SELECT * REPLACE (CAST(risk_lamps AS VARCHAR) AS risk_lamps, CAST(n AS VARCHAR) AS n) FROM cube), one AS (SELECT * FROM w LIMIT 1),
+have AS (SELECT unnest(['model_id', 'age_band', 'mileage_band', 'n', 'risk', 'risk_brakes', 'risk_suspension', 'risk_tyres', 'risk_steering', 'risk_visibility', 'risk_lamps', 'risk_body']) AS name,
+unnest([typeof(model_id), typeof(age_band), typeof(mileage_band), typeof(n), typeof(risk), typeof(risk_brakes), typeof(risk_suspension), typeof(risk_tyres), typeof(risk_steering), typeof(risk_visibility), typeof(risk_lamps), typeof(risk_body)]) AS kind FROM one),
+want AS (SELECT unnest(['model_id', 'age_band', 'mileage_band', 'n', 'failures', 'risk_brakes', 'risk_suspension', 'risk_tyres', 'risk_steering', 'risk_visibility', 'risk_lamps', 'risk_body']) AS name)
+SELECT name, kind IS NOT NULL AS present, CASE WHEN name NOT IN ('model_id', 'age_band', 'mileage_band') THEN coalesce(kind <> 'VARCHAR', false) END AS numeric FROM want LEFT JOIN have USING (name)""",
+)
 def _(t):
-    want = [("model_id", "string"), ("n", "bigint"), ("risk", "double"), ("risk_lamps", "double")]
-    have = O.contract(t.cube()).select("name", F.col("dtype").alias("found"))
-    return t.spark.createDataFrame(want, "name string, dtype string").join(have, "name", "left").select("name", "dtype", F.coalesce(F.col("dtype") == F.col("found"), F.lit(False)).alias("ok"))
+    """A wrong table: failures has another name, two numbers are text."""
+    wrong = t.cube().withColumnRenamed("failures", "fails").withColumns({"n": F.col("n").cast("string"), "risk_lamps": F.col("risk_lamps").cast("string")})
+    return M.schema_check(wrong, ["model_id", "age_band", "mileage_band", "n", "failures"], ["n", "failures"], "risk_")
 
 
 _SCORED = BA + ", " + eb_sql([["model_id"]], [10.0]) + ", s AS (SELECT b.*, round(e1.rate + age_years / 100.0, 3) AS score FROM banded b JOIN e1 USING (model_id))"
@@ -267,11 +306,13 @@ def _(t):
     return M.top_share_lift(rows, "score", "target", "event_id")
 
 
-@query("ag36_risk_categories", _SCORED + " SELECT CASE WHEN score < 0.35 THEN 'GREEN' WHEN score < 0.45 THEN 'AMBER' ELSE 'RED' END AS category, count(*) AS n, round(avg(target) / (SELECT avg(target) FROM s), 6) AS lift FROM s GROUP BY 1")
+@query(
+    "ag36_risk_categories",
+    _SCORED + ", z AS (SELECT target, round((score - 0.3) * 3, 6) AS z FROM s) SELECT CASE WHEN z < 0.10 THEN 'GREEN' WHEN z < 0.40 THEN 'AMBER' ELSE 'RED' END AS category, count(*) AS n, "
+    "round(count(*) / (SELECT count(*) FROM z), 6) AS share, round(avg(target) / (SELECT avg(target) FROM z), 6) AS lift FROM z GROUP BY 1",
+)
 def _(t):
-    rows = scored(t)
-    by = rows.groupBy(R.below(F.col("score"), [(0.35, "GREEN"), (0.45, "AMBER")], "RED").alias("category")).agg(count(), F.avg("target").alias("rate"))
-    return by.join(F.broadcast(rows.agg(F.avg("target").alias("base")))).select("category", "n", F.round(F.col("rate") / F.col("base"), 6).alias("lift"))  # one row
+    return M.risk_categories(scored(t).withColumn("z", F.round((F.col("score") - 0.3) * 3, 6)), "z", "target")
 
 
 @query("ag37_calibration_error", _SCORED + ", b AS (SELECT least(floor(score * 10), 9) AS bin, count(*) AS n, sum(score) AS p, sum(target) AS y FROM s GROUP BY 1) SELECT round(sum(abs(p - y)) / sum(n), 9) AS ece, round(sum(p) / sum(y), 9) AS expected_over_observed FROM b")

@@ -52,7 +52,7 @@ class Tables:
         joined = joined.join(supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey), line.l_suppkey == supplier.s_suppkey)  # 25 nations
         failed = (F.col("l_returnflag") == "R").cast("int")
         return joined.select(
-            F.col("o_custkey").alias("vehicle_id"), F.to_date("l_shipdate").alias("test_date"), failed.alias("target"), F.col("p_brand").alias("make"), F.concat_ws(" ", "p_brand", "p_type").alias("model_id"),
+            F.col("o_custkey").alias("vehicle_id"), F.to_date("l_shipdate").alias("test_date"), F.col("l_shipdate").alias("shipped"), failed.alias("target"), F.col("p_brand").alias("make"), F.concat_ws(" ", "p_brand", "p_type").alias("model_id"),
             (F.col("p_size") % 20).alias("age_years"), F.col("l_extendedprice").alias("test_mileage"), F.col("n_name").alias("area"), F.col("o_orderstatus").alias("prev_outcome"), F.col("l_linenumber").alias("line"),
         )
 
@@ -109,6 +109,11 @@ SELECT p_partkey AS vehicle_id, {pick_sql(MODELS, "p_partkey * 7")} AS model_id,
        {pick_sql(POSTCODES, "p_partkey * 3")} AS postcode, {pick_sql(EMAILS, "p_partkey")} AS email, {pick_sql(DEFECTS, "p_partkey * 3")} AS defect, p_size AS size, p_retailprice AS price, p_name AS name FROM part)"""
 
 
+def before(column: str, year: int):
+    """Whether a stored time lies before a year: a bound that reaches the Parquet scan, unlike year(column)."""
+    return F.col(column) < F.lit(f"{year}-01-01").cast("timestamp_ntz")
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of Tables under a name, with its oracle."""
 

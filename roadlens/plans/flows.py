@@ -8,6 +8,7 @@ from roadlens.functions import rules as R
 from roadlens.functions import text as X
 from roadlens.operators import cube as C
 from roadlens.operators import encoders as E
+from roadlens.operators import features as FE
 from roadlens.operators import history as H
 from roadlens.operators import metrics as M
 from roadlens.operators import relational as O
@@ -15,7 +16,7 @@ from roadlens.operators import scoring as S
 from roadlens.sources import files as IO
 from roadlens.streaming import jobs as J
 
-from .base import BANDED, CUBE, HISTORY, INSPECTIONS, query
+from .base import BANDED, CUBE, DEFECTS, HISTORY, INSPECTIONS, MODELS, POSTCODES, pick, query
 from .joins import eb_sql
 from .relational import RATES, count, rates
 from .windows import MILES, P, miles
@@ -30,12 +31,22 @@ def _(t):
 
 @query("src02_glob_scan", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1")
 def _(t):
-    return IO.read_parquet(t.spark, f"{t.folder}/order[s].parquet").where("o_orderdate >= timestamp'1997-01-01'").groupBy("o_orderstatus").agg(count())
+    out = IO.new_folder(t.spark, "sampled")
+    t("orders").repartition(4).write.parquet(out)  # several files for one glob
+    return IO.read_parquet(t.spark, f"{out}/part-*.parquet").where("o_orderdate >= timestamp'1997-01-01'").groupBy("o_orderstatus").agg(count())
 
 
-@query("src03_optional_source", "SELECT p_partkey, 0.5 AS strictness, 'none' AS kind FROM part")
+@query(
+    "src03_optional_source",
+    "SELECT p_partkey, false AS there, 0.5 AS strictness, 'none' AS kind FROM part UNION ALL SELECT p_partkey, true, CASE WHEN p_partkey % 3 > 0 AND p_size > 9 THEN p_size ELSE 0.5 END, CASE WHEN p_partkey % 3 > 0 THEN p_brand ELSE 'none' END FROM part",
+)
 def _(t):
-    return O.with_defaults(t("part").select("p_partkey"), None, "p_partkey", {"strictness": 0.5, "kind": "none"})
+    parts, defaults = t("part").select("p_partkey"), {"strictness": 0.5, "kind": "none"}
+    out = IO.new_folder(t.spark, "features")
+    size = F.when(F.col("p_size") > 9, F.col("p_size").cast("double"))
+    t("part").where("p_partkey % 3 > 0").select("p_partkey", size.alias("strictness"), F.col("p_brand").alias("kind")).write.parquet(out)
+    found = [O.with_optional_source(parts, path, "p_partkey", defaults).select("p_partkey", F.lit(there).alias("there"), *defaults) for there, path in ((False, f"{out}-absent"), (True, out))]
+    return found[0].unionByName(found[1])
 
 
 @query("src04_gzip_csv", "SELECT p_brand AS \"Brand_Name\", p_type AS type_x, CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END::BIGINT AS size, p_retailprice AS price FROM part")
@@ -163,16 +174,32 @@ def _(t):
     return J.run_available(J.first_signups(signups, ["user_id", "event_type"], "60 days").select("user_id", "event_type"))
 
 
-@query("str03_seen_ids", "SELECT DISTINCT user_id FROM events WHERE event_type <> 'error' AND value > 20")
+_NOW = "2024-01-15 12:00:00"
+
+
+@query("str03_seen_ids", "SELECT DISTINCT user_id FROM events WHERE event_type <> 'error' AND ts BETWEEN TIMESTAMP '2024-01-13 12:00:00' AND TIMESTAMP '2024-01-15 11:00:00'")
 def _(t):
-    posts = J.read_events(t.spark, t.folder).where("event_type <> 'error' and value > 20")
+    posts = J.age_band(J.read_events(t.spark, t.folder).where("event_type <> 'error'"), _NOW).where("band = 'in_band'")
     return J.run_available(J.first_signups(posts, ["user_id"], "60 days").select("user_id"))
 
 
+@query(
+    "str03b_age_bands",
+    "SELECT CASE WHEN ts > TIMESTAMP '2024-01-15 11:00:00' THEN 'too_new' WHEN ts < TIMESTAMP '2024-01-13 12:00:00' THEN 'too_old' ELSE 'in_band' END AS band, count(*) AS n FROM events GROUP BY 1",
+)
+def _(t):
+    """How many posts are late or too new: a stream of running totals."""
+    return J.run_available(J.age_band(J.read_events(t.spark, t.folder), _NOW).groupBy("band").agg(count()), "complete")
+
+
 @query("str04_prediction_log", "WITH r AS (SELECT event_type, round(avg(value), 6) AS rate FROM events GROUP BY 1) SELECT event_id, event_type, rate FROM events JOIN r USING (event_type)")
 def _(t):
+    """Predictions of a stream appended to a log; batches that its store refuses are backed up and replayed."""
     fitted = t("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("rate"))
-    return J.run_available(J.read_events(t.spark, t.folder).join(fitted, "event_type").select("event_id", "event_type", "rate"))
+    scored = J.read_events(t.spark, t.folder).join(fitted, "event_type").select("event_id", "event_type", "rate")
+    log, backup = IO.new_folder(t.spark, "log"), IO.new_folder(t.spark, "log-backup")
+    J.run_stream(scored, lambda batch, number: J.append_log(batch, number, log, backup), "log-state")
+    return J.replay(t.spark, log, backup, "event_id long, event_type string, rate double")
 
 
 _SESSION = """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
@@ -221,10 +248,45 @@ def _(t):
     return flat.groupBy("vehicle_id").agg(F.count("t.o_orderkey").alias("tests"), F.count_distinct("t.o_orderstatus").alias("outcomes"))
 
 
-@query("udf04_named_queries", CU + "SELECT model_id, sum(n)::BIGINT AS n FROM cube GROUP BY 1 HAVING sum(n) >= 100")
+@query(
+    "udf04_named_queries",
+    CU + """, m AS (SELECT model_id, sum(n) AS n, round(sum(risk * n) / sum(n), 6) AS risk FROM cube GROUP BY 1) SELECT 'volume' AS story, model_id AS key, n::DOUBLE AS value FROM m WHERE n >= 100
+UNION ALL SELECT 'worst', model_id, risk FROM (SELECT * FROM m WHERE n >= 100 ORDER BY risk DESC, model_id LIMIT 10) UNION ALL SELECT 'best', model_id, risk FROM (SELECT * FROM m WHERE n >= 100 ORDER BY risk, model_id LIMIT 10)
+UNION ALL SELECT 'age', age_band, round(sum(risk * n) / sum(n), 6) FROM cube GROUP BY age_band""",
+)
+def _(t):
+    cube = t.cube()
+    told = [story(cube).select(F.lit(name).alias("story"), "key", F.col("value").cast("double").alias("value")) for name, story in C.STORIES.items()]
+    out = told[0]
+    for part in told[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("udf05_history_features")
 def _(t):
-    stories = {"volume": lambda cube: cube.groupBy("model_id").agg(F.sum("n").alias("n")).where("n >= 100")}
-    return stories["volume"](t.cube())
+    """The whole feature table of the model from nested histories; tests hold it against plain Python."""
+    vehicles, as_of = nested_histories(t), "2024-02-01"
+    rates = t.history().groupBy((F.col("vehicle_id") % 7).alias("k")).agg(F.avg("failed").alias("rate"))
+    model = rates.select(pick(MODELS, F.col("k")).alias("model_id"), "rate")
+    return FE.history_features(vehicles, as_of, FE.Priors(model=model, corrosion={"SW": 0.4, "M": 0.6}, high_risk_models=["PEUGEOT 307"]), ("vehicle_id",))
+
+
+def nested_histories(t):
+    """Vehicles of events: every event is a test, whose kind, value and id give outcome, reading and defects."""
+    k, i = F.col("vehicle_id"), F.col("test_id")
+    defect = F.struct(pick(DEFECTS, i).alias("text"), F.when(i % 3 == 0, "FAIL").when(i % 3 == 1, "ADVISORY").otherwise("MINOR").alias("type"))
+    tests = F.struct(
+        "test_date", F.when(F.col("outcome") == "error", "FAILED").when(F.col("outcome") == "view", "ABANDONED").otherwise("PASSED").alias("result"),
+        F.when(i % 11 > 0, (F.col("reading") * 700).cast("int")).alias("odometer"), F.when(i % 5 == 0, "km").otherwise("mi").alias("unit"), F.when(i % 4 > 0, F.date_add("test_date", 9)).alias("expiry"),
+        F.filter(F.array(defect, F.struct(pick(DEFECTS, i * 3).alias("text"), F.lit("ADVISORY").alias("type"))), lambda d: i % 2 == 0).alias("defects"),
+    )
+    grouped = t.history().groupBy("vehicle_id").agg(F.sort_array(F.collect_list(tests)).alias("tests"))
+    tests = F.when(k % 9 > 0, F.slice("tests", 1, F.greatest(F.lit(1), (k % 6).cast("int"))))  # some without history, some with a few tests
+    model = F.regexp_replace(pick(MODELS, k), "^[^ ]+ ", "")
+    return grouped.select(
+        "vehicle_id", F.split(pick(MODELS, k), " ")[0].alias("make"), model.alias("model"), pick(POSTCODES, k).alias("postcode"), F.when(k % 4 > 0, F.date_sub(F.lit("2024-01-01").cast("date"), (k * 37 % 7000).cast("int"))).alias("manufacture_date"), tests.alias("tests"),
+    )
 
 
 # Models ------------------------------------------------------------------------------------------------------------------------
@@ -238,7 +300,7 @@ def _(t):
 def _fitted(t, seeds):
     rows = t.banded().select("vehicle_id", "test_date", "line", "make", "area", "age_band", "mileage_band", F.col("age_years").cast("double").alias("age"), "test_mileage", F.col("target").cast("double").alias("label"))
     rows = rows.withColumns({"weight": S.recency_weight(F.year("test_date"), 1997), "holdout": F.pmod(F.xxhash64("vehicle_id"), F.lit(5)) == 0})
-    dev, oot = rows.where("year(test_date) < 1998"), rows.where("year(test_date) >= 1998")
+    dev, oot = rows.where("test_date < date'1998-01-01'"), rows.where("test_date >= date'1998-01-01'")
     prepared = S.matrix(["make", "area", "age_band", "mileage_band"], ["age", "test_mileage", "line"]).fit(dev)
     ready = prepared.transform(dev)
     return dev, oot, prepared, S.fit_ensemble(ready, "label", "weight", "holdout", seeds, 4, 32), ready
@@ -246,8 +308,8 @@ def _fitted(t, seeds):
 
 @query("ml02_ensemble")
 def _(t):
-    """Out-of-time AUC of one seed and of the mean of two."""
-    _, oot, prepared, models, _ = _fitted(t, [1, 2])
+    """Out-of-time AUC of one seed and of the mean of ten."""
+    _, oot, prepared, models, _ = _fitted(t, list(range(1, 11)))
     later = prepared.transform(oot)
     one = M.auc(S.mean_probability(later, models[:1]), "raw", "label").withColumn("model", F.lit("one"))
     return one.unionByName(M.auc(S.mean_probability(later, models), "raw", "label").withColumn("model", F.lit("mean")))

@@ -9,14 +9,15 @@ from roadlens.functions import rules as R
 from roadlens.functions import text as X
 from roadlens.operators import cube as C
 from roadlens.operators import joins as J
+from roadlens.operators import links as L
 from roadlens.operators import relational as O
 from roadlens.operators.encoders import Encoder
 
-from .base import BANDED, CUBE, HISTORY, INSPECTIONS, VEHICLES, query
+from .base import BANDED, CUBE, HISTORY, INSPECTIONS, VEHICLES, before, pick, pick_sql, query
 from .relational import RATES, count, rates
-from .scalars import LINKS_SQL
+from .scalars import BASE_MODEL_CTE, LINKS_SQL
 
-IN, BA, CU, HI = f"WITH {INSPECTIONS} ", f"WITH {BANDED} ", f"WITH {CUBE} ", f"WITH {HISTORY} "
+IN, BA, CU, HI, VE = f"WITH {INSPECTIONS} ", f"WITH {BANDED} ", f"WITH {CUBE} ", f"WITH {HISTORY} ", f"WITH {VEHICLES} "
 
 
 @query("jn01_four_way", "SELECT l_orderkey, l_linenumber, l_partkey, p_brand, s_name, o_orderstatus FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN orders ON l_orderkey = o_orderkey")
@@ -93,15 +94,16 @@ def lookup_sql(levels: list[list[str]], source: str, group: str) -> str:
 
 def hierarchy(name: str, levels: list[list[str]], ks: list[float], least: int = 0, group: str = "area"):
     """Fit an encoder on rows before 1996 and look rates of later rows up, with fallbacks for keys it has not seen."""
-    fit = "fitted AS (SELECT * FROM banded WHERE year(test_date) < 1996 AND line < 4), later AS (SELECT * FROM banded WHERE year(test_date) >= 1996)"
+    held = "make NOT IN ('Brand#11', 'Brand#44') AND NOT (age_band = '11-15' AND make > 'Brand#3')"  # keys that the fit must not see
+    fit = f"fitted AS (SELECT * FROM banded WHERE test_date < DATE '1996-01-01' AND {held}), later AS (SELECT * FROM banded WHERE test_date >= DATE '1996-01-01')"
     sql = BA + ", " + fit + ", " + eb_sql(levels, ks, least, "fitted") + " " + lookup_sql(levels, "later", group)
 
     @query(name, sql)
     def _(t):
         rows = t.banded()
         encoder = Encoder(levels, ks, least)
-        tables = encoder.fit(rows.where("year(test_date) < 1996 and line < 4"), "target")
-        return encoder.transform(rows.where("year(test_date) >= 1996"), tables, "rate").groupBy(group).agg(count(), F.round(F.avg("rate"), 6).alias("rate"))
+        tables = encoder.fit(rows.where(before("shipped", 1996)).where(held), "target")
+        return encoder.transform(rows.where(~before("shipped", 1996)), tables, "rate").groupBy(group).agg(count(), F.round(F.avg("rate"), 6).alias("rate"))
 
 
 hierarchy("jn08_segment_make_global", [["make"], ["make", "age_band", "mileage_band"]], [10.0, 5.0], 20)
@@ -111,10 +113,10 @@ hierarchy("jn11_model_age_make_age", [["age_band"], ["make", "age_band"], ["make
 hierarchy("jn12_station_outcome", [["area"], ["area", "prev_outcome"]], [100.0, 50.0], 0, "make")
 
 
-@query("jn13_cohort_ratio", BA + ", c AS (SELECT model_id, age_band, avg(test_mileage) AS mean FROM banded WHERE line = 1 GROUP BY ALL) SELECT vehicle_id, round(max(test_mileage / CASE WHEN coalesce(mean, 0) = 0 THEN (SELECT avg(test_mileage) FROM banded WHERE line = 1) ELSE mean END), 6) AS ratio FROM banded LEFT JOIN c USING (model_id, age_band) GROUP BY 1")
+@query("jn13_cohort_ratio", BA + ", c AS (SELECT model_id, age_band, avg(test_mileage) AS mean FROM banded WHERE make <> 'Brand#22' GROUP BY ALL) SELECT vehicle_id, round(max(test_mileage / CASE WHEN coalesce(mean, 0) = 0 THEN (SELECT avg(test_mileage) FROM banded WHERE make <> 'Brand#22') ELSE mean END), 6) AS ratio FROM banded LEFT JOIN c USING (model_id, age_band) GROUP BY 1")
 def _(t):
     rows = t.banded()
-    one = rows.where("line = 1")
+    one = rows.where("make <> 'Brand#22'")  # a maker without a cohort of its own
     means = one.groupBy("model_id", "age_band").agg(F.avg("test_mileage").alias("mean"))
     joined = rows.join(means, ["model_id", "age_band"], "left").join(F.broadcast(one.agg(F.avg("test_mileage").alias("overall"))))  # one row
     mean = F.when(F.coalesce("mean", F.lit(0.0)) == 0, F.col("overall")).otherwise(F.col("mean"))
@@ -134,15 +136,16 @@ def _(t):
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "s_name", "o_totalprice")
 
 
-_LEADS = "leads AS (SELECT c_custkey AS id, 50 + c_custkey % 997 / 125.0 AS lat, -5 + c_custkey % 1009 / 150.0 AS lon FROM customer), garages AS (SELECT s_suppkey AS rid, 50 + s_suppkey % 97 / 12.5 AS rlat, -5 + s_suppkey % 89 / 14.0 AS rlon FROM supplier)"
-_NEAR = _LEADS + f", d AS (SELECT *, pow(sin(radians(rlat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(rlat)) * pow(sin(radians(rlon - lon) / 2), 2) AS a FROM leads, garages), near AS (SELECT id, rid, {R.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)) AS miles FROM d WHERE {R.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)) <= 25)"
+_LEADS = "leads AS (SELECT c_custkey AS id, 50 + c_custkey % 997 / 40.0 AS lat, CASE WHEN c_custkey % 2 = 0 THEN -5 ELSE 177 END + c_custkey % 1009 / 150.0 AS lon FROM customer), garages AS (SELECT s_suppkey AS rid, 50 + s_suppkey % 97 / 4.0 AS rlat, CASE WHEN s_suppkey % 2 = 0 THEN -5 ELSE -183 END + s_suppkey % 89 / 14.0 AS rlon FROM supplier)"  # up to 75 degrees, and on both sides of 180
+_NEAR = _LEADS + f", d AS (SELECT *, pow(sin(radians(rlat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(rlat)) * pow(sin(radians(rlon - lon) / 2), 2) AS a FROM leads, garages), near AS (SELECT id, rid, {R.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)) AS miles FROM d WHERE {R.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)) <= 60)"
 
 
 def near(t):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    leads = t("customer").select(c.alias("id"), (50 + (c % 997) / 125.0).alias("lat"), (-5 + (c % 1009) / 150.0).alias("lon"))
-    garages = t("supplier").select(s.alias("rid"), (50 + (s % 97) / 12.5).alias("rlat"), (-5 + (s % 89) / 14.0).alias("rlon"))
-    return J.within_radius(leads, garages, 25)
+    east, west = F.when(c % 2 == 0, -5).otherwise(177), F.when(s % 2 == 0, -5).otherwise(-183)
+    leads = t("customer").select(c.alias("id"), (50 + (c % 997) / 40.0).alias("lat"), (east + (c % 1009) / 150.0).alias("lon"))
+    garages = t("supplier").select(s.alias("rid"), (50 + (s % 97) / 4.0).alias("rlat"), (west + (s % 89) / 14.0).alias("rlon"))
+    return J.within_radius(leads, garages, 60)
 
 
 @query("jn16_radius", "WITH " + _NEAR + " SELECT id, rid, round(miles, 4) AS miles FROM near")
@@ -201,27 +204,58 @@ def _(t):
     return J.key_overlap(left, t("orders").select(F.col("o_custkey").cast("string").alias("key")), normal)
 
 
-@query("jn22_broken_links", f"WITH {LINKS_SQL} SELECT page_id, link FROM links WHERE link NOT IN (SELECT '/' || split_part(text, ' ', 1) FROM documents WHERE text IS NOT NULL)")
+#: Fixed pairs and pages of the route inventory and of the link tables.
+STATIC_ROUTES = ["/", "/mot-check/", "/privacy", "/terms", "/guides/mot-checklist"]
+AGE_SLUGS = ["0-3-years", "3-5-years", "6-10-years", "11-15-years", "15-plus-years"]
+PAIRS = [("FORD", "FIESTA"), ("VAUXHALL", "CORSA-E")], [("FORD", "FIESTA"), ("TOYOTA", "YARIS")], [("AUDI", "A3"), ("BMW", "3 SERIES")]
+RIVALS = {("FORD", "FIESTA"): [("TOYOTA", "YARIS"), ("PEUGEOT", "208"), ("SEAT", "IBIZA")], ("AUDI", "A3"): [("BMW", "3 SERIES")], ("PEUGEOT", "208"): [("FORD", "FIESTA")]}
+
+_SLUG = "regexp_replace(regexp_replace(replace(lower({0}), '&', 'and'), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g')"
+_MODELS_SQL = "m AS (SELECT DISTINCT split_part(model_id, ' ', 1) AS make, trim(substr(model_id, length(split_part(model_id, ' ', 1)) + 2)) AS model FROM vehicles)"
+_ROUTES_SQL = (
+    f"s AS (SELECT DISTINCT trim({_SLUG.format('make')}, '-') AS a, trim({_SLUG.format('model')}, '-') AS b FROM m), routes AS (SELECT unnest(["
+    + ", ".join(f"'{r}'" for r in STATIC_ROUTES) + "]) AS route UNION SELECT '/mot-check/' || a || '/' FROM s UNION SELECT '/mot-check/' || a || '/' || b || '/' FROM s "
+    "UNION SELECT '/mot-check/' || a || '/' || b || '/' || unnest(["
+    + ", ".join(f"'{x}'" for x in AGE_SLUGS) + "]) || '/' FROM s UNION SELECT unnest(['/mot-check/compare/ford-fiesta-vs-vauxhall-corsa-e/', "
+    "'/mot-check/compare/ford-fiesta-vs-toyota-yaris/', '/mot-check/compare/audi-a3-vs-bmw-3-series/']))"
+)
+#: Links of the fixture pages, a few to models among them.
+_PAGE_LINKS = f"pl AS (SELECT page_id, link FROM links UNION ALL SELECT page_id, '/mot-check/' || {pick_sql(['ford', 'bmw', 'nobody', 'audi/a3-20-tdi-dsg', 'ford/500/6-10-years'], 'page_id')} || '/' FROM pages)"
+
+
+def _models(t):
+    """make, model of each vehicle id: the first word and what follows it."""
+    make = X.first_word(F.col("model_id"))
+    return t.vehicles().select(make.alias("make"), F.trim(F.substring("model_id", F.length(make) + 2, F.length("model_id"))).alias("model")).distinct()
+
+
+@query("jn22_broken_links", VE + f", {LINKS_SQL}, {_MODELS_SQL}, {_ROUTES_SQL}, {_PAGE_LINKS} SELECT page_id, link FROM pl WHERE link NOT IN (SELECT route FROM routes)")
 def _(t):
-    links = t("pages").select("page_id", F.explode(X.internal_links(F.col("html"))).alias("link"))
-    routes = t("documents").select(F.concat(F.lit("/"), F.split("text", " ")[0]).alias("link")).distinct()
-    return links.join(routes, "link", "left_anti").select("page_id", "link")
+    pages = t("pages")
+    links = pages.select("page_id", F.explode(X.internal_links(F.col("html"))).alias("link"))
+    more = F.concat(F.lit("/mot-check/"), pick(["ford", "bmw", "nobody", "audi/a3-20-tdi-dsg", "ford/500/6-10-years"], F.col("page_id")), F.lit("/"))
+    routes = L.route_inventory(_models(t), STATIC_ROUTES, AGE_SLUGS, PAIRS)
+    return links.unionByName(pages.select("page_id", more.alias("link"))).join(routes.withColumnRenamed("route", "link"), "link", "left_anti").select("page_id", "link")
 
 
-@query("jn23_leakage", IN + ", f AS (SELECT DISTINCT model_id FROM inspections WHERE year(test_date) < 1996 AND line < 3), v AS (SELECT DISTINCT model_id FROM inspections WHERE year(test_date) >= 1997) SELECT (SELECT count(*) FROM f) AS fitted, (SELECT count(*) FROM v) AS validation, (SELECT count(*) FROM v WHERE model_id IN (SELECT model_id FROM f)) AS shared, (SELECT count(*) FROM v WHERE model_id NOT IN (SELECT model_id FROM f)) AS unknown")
+@query("jn23_leakage", IN + ", f AS (SELECT DISTINCT model_id FROM inspections WHERE test_date < DATE '1996-01-01' AND area <> 'FRANCE' AND make <> 'Brand#22'), v AS (SELECT DISTINCT model_id FROM inspections WHERE test_date >= DATE '1997-01-01') SELECT (SELECT count(*) FROM f) AS fitted, (SELECT count(*) FROM v) AS validation, (SELECT count(*) FROM v WHERE model_id IN (SELECT model_id FROM f)) AS shared, (SELECT count(*) FROM v WHERE model_id NOT IN (SELECT model_id FROM f)) AS unknown")
 def _(t):
     rows = t.inspections()
-    fitted = rows.where("year(test_date) < 1996 and line < 3").select("model_id", F.lit(1).alias("f")).distinct()
-    validation = rows.where("year(test_date) >= 1997").select("model_id", F.lit(1).alias("v")).distinct()
+    fitted = rows.where(before("shipped", 1996)).where("area <> 'FRANCE' and make <> 'Brand#22'").select("model_id", F.lit(1).alias("f")).distinct()
+    validation = rows.where(~before("shipped", 1997)).select("model_id", F.lit(1).alias("v")).distinct()
     both = fitted.join(validation, "model_id", "full")
     return both.agg(F.count("f").alias("fitted"), F.count("v").alias("validation"), F.count_if(F.col("f").isNotNull() & F.col("v").isNotNull()).alias("shared"), F.count_if(F.col("f").isNull()).alias("unknown"))
 
 
-@query("jn24_not_seen", "SELECT event_id FROM events a WHERE ts >= TIMESTAMP '2024-01-20' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.ts < TIMESTAMP '2024-01-20' AND b.user_id = a.user_id AND b.event_type = a.event_type)")
+@query(
+    "jn24_not_seen",
+    "SELECT event_id FROM events a WHERE ts >= TIMESTAMP '2024-01-04' AND NOT EXISTS "
+    "(SELECT 1 FROM events b WHERE b.ts < TIMESTAMP '2024-01-04' AND b.user_id = a.user_id AND b.event_type = a.event_type)",
+)
 def _(t):
     events = t("events")
-    seen = events.where("ts < timestamp'2024-01-20'").select("user_id", "event_type").distinct()
-    return events.where("ts >= timestamp'2024-01-20'").join(seen, ["user_id", "event_type"], "left_anti").select("event_id")
+    seen = events.where("ts < timestamp'2024-01-04'").select("user_id", "event_type").distinct()
+    return events.where("ts >= timestamp'2024-01-04'").join(seen, ["user_id", "event_type"], "left_anti").select("event_id")
 
 
 _LOOK = CU + """, q AS (SELECT p_partkey AS id, concat(p_brand, ' ', CASE WHEN p_partkey % 4 = 0 THEN 'NONE' ELSE p_type END) AS model_id, CASE p_partkey % 3 WHEN 0 THEN '0-2' WHEN 1 THEN '6-10' ELSE '99' END AS age_band, '30k-60k' AS mileage_band FROM part),
@@ -248,11 +282,23 @@ def _(t):
     return joined.select("id", F.round(F.coalesce("r2", "r1"), 6).alias("risk"), F.when(F.col("r2").isNotNull(), "exact").when(F.col("r1").isNotNull(), "average").otherwise("not_found").alias("note"))
 
 
-@query("jn27_link_tables", IN + ", e AS (SELECT model_id FROM inspections GROUP BY 1 HAVING count(*) >= 350), p AS (SELECT DISTINCT a.model_id AS a, b.model_id AS b FROM e a JOIN e b ON split_part(a.model_id, ' ', 2) = split_part(b.model_id, ' ', 2) AND a.model_id <> b.model_id) SELECT a, count(*) AS siblings FROM p GROUP BY a")
+_SHOWN = "SELECT DISTINCT make, model FROM base WHERE model IS NOT NULL"
+
+
+@query(
+    "jn27_link_tables",
+    VE + f", {BASE_MODEL_CTE}, e AS ({_SHOWN}), " + """r AS (SELECT unnest([{'a': 'FORD', 'b': 'FIESTA', 'c': 'TOYOTA', 'd': 'YARIS', 'p': 1}, {'a': 'FORD', 'b': 'FIESTA', 'c': 'PEUGEOT', 'd': '208', 'p': 2},
+{'a': 'FORD', 'b': 'FIESTA', 'c': 'SEAT', 'd': 'IBIZA', 'p': 3}, {'a': 'AUDI', 'b': 'A3', 'c': 'BMW', 'd': '3 SERIES', 'p': 1}, {'a': 'PEUGEOT', 'b': '208', 'c': 'FORD', 'd': 'FIESTA', 'p': 1}]) AS x),
+p AS (SELECT unnest([{'a': 'FORD', 'b': 'FIESTA', 'c': 'VAUXHALL', 'd': 'CORSA-E'}, {'a': 'FORD', 'b': 'FIESTA', 'c': 'TOYOTA', 'd': 'YARIS'}, {'a': 'AUDI', 'b': 'A3', 'c': 'BMW', 'd': '3 SERIES'}]) AS x)
+SELECT 'sibling' AS kind, a.make, a.model, b.make AS to_make, b.model AS to_model FROM e a JOIN e b ON a.make = b.make AND a.model <> b.model
+UNION ALL SELECT 'competitor', e.make, e.model, x.c, x.d FROM e JOIN r ON e.make = x.a AND e.model = x.b WHERE EXISTS (SELECT 1 FROM e f WHERE f.make = x.c AND f.model = x.d)
+UNION ALL SELECT 'comparison', e.make, e.model, CASE WHEN e.make = x.a AND e.model = x.b THEN x.c ELSE x.a END, CASE WHEN e.make = x.a AND e.model = x.b THEN x.d ELSE x.b END
+FROM e JOIN p ON (e.make = x.a AND e.model = x.b) OR (e.make = x.c AND e.model = x.d)""",
+)
 def _(t):
-    eligible = O.supported(t.inspections(), ["model_id"], 350).select("model_id", F.split("model_id", " ")[1].alias("kind"))
-    sizes = eligible.groupBy("kind").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    return eligible.join(sizes, "kind").select(F.col("model_id").alias("a"), (F.col("k") - 1).alias("siblings"))
+    make = X.raw_make(F.col("model_id"))
+    eligible = t.vehicles().select(make.alias("make"), X.base_model(F.col("model_id"), make).alias("model")).where("model is not null").distinct()
+    return L.link_tables(eligible, RIVALS, PAIRS)
 
 
 @query("jn28_counters", "SELECT s_suppkey, coalesce(won, 0) AS won, coalesce(received, 0) AS received FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS received, count(*) FILTER (l_returnflag = 'A') AS won FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey")

@@ -10,7 +10,7 @@ from roadlens.functions import text as X
 from roadlens.operators import cube as C
 from roadlens.operators import relational as O
 
-from .base import BANDED, CUBE, HISTORY, INSPECTIONS, VEHICLES, query
+from .base import BANDED, CUBE, EMAILS, HISTORY, INSPECTIONS, VEHICLES, before, pick, pick_sql, query
 from .scalars import AREA_SQL, LINKS_SQL
 
 CU, HI, IN, VE = f"WITH {CUBE} ", f"WITH {HISTORY} ", f"WITH {INSPECTIONS} ", f"WITH {VEHICLES} "
@@ -31,7 +31,7 @@ def _(t):
 
 @query("flt02_years", "SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY 1")
 def _(t):
-    return t("orders").where(F.year("o_orderdate").isin(1995, 1996)).groupBy(F.year("o_orderdate").alias("year")).agg(count())
+    return t("orders").where(O.in_years("o_orderdate", [1995, 1996])).groupBy(F.year("o_orderdate").alias("year")).agg(count())
 
 
 @query("flt03_entity_or_variant", IN + "SELECT model_id, count(*) AS n FROM inspections WHERE model_id = 'Brand#12' OR starts_with(model_id, 'Brand#12 ') GROUP BY 1")
@@ -39,16 +39,25 @@ def _(t):
     return t.inspections().where(O.entity_or_variant(F.col("model_id"), "Brand#12")).groupBy("model_id").agg(count())
 
 
-@query("flt04_alias_expansion", IN + ", a(alias) AS (VALUES ('Brand#11'), ('Brand#1'), ('Brand#13 LARGE')) SELECT model_id, count(*) AS n FROM inspections WHERE EXISTS (SELECT 1 FROM a WHERE model_id = alias OR starts_with(model_id, alias || ' ')) GROUP BY 1")
+@query(
+    "flt04_alias_expansion",
+    VE + """SELECT model_id, count(*) AS n FROM vehicles WHERE model_id IN ('MERCEDES-BENZ SPRINTER-CLASS', 'MERCEDES-BENZ SPRINTER', 'FORD 500', 'AUDI A')
+OR starts_with(model_id, 'MERCEDES-BENZ SPRINTER-CLASS ') OR starts_with(model_id, 'MERCEDES-BENZ SPRINTER ') OR starts_with(model_id, 'FORD 500 ') OR starts_with(model_id, 'AUDI A ') GROUP BY 1""",
+)
 def _(t):
-    aliases = t.spark.createDataFrame([("Brand#11",), ("Brand#1",), ("Brand#13 LARGE",)], "alias string")  # a curated list
-    grouped = t.inspections().groupBy("model_id").agg(count())
-    return grouped.join(aliases, (F.col("model_id") == F.col("alias")) | F.col("model_id").startswith(F.concat("alias", F.lit(" "))), "left_semi")
+    asked = [("MERCEDES-BENZ", "SPRINTER-CLASS"), ("FORD", "500"), ("AUDI", "A")]
+    aliases = t.spark.createDataFrame([(alias,) for pair in asked for alias in O.class_variants(*pair)], "alias string")
+    return O.any_entity_or_variant(t.vehicles(), "model_id", aliases, "alias").groupBy("model_id").agg(count())
 
 
-@query("flt05_prefix", "SELECT p_partkey, p_brand FROM part WHERE starts_with(p_brand, 'Brand#1') OR starts_with(p_brand, 'Brand#25')")
+@query(
+    "flt05_prefix",
+    VE + """SELECT vehicle_id, upper(trim(raw_make)) AS make FROM vehicles WHERE starts_with(upper(trim(raw_make)), 'MERCEDES-BENZ') OR starts_with(upper(trim(raw_make)), 'MERCEDES')
+OR starts_with(upper(trim(raw_make)), 'OPEL') OR starts_with(upper(trim(raw_make)), '0PEL')""",
+)
 def _(t):
-    return O.prefix_match(t("part"), "p_brand", t.spark.createDataFrame([("Brand#1",), ("Brand#25",)], "prefix string"), "prefix").select("p_partkey", "p_brand")
+    rows = t.vehicles().select("vehicle_id", F.upper(F.trim("raw_make")).alias("make"))
+    return O.prefix_match(rows, "make", [p for make in ("Mercedes-Benz", "Opel") for p in X.reverse_aliases(make)])
 
 
 @query("flt06_support", IN + "SELECT model_id, count(*) AS n, sum(target)::BIGINT AS failures FROM inspections GROUP BY 1 HAVING count(*) >= 400")
@@ -61,10 +70,14 @@ def _(t):
     return t.banded().where("age_band <> 'Unknown'").groupBy("age_band").agg(count())
 
 
-@query("flt08_postcode_prefixes", VE + f"SELECT vehicle_id, {AREA_SQL} AS area FROM vehicles WHERE {AREA_SQL} IN ('N', 'M', 'SW')")
+@query(
+    "flt08_postcode_prefixes",
+    VE + f"""SELECT vehicle_id, coalesce({AREA_SQL} IN ('N', 'M', 'SW'), false) AS by_area, starts_with(postcode, 'N') OR starts_with(postcode, 'M') OR starts_with(postcode, 'SW') AS by_prefix
+FROM vehicles WHERE {AREA_SQL} IN ('N', 'M', 'SW') OR starts_with(postcode, 'N') OR starts_with(postcode, 'M') OR starts_with(postcode, 'SW')""",
+)
 def _(t):
-    wanted = t.spark.createDataFrame([("N",), ("M",), ("SW",)], "area string")
-    return t.vehicles().select("vehicle_id", X.postcode_area(F.col("postcode")).alias("area")).join(wanted, "area", "left_semi").select("vehicle_id", "area")
+    by_area, by_prefix = (X.in_areas(F.col("postcode"), ["N", "M", "SW"], mode) for mode in (False, True))
+    return t.vehicles().where(by_area | by_prefix).select("vehicle_id", by_area.alias("by_area"), by_prefix.alias("by_prefix"))
 
 
 @query("flt09_due_window", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) + 365 BETWEEN DATE '1997-06-01' + 25 AND DATE '1997-06-01' + 31 AND o_custkey % 5 <> 0")
@@ -80,11 +93,32 @@ def _(t):
     return O.page(t("events").where("ts >= timestamp'2024-01-10'"), [F.desc("ts"), F.asc("event_id")], 50, 100).select("event_id", "ts")
 
 
-@query("flt11_validation", """SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(',', CASE WHEN l_extendedprice BETWEEN 0 AND 60000 THEN NULL ELSE 'mileage' END, CASE WHEN year(l_shipdate) BETWEEN 1993 AND 1998 THEN NULL ELSE 'year' END,
-CASE WHEN l_discount BETWEEN 0 AND 0.09 THEN NULL ELSE 'risk' END, CASE WHEN l_returnflag IN ('A', 'N') THEN NULL ELSE 'urgency' END) AS errors FROM lineitem""")
+_LEAD_SQL = f"""leads AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN l_extendedprice * 30 - 90000 END AS mileage, CASE WHEN l_linenumber <> 3 THEN 1880 + l_partkey % 160 END AS year,
+CASE WHEN l_linenumber <> 4 THEN l_discount * 12 - 0.1 END AS failure_risk, CASE WHEN l_linenumber <> 5 THEN CAST(l_quantity * 3 - 10 AS INT) END AS reliability_score,
+{pick_sql(['asap', 'this_week', 'this_month', 'exploring', 'soon'], 'l_suppkey')} AS urgency, l_returnflag <> 'A' AS consent, {pick_sql(EMAILS, 'l_partkey')} AS email,
+{pick_sql([' M1 ', 'N1', ' B ', 'SW1A 1AA'], 'l_suppkey')} AS postcode, {pick_sql(['AB12 CDE', '<b>A1</b>', 'ABCDEFGHI', ' '], 'l_orderkey')} AS registration FROM lineitem)"""
+
+
+def _leads(t):
+    line = F.col("l_linenumber")
+    return t("lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(line != 2, F.col("l_extendedprice") * 30 - 90000).alias("mileage"), F.when(line != 3, 1880 + F.col("l_partkey") % 160).alias("year"),
+        F.when(line != 4, F.col("l_discount") * 12 - 0.1).alias("failure_risk"), F.when(line != 5, (F.col("l_quantity") * 3 - 10).cast("int")).alias("reliability_score"),
+        pick(["asap", "this_week", "this_month", "exploring", "soon"], F.col("l_suppkey")).alias("urgency"), (F.col("l_returnflag") != "A").alias("consent"), pick(EMAILS, F.col("l_partkey")).alias("email"),
+        pick([" M1 ", "N1", " B ", "SW1A 1AA"], F.col("l_suppkey")).alias("postcode"), pick(["AB12 CDE", "<b>A1</b>", "ABCDEFGHI", " "], F.col("l_orderkey")).alias("registration"),
+    )
+
+
+@query(
+    "flt11_validation",
+    f"""WITH {_LEAD_SQL} SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN mileage < 0 OR mileage > 1000000 THEN 'mileage' END, CASE WHEN year < 1900 OR year > 2027 THEN 'year' END,
+CASE WHEN failure_risk < 0 OR failure_risk > 1 THEN 'failure_risk' END, CASE WHEN reliability_score < 0 OR reliability_score > 100 THEN 'reliability_score' END,
+CASE WHEN urgency NOT IN ('asap', 'this_week', 'this_month', 'exploring') THEN 'urgency' END, CASE WHEN NOT consent THEN 'consent' END,
+CASE WHEN email NOT IN ('jo@example.com', ' Ann.Lee@Example.co.uk ', 'x+y@mail.org') THEN 'email' END, CASE WHEN postcode <> 'SW1A 1AA' THEN 'postcode' END,
+CASE WHEN registration IN ('ABCDEFGHI', ' ') THEN 'registration' END) AS errors FROM leads""",
+)
 def _(t):
-    rules = {"mileage": F.col("l_extendedprice").between(0, 60000), "year": F.year("l_shipdate").between(1993, 1998), "risk": F.col("l_discount").between(0, 0.09), "urgency": F.col("l_returnflag").isin("A", "N")}
-    return O.validate(t("lineitem"), rules).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("errors", ",").alias("errors"))
+    return O.validate(_leads(t), O.lead_rules(2026)).select("l_orderkey", "l_linenumber", F.array_join("errors", ",").alias("errors"))
 
 
 @query("flt12_window_cap", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE)")
@@ -98,10 +132,20 @@ def _(t):
     return C.breakdown(t.cube(), ["model_id", "age_band", "mileage_band"], R.COMPONENTS).where("risk >= 0.05").groupBy("component").agg(count())
 
 
-@query("flt14_relevant_text", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(?i)\\b(the|der|que|les)\\b') AND (regexp_matches(text, '(?i)\\b(that|from|sich|dans|para)\\b') OR contains(text, '?'))")
+ASIDES = [
+    " My MOT failed?", " the motor runs", " Annual Test due, how likely is that?", " roadworthy, should I worry", " pre-MOT chat", " Will it pass?", " mot due: will my car PASS", "", " Any advice before the mot test", " remote control?",
+]
+_SAID = f"(text || {pick_sql(ASIDES, 'conv_id * 3 + turn')})"
+
+
+@query(
+    "flt14_relevant_text",
+    rf"""SELECT conv_id, turn FROM conversations WHERE regexp_matches({_SAID}, '\bMOT\b|mot fail|mot pass|mot test|pre-mot|pre mot|mot due|mot expir|mot advisory|mot check|annual test|roadworthy|mot preparation|mot cost', 'i')
+AND (contains({_SAID}, '?') OR regexp_matches({_SAID}, 'will (it|my car) (pass|fail)|chances of (passing|failing)|should I (fix|repair|worry|be concerned)|how (likely|probable)|is (this|it) (worth|going to)|any advice.*(mot|test)|first (mot|test)|about to (take|go for|book).*(mot|test)|failed.*(mot|test)|advisory.*(mot|test)|what (are|were) the (common|main|usual).*(fail|problem|issue)|(reliable|reliability).*(mot|test)', 'i'))""",
+)
 def _(t):
-    topic, intent = F.col("text").rlike(r"(?i)\b(the|der|que|les)\b"), F.col("text").rlike(r"(?i)\b(that|from|sich|dans|para)\b")
-    return t("conversations").where(topic & (intent | F.col("text").contains("?"))).select("conv_id", "turn")
+    rows = t("conversations").withColumn("said", F.concat("text", pick(ASIDES, F.col("conv_id") * 3 + F.col("turn"))))
+    return rows.where(X.relevant(F.col("said"))).select("conv_id", "turn")
 
 
 @query("flt15_recency_band", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-15' - INTERVAL 48 HOUR AND TIMESTAMP '2024-01-15' - INTERVAL 1 HOUR AND event_type <> 'error'")
@@ -123,22 +167,66 @@ def _(t):
 # Projections -------------------------------------------------------------------------------------------------------------------
 
 
-def _wide(rows):
-    """Feature defaults: mileage 50000, days 730, prior rate 0.33, percentile 0.5."""
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.nullif("l_quantity", F.lit(1.0)), F.lit(50000.0)).alias("mileage"), F.coalesce(F.when(F.col("l_returnflag") != "A", F.col("l_tax")), F.lit(0.33)).alias("prior_rate"), F.coalesce(F.when(F.col("l_linestatus") == "O", F.datediff("l_shipdate", F.lit("1995-01-01").cast("date"))), F.lit(730)).alias("days"))
-
-
-_WIDE = "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(nullif(l_quantity, 1.0), 50000.0) AS mileage, coalesce(CASE WHEN l_returnflag <> 'A' THEN l_tax END, 0.33) AS prior_rate, coalesce(CASE WHEN l_linestatus = 'O' THEN date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) END, 730) AS days FROM lineitem WHERE year(l_shipdate) {} 1997"
-
-
-@query("prj01_wide_dev", _WIDE.format("<"))
-def _(t):
-    return _wide(t("lineitem").where("year(l_shipdate) < 1997"))
-
-
-@query("prj02_wide_oot", _WIDE.format(">="))
-def _(t):
-    return _wide(t("lineitem").where("year(l_shipdate) >= 1997"))
+_BANDS = ["low", "medium", "high", "average", "very_high"]
+#: Tests and the three tables that join them; each misses some tests and some values.
+_WIDE_SQL = f"""tests AS (SELECT l_orderkey * 10 + l_linenumber AS test_id, l_partkey AS vehicle_id, l_shipdate, CAST(l_shipdate AS DATE) AS test_date, l_returnflag = 'R' AS is_failure,
+CASE WHEN l_suppkey % 5 <> 0 THEN 'M' || l_partkey END AS model_id, CASE WHEN l_linenumber % 3 = 0 THEN 'NO_PRIOR_RECORDED' WHEN l_linenumber % 3 = 1 THEN 'PASS' END AS prev_cycle_outcome_band,
+CASE WHEN l_linenumber % 2 = 0 THEN 'late' END AS gap_band, CASE WHEN l_suppkey % 7 <> 0 THEN 'FORD' END AS make, CASE WHEN l_linenumber <> 4 THEN '3-5' END AS age_band, nullif(l_quantity, 1.0) AS test_mileage,
+CASE WHEN l_returnflag <> 'A' THEN l_tax END AS prior_fail_rate_smoothed, CASE WHEN l_suppkey % 4 <> 0 THEN CAST(l_suppkey % 4 - 1 AS DOUBLE) END AS n_prior_tests,
+CASE WHEN l_linenumber <> 5 THEN l_extendedprice / 4 - 1000 END AS annualized_mileage, CASE WHEN l_linenumber <> 6 THEN 'SW' END AS postcode_area, nullif(l_discount, 0.0) AS mileage_percentile_for_age,
+CASE WHEN l_linenumber = 1 THEN 2.0 END AS n_prior_fails, CASE WHEN l_linenumber = 2 THEN 1.0 END AS fails_last_365d, CASE WHEN l_linenumber = 3 THEN 1.0 END AS fails_last_730d,
+CASE WHEN l_partkey % 6 < 5 THEN {pick_sql(_BANDS, 'l_partkey % 6')} END AS usage_intensity_band FROM lineitem),
+h AS (SELECT test_id, CAST(test_id % 5 AS DOUBLE) AS prev_advisory_total, CASE WHEN test_id % 4 > 0 THEN 'STABLE' END AS advisory_trend, CASE WHEN test_id % 9 > 0 THEN CAST(test_id % 900 AS DOUBLE) END AS days_since_prev_cycle FROM tests WHERE test_id % 3 > 0),
+a AS (SELECT test_id, CAST(test_id % 2 AS DOUBLE) AS prev_adv_brakes, CAST(test_id % 3 AS DOUBLE) AS prev_adv_suspension, CAST(NULL AS DOUBLE) AS prev_adv_steering, CAST(test_id % 4 AS DOUBLE) AS prev_adv_tyres FROM tests WHERE test_id % 5 > 0),
+p AS (SELECT test_id, test_id % 10 / 10.0::DOUBLE AS ponr_risk_score, CAST(test_id % 2 AS INT) AS has_ponr_pattern FROM tests WHERE test_id % 7 > 0)
+SELECT test_id, vehicle_id, CAST(test_date AS VARCHAR) AS test_date, CAST(is_failure AS INT) AS target, coalesce(model_id, 'UNKNOWN UNKNOWN') AS model_id, coalesce(prev_cycle_outcome_band, 'NONE') AS prev_cycle_outcome_band,
+coalesce(gap_band, 'NONE') AS gap_band, coalesce(make, 'UNKNOWN') AS make, coalesce(age_band, 'UNKNOWN') AS age_band, coalesce(test_mileage, 50000.0)::DOUBLE AS test_mileage,
+coalesce(prior_fail_rate_smoothed, 0.33)::DOUBLE AS prior_fail_rate_smoothed, coalesce(n_prior_tests, 0.0)::DOUBLE AS n_prior_tests, coalesce(annualized_mileage, 8000.0)::DOUBLE AS annualized_mileage,
+coalesce(postcode_area, 'UNKNOWN') AS postcode_area, coalesce(mileage_percentile_for_age, 0.5)::DOUBLE AS mileage_percentile_for_age, coalesce(n_prior_fails, 0.0)::DOUBLE AS n_prior_fails,
+coalesce(fails_last_365d, 0.0)::DOUBLE AS fails_last_365d, coalesce(fails_last_730d, 0.0)::DOUBLE AS fails_last_730d, coalesce(prev_advisory_total, 0.0)::DOUBLE AS prev_count_advisory,
+coalesce(advisory_trend, 'UNKNOWN') AS advisory_trend, coalesce(days_since_prev_cycle, 730.0)::DOUBLE AS days_since_last_test, coalesce(days_since_prev_cycle, 730.0)::DOUBLE - 365 AS days_late,
+CASE WHEN h.test_id IS NOT NULL THEN 1 ELSE 0 END AS has_cycle_history_link, coalesce(prev_adv_brakes, 0.0)::DOUBLE AS prev_adv_brakes, coalesce(prev_adv_suspension, 0.0)::DOUBLE AS prev_adv_suspension,
+coalesce(prev_adv_steering, 0.0)::DOUBLE AS prev_adv_steering, coalesce(prev_adv_tyres, 0.0)::DOUBLE AS prev_adv_tyres,
+CASE WHEN usage_intensity_band IN ('low', 'medium', 'high') THEN usage_intensity_band WHEN annualized_mileage > 0 THEN CASE WHEN annualized_mileage < 5000 THEN 'low' WHEN annualized_mileage < 12000 THEN 'medium' ELSE 'high' END ELSE 'unknown' END AS usage_band_hybrid,
+coalesce(ponr_risk_score, 0.0)::DOUBLE AS ponr_risk_score, coalesce(has_ponr_pattern, 0)::INT AS has_ponr_pattern
+FROM tests LEFT JOIN h USING (test_id) LEFT JOIN a USING (test_id) LEFT JOIN p USING (test_id)
+WHERE l_shipdate {{0}} TIMESTAMP '1997-01-01' AND NOT (prev_cycle_outcome_band = 'NO_PRIOR_RECORDED' AND (n_prior_tests IS NULL OR n_prior_tests = 0))"""
+
+
+def _tests(rows):
+    line, supp, part = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
+    return rows.select(
+        (F.col("l_orderkey") * 10 + line).alias("test_id"), part.alias("vehicle_id"), F.to_date("l_shipdate").alias("test_date"), (F.col("l_returnflag") == "R").alias("is_failure"),
+        F.when(supp % 5 != 0, F.concat(F.lit("M"), part)).alias("model_id"), F.when(line % 3 == 0, "NO_PRIOR_RECORDED").when(line % 3 == 1, "PASS").alias("prev_cycle_outcome_band"),
+        F.when(line % 2 == 0, "late").alias("gap_band"), F.when(supp % 7 != 0, "FORD").alias("make"), F.when(line != 4, "3-5").alias("age_band"), F.nullif("l_quantity", F.lit(1.0)).alias("test_mileage"),
+        F.when(F.col("l_returnflag") != "A", F.col("l_tax")).alias("prior_fail_rate_smoothed"), F.when(supp % 4 != 0, (supp % 4 - 1).cast("double")).alias("n_prior_tests"),
+        F.when(line != 5, F.col("l_extendedprice") / 4 - 1000).alias("annualized_mileage"), F.when(line != 6, "SW").alias("postcode_area"), F.nullif("l_discount", F.lit(0.0)).alias("mileage_percentile_for_age"),
+        F.when(line == 1, 2.0).alias("n_prior_fails"), F.when(line == 2, 1.0).alias("fails_last_365d"), F.when(line == 3, 1.0).alias("fails_last_730d"),
+        F.when(part % 6 < 5, pick(_BANDS, F.least(part % 6, F.lit(4)))).alias("usage_intensity_band"),
+    )
+
+
+def _wide(t, rows):
+    tests, every, i = _tests(rows), _tests(t("lineitem")), F.col("test_id")
+    number = lambda m: (i % m).cast("double")
+    history = every.where(i % 3 > 0).select(
+        "test_id", number(5).alias("prev_advisory_total"), F.when(i % 4 > 0, "STABLE").alias("advisory_trend"), F.when(i % 9 > 0, number(900)).alias("days_since_prev_cycle")
+    )
+    advisories = every.where(i % 5 > 0).select(
+        "test_id", number(2).alias("prev_adv_brakes"), number(3).alias("prev_adv_suspension"), F.lit(None).cast("double").alias("prev_adv_steering"), number(4).alias("prev_adv_tyres")
+    )
+    patterns = every.where(i % 7 > 0).select("test_id", (number(10) / 10).alias("ponr_risk_score"), (i % 2).cast("int").alias("has_ponr_pattern"))
+    return O.wide_features(tests, history, advisories, patterns).withColumn("test_date", F.col("test_date").cast("string"))
+
+
+@query("prj01_wide_dev", "WITH " + _WIDE_SQL.format("<"))
+def _(t):
+    return _wide(t, t("lineitem").where(before("l_shipdate", 1997)))
+
+
+@query("prj02_wide_oot", "WITH " + _WIDE_SQL.format(">="))
+def _(t):
+    return _wide(t, t("lineitem").where(~before("l_shipdate", 1997)))
 
 
 @query("prj03_hybrid_band", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'trusted' WHEN nullif(l_quantity, 7) IS NULL THEN 'unknown' WHEN l_extendedprice / 4 < 5000 THEN 'low' WHEN l_extendedprice / 4 < 12000 THEN 'medium' ELSE 'high' END AS band FROM lineitem")
@@ -197,10 +285,20 @@ def _(t):
     return t("events").select("event_id", tag.alias("tag")).withColumns({"variant": F.regexp_extract("tag", r"exp:([^|]*)", 1), "campaign": F.split("tag", r"\|")[0]})
 
 
-@query("prj13_vocabulary", "SELECT event_id, CASE event_type WHEN 'view' THEN 'STABLE' WHEN 'click' THEN 'WORSENING' ELSE event_type END AS kind FROM events")
+OUTCOMES, TRENDS = ["pass", "fail", "first_test", "unknown", "PASS", "other"], ["stable", "increasing", "decreasing", "unknown", "FIRST_WITH_HISTORY"]
+
+
+@query(
+    "prj13_vocabulary",
+    f"""WITH e AS (SELECT event_id, {pick_sql(OUTCOMES, 'event_id')} AS o, {pick_sql(TRENDS, 'event_id')} AS d FROM events)
+SELECT event_id, CASE o WHEN 'pass' THEN 'PASS' WHEN 'fail' THEN 'FAIL' WHEN 'first_test' THEN 'FIRST_TEST' WHEN 'unknown' THEN 'HISTORY_MISSING_LINK' ELSE o END AS outcome,
+CASE d WHEN 'stable' THEN 'STABLE' WHEN 'increasing' THEN 'WORSENING' WHEN 'decreasing' THEN 'IMPROVING' WHEN 'unknown' THEN 'UNKNOWN' ELSE d END AS trend FROM e""",
+)
 def _(t):
-    table = {"view": "STABLE", "click": "WORSENING"}
-    return t("events").select("event_id", O.remap(O.remap(F.col("event_type"), table), table).alias("kind"))
+    twice = lambda c, name: O.remap(O.remap(c, X.VOCABULARY[name]), X.VOCABULARY[name])
+    k = F.col("event_id")
+    outcome, trend = twice(pick(OUTCOMES, k), "prev_cycle_outcome_band"), twice(pick(TRENDS, k), "advisory_trend")
+    return t("events").select("event_id", outcome.alias("outcome"), trend.alias("trend"))
 
 
 @query("prj14_coverage", "WITH j AS (SELECT c.*, o.o_custkey, CASE WHEN c_acctbal > 0 THEN 1 END AS pos FROM customer c LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c_custkey = o_custkey) SELECT 'o_custkey' AS feature, round(avg((o_custkey IS NOT NULL)::INT), 9) AS covered FROM j UNION ALL SELECT 'pos', round(avg((pos IS NOT NULL)::INT), 9) FROM j")
@@ -306,10 +404,10 @@ def _(t):
     return customers.subtract(buyers).select(F.lit("minus").alias("op"), "id").union(customers.intersect(buyers).select(F.lit("both"), "id"))
 
 
-@query("set04_two_datasets", IN + ", r AS (SELECT make, avg(target) AS rate FROM inspections WHERE year(test_date) < 1997 GROUP BY 1) SELECT CASE WHEN year(test_date) < 1997 THEN 'dev' ELSE 'oot' END AS dataset, count(*) AS n, round(avg(rate), 6) AS rate FROM inspections LEFT JOIN r USING (make) GROUP BY 1")
+@query("set04_two_datasets", IN + ", r AS (SELECT make, avg(target) AS rate FROM inspections WHERE test_date < DATE '1997-01-01' GROUP BY 1) SELECT CASE WHEN year(test_date) < 1997 THEN 'dev' ELSE 'oot' END AS dataset, count(*) AS n, round(avg(rate), 6) AS rate FROM inspections LEFT JOIN r USING (make) GROUP BY 1")
 def _(t):
     rows = t.inspections()
-    dev, oot = rows.where("year(test_date) < 1997"), rows.where("year(test_date) >= 1997")
+    dev, oot = rows.where(before("shipped", 1997)), rows.where(~before("shipped", 1997))
     fitted = dev.groupBy("make").agg(F.avg("target").alias("rate"))
     both = dev.withColumn("dataset", F.lit("dev")).unionByName(oot.withColumn("dataset", F.lit("oot")))
     return both.join(fitted, "make", "left").groupBy("dataset").agg(count(), F.round(F.avg("rate"), 6).alias("rate"))

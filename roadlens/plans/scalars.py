@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import rules as R
 from roadlens.functions import text as X
+from roadlens.operators import metrics as M
 
-from .base import AGE_SQL, BANDED, CUBE, HISTORY, INSPECTIONS, MILEAGE_SQL, MODELS, VEHICLES, bands_sql, query
+from .base import AGE_SQL, BANDED, CUBE, HISTORY, INSPECTIONS, MILEAGE_SQL, VEHICLES, bands_sql, pick, pick_sql, query
 
 V = f"WITH {VEHICLES} "
 I = f"WITH {INSPECTIONS} "  # noqa: E741
@@ -26,13 +27,41 @@ def _(t):
     return t.vehicles().select("vehicle_id", X.first_word(F.col("model_id")).alias("maker"))
 
 
-_TWO = "CASE " + " ".join(f"WHEN starts_with(model_id, '{m} ') THEN '{m}'" for m in X.TWO_WORD_MAKES) + " ELSE split_part(model_id, ' ', 1) END"
+# Values in the SQL of this section are typed out, so that an oracle shares nothing with the functions it checks.
+_TWO = """CASE WHEN starts_with(upper(model_id), 'LAND ROVER ') THEN substr(model_id, 1, 10)
+WHEN starts_with(upper(model_id), 'MERCEDES-BENZ ') THEN substr(model_id, 1, 13)
+WHEN starts_with(upper(model_id), 'ALFA ROMEO ') THEN substr(model_id, 1, 10)
+WHEN starts_with(upper(model_id), 'ASTON MARTIN ') THEN substr(model_id, 1, 12)
+WHEN starts_with(upper(model_id), 'ROLLS ROYCE ') THEN substr(model_id, 1, 11)
+WHEN starts_with(upper(model_id), 'DS AUTOMOBILES ') THEN substr(model_id, 1, 14)
+ELSE split_part(model_id, ' ', 1) END"""
 
 
-@query("scl_s2_split_make", V + f"SELECT vehicle_id, {_TWO} AS make, trim(substr(model_id, length({_TWO}) + 1)) AS model FROM vehicles")
+def title_sql(text: str) -> str:
+    """Letter names of up to three as they are, others with a capital at the start of each run of letters."""
+    runs = f"[upper(x[1:1]) || lower(x[2:]) FOR x IN regexp_extract_all({text}, '[A-Za-z]+|[^A-Za-z]+')]"
+    return f"CASE WHEN regexp_full_match({text}, '[A-Za-z]{{1,3}}') THEN {text} ELSE array_to_string({runs}, '') END"
+
+
+#: Ids with makers of several words, of one word, and in small letters.
+ODD_IDS = ["ROLLS ROYCE GHOST", "DS AUTOMOBILES DS3 CROSSBACK", "rolls-royce phantom", "MG", "Land Rover Range-Rover", "BMW 320D SE", "ASTON MARTIN DB9"]
+_ODD_ID = pick_sql(ODD_IDS, "vehicle_id * 5")
+_ALL_IDS = f"ids AS (SELECT vehicle_id, model_id FROM vehicles UNION ALL SELECT -vehicle_id, {_ODD_ID} FROM vehicles)"
+
+
+def _ids(t):
+    rows = t.vehicles()
+    return rows.select("vehicle_id", "model_id").unionByName(rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_IDS, F.col("vehicle_id") * 5).alias("model_id")))
+
+
+@query(
+    "scl_s2_split_make",
+    V + f", {_ALL_IDS}, p AS (SELECT vehicle_id, {_TWO} AS m, model_id FROM ids), q AS (SELECT vehicle_id, m, substr(model_id, length(m) + 2) AS r FROM p) "
+    f"SELECT vehicle_id, {title_sql('m')} AS make, {title_sql('r')} AS model FROM q",
+)
 def _(t):
     make, model = X.split_make(F.col("model_id"))
-    return t.vehicles().select("vehicle_id", make.alias("make"), model.alias("model"))
+    return _ids(t).select("vehicle_id", make.alias("make"), model.alias("model"))
 
 
 _FIRST = {}
@@ -62,28 +91,25 @@ base AS (SELECT vehicle_id, make, CASE WHEN m = '' OR substr(m, 1, 1) IN ('.', '
 
 @query("scl_s4_base_model", V + ", " + BASE_MODEL_CTE + " SELECT * FROM base")
 def _(t):
-    make, _ = X.split_make(F.col("model_id"))
+    make = X.raw_make(F.col("model_id"))
     return t.vehicles().select("vehicle_id", make.alias("make"), X.base_model(F.col("model_id"), make).alias("model"))
 
 
-@query("scl_s5_slugify", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(p_name || ' & ' || p_type)), '&', 'and'), '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+@query(
+    "scl_s5_slugify",
+    "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(replace(lower(p_name || ' - & ' || p_type || ' '), '&', 'and'), '[^a-z0-9\\s-]', '', 'g'), "
+    "'\\s+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part",
+)
 def _(t):
-    return t("part").select("p_partkey", X.slugify(F.concat_ws(" & ", "p_name", "p_type")).alias("slug"))
-
+    return t("part").select("p_partkey", X.slugify(F.concat("p_name", F.lit(" - & "), "p_type", F.lit(" "))).alias("slug"))
 
-def _title(text: str) -> str:
-    return " ".join("-".join(p[:1].upper() + p[1:].lower() for p in w.split("-")) for w in text.split(" "))
 
-
-_DISPLAY = "CASE model_id " + " ".join(f"WHEN '{m}' THEN '{_title(m)}'" for m in MODELS) + " END"
-
-
-@query("scl_s6_display_name", V + f"SELECT vehicle_id, {_DISPLAY} AS shown, CASE WHEN regexp_matches(raw_make, '^[A-Za-z]{{1,3}}$') THEN raw_make END AS short FROM vehicles")
+@query("scl_s6_display_name", V + f", {_ALL_IDS} SELECT vehicle_id, {title_sql('model_id')} AS shown, {title_sql('left(model_id, 3)')} AS short FROM ids")
 def _(t):
-    return t.vehicles().select("vehicle_id", X.display_name(F.col("model_id")).alias("shown"), F.when(F.col("raw_make").rlike("^[A-Za-z]{1,3}$"), X.display_name(F.col("raw_make"))).alias("short"))
+    return _ids(t).select("vehicle_id", X.display_name(F.col("model_id")).alias("shown"), X.display_name(F.substring("model_id", 1, 3)).alias("short"))
 
 
-AREA_SQL = "nullif(regexp_extract(replace(upper(trim(postcode)), ' ', ''), '^([A-Z]{1,2})[0-9]', 1), '')"
+AREA_SQL = "nullif(regexp_extract(replace(upper(trim(postcode)), ' ', ''), '^([A-Z]{1,2})', 1), '')"
 
 
 @query("scl_s7_postcode_area", V + f"SELECT vehicle_id, {AREA_SQL} AS area FROM vehicles")
@@ -91,23 +117,47 @@ def _(t):
     return t.vehicles().select("vehicle_id", X.postcode_area(F.col("postcode")).alias("area"))
 
 
-@query("scl_s8_postcode_valid", V + "SELECT vehicle_id, regexp_full_match(regexp_replace(upper(trim(postcode)), '\\s+', '', 'g'), '[A-Z]{1,2}[0-9][0-9A-Z]?([0-9][A-Z]{2})?') AS valid FROM vehicles")
+ODD_CODES = ["S W1A 1AA", "SW1A  1AA", " n1 9gu ", "EC2V", "E C2V", "M1", "M", "W1A0AX", "B33 8T", "1AB 2CD"]
+
+
+@query(
+    "scl_s8_postcode_valid",
+    V + f""", c AS (SELECT vehicle_id, postcode FROM vehicles UNION ALL SELECT -vehicle_id, {pick_sql(ODD_CODES, "vehicle_id")} FROM vehicles)
+SELECT vehicle_id, regexp_full_match(upper(trim(postcode)), '[A-Z]{{1,2}}[0-9][A-Z0-9]?\\s*[0-9][A-Z]{{2}}|[A-Z]{{1,2}}[0-9][A-Z0-9]?') AS valid FROM c""",
+)
 def _(t):
-    return t.vehicles().select("vehicle_id", X.postcode_valid(F.col("postcode")).alias("valid"))
+    rows = t.vehicles()
+    both = rows.select("vehicle_id", "postcode").unionByName(rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_CODES, F.col("vehicle_id")).alias("postcode")))
+    return both.select("vehicle_id", X.postcode_valid(F.col("postcode")).alias("valid"))
 
 
-@query("scl_s9_registration", V + """, r AS (SELECT vehicle_id, upper(regexp_replace(registration, '[\\s-]+', '', 'g')) AS plate FROM vehicles)
+@query(
+    "scl_s9_registration",
+    V + """, r AS (SELECT vehicle_id, replace(upper(trim(registration)), ' ', '') AS raw FROM vehicles),
+p AS (SELECT vehicle_id, CASE WHEN regexp_full_match(raw, '[A-Z0-9]{2,8}') THEN raw END AS plate FROM r)
 SELECT vehicle_id, plate, CASE WHEN regexp_full_match(plate, '[A-Z]{2}[0-9]{2}[A-Z]{3}') THEN 'current' WHEN regexp_full_match(plate, '[A-Z][0-9]{1,3}[A-Z]{3}') THEN 'prefix'
-WHEN regexp_full_match(plate, '[A-Z]{3}[0-9]{1,3}[A-Z]') THEN 'suffix' WHEN regexp_full_match(plate, '([A-Z]{1,3}[0-9]{1,4}|[0-9]{1,4}[A-Z]{1,3})') THEN 'dateless' ELSE 'invalid' END AS kind FROM r""")
+WHEN regexp_full_match(plate, '[A-Z]{3}[0-9]{1,3}[A-Z]') THEN 'suffix' WHEN regexp_full_match(plate, '[0-9]{1,4}[A-Z]{1,3}') THEN 'dateless_numeric'
+WHEN regexp_full_match(plate, '[A-Z]{1,3}[0-9]{1,4}') THEN 'dateless_alpha' END AS kind FROM p""",
+)
 def _(t):
     plate = X.normal_registration(F.col("registration"))
     return t.vehicles().select("vehicle_id", plate.alias("plate"), X.registration_kind(plate).alias("kind"))
 
 
-@query("scl_s10_email", V + """, e AS (SELECT vehicle_id, email, lower(trim(email)) AS l FROM vehicles)
-SELECT vehicle_id, CASE WHEN regexp_full_match(l, '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}') THEN l END AS email, CASE WHEN contains(email, '@') THEN substr(email, 1, 1) || '***@' || split_part(email, '@', -1) ELSE '***' END AS masked FROM e""")
+ODD_EMAILS = ["o'neil@x.com", "j@x.org", "a@b@c.de", "@nope.com", "no.dot@host", "UP@X.Y ", "", "x@.y"]
+
+
+@query(
+    "scl_s10_email",
+    V + f""", e AS (SELECT vehicle_id, email FROM vehicles UNION ALL SELECT -vehicle_id, {pick_sql(ODD_EMAILS, "vehicle_id")} FROM vehicles),
+p AS (SELECT vehicle_id, email, contains(email, '@') AS has, split_part(email, '@', -1) AS domain, left(email, greatest(0, length(email) - length(split_part(email, '@', -1)) - 1)) AS local FROM e)
+SELECT vehicle_id, CASE WHEN has AND local <> '' AND contains(domain, '.') THEN trim(lower(email)) END AS email,
+CASE WHEN NOT has THEN '***' WHEN length(local) <= 1 THEN '*@' || domain ELSE left(local, 1) || '***@' || domain END AS masked FROM p""",
+)
 def _(t):
-    return t.vehicles().select("vehicle_id", X.normal_email(F.col("email")).alias("email"), X.mask_email(F.col("email")).alias("masked"))
+    rows = t.vehicles()
+    both = rows.select("vehicle_id", "email").unionByName(rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_EMAILS, F.col("vehicle_id")).alias("email")))
+    return both.select("vehicle_id", X.normal_email(F.col("email")).alias("email"), X.mask_email(F.col("email")).alias("masked"))
 
 
 @query("scl_s11_short_hash", V + "SELECT vehicle_id, substr(sha256(registration), 1, 8) AS hash FROM vehicles")
@@ -115,9 +165,22 @@ def _(t):
     return t.vehicles().select("vehicle_id", X.short_hash(F.col("registration")).alias("hash"))
 
 
-@query("scl_s12_sanitise", V + "SELECT vehicle_id, substr(trim(regexp_replace('<' || defect || '> ', '[<>\\x00-\\x1F]', '', 'g')), 1, 12) AS cleaned, substr(regexp_replace(registration || '(0) +44', '[^0-9+() -]', '', 'g'), 1, 20) AS phone FROM vehicles")
+#: Text as it comes in, and what is left of it.
+MARKUP = {
+    "<b>Ann</b> Lee": "Ann Lee", "  plain  ": "plain", "a < b & c": "a &lt; b &amp; c", "<script>x</script>": "x", "<!-- note -->": None, "R&amp;D": "R&amp;D",
+    "1 > 0": "1 &gt; 0", "<a href='/x'>link</a>, please": "link, please", "": None,
+}
+_CLEAN = f"CASE CAST(vehicle_id % {len(MARKUP)} AS INT) " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(MARKUP.values())) + " END"
+
+
+@query(
+    "scl_s12_sanitise",
+    V + f"SELECT vehicle_id, left({_CLEAN}, 12) AS cleaned, nullif(left(trim(regexp_replace('tel ' || registration || ' (0)  +44-1', '[^0-9\\s+()-]', '', 'g')), 20), '') AS phone FROM vehicles",
+)
 def _(t):
-    return t.vehicles().select("vehicle_id", X.clean_text(F.concat(F.lit("<"), "defect", F.lit("> ")), 12).alias("cleaned"), X.clean_phone(F.concat("registration", F.lit("(0) +44"))).alias("phone"))
+    k = F.col("vehicle_id")
+    phone = F.concat(F.lit("tel "), "registration", F.lit(" (0)  +44-1"))
+    return t.vehicles().select("vehicle_id", X.clean_text(pick(list(MARKUP), k), 12).alias("cleaned"), X.clean_phone(phone).alias("phone"))
 
 
 REGIME_SQL = f"CASE WHEN {in_sql('trim(upper(raw_make))', X.MOTORCYCLE_MAKES)} THEN 'Motorcycle' WHEN {in_sql('trim(upper(raw_make))', X.COMMERCIAL_MAKES)} THEN 'Commercial' ELSE 'Car' END"
@@ -140,10 +203,21 @@ def _(t):
     return t.vehicles().select("vehicle_id", X.body_type(F.col("model_id")).alias("body"))
 
 
-@query("scl_s16_cohort", V + f"""SELECT vehicle_id, CASE WHEN {any_sql("upper(model_id)", X.COHORT_VANS)} THEN 'commercial_van' WHEN {any_sql("upper(model_id)", X.SMALL_HATCHES)} THEN 'small_hatch'
-WHEN {in_sql("split_part(model_id, ' ', 1)", X.PREMIUM_MAKES)} THEN 'euro_premium' WHEN {any_sql("upper(model_id)", X.FRENCH_MODELS)} THEN 'french_compact' ELSE 'standard' END AS cohort FROM vehicles""")
+_VAN_IDS = ["RENAULT MASTER", "IVECO DAILY", "VOLKSWAGEN CRAFTER", "CITROEN DISPATCH", "MERCEDES-BENZ VITO", "FORD KA+", "VOLVO XC60", "CITROEN C4"]
+_COHORT = """CASE WHEN regexp_matches(upper(model_id), 'TRANSIT|SPRINTER|BOXER|TRAFIC|VIVARO|RELAY|MASTER|CRAFTER|DUCATO|DAILY|DISPATCH|TRANSPORTER|CADDY|BERLINGO|PARTNER|COMBO|PROACE|TALENTO|MOVANO|NV200|NV300|NV400') THEN 'commercial_van'
+WHEN regexp_matches(upper(model_id), 'CORSA|ADAM|VIVA|KA|500|PANDA|AYGO|YARIS|I10|I20|PICANTO|RIO|MICRA|NOTE|SWIFT|IGNIS|TWINGO|ZOE') THEN 'small_hatch'
+WHEN split_part(model_id, ' ', 1) IN ('BMW', 'MERCEDES-BENZ', 'MERCEDES', 'AUDI', 'PORSCHE', 'JAGUAR', 'VOLVO', 'LAND ROVER', 'LEXUS') THEN 'euro_premium'
+WHEN regexp_matches(upper(model_id), 'CLIO|MEGANE|CAPTUR|SCENIC|KADJAR|207|208|308|2008|3008|C3|C4|DS3|DS4') THEN 'french_compact' ELSE 'standard' END"""
+
+
+@query(
+    "scl_s16_cohort",
+    V + f", c AS (SELECT vehicle_id, model_id FROM vehicles UNION ALL SELECT -vehicle_id, {pick_sql(_VAN_IDS, 'vehicle_id')} FROM vehicles) SELECT vehicle_id, {_COHORT} AS cohort FROM c",
+)
 def _(t):
-    return t.vehicles().select("vehicle_id", X.vehicle_cohort(F.col("model_id"), X.first_word(F.col("model_id"))).alias("cohort"))
+    rows = t.vehicles()
+    both = rows.select("vehicle_id", "model_id").unionByName(rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(_VAN_IDS, F.col("vehicle_id")).alias("model_id")))
+    return both.select("vehicle_id", X.vehicle_cohort(F.col("model_id"), X.first_word(F.col("model_id"))).alias("cohort"))
 
 
 _RISKY = ["PEUGEOT 307", "FORD 500"]
@@ -167,9 +241,10 @@ def _(t):
     return t.vehicles().select("vehicle_id", *[c.alias(n) for n, c in X.mechanism_flags(F.col("defect")).items()])
 
 
-@query("scl_s20_component_key", V + "SELECT vehicle_id, regexp_replace(regexp_replace(regexp_replace(lower(trim('Risk_' || defect)), '^risk[ _]', ''), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key FROM vehicles")
+@query("scl_s20_component_key", V + "SELECT vehicle_id, replace(CASE WHEN vehicle_id % 2 = 0 THEN defect ELSE 'risk_' || defect END, ' ', '_') AS key FROM vehicles")
 def _(t):
-    return t.vehicles().select("vehicle_id", X.component_key(F.concat(F.lit("Risk_"), "defect")).alias("key"))
+    prefix = F.when(F.col("vehicle_id") % 2 == 0, "Risk_").otherwise("risk_")  # only the first spelling is a prefix
+    return t.vehicles().select("vehicle_id", X.component_key(F.concat(prefix, "defect")).alias("key"))
 
 
 LINKS_SQL = """links AS (SELECT page_id, regexp_extract(unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)), '^[^?#]*') AS link FROM pages)"""
@@ -200,8 +275,27 @@ def _age_column():
 _banded("scl_b1_age_band", AGE_SQL.replace("age_years", f"({_age})"), lambda: R.age_band(_age_column()))
 _banded("scl_b2_mileage_band", MILEAGE_SQL.replace("test_mileage", "(test_mileage * 6 - 20000)"), lambda: R.mileage_band(F.col("test_mileage") * 6 - 20000))
 _banded("scl_b3_serving_age_band", bands_sql("age_years", R.SERVING_AGE_BANDS, "15+", closed=True), lambda: R.serving_age_band(F.col("age_years")))
-_banded("scl_b4_closed_bins", bands_sql("line", [(0, "0"), (2, "1-2"), (5, "3-5"), (10, "6-10")], "10+", closed=True) + " || ' ' || " + bands_sql("coalesce(nullif(test_mileage, 0), 50000)", R.MILEAGE_BANDS, "100k+", closed=True), lambda: F.concat_ws(" ", R.tests_band(F.col("line")), R.closed_mileage_band(F.nullif("test_mileage", F.lit(0)))))
-_banded("scl_b5_age_key", f"CASE {AGE_SQL} WHEN '0-2' THEN '0-3' WHEN '3-5' THEN '3-5' WHEN '6-10' THEN '6-10' ELSE '10+' END", lambda: R.age_key(R.age_band(F.col("age_years"))))
+_banded(
+    "scl_b4_closed_bins",
+    "CASE WHEN line * 2 - 2 <= 0 THEN '0-2' WHEN line * 2 - 2 <= 2 THEN '3-5' WHEN line * 2 - 2 <= 5 THEN '6-10' WHEN line * 2 - 2 <= 10 THEN '11-15' ELSE '15+' END || ' ' || "
+    "CASE WHEN test_mileage <= 30000 THEN '0-30k' WHEN test_mileage <= 60000 THEN '30k-60k' WHEN test_mileage <= 100000 THEN '60k-100k' ELSE '100k+' END",
+    lambda: F.concat_ws(" ", R.tests_band(F.col("line") * 2 - 2), R.closed_mileage_band(F.col("test_mileage"))),
+)
+FINE_BANDS = ["1-2", "8-9", "UNKNOWN", "Unknown", "11-15", "4-5", "15+", "0-3", "10-11", "3-5", "5-6"]
+
+
+@query(
+    "scl_b5_age_key",
+    f"WITH b AS (SELECT CASE WHEN p_partkey % 13 < 11 THEN {pick_sql(FINE_BANDS, 'p_partkey % 13')} END AS band FROM part) SELECT coalesce(band, 'null') AS band, "
+    "CASE WHEN band IS NULL OR band = 'UNKNOWN' THEN 'Unknown' WHEN band IN ('1-2', '0-3') THEN '0-2' WHEN band IN ('4-5', '3-5') THEN '3-5' WHEN band IN ('8-9', '5-6') THEN '6-10' "
+    "WHEN band IN ('11-15', '10-11') THEN '11-15' ELSE '15+' END AS key, count(*) AS n FROM b GROUP BY ALL",
+)
+def _(t):
+    band = F.when(F.col("p_partkey") % 13 < 11, pick(FINE_BANDS, F.least(F.col("p_partkey") % 13, F.lit(10))))
+    rows = t("part").select(band.alias("band"))
+    return rows.groupBy(F.coalesce("band", F.lit("null")).alias("band"), R.age_key(F.col("band")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _banded("scl_b6_gap_band", bands_sql("age_years * 30", R.GAP_BANDS, "very_late"), lambda: R.gap_band(F.col("age_years") * 30))
 _banded("scl_b7_usage_band", bands_sql("test_mileage / 5", R.USAGE_BANDS, "very_high"), lambda: R.usage_band(F.col("test_mileage") / 5))
 
@@ -212,19 +306,28 @@ def _(t):
 
 
 @query("scl_b9_negligence", f"""WITH {HISTORY}, c AS (SELECT vehicle_id, sum(advisory) AS a, count(*) AS n FROM history GROUP BY vehicle_id), r AS (SELECT vehicle_id, least(a::DOUBLE / n, 1.0) AS ratio FROM c)
-SELECT vehicle_id, round(ratio, 6) AS ratio, CASE WHEN ratio <= 0 THEN 'clean' WHEN ratio < 0.3 THEN 'low' WHEN ratio < 0.6 THEN 'medium' ELSE 'high' END AS band FROM r""")
+SELECT vehicle_id, round(ratio, 6) AS ratio, CASE WHEN ratio <= 0 THEN 'clean' WHEN ratio < 0.3 THEN 'low' WHEN ratio < 0.6 THEN 'high' ELSE 'chronic' END AS band FROM r""")
 def _(t):
     ratio, band = R.negligence(F.col("a"), F.col("n"))
     return t.history().groupBy("vehicle_id").agg(F.sum("advisory").alias("a"), F.count(F.lit(1)).alias("n")).select("vehicle_id", F.round(ratio, 6).alias("ratio"), band.alias("band"))
 
 
-@query("scl_b10_risk_levels", f"""WITH {CUBE} SELECT model_id, age_band, mileage_band, CASE WHEN risk >= 0.35 THEN 'high' WHEN risk >= 0.2 THEN 'medium' ELSE 'low' END AS email,
-CASE WHEN risk_brakes >= 0.15 THEN 'high' WHEN risk_brakes >= 0.08 THEN 'medium' ELSE 'low' END AS fault, CASE WHEN risk * 100 >= 50 THEN 'high' WHEN risk * 100 >= 30 THEN 'medium' ELSE 'low' END AS report FROM cube""")
+@query(
+    "scl_b10_risk_levels",
+    f"""WITH {CUBE} SELECT model_id, age_band, mileage_band, CASE WHEN risk >= 0.35 THEN 'HIGH' WHEN risk >= 0.2 THEN 'MODERATE' ELSE 'LOW' END AS email,
+CASE WHEN risk_brakes >= 0.15 THEN 'High' WHEN risk_brakes >= 0.08 THEN 'Medium' ELSE 'Low' END AS fault, CASE WHEN risk * 100 > 50 THEN 'high' WHEN risk * 100 > 30 THEN 'medium' ELSE 'low' END AS report FROM cube""",
+)
 def _(t):
-    return t.cube().select("model_id", "age_band", "mileage_band", R.cut_class(F.col("risk"), 0.35, 0.20).alias("email"), R.cut_class(F.col("risk_brakes"), 0.15, 0.08).alias("fault"), R.cut_class(F.col("risk") * 100, 50, 30).alias("report"))
+    report = R.below(F.col("risk") * 100, [(30, "low"), (50, "medium")], "high", closed=True)
+    email, fault = R.cut_class(F.col("risk"), 0.35, 0.20, ("HIGH", "MODERATE", "LOW")), R.cut_class(F.col("risk_brakes"), 0.15, 0.08, ("High", "Medium", "Low"))
+    return t.cube().select("model_id", "age_band", "mileage_band", email.alias("email"), fault.alias("fault"), report.alias("report"))
 
 
-@query("scl_b11_verdict", f"WITH {CUBE} SELECT CASE WHEN risk < 0.15 THEN 'low' WHEN risk < 0.3 THEN 'moderate' WHEN risk < 0.45 THEN 'elevated' ELSE 'high' END AS verdict, count(*) AS cells, sum(n)::BIGINT AS n FROM cube GROUP BY 1")
+@query(
+    "scl_b11_verdict",
+    f"WITH {CUBE} SELECT CASE WHEN risk < 0.15 THEN 'Good reliability' WHEN risk < 0.3 THEN 'Moderate reliability' WHEN risk < 0.45 THEN 'Below average reliability' "
+    "ELSE 'High risk vehicle' END AS verdict, count(*) AS cells, sum(n)::BIGINT AS n FROM cube GROUP BY 1",
+)
 def _(t):
     return t.cube().groupBy(R.verdict(F.col("risk")).alias("verdict")).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"))
 
@@ -356,20 +459,36 @@ def _(t):
     return counts(t).select("vehicle_id", *[(flags[a] * flags[b]).alias(f"{a}_{b}") for a, b in _PAIRS], systems.alias("systems"), (systems >= 2).cast("int").alias("multi"))
 
 
-@query("scl_m12_decay_index", COUNTS + """, d AS (SELECT vehicle_id, least(0.02 * brakes, 1.0) AS b, least(0.02 * suspension, 1.0) AS su, least(0.02 * steering, 1.0) AS st, least(0.02 * tyres, 1.0) AS x FROM c)
-SELECT vehicle_id, round(greatest(b, su, st, x), 6) AS decay, CASE WHEN greatest(b, su, st, x) <= 0 THEN 'none' WHEN b >= greatest(su, st, x) THEN 'brake' WHEN su >= greatest(st, x) THEN 'suspension' WHEN st >= x THEN 'steering' ELSE 'structure' END AS driver FROM d""")
+_SYSTEMS = ("brakes", "suspension", "steering", "tyres")
+_FEW = "d AS (SELECT vehicle_id, brakes % 4 AS b, suspension % 4 AS su, steering % 5 AS st, tyres % 7 AS x FROM c)"  # small counts, zeros among them
+
+
+def _few(t):
+    return counts(t).select("vehicle_id", *[(F.col(c) % m).alias(c) for c, m in zip(_SYSTEMS, (4, 4, 5, 7), strict=True)])
+
+
+@query(
+    "scl_m12_decay_index",
+    COUNTS + f""", {_FEW} SELECT vehicle_id, round(least(0.2 * greatest(b, su, st, x), 1.0), 6) AS decay,
+CASE WHEN greatest(b, su, st, x) = 0 THEN 'CLEAN' WHEN least(b, 5) >= least(greatest(su, st, x), 5) THEN 'BRAKE' WHEN least(su, 5) >= least(greatest(st, x), 5) THEN 'SUSP'
+WHEN least(st, 5) >= least(x, 5) THEN 'STEER' ELSE 'STRUCT' END AS driver FROM d""",
+)
 def _(t):
-    parts = {n: F.least(0.02 * F.col(c), F.lit(1.0)) for n, c in (("brake", "brakes"), ("suspension", "suspension"), ("steering", "steering"), ("structure", "tyres"))}
-    top = F.greatest(*parts.values())
-    return counts(t).select("vehicle_id", F.round(top, 6).alias("decay"), F.when(top <= 0, "none").otherwise(R.first_argmax(parts)).alias("driver"))
+    index, driver = R.decay(dict(zip(("BRAKE", "SUSP", "STEER", "STRUCT"), map(F.col, _SYSTEMS), strict=True)))
+    return _few(t).select("vehicle_id", F.round(index, 6).alias("decay"), driver.alias("driver"))
 
 
-@query("scl_m13_text_indices", COUNTS + """ SELECT vehicle_id, round(ln(1 + brakes), 6) AS corrosion_log, round(ln(1 + suspension), 6) AS wear_log, (brakes > 0)::INT + (suspension > 0)::INT + (steering > 0)::INT + (tyres > 0)::INT AS mechanisms,
-CASE WHEN greatest(brakes, suspension, steering, tyres) = 0 THEN 'none' WHEN brakes >= greatest(suspension, steering, tyres) THEN 'corrosion' WHEN suspension >= greatest(steering, tyres) THEN 'wear' WHEN steering >= tyres THEN 'leak' ELSE 'damage' END AS dominant FROM c""")
+@query(
+    "scl_m13_text_indices",
+    COUNTS + f""", {_FEW}, e AS (SELECT *, vehicle_id % 3 AS tests FROM d) SELECT vehicle_id, round(ln(1 + b), 6) AS corrosion_log, round(ln(1 + su), 6) AS wear_log,
+(b > 0)::INT AS has_corrosion, (b > 0)::INT + (su > 0)::INT + (st > 0)::INT + (x > 0)::INT AS mechanisms, CASE WHEN greatest(b, su, st, x) = 0 THEN CASE WHEN tests > 0 THEN 'CLEAN' ELSE 'NO_HISTORY' END
+WHEN b >= greatest(su, st, x) THEN 'CORROSION' WHEN su >= greatest(st, x) THEN 'WEAR' WHEN st >= x THEN 'LEAK' ELSE 'DAMAGE' END AS dominant FROM e""",
+)
 def _(t):
-    named = dict(zip(("corrosion", "wear", "leak", "damage"), (F.col(c).cast("double") for c in ("brakes", "suspension", "steering", "tyres")), strict=True))
-    kinds = sum(((c > 0).cast("int") for c in named.values()), F.lit(0))
-    return counts(t).select("vehicle_id", F.round(F.log1p("brakes"), 6).alias("corrosion_log"), F.round(F.log1p("suspension"), 6).alias("wear_log"), kinds.alias("mechanisms"), F.when(kinds == 0, "none").otherwise(R.first_argmax(named)).alias("dominant"))
+    named = dict(zip(("corrosion", "wear", "leak", "damage"), map(F.col, _SYSTEMS), strict=True))
+    kinds, dominant = R.mechanisms(named, F.col("vehicle_id") % 3)
+    logs = [F.round(F.log1p("brakes"), 6).alias("corrosion_log"), F.round(F.log1p("suspension"), 6).alias("wear_log"), (F.col("brakes") > 0).cast("int").alias("has_corrosion")]
+    return _few(t).select("vehicle_id", *logs, kinds.alias("mechanisms"), dominant.alias("dominant"))
 
 
 PLATT_SQL = f"1 / (1 + exp(-({R.PLATT_A} * greatest(1e-8, least(1 - 1e-8, risk)) + ({R.PLATT_B}))))"
@@ -380,14 +499,15 @@ def _(t):
     return t.cube().select("model_id", "age_band", "mileage_band", F.round(R.platt(F.col("risk")), 4).alias("calibrated"))
 
 
-@query("scl_m15_calibration_check", f"""WITH {CUBE}, s AS (SELECT least(9, floor(risk * 10)) AS bucket, risk, {PLATT_SQL} AS cal FROM cube), o AS (SELECT *, lag(cal) OVER (PARTITION BY bucket ORDER BY risk, cal) AS before FROM s)
-SELECT CAST(bucket AS INT) AS bucket, count(*) AS n, count(*) FILTER (cal <= 0 OR cal >= 1) AS outside, count(*) FILTER (cal < before) AS falling FROM o GROUP BY bucket""")
+@query(
+    "scl_m15_calibration_check",
+    f"""WITH {CUBE}, s AS (SELECT least(9, floor(risk * 10)) AS bucket, risk, {PLATT_SQL} - CASE WHEN n % 3 = 0 THEN 0.05 ELSE 0 END AS cal FROM cube),
+o AS (SELECT *, lag(cal) OVER (ORDER BY risk, cal) AS before FROM s)
+SELECT CAST(bucket AS INT) AS bucket, count(*) AS n, count(*) FILTER (cal <= 0 OR cal >= 1) AS outside, count(*) FILTER (cal < before) AS falling FROM o GROUP BY bucket""",
+)
 def _(t):
-    from pyspark.sql import Window
-
-    rows = t.cube().select(F.least(F.lit(9), F.floor(F.col("risk") * 10)).cast("int").alias("bucket"), "risk", R.platt(F.col("risk")).alias("cal"))
-    rows = rows.withColumn("before", F.lag("cal").over(Window.partitionBy("bucket").orderBy("risk", "cal")))
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("cal") <= 0) | (F.col("cal") >= 1)).alias("outside"), F.count_if(F.col("cal") < F.col("before")).alias("falling"))
+    calibrated = R.platt(F.col("risk")) - F.when(F.col("n") % 3 == 0, 0.05).otherwise(0.0)  # not monotone, so that falls are found
+    return M.calibration_check(t.cube().select("risk", calibrated.alias("cal")), "risk", "cal")
 
 
 @query("scl_m16_reliability_score", f"WITH {CUBE} SELECT model_id, age_band, mileage_band, CAST(floor((1 - risk) * 100 + 0.5) AS BIGINT) AS score FROM cube")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadlens.functions import rules as R
 from roadlens.operators import cube as C
 from roadlens.operators import history as H
+from roadlens.operators import metrics as M
 
 from .base import BANDED, CUBE, DEFECTS, HISTORY, INSPECTIONS, pick_sql, pick, query
 from .relational import RATES, count, rates
@@ -70,13 +71,14 @@ def _(t):
     return rows.select("test_id", hold(F.col("r") - F.col("flagged_prior") / F.greatest("n_prior", F.lit(1)), -1.0, 1.0).alias("trend"), hold(F.col("r") / F.greatest(F.col("flagged_prior").cast("double"), F.lit(0.1)), 0.0, 3.0).alias("intensity"))
 
 
-@query("wn08_advisory_trend", HI + f", d AS (SELECT vehicle_id, test_date, sum(advisory) AS a FROM history GROUP BY ALL), p AS (SELECT *, lag(a) OVER (PARTITION BY vehicle_id ORDER BY test_date) AS b, row_number() OVER (PARTITION BY vehicle_id ORDER BY test_date DESC) AS r FROM d) SELECT vehicle_id, CASE WHEN b IS NULL THEN 'unknown' WHEN a > b THEN 'increasing' WHEN a < b THEN 'decreasing' ELSE 'stable' END AS trend FROM p WHERE r = 1")
+@query(
+    "wn08_advisory_trend",
+    HI + f""", r AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY test_ts DESC, test_id DESC) AS r FROM history),
+p AS (SELECT vehicle_id, count(*) AS n, sum(advisory) FILTER (r = 1) AS a, sum(advisory) FILTER (r = 2) AS b FROM r WHERE r <= 2 GROUP BY 1)
+SELECT vehicle_id, CASE WHEN n < 2 THEN 'unknown' WHEN a > b THEN 'increasing' WHEN a < b THEN 'decreasing' ELSE 'stable' END AS trend FROM p""",
+)
 def _(t):
-    days = t.history().groupBy("vehicle_id", "test_date").agg(F.sum("advisory").alias("a"))
-    w = Window.partitionBy("vehicle_id").orderBy("test_date")
-    b = F.lag("a").over(w)
-    trend = F.when(b.isNull(), "unknown").when(F.col("a") > b, "increasing").when(F.col("a") < b, "decreasing").otherwise("stable")
-    return days.withColumn("trend", trend).groupBy("vehicle_id").agg(F.max_by("trend", "test_date").alias("trend"))
+    return H.advisory_trend(t.history(), "advisory")
 
 
 _STREAKS = HI + f", r AS (SELECT *, {R_DESC} AS r FROM history), s AS (SELECT vehicle_id, count(*) AS tests, coalesce(min(r) FILTER (advisory = 1) - 1, 999) AS since_advisory, coalesce(min(r) FILTER (advisory <> 1) - 1, count(*)) AS streak_advisory, max((advisory = 1 AND r <= 1)::INT) AS last1_advisory, max((advisory = 1 AND r <= 2)::INT) AS last2_advisory, max(advisory) AS ever_advisory, coalesce(min(r) FILTER (failed = 1) - 1, 999) AS since_failed, coalesce(min(r) FILTER (failed <> 1) - 1, count(*)) AS streak_failed, max((failed = 1 AND r <= 1)::INT) AS last1_failed, max((failed = 1 AND r <= 2)::INT) AS last2_failed, max(failed) AS ever_failed FROM r GROUP BY 1) "
@@ -119,10 +121,17 @@ def _(t):
     return rows.select("test_id", F.when(F.abs(F.col("annual") - F.col("reading") * 200) > 5000, 1).otherwise(0).alias("mismatch"), F.col("before").isNotNull().cast("int").alias("has_prev"), F.when((F.col("annual") > 0) & (F.col("annual") < 50000), 1).otherwise(0).alias("plausible"))
 
 
-@query("wn17_serving_mileage", MILES + " SELECT test_id, round(round(CASE WHEN delta * 365.0 / CASE WHEN days > 0 THEN days END > 50000 THEN before ELSE odo END, 1) * 0.621371, 3) AS miles FROM g")
+@query(
+    "wn17_serving_mileage",
+    MILES + """, u AS (SELECT *, test_id % 2 = 0 AS km, round_even(odo, 0) AS o, round_even(before, 0) AS p FROM g),
+m AS (SELECT *, CASE WHEN km THEN round_even(o * 0.621371, 0) ELSE o END AS now, CASE WHEN km THEN round_even(p * 0.621371, 0) ELSE p END AS last FROM u),
+f AS (SELECT *, coalesce(days > 0 AND now > last AND (now - last) * 365.0 / nullif(days, 0) > 50000, false) AS odd FROM m)
+SELECT test_id, CASE WHEN odd THEN last ELSE now END AS miles, CAST(odd AS INT) AS implausible FROM f""",
+)
 def _(t):
-    yearly = F.try_divide(F.col("delta") * 365.0, F.when(F.col("days") > 0, F.col("days")))
-    return miles(t).select("test_id", F.round(F.round(F.when(yearly > 50000, F.col("before")).otherwise(F.col("odo")), 1) * 0.621371, 3).alias("miles"))
+    unit = F.when(F.col("test_id") % 2 == 0, "KM").otherwise("mi")
+    reading, odd = H.serving_reading(F.bround("odo"), unit, F.bround("before"), F.col("days"))
+    return miles(t).select("test_id", reading.alias("miles"), odd.alias("implausible"))
 
 
 @query("wn18_display_mileage", MILES + f", f AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY test_ts DESC, test_id DESC) AS r, days > 0 AND (delta < 0 OR delta * 365.0 / nullif(days, 0) > 50000) AS odd FROM g) SELECT vehicle_id, round(CASE WHEN odd THEN before ELSE odo END, 3) AS miles, coalesce(odd, false) AS anomaly FROM f WHERE r = 1")
@@ -150,10 +159,13 @@ def _(t):
     return rates(t).select("model_id", F.row_number().over(Window.orderBy(F.desc("risk"), "model_id")).alias("place"))  # over models, not rows
 
 
-@query("wn24_mileage_percentile", f"WITH {BANDED} SELECT vehicle_id, round(sum(p), 5) AS percentile FROM (SELECT vehicle_id, percent_rank() OVER (PARTITION BY make, age_band ORDER BY test_mileage) AS p FROM banded) GROUP BY 1")
+@query(
+    "wn24_mileage_percentile",
+    f"WITH {BANDED} SELECT vehicle_id, round(sum(p), 5) AS percentile FROM (SELECT vehicle_id, percent_rank() OVER (PARTITION BY make, age_band ORDER BY test_mileage) AS p FROM banded) GROUP BY 1",
+)
 def _(t):
-    place = F.percent_rank().over(Window.partitionBy("make", "age_band").orderBy("test_mileage"))
-    return t.banded().select("vehicle_id", place.alias("p")).groupBy("vehicle_id").agg(F.round(F.sum("p"), 5).alias("percentile"))
+    ranked = M.percent_ranks(t.banded().select("vehicle_id", "make", "age_band", "test_mileage"), "test_mileage", ["make", "age_band"], "p")
+    return ranked.groupBy("vehicle_id").agg(F.round(F.sum("p"), 5).alias("percentile"))
 
 
 _PRIORS = f"WITH {INSPECTIONS}, m AS (SELECT make, year(test_date) * 12 + month(test_date) AS month, sum(target) AS f, count(*) AS n FROM inspections GROUP BY ALL), s AS (SELECT make, month, sum(f) OVER (PARTITION BY make ORDER BY month RANGE BETWEEN 36 PRECEDING AND 1 PRECEDING) AS lf, sum(n) OVER (PARTITION BY make ORDER BY month RANGE BETWEEN 36 PRECEDING AND 1 PRECEDING) AS ln, sum(f) OVER (PARTITION BY make ORDER BY month RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING) AS sf, sum(n) OVER (PARTITION BY make ORDER BY month RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING) AS sn FROM m), g AS (SELECT avg(target) AS r FROM inspections), e AS (SELECT make, month, (lf + 20 * r) / (ln + 20) AS long, (sf + 20 * r) / (sn + 20) AS short FROM s, g WHERE ln IS NOT NULL AND sn IS NOT NULL)"
@@ -170,10 +182,16 @@ def _(t):
     return shrunk.select("make", "month", F.round("long", 9).alias("long"), F.round("short", 9).alias("short"), F.round(F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.col("short") / F.col("long"))), 9).alias("drift"))
 
 
-@query("wn26_days_late", HI + f", d AS (SELECT test_id, date_diff('day', lag(test_date) OVER {W}, test_date) AS days FROM history) SELECT test_id, greatest(0, coalesce(days, 0) - 1) AS late, days - 365 AS train_late FROM d")
+@query(
+    "wn26_days_late",
+    HI + """, d AS (SELECT test_id, test_date, date_diff('day', lag(test_date) OVER {W}, test_date) AS days, lag(test_date + CAST(test_id % 5 AS INT)) OVER {W} AS expiry FROM history)
+SELECT test_id, CASE WHEN expiry IS NULL THEN 0 ELSE greatest(0, date_diff('day', expiry, test_date)) END AS late, coalesce(days, 730) - 365 AS train_late FROM d""".replace("{W}", W),
+)
 def _(t):
+    """Every test has an expiry date some days after it, which the next test is held against."""
+    expiry = F.lag(F.date_add("test_date", (F.col("test_id") % 5).cast("int"))).over(H.oldest_first())
     days = F.datediff("test_date", F.lag("test_date").over(H.oldest_first()))
-    return t.history().select("test_id", F.greatest(F.lit(0), F.coalesce(days, F.lit(0)) - 1).alias("late"), (days - 365).alias("train_late"))
+    return t.history().select("test_id", H.days_late(F.col("test_date"), expiry).alias("late"), H.training_days_late(days).alias("train_late"))
 
 
 @query("wn27_severity", HI + f", c AS (SELECT test_id, coalesce(sum(failed) OVER {P}, 0) AS f, coalesce(sum(advisory) OVER {P}, 0) AS a, coalesce(sum(failed) OVER (PARTITION BY vehicle_id ORDER BY test_ts, test_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) - coalesce(sum(failed) OVER (PARTITION BY vehicle_id ORDER BY test_ts, test_id ROWS BETWEEN 4 PRECEDING AND 3 PRECEDING), 0) AS trend FROM history) SELECT test_id, CASE WHEN f > 0 THEN 2 WHEN a > 0 THEN 1 ELSE 0 END AS severity, (trend > 0)::INT AS escalation FROM c")

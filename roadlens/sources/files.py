@@ -13,9 +13,11 @@ HISTORY_SCHEMA = "registration string, make string, motTests array<struct<comple
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir (a temporary one only where that is not set)."""
+    """A fresh path in the shared folder of spark.checkpoint.dir; where that is not set, in a temporary one, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

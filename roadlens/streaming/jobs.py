@@ -13,17 +13,22 @@ from roadlens.sources.files import new_folder
 def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, label: str = "stream") -> DataFrame:
     """Process all that is available into a Parquet table and return it. Complete results replace the table, others append."""
     spark = stream.sparkSession
-    out, state = new_folder(spark, label), new_folder(spark, f"{label}-state")
+    out, state = new_folder(spark, label), f"{label}-state"
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that is run again after a failure replaces its own folder
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(each or write).start()
-    query.awaitTermination()
+    run_stream(stream, each or write, state, mode)
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
+def run_stream(stream: DataFrame, each: Callable[[DataFrame, int], object], label: str, mode: str = "append") -> None:
+    """Hand all that is available to `each` (batch, number), with the state in a checkpoint of the shared folder."""
+    state = new_folder(stream.sparkSession, label)
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda b, n: each(b, n) and None).start().awaitTermination()
+
+
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
@@ -42,6 +47,39 @@ def first_signups(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
+def age_band(posts: DataFrame, now: str, least_hours: int = 1, most_hours: int = 48) -> DataFrame:
+    """posts with their age against `now`: too_new, in_band or too_old."""
+    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("ts")) / 3.6e9
+    return posts.withColumn("band", F.when(age < least_hours, "too_new").when(age > most_hours, "too_old").otherwise("in_band"))
+
+
+def append_log(rows: DataFrame, number: int, path: str, backup: str, write: Callable[[DataFrame, str], None] | None = None) -> str:
+    """Write a batch to its own folder of the log; if that fails, its rows go to the backup as JSON. Returns where they went.
+
+    A batch that runs again replaces its own folder, so the log holds each batch once.
+    """
+    target = f"{path}/batch={number}"
+    try:
+        (write or (lambda df, to: df.write.mode("overwrite").parquet(to)))(rows, target)
+        return target
+    except Exception:  # whatever the log's store raises; the rows must not be lost
+        rows.write.mode("overwrite").json(f"{backup}/batch={number}")
+        return f"{backup}/batch={number}"
+
+
+def replay(spark: SparkSession, path: str, backup: str, schema: str) -> DataFrame:
+    """The log and, after it, what the backup holds for batches that the log lacks."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(backup)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.read.schema(f"{schema}, batch int").parquet(path).drop("batch")
+    held = spark.read.schema(f"{schema}, batch int").json(backup)
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not base.getFileSystem(spark._jsc.hadoopConfiguration()).exists(base):
+        return held.drop("batch")
+    logged = spark.read.schema(f"{schema}, batch int").parquet(path)
+    return logged.unionByName(held.join(logged.select("batch").distinct(), "batch", "left_anti")).drop("batch")
+
+
 def sessions(events: DataFrame, gap: str, steps: dict[str, Column]) -> DataFrame:
     """user_id, start, n and step flags of each session."""
     watermarked = events.withWatermark("ts", "2 days") if events.isStreaming else events

@@ -1,6 +1,7 @@
 """Edge values, golden constants and properties of the column functions."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,8 +64,60 @@ def test_makers_models_and_plates(spark):
     assert values(spark, [(m,) for m in makes], "v string", X.canonical_make(F.col("v"))) == ["OPEL", "LAND ROVER", "FORD", None, None, "ASTON MARTIN", None, None]
     models = [("BMW 320D SE", "BMW"), ("FORD FIESTA 1.4L", "FORD"), ("FORD ZETEC", "FORD"), ("FORD 500", "FORD"), ("MG 3 STYLE", "MG"), (None, "MG")]
     assert [r[0] for r in spark.createDataFrame(models, "m string, k string").select(X.base_model(F.col("m"), F.col("k"))).collect()] == ["3 SERIES", "FIESTA", None, None, "3", None]
-    plates = ["AB12CDE", "A123BCD", "ABC123D", "AB1234", "ABCDEFGH", "1234567"]
-    assert values(spark, [(p,) for p in plates], "v string", X.registration_kind(F.col("v"))) == ["current", "prefix", "suffix", "dateless", "invalid", "invalid"]
+    plates = ["AB12CDE", "A123BCD", "ABC123D", "AB1234", "1234AB", "1A", "ABCDEFGH", "1234567"]
+    kinds = ["current", "prefix", "suffix", "dateless_alpha", "dateless_numeric", "dateless_numeric", None, None]
+    assert values(spark, [(p,) for p in plates], "v string", X.registration_kind(F.col("v"))) == kinds
+    asked = ["AB12 CDE", "A1ABC", "1A", "A", "ABCDEFGH", "ABCDEF", "123456", None]
+    assert values(spark, [(p,) for p in asked], "v string", X.registration_valid(F.col("v"))) == [True, True, True, False, False, False, False, False]
+    raw = ["ab 12 cde", " ab12cde\n", "ZZ-99-ZZZ", "A", "ABCDEFGHI", "", None, "AB1\t2"]
+    assert values(spark, [(p,) for p in raw], "v string", X.normal_registration(F.col("v"))) == ["AB12CDE", "AB12CDE", None, None, None, None, None, None]
+
+
+def test_names_and_slugs(spark):
+    def on(column, texts):
+        return values(spark, [(t,) for t in texts], "v string", column)
+
+    v = F.col("v")
+    assert on(X.slugify(v), ["3 SERIES", "LAND ROVER", "Lamps & Electrics", "a - b", " x ", "C-CLASS (W205)", "é"]) == ["3-series", "land-rover", "lamps-and-electrics", "a---b", "x", "c-class-w205", ""]
+    assert on(X.display_name(v), ["FORD", "BMW", "mg", "LAND ROVER", "BMW 320D SE", "MERCEDES-BENZ", "A3", "C'EED", ""]) == ["Ford", "BMW", "mg", "Land Rover", "Bmw 320D Se", "Mercedes-Benz", "A3", "C'Eed", ""]
+    made = spark.createDataFrame([("ROLLS ROYCE GHOST",), ("Ds Automobiles DS 3",), ("MG",), ("ford FOCUS ST",)], "v string")
+    make, model = X.split_make(v)
+    assert [tuple(r) for r in made.select(make, model).collect()] == [("Rolls Royce", "Ghost"), ("Ds Automobiles", "Ds 3"), ("MG", ""), ("Ford", "Focus St")]
+    assert on(X.component_key(v), ["Risk_Brakes", "Lamps Reflectors", "risk_x"]) == ["Brakes", "Lamps_Reflectors", "risk_x"]
+    assert on(X.clean_text(v, 20), ["<b>a</b> & b", "<x", "<!-- c -->", None]) == ["a &amp; b", "&lt;x", None, None]
+
+
+def test_postcodes_and_emails(spark):
+    def on(column, texts):
+        return values(spark, [(t,) for t in texts], "v string", column)
+
+    v = F.col("v")
+    assert on(X.postcode_area(v), ["SW1A 1AA", " n1", "QQ", "SW", "1AB", "", None]) == ["SW", "N", "QQ", "SW", None, None, None]
+    assert on(X.postcode_valid(v), ["SW1A 1AA", "SW1A1AA", "S W1A 1AA", "EC2V", "M1  1AE", "QQ", "", None]) == [True, True, False, True, True, False, False, False]
+    assert on(X.normal_email(v), ["o'neil@X.com ", "a@b@c.de", "@x.com", "a@b", "none", None]) == ["o'neil@x.com", "a@b@c.de", None, None, None, None]
+    assert on(X.mask_email(v), ["john@example.com", "j@x.org", "@x.org", "none", "", None]) == ["j***@example.com", "*@x.org", "*@x.org", "***", "***", "***"]
+    assert on(X.in_areas(v, ["N"]), ["N1 9GU", "NW1", None]) == [True, False, False] and on(X.in_areas(v, ["N"], True), ["N1 9GU", "NW1", None]) == [True, True, False]
+
+
+def test_reference_bands_and_labels(spark):
+    def on(column, rows, kind="double"):
+        return values(spark, [(x,) for x in rows], f"v {kind}", column)
+
+    v = F.col("v")
+    assert on(R.tests_band(v), [None, 0, 1, 2, 3, 5, 6, 10, 11], "int") == ["0-2", "0-2", "3-5", "3-5", "6-10", "6-10", "11-15", "11-15", "15+"]
+    assert on(R.age_key(v), ["1-2", "8-9", "UNKNOWN", None, "11-15", "15+", "Unknown"], "string") == ["0-2", "6-10", "Unknown", "Unknown", "11-15", "15+", "15+"]
+    assert on(R.verdict(v), [0.1, 0.15, 0.3, 0.45]) == ["Good reliability", "Moderate reliability", "Below average reliability", "High risk vehicle"]
+    assert on(R.negligence(v, F.lit(10))[1], [0, 2, 3, 6, 20], "int") == ["clean", "low", "high", "chronic", "chronic"]
+    assert on(R.negligence(v, F.lit(0))[1], [3], "int") == ["clean"]
+    vans = [("RENAULT MASTER", "commercial_van"), ("IVECO DAILY", "commercial_van"), ("MERCEDES-BENZ VITO", "euro_premium"), ("FORD KA+", "small_hatch"), ("CITROEN C4", "french_compact"), ("SKODA X", "standard")]
+    assert on(X.vehicle_cohort(v, X.first_word(v)), [m for m, _ in vans], "string") == [c for _, c in vans]
+    counts = spark.createDataFrame([(0, 0, 0, 0), (1, 1, 0, 0), (0, 2, 3, 3), (9, 7, 0, 0), (0, 0, 0, 1)], "a int, b int, c int, d int")
+    index, driver = R.decay(dict(zip(("BRAKE", "SUSP", "STEER", "STRUCT"), map(F.col, "abcd"), strict=True)))
+    assert [r[0] for r in counts.select(driver).collect()] == ["CLEAN", "BRAKE", "STEER", "BRAKE", "STRUCT"] and [r[0] for r in counts.select(F.round(index, 6)).collect()] == [0.0, 0.2, 0.6, 1.0, 0.2]
+    kinds, dominant = R.mechanisms(dict(zip(("corrosion", "wear", "leak", "damage"), map(F.col, "abcd"), strict=True)), F.col("b") - 1)
+    assert [tuple(r) for r in counts.select(kinds, dominant).collect()] == [(0, "NO_HISTORY"), (2, "CORROSION"), (3, "LEAK"), (2, "CORROSION"), (1, "DAMAGE")]
+    asks = ["My MOT failed?", "the motor runs", "annual test: should I worry", "mot check", "MOT due, any advice before the test", None]
+    assert on(X.relevant(v), asks, "string") == [True, False, True, False, True, False]
 
 
 def test_remap_is_idempotent_and_passes_others(spark):
@@ -108,6 +161,82 @@ def test_latest_before(spark):
     assert {(r.k, r.at): r.v for r in J.latest_before(rows, facts, "k", "at", "since", "v").collect()} == {(1, 5): "y", (1, 1): None, (2, 9): None}
 
 
+def test_latest_before_with_null_values_and_ties(spark):
+    rows = spark.createDataFrame([(1, 9), (1, 4)], "k int, at int")
+    facts = spark.createDataFrame([(1, 3, "old", 1), (1, 5, None, 1), (1, 4, "a", 2), (1, 4, "z", 1)], "k int, since int, v string, rank int")
+    assert {r.at: r.v for r in J.latest_before(rows, facts, "k", "at", "since", "v").collect()} == {9: None, 4: "z"}
+    assert {r.at: r.v for r in J.latest_before(rows, facts, "k", "at", "since", "v", "rank").collect()} == {9: None, 4: "a"}
+
+
+@pytest.mark.parametrize("where", ["70N", "pole", "equator", "antimeridian"])
+def test_radius_join_equals_brute_force_everywhere(spark, where):
+    rng = random.Random(where)
+    lat, lon = {"70N": ((69, 71), (10, 14)), "pole": ((88.5, 90), (-180, 180)), "equator": ((-1, 1), (-1, 1)), "antimeridian": ((59, 61), (178, 182))}[where]
+
+    def points(n):
+        return [(i, rng.uniform(*lat), (rng.uniform(*lon) + 180) % 360 - 180) for i in range(n)]
+
+    a, b = points(150), points(120)
+    found = J.within_radius(spark.createDataFrame(a, "id int, lat double, lon double"), spark.createDataFrame(b, "rid int, rlat double, rlon double"), 25)
+    got = [(r.id, r.rid) for r in found.collect()]
+
+    def miles(p, q):
+        la, lb = math.radians(p[1]), math.radians(q[1])
+        x = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 3959.0 * 2 * math.atan2(math.sqrt(x), math.sqrt(1 - x))
+
+    want = {(p[0], q[0]) for p in a for q in b if miles(p, q) <= 25}
+    assert set(got) == want and len(got) == len(set(got)) and len(want) > 20
+
+
+def test_fan_out_fails(spark):
+    rows = spark.range(10)
+    assert J.check_fan_out(rows, 4, 3).count() == 10
+    with pytest.raises(Exception, match="fans out"):
+        J.check_fan_out(rows, 3, 3).collect()
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(k, v, rng.randint(1, 5)) for k in "ab" for v in rng.sample(range(10_000), 900)]
+    got = {(r.k, r.v): r.before_n for r in M.preceding(spark.createDataFrame(rows, "k string, v int, n int"), "v", ["n"], ["k"], slots=16).collect()}
+    assert got == {(k, v): sum(n for j, w, n in rows if j == k and w < v) for k, v, _ in rows}
+    frame = spark.createDataFrame([(1.0, 0.2), (2.0, 0.3), (3.0, 0.1), (4.0, 0.4), (5.0, 1.0)], "raw double, cal double").selectExpr("raw / 10 AS raw", "cal")
+    assert M.calibration_check(frame, "raw", "cal", 1).first().asDict() == {"bucket": 0, "n": 5, "outside": 1, "falling": 1}
+
+
+def test_read_table_over_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).selectExpr("id", "id % 7 AS kind").write.format("jdbc").options(url=url, dbtable="t").mode("overwrite").save()
+    got = IO.read_table(spark, url, "t", "id", 0, 100, 4, '"kind" = 3')
+    assert got.count() == 14 and got.rdd.getNumPartitions() == 4
+
+
+def test_log_with_backup_and_replay(spark, tmp_path):
+    from roadlens.streaming import jobs
+
+    path, backup = f"{tmp_path}/log", f"{tmp_path}/backup"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, kind string")
+
+    def refuse(df, to):
+        raise OSError("full")
+
+    assert jobs.append_log(rows.where("id = 1"), 0, path, backup) == f"{path}/batch=0"
+    assert jobs.append_log(rows.where("id = 2"), 1, path, backup, refuse) == f"{backup}/batch=1"
+    read = lambda: sorted(tuple(r) for r in jobs.replay(spark, path, backup, "id long, kind string").collect())
+    assert read() == [(1, "a"), (2, "b")]
+    jobs.append_log(rows.where("id = 2"), 1, path, backup)  # the batch runs again, and its store takes it
+    assert read() == [(1, "a"), (2, "b")]
+
+
+def test_leads_are_split_by_validity(spark):
+    schema = "mileage long, year int, failure_risk double, reliability_score int, urgency string, consent boolean, email string, postcode string, registration string"
+    good = (None, None, None, None, None, True, "a@b.c", "N1 ", "ab12cde")
+    rows = spark.createDataFrame([(0, 2027, 1.0, 100, "asap", True, "a@b.c", "N1 1AA", "A1"), (1_000_001, 1899, 1.1, 101, "now", False, "a@b", " N ", ""), (*good[:7], "N1A", "ab12cde")], schema)
+    kept, held = O.quarantine(rows, O.lead_rules(2026))
+    assert kept.count() == 2 and held.first().errors == ["mileage", "year", "failure_risk", "reliability_score", "urgency", "consent", "email", "postcode", "registration"]
+
+
 def test_contract_problems(spark):
     frame = spark.createDataFrame([(1, 2, 3)], "a int, c int, b int")
     assert O.contract_problems(frame, ["a", "b", "d"]) == [("d", "missing"), ("c", "extra")]
