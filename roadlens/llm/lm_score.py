@@ -1,11 +1,16 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-p(word | history) = p(class | history) p(word | class). The most frequent words are classes of their own, every other word belongs to
-a class hashed from its ending. The class softmax has hashed features of the history: a bias, the class one back (n-gram), the class
-two back (skip) and both together, each a row of a weight table. Counts cover the whole training corpus: word counts, and class
-counts by history, which are all that the gradient needs. Each update sums gradients over the distributed history table.
-p(word | class) is the smoothed share of the word's count in its class. Scoring goes through texts in sparse numpy batches;
-frequent words (at most HEAD, by a count threshold) are looked up in a broadcast table, all others by a join with the counts.
+p(word | history) = p(class | history) p(digit | class, history) p(word | class, digit). The most frequent words are classes of their own,
+every other word belongs to a class hashed from its ending, and to one of DIGITS hashed digits in it. The class softmax has hashed
+features of the history's classes: a bias, the class one back (n-gram), the class two back (skip) and both together. The digit softmax
+has hashed features of the history's words, one family for the word one back (n-gram) and one for the word two back (skip): each context
+hashes to one of `slots` rows of its class, and the two softmaxes are mixed by MIX. Rows grow with the vocabulary up to SLOTS.
+Counts cover the whole training corpus: word counts, class counts by history and digit counts by hashed context, which are all
+that the gradients need. Every task sends the counts of its texts, packed in blocks of BLOCK cells; what is gathered grows with the corpus.
+Class weights are updated by gradients summed over the distributed history table, digit weights (each block's rows are independent of
+all others) inside the block's task. p(word | class, digit) is the smoothed share of the word's count in its cell. Scoring goes through
+texts in sparse numpy batches; frequent words (at most HEAD, by a count threshold) are looked up in a broadcast table, all others by a
+join with the counts.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, utf8, worker_state
+from .common import materialize, odd_multipliers, partitions, small_batches, utf8, worker_state
 from .language_id import fold
 
 #: Classes: 0 is the text end, then OWN frequent words, then ENDINGS hashed endings.
@@ -26,6 +31,13 @@ CLASSES = 1 + OWN + ENDINGS
 #: Rows of the hashed weight table; most words in the broadcast table.
 FEATURES, HEAD = 1 << 11, 500_000
 ROUNDS, RATE, PENALTY = 20, 0.15, 1e-7
+#: Digits in a class of hashed endings; most rows of contexts in such a class; weights of the n-gram and skip softmaxes.
+DIGITS, SLOTS, MIX = 64, 4096, (0.65, 0.35)
+#: Updates of the digit softmaxes, their step, and the inverse variance of their Gaussian prior.
+DIGIT_ROUNDS, DIGIT_STEP, DIGIT_PENALTY = 15, 0.6, 2.0
+#: Cells that travel together; the first FIRST blocks are those of class counts.
+BLOCK = 1 << 16
+FIRST = CLASSES**3 // BLOCK
 #: Tokens gathered at once.
 CHUNK = 1 << 20
 
@@ -118,23 +130,135 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
 
 
-def train_classes(texts: DataFrame, own_ids: np.ndarray, own_classes: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """log10 p(class | history) for every history: CLASSES**2 rows of CLASSES numbers."""
-    spark = texts.sparkSession
-    own = spark.sparkContext.broadcast((own_ids, own_classes))
+_CONTEXT = odd_multipliers(2, 23)
+
+
+def context_cells(ids: np.ndarray, classes: np.ndarray, sizes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the tokens with a digit, and the cells of their digits under the contexts one back and two back."""
+    at = np.flatnonzero(classes > OWN)
+    starts = np.cumsum(sizes) - sizes
+    first = np.repeat(starts, sizes)[at]  # of each token's text
+    out = []
+    for back in (1, 2):
+        word = np.where(at - back >= first, ids[np.maximum(at - back, 0)], 0).astype(np.uint64)
+        slot = ((word * _CONTEXT[back - 1]) >> np.uint64(40)).astype(np.int64) & (slots - 1)
+        out.append((((classes[at] - OWN - 1) * slots + slot) * DIGITS) + ((ids[at] >> 5) & (DIGITS - 1)))
+    return at, *out
+
+
+def context_slots(vocabulary: int) -> int:
+    """Rows of contexts in a class: a power of two about as large as the vocabulary, at most SLOTS."""
+    return min(SLOTS, 1 << max(6, int(vocabulary).bit_length()))
+
+
+def sum_blocks(rows: DataFrame) -> DataFrame:
+    """block, places, counts: the sums by block of rows of that form (places and counts as packed numbers).
+
+    A block's rows are dealt over several tasks first, so that more partitions than blocks share the work; a task holds one block.
+    """
+
+    def add(batches):
+        key, total = None, None
+
+        def packed():
+            at = np.flatnonzero(total)
+            names = ("block", "places", "counts")
+            arrays = (pa.array([key], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([total[at].astype("<i8").tobytes()], pa.binary()))
+            return pa.RecordBatch.from_arrays(list(arrays), names=list(names))
+
+        for batch in batches:
+            for block, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if block != key:
+                    if key is not None:
+                        yield packed()
+                    key, total = block, np.zeros(BLOCK, np.int64)
+                total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<i8")  # places are distinct
+        if key is not None:
+            yield packed()
+
+    spark, schema = rows.sparkSession, "block int, places binary, counts binary"
+    small_batches(spark)
+    parts = partitions(spark)
+    deals = max(1, parts // 64)
+    if deals > 1:
+        dealt = rows.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(deals))).repartition(parts, "block", "deal")
+        rows = dealt.sortWithinPartitions("deal", "block").select("block", "places", "counts").mapInArrow(add, schema)
+    return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(add, schema)
+
+
+def count_contexts(texts: DataFrame, own_ids: np.ndarray, own_classes: np.ndarray, slots: int) -> DataFrame:
+    """block, places, counts over all texts: first the class counts by history, then digit counts by context of each family."""
+    own = texts.sparkSession.sparkContext.broadcast((own_ids, own_classes))
+    family = ENDINGS * slots * DIGITS
 
     def count(batches):
-        total = np.zeros(CLASSES**3, np.int64)
+        classes, digits = np.zeros(CLASSES**3, np.int64), np.zeros(2 * family, np.int32)
         for batch in batches:
             for _, ids, sizes in groups(batch, 0):
                 c = classes_of(ids, *own.value)
-                total += np.bincount(histories(c, sizes) * CLASSES + c, minlength=CLASSES**3)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+                classes += np.bincount(histories(c, sizes) * CLASSES + c, minlength=CLASSES**3)
+                _, one, two = context_cells(ids, c, sizes, slots)
+                np.add.at(digits, one, 1)
+                np.add.at(digits, two + family, 1)
+        for first, cells in ((0, classes), (FIRST, digits)):
+            for k in range(0, len(cells), BLOCK):
+                at = np.flatnonzero(cells[k : k + BLOCK])
+                if len(at):
+                    places, counts = at.astype("<u2").tobytes(), cells[k : k + BLOCK][at].astype("<i8").tobytes()
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([first + k // BLOCK], pa.int32()), "places": pa.array([places], pa.binary()), "counts": pa.array([counts], pa.binary())})
+
+    small_batches(texts.sparkSession)
+    return sum_blocks(texts.mapInArrow(count, "block int, places binary, counts binary"))
+
+
+def train_digits(blocks: DataFrame, shares: np.ndarray, slots: int) -> np.ndarray:
+    """p(digit | class, context) / p(digit | class) for every cell, by family; shares is p(digit | class) of the hashed classes.
+
+    Weights start at 0, where the softmax is the class's share, and are updated by damped gradients in the block's task: counts minus
+    expected counts minus the penalty, each over its curvature. A context without counts keeps the ratio 1.
+    """
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast(shares)
+    family = ENDINGS * slots * DIGITS
+
+    def fit(batches):
+        for batch in batches:
+            for block, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                n = np.zeros(BLOCK)
+                n[np.frombuffer(places, "<u2")] = np.frombuffer(counts, "<i8")
+                first = (block - FIRST) * BLOCK % family
+                n = n[: min(BLOCK, family - first)].reshape(-1, DIGITS)
+                q = shared.value[(first // DIGITS + np.arange(len(n))) // slots]
+                seen, weights, p = n.sum(axis=1, keepdims=True), np.zeros_like(n), q
+                for _ in range(DIGIT_ROUNDS):
+                    slope = n - seen * p - DIGIT_PENALTY * weights
+                    weights = weights + DIGIT_STEP * slope / (seen * p + DIGIT_PENALTY)
+                    p = q * np.exp(np.clip(weights, -20, 20))
+                    p /= p.sum(axis=1, keepdims=True)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block - FIRST], pa.int32()), "ratio": pa.array([(p / q).astype("<f2").tobytes()], pa.binary())})
+
+    out = np.ones((2, family), np.float16)
+    for r in blocks.where(F.col("block") >= FIRST).mapInArrow(fit, "block int, ratio binary").toLocalIterator():  # at most 2 x 32 x SLOTS x DIGITS halves
+        ratio = np.frombuffer(r["ratio"], "<f2")
+        out.reshape(-1)[r["block"] * BLOCK : r["block"] * BLOCK + len(ratio)] = ratio
+    return out
+
+
+def train_classes(blocks: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """log10 p(class | history) for every history: CLASSES**2 rows of CLASSES numbers."""
+    spark = blocks.sparkSession
+
+    def rows_of(batches):
+        for batch in batches:
+            for block, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                n = np.zeros(BLOCK, np.int64)
+                n[np.frombuffer(places, "<u2")] = np.frombuffer(counts, "<i8")
+                n = n.reshape(-1, CLASSES)
+                at = np.flatnonzero(n.sum(axis=1))
+                yield pa.RecordBatch.from_pydict({"history": pa.array((at + block * BLOCK // CLASSES).astype(np.int32)), "n": pa.array([n[i].tobytes() for i in at], pa.binary())})
 
-    cells = texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = materialize(cells.groupBy(F.expr(f"int(cell div {CLASSES})").alias("history")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"cell % {CLASSES}").alias("c"), "n"))).alias("n")).coalesce(6), "histories")
+    table = blocks.where(F.col("block") < FIRST).mapInArrow(rows_of, "history int, n binary").repartition(6, "history")
+    table = materialize(table, "histories")
 
     weights = np.zeros((FEATURES, CLASSES))
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
@@ -146,10 +270,7 @@ def train_classes(texts: DataFrame, own_ids: np.ndarray, own_classes: np.ndarray
             out, weight = np.zeros((FEATURES, CLASSES)), 0
             for batch in batches:
                 history = batch.column(0).to_numpy().astype(np.int64)
-                counts = np.zeros((len(history), CLASSES))
-                for i, entries in enumerate(batch.column(1).to_pylist()):
-                    for c, n in entries:
-                        counts[i, c] = n
+                counts = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, CLASSES).astype(float)
                 rows = feature_rows(history)
                 seen = counts.sum(axis=1, keepdims=True)
                 expected = 0 if starting else np.exp(_log_softmax(shared.value[rows].sum(axis=1))) * seen
@@ -203,33 +324,45 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     own_classes = np.concatenate([[0], 1 + order])
     if not len(head_ids):
         head_ids, head_counts = np.array([-1]), np.array([0])
-    table = train_classes(learn, own_ids, own_classes)
+    slots = context_slots(v_train)
+    blocks = materialize(count_contexts(learn, own_ids, own_classes, slots), "contexts")
+    table = train_classes(blocks)
 
     own_list = [int(x) for x in own_ids]
-    class_column = F.when(F.col("token").isin(own_list), F.lit(-1)).otherwise(1 + OWN + F.col("token").bitwiseAND(31))
-    sizes, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in words.groupBy(class_column.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    hashed = ~F.col("token").isin(own_list)
+    ending = F.when(hashed, F.col("token").bitwiseAND(31)).otherwise(-1)
+    digit = F.when(hashed, F.shiftright("token", 5).bitwiseAND(DIGITS - 1)).otherwise(0)
+    cells, kinds = np.zeros((ENDINGS, DIGITS)), np.zeros((ENDINGS, DIGITS))
+    for r in words.groupBy(ending.alias("c"), digit.alias("d")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # at most 1 + 32 x DIGITS rows
         if r["c"] >= 0:
-            sizes[r["c"]], kinds[r["c"]] = r["n"], r["v"]
+            cells[r["c"], r["d"]], kinds[r["c"], r["d"]] = r["n"], r["v"]
+    cells = cells + 0.5 * (kinds + 1)
+    shares = cells / cells.sum(axis=1, keepdims=True)
+    ratios = train_digits(blocks, shares, slots)
+    sizes = np.full(CLASSES, 1.0)
+    sizes[1 + OWN :] = cells.sum(axis=1)
     at = np.searchsorted(head_ids, own_ids)
     for i, c in enumerate(own_classes):
         if at[i] < len(head_ids) and head_ids[at[i]] == own_ids[i]:
-            sizes[c], kinds[c] = head_counts[at[i]], 1
-    within = np.log10(sizes + 0.5 * (kinds + 1))
+            sizes[c] = head_counts[at[i]] + 1
+    within = np.log10(sizes)
     base_log = math.log10(n_train + 0.5 * (v_train + 1))
-    shared = spark.sparkContext.broadcast((table.astype(np.float64).reshape(-1), own_ids, own_classes, head_ids, head_counts, within))
+    shared = spark.sparkContext.broadcast((table.astype(np.float64).reshape(-1), ratios, own_ids, own_classes, head_ids, head_counts, within))
 
     def fn(batches):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        table, own_ids, own_classes, head_ids, head_counts, within = shared.value
+        table, ratios, own_ids, own_classes, head_ids, head_counts, within = shared.value
         log_counts = np.log10(head_counts + 0.5)
         for batch in batches:
             for first, ids, sizes in groups(batch, 1):
                 starts = np.cumsum(sizes) - sizes
                 c = classes_of(ids, own_ids, own_classes)
-                history = np.add.reduceat(table[histories(c, sizes) * CLASSES + c] - within[c], starts)
+                history = table[histories(c, sizes) * CLASSES + c] - within[c]
+                at, one, two = context_cells(ids, c, sizes, slots)
+                history[at] += np.log10(MIX[0] * ratios[0][one].astype(float) + MIX[1] * ratios[1][two].astype(float))
+                history = np.add.reduceat(history, starts)
                 at = np.minimum(np.searchsorted(head_ids, ids), len(head_ids) - 1)
                 known = (head_ids[at] == ids) & (head_counts[at] > 0)
                 counted = np.add.reduceat(np.where(known, log_counts[at], 0.0), starts)
