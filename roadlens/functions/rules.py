@@ -21,7 +21,15 @@ GAP_BANDS = [(300, "early"), (365, "on_time"), (400, "slightly_late"), (500, "la
 USAGE_BANDS = [(5_000, "low"), (10_000, "average"), (15_000, "high")]
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 TYPICAL_COSTS = {"brakes": 180, "suspension": 350, "tyres": 100, "steering": 250, "visibility": 60, "lamps": 80, "body": 450}
-COST_RANGES = {"brakes": (80, 350), "suspension": (150, 600), "tyres": (60, 200), "steering": (100, 500), "visibility": (20, 150), "lamps": (30, 200), "body": (200, 1000)}
+COST_RANGES = {
+    "brakes": (80, 350),
+    "suspension": (150, 600),
+    "tyres": (60, 200),
+    "steering": (100, 500),
+    "visibility": (20, 150),
+    "lamps": (30, 200),
+    "body": (200, 1000),
+}
 MIDPOINT_COSTS = {"brakes": 200, "suspension": 350, "tyres": 150, "steering": 300, "visibility": 80, "lamps": 60, "body": 400}
 BASE_RISKS = {"brakes": 0.05, "suspension": 0.04, "tyres": 0.03, "steering": 0.02, "visibility": 0.02, "lamps": 0.03, "body": 0.02}
 NEGLECT_WEIGHTS = {"brakes": (0.19, 0.55, -0.02), "tyres": (0.20, 0.35, -0.03), "suspension": (0.36, 0.53, 0.06)}
@@ -41,7 +49,9 @@ def age_band(age: Column) -> Column:
 
 
 def mileage_band(miles: Column) -> Column:
-    return F.when(miles.isNull() | F.isnan(miles.cast("double")) | (miles < 0) | (miles > 500_000), "Unknown").otherwise(below(miles, MILEAGE_BANDS, "100k+"))
+    return F.when(
+        miles.isNull() | F.isnan(miles.cast("double")) | (miles < 0) | (miles > 500_000), "Unknown"
+    ).otherwise(below(miles, MILEAGE_BANDS, "100k+"))
 
 
 def serving_age_band(age: Column) -> Column:
@@ -107,9 +117,13 @@ def mechanisms(counts: dict[str, Column], tests: Column) -> tuple[Column, Column
 
 def recommendation(p: Column, days_left: Column, expired: Column, has_cost: Column) -> Column:
     """struct(primary, secondary, card)."""
-    primary = F.when(p >= 0.5, "GET_QUOTES").when(p >= 0.3, "PRE_MOT_CHECK").when(expired | F.coalesce(days_left <= 30, F.lit(False)), "BOOK_MOT").otherwise("SET_REMINDER")
+    primary = F.when(p >= 0.5, "GET_QUOTES").when(p >= 0.3, "PRE_MOT_CHECK").when(
+        expired | F.coalesce(days_left <= 30, F.lit(False)), "BOOK_MOT"
+    ).otherwise("SET_REMINDER")
     secondary = F.when(primary.isin("GET_QUOTES", "PRE_MOT_CHECK"), "SET_REMINDER").when(primary == "BOOK_MOT", "GET_QUOTES").otherwise("FIND_GARAGE")
-    card = F.when(has_cost & primary.isin("GET_QUOTES", "PRE_MOT_CHECK"), "COST_ESTIMATE").when(expired | F.coalesce(days_left <= 90, F.lit(False)), "MOT_COUNTDOWN").otherwise("REMINDER_PITCH")
+    card = F.when(
+        has_cost & primary.isin("GET_QUOTES", "PRE_MOT_CHECK"), "COST_ESTIMATE"
+    ).when(expired | F.coalesce(days_left <= 90, F.lit(False)), "MOT_COUNTDOWN").otherwise("REMINDER_PITCH")
     return F.struct(primary.alias("primary"), secondary.alias("secondary"), card.alias("card"))
 
 
@@ -176,7 +190,9 @@ def component_risks(p: Column, advisories: dict[str, Column], decay: dict[str, C
 
 
 def data_confidence(has_mileage: Column, n_prior: Column, days_since: Column) -> Column:
-    points = 2 * has_mileage + F.when(n_prior > 0, 2).otherwise(0) + F.when(n_prior >= 3, 1).otherwise(0) + F.when(F.coalesce(days_since, F.lit(999)) < 400, 1).otherwise(0)
+    points = 2 * has_mileage + F.when(n_prior > 0, 2).otherwise(0) + F.when(n_prior >= 3, 1).otherwise(0) + F.when(
+        F.coalesce(days_since, F.lit(999)) < 400, 1
+    ).otherwise(0)
     return cut_class(points, 5, 3, ("High", "Medium", "Low"))
 
 

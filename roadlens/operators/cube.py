@@ -18,7 +18,9 @@ def risk_cube(rows: DataFrame, keys: list[str], target: str, components: dict[st
     overall = grouped.agg(F.sum("n").alias("all_n"), F.sum("failures").alias("all_f"), *[F.sum(f"sum_{c}").alias(f"all_{c}") for c in components])
     shrunk = lambda s, a: F.try_divide(F.col(s) + k * (F.col(a) / F.col("all_n")), F.col("n") + k)
     joined = grouped.join(F.broadcast(overall))  # one row
-    return joined.select(*keys, "n", "failures", shrunk("failures", "all_f").alias("risk"), *[shrunk(f"sum_{c}", f"all_{c}").alias(f"risk_{c}") for c in components])
+    return joined.select(
+        *keys, "n", "failures", shrunk("failures", "all_f").alias("risk"), *[shrunk(f"sum_{c}", f"all_{c}").alias(f"risk_{c}") for c in components]
+    )
 
 
 def weighted(rate: str, weight: str = "n", digits: int = 6) -> Column:

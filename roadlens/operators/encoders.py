@@ -47,7 +47,9 @@ class Encoder:
         return out.withColumn(name, F.coalesce(*fine_first, F.col("_rate"))).drop("_rate", *[f"_rate_{i}" for i in range(len(self.levels))])
 
 
-def regime_hierarchy(rows: DataFrame, target: str, segment: list[str], regimes: list[str], powertrains: list[str], k=(10.0, 10.0, 10.0, 5.0)) -> dict[str, DataFrame]:
+def regime_hierarchy(
+    rows: DataFrame, target: str, segment: list[str], regimes: list[str], powertrains: list[str], k=(10.0, 10.0, 10.0, 5.0)
+) -> dict[str, DataFrame]:
     """Rates of regime, powertrain (both dense: a missing one has its parent's rate), make and segment, each shrunk towards the level above.
 
     rows: regime, powertrain, make, the segment columns and the target. A make with several powertrains takes the rate of the last one by
@@ -70,9 +72,17 @@ def regime_hierarchy(rows: DataFrame, target: str, segment: list[str], regimes:
     power = dense(["regime", "powertrain"], [(r, p) for r in regimes for p in powertrains], up, ["regime"], "up", k[1])
     up = power.select("regime", "powertrain", F.col("rate").alias("up"))
     makes = sums(["make", "regime", "powertrain"]).join(up, ["regime", "powertrain"]).withColumn("rate", shrunk(k[2], "up"))
-    make = makes.groupBy("make").agg(F.max(F.struct("regime", "powertrain", "rate")).alias("last"), F.sum("n").alias("n")).select("make", "n", F.col("last.rate").alias("rate"))
+    make = makes.groupBy("make").agg(
+        F.max(F.struct("regime", "powertrain", "rate")).alias("last"), F.sum("n").alias("n")
+    ).select("make", "n", F.col("last.rate").alias("rate"))
     segments = sums(["make", *segment]).join(make.select("make", F.col("rate").alias("up")), "make")
-    return {"overall": overall, "regime": regime, "powertrain": power, "make": make, "segment": segments.select("make", *segment, "n", shrunk(k[3], "up").alias("rate"))}
+    return {
+        "overall": overall,
+        "regime": regime,
+        "powertrain": power,
+        "make": make,
+        "segment": segments.select("make", *segment, "n", shrunk(k[3], "up").alias("rate")),
+    }
 
 
 def shrink(rows: DataFrame, key: str, target: str, k: float, least: int = 0) -> DataFrame:

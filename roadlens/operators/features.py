@@ -99,12 +99,16 @@ def _derived(test: Column) -> Column:
         said = F.lower(F.concat_ws(" ", d["text"], d["type"]))
         flags = X.mechanism_flags(text)
         return F.struct(
-            said.contains("advisory").alias("adv"), said.contains("fail").alias("fail"), X.defect_component(text).alias("part"), *[flags[m].alias(m) for m in _MECHANISMS]
+            said.contains("advisory").alias("adv"), said.contains("fail").alias("fail"), X.defect_component(text).alias("part"), *[
+                flags[m].alias(m) for m in _MECHANISMS
+            ]
         )
 
     found = F.transform(F.coalesce(test["defects"], F.array().cast("array<struct<text:string,type:string>>")), defect)
     return F.struct(
-        test["test_date"].alias("date"), test["result"].alias("result"), F.coalesce(test["result"] == "FAILED", F.lit(False)).alias("failed"), test["odometer"].alias("odometer"),
+        test["test_date"].alias("date"), test["result"].alias("result"), F.coalesce(
+            test["result"] == "FAILED", F.lit(False)
+        ).alias("failed"), test["odometer"].alias("odometer"),
         test["unit"].alias("unit"), test["expiry"].alias("expiry"), found.alias("defects"),
     )
 
@@ -116,7 +120,9 @@ def _counted(t: Column) -> Column:
     advised = [n(of("adv", c)).alias(f"adv_{c}") for c in _COMPONENTS]
     failed = [(t["failed"] & (n(of("fail", c)) > 0)).cast("int").alias(f"fail_{c}") for c in ("brakes", "tyres", "suspension")]
     named = [n(names(m)).alias(m) for m in _MECHANISMS]
-    return F.struct(*[t[c].alias(c) for c in ("date", "result", "failed", "odometer", "unit", "expiry")], n(lambda d: d["adv"]).alias("adv"), *advised, *failed, *named)
+    return F.struct(
+        *[t[c].alias(c) for c in ("date", "result", "failed", "odometer", "unit", "expiry")], n(lambda d: d["adv"]).alias("adv"), *advised, *failed, *named
+    )
 
 
 def _streaks(name: str, label: str, flags: Column, n: Column) -> dict[str, Column]:
@@ -157,12 +163,22 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
     within = lambda days: F.size(F.filter(fails, lambda x: F.datediff(day, x["date"]) <= days))
     failed = F.transform(t, lambda x: x["failed"].cast("int"))
     rows = add(rows, {
-        "test_month": F.month(shown).cast("string"), "is_winter_test": F.month(shown).isin(10, 11, 12, 1, 2, 3).cast("int"), "day_of_week": F.weekday(shown).cast("string"),
-        "prev_cycle_outcome_band": F.when(n == 0, "first_test").when(at(0, "result") == "PASSED", "pass").when(at(0, "result") == "FAILED", "fail").otherwise("unknown"),
-        "days_since_last_test": gap, "gap_band": F.when(n >= 2, R.gap_band(gap)).otherwise("first_test"), "n_prior_tests": n, "n_prior_fails": F.size(fails),
-        "fails_last_365d": within(365), "fails_last_730d": within(730), "fail_rate_trend": F.when(n >= 4, _total(F.slice(failed, 1, 2)) - _total(F.slice(failed, 3, 2))).otherwise(0),
+        "test_month": F.month(shown).cast("string"), "is_winter_test": F.month(shown).isin(
+            10, 11, 12, 1, 2, 3
+        ).cast("int"), "day_of_week": F.weekday(shown).cast("string"),
+        "prev_cycle_outcome_band": F.when(n == 0, "first_test").when(
+            at(0, "result") == "PASSED", "pass"
+        ).when(at(0, "result") == "FAILED", "fail").otherwise("unknown"),
+        "days_since_last_test": gap, "gap_band": F.when(
+            n >= 2, R.gap_band(gap)
+        ).otherwise("first_test"), "n_prior_tests": n, "n_prior_fails": F.size(fails),
+        "fails_last_365d": within(365), "fails_last_730d": within(730), "fail_rate_trend": F.when(
+            n >= 4, _total(F.slice(failed, 1, 2)) - _total(F.slice(failed, 3, 2))
+        ).otherwise(0),
         "prev_count_advisory": _total(each("adv")),
-        "advisory_trend": F.when(n < 2, "unknown").when(at(0, "adv") > at(1, "adv"), "increasing").when(at(0, "adv") < at(1, "adv"), "decreasing").otherwise("stable"),
+        "advisory_trend": F.when(n < 2, "unknown").when(
+            at(0, "adv") > at(1, "adv"), "increasing"
+        ).when(at(0, "adv") < at(1, "adv"), "decreasing").otherwise("stable"),
         "days_late": F.greatest(F.lit(0), F.coalesce(F.datediff(day, at(0, "expiry")), F.lit(0))),
         **{f"_adv_{c}": _total(each(f"adv_{c}")) for c in _COMPONENTS}, **{f"text_{m}_index": _total(each(m)) for m in _MECHANISMS},
     })
@@ -175,8 +191,12 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
     plain = F.when((gap > 0) & (at(0, "odometer") > at(1, "odometer")), (at(0, "odometer") - at(1, "odometer")) * 365.0 / gap)
     annual = F.when(has & ~odd & plain.isNotNull(), plain)
     rows = add(rows, {
-        "test_mileage": F.when(odd, before).when(has, now).otherwise(0.0), "has_prev_mileage": has.cast("int"), "mileage_plausible_flag": (has & ~odd).cast("int"), "mileage_anomaly_flag": odd.cast("int"),
-        "annualized_mileage_v2": F.coalesce(annual, F.lit(USUAL_MILES)), "usage_band_hybrid": F.when(annual.isNull(), "average").otherwise(R.usage_band(annual)),
+        "test_mileage": F.when(
+            odd, before
+        ).when(has, now).otherwise(0.0), "has_prev_mileage": has.cast("int"), "mileage_plausible_flag": (has & ~odd).cast("int"), "mileage_anomaly_flag": odd.cast("int"),
+        "annualized_mileage_v2": F.coalesce(
+            annual, F.lit(USUAL_MILES)
+        ), "usage_band_hybrid": F.when(annual.isNull(), "average").otherwise(R.usage_band(annual)),
     })
 
     # advisories and failures of components, newest test first
@@ -192,21 +212,33 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
         out |= broken
     for c in ("tyres", "suspension"):
         share = F.least(F.lit(8000.0), F.floor(F.col("test_mileage") / F.greatest(n, F.lit(1))))
-        out[f"miles_since_last_advisory_{c}"] = F.when((F.col(f"_adv_{c}") > 0) & (F.col("has_prev_mileage") == 1) & (F.col("test_mileage") > 0), share).otherwise(0.0)
+        out[f"miles_since_last_advisory_{c}"] = F.when(
+            (F.col(f"_adv_{c}") > 0) & (F.col("has_prev_mileage") == 1) & (F.col("test_mileage") > 0), share
+        ).otherwise(0.0)
     rows = add(rows, out)
 
     # texts and decay
     kinds, dominant = R.mechanisms({m: F.col(f"text_{m}_index") for m in _MECHANISMS}, n)
     decay = {c: F.least(0.2 * F.col(f"_adv_{c}"), F.lit(1.0)) for c in _COMPONENTS}
-    index, driver = R.decay({label: F.col(f"_adv_{c}") for label, c in (("BRAKE", "brakes"), ("SUSP", "suspension"), ("STEER", "steering"), ("STRUCT", "structure"))})
+    index, driver = R.decay(
+        {label: F.col(f"_adv_{c}") for label, c in (("BRAKE", "brakes"), ("SUSP", "suspension"), ("STEER", "steering"), ("STRUCT", "structure"))}
+    )
     age = F.when(F.col("manufacture_date").isNotNull(), F.floor(F.datediff(day, F.col("manufacture_date")) / 365)).otherwise(5).cast("int")
     usual_decay = _lookup(p.age_decay, age)
     rows = add(rows, {
-        **{f"text_{m}_index_log": F.log1p(f"text_{m}_index") for m in _MECHANISMS}, **{f"has_{m}_history": (F.col(f"text_{m}_index") > 0).cast("int") for m in _MECHANISMS},
+        **{f"text_{m}_index_log": F.log1p(f"text_{m}_index") for m in _MECHANISMS}, **{
+            f"has_{m}_history": (F.col(f"text_{m}_index") > 0).cast("int") for m in _MECHANISMS
+        },
         "mechanism_count": kinds, "dominant_mechanism": dominant, "has_advisory_history": (F.col("prev_count_advisory") > 0).cast("int"),
-        "max_severity_score": F.when(F.col("n_prior_fails") > 0, 2).when(F.col("prev_count_advisory") > 0, 1).otherwise(0), "severity_escalation_flag": (F.col("fail_rate_trend") > 0).cast("int"),
-        "mech_decay_brake": decay["brakes"], "mech_decay_suspension": decay["suspension"], "mech_decay_structure": decay["structure"], "mech_decay_steering": decay["steering"],
-        "mech_decay_index": index, "mech_decay_index_normalized": F.coalesce(F.try_divide(index, F.when(usual_decay > 0, usual_decay)), index), "mech_risk_driver": driver,
+        "max_severity_score": F.when(F.col("n_prior_fails") > 0, 2).when(
+            F.col("prev_count_advisory") > 0, 1
+        ).otherwise(0), "severity_escalation_flag": (F.col("fail_rate_trend") > 0).cast("int"),
+        "mech_decay_brake": decay["brakes"], "mech_decay_suspension": decay[
+            "suspension"
+        ], "mech_decay_structure": decay["structure"], "mech_decay_steering": decay["steering"],
+        "mech_decay_index": index, "mech_decay_index_normalized": F.coalesce(
+            F.try_divide(index, F.when(usual_decay > 0, usual_decay)), index
+        ), "mech_risk_driver": driver,
     })
 
     # sums of what is there
@@ -215,13 +247,25 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
     model_id = F.when(F.length("model") > 0, F.concat_ws(" ", "make", "model")).otherwise(F.col("make"))
     index_here = F.coalesce(_lookup(p.corrosion, X.postcode_area(F.col("postcode"))), F.lit(NEUTRAL_CORROSION))
     rows = add(rows, {
-        **{f"prev_adv_{c}": F.col(f"_adv_{c}") for c in _COMPONENTS[:4]}, "multi_system_advisory_count": reduce(lambda a, b: a + b, [(F.col(f"_adv_{c}") > 0).cast("int") for c in _COMPONENTS]),
-        "prior_fail_rate_smoothed": F.coalesce(F.try_divide(F.col("n_prior_fails").cast("double"), n), F.lit(0.0)), "recent_fail_intensity": F.col("fails_last_365d"),
-        "front_end_advisory_intensity": F.col("_adv_steering") + F.col("_adv_suspension") + F.col("_adv_tyres"), "brake_system_stress": F.col("_adv_brakes") + per_test,
-        "commercial_wear_proxy": F.log1p(F.col("annualized_mileage_v2") / 10_000) + F.greatest(F.lit(0), F.col("days_since_last_test") - 365) / 365.0 + per_test,
-        "mdps_score": F.col("days_late") / 365.0, "days_since_pass_ratio": F.col("days_since_last_test") / 365.0, "historic_negligence_ratio_smoothed": ratio, "negligence_band": band,
+        **{f"prev_adv_{c}": F.col(f"_adv_{c}") for c in _COMPONENTS[:4]}, "multi_system_advisory_count": reduce(
+            lambda a, b: a + b, [(F.col(f"_adv_{c}") > 0).cast("int") for c in _COMPONENTS]
+        ),
+        "prior_fail_rate_smoothed": F.coalesce(
+            F.try_divide(F.col("n_prior_fails").cast("double"), n), F.lit(0.0)
+        ), "recent_fail_intensity": F.col("fails_last_365d"),
+        "front_end_advisory_intensity": F.col("_adv_steering") + F.col(
+            "_adv_suspension"
+        ) + F.col("_adv_tyres"), "brake_system_stress": F.col("_adv_brakes") + per_test,
+        "commercial_wear_proxy": F.log1p(F.col("annualized_mileage_v2") / 10_000) + F.greatest(
+            F.lit(0), F.col("days_since_last_test") - 365
+        ) / 365.0 + per_test,
+        "mdps_score": F.col("days_late") / 365.0, "days_since_pass_ratio": F.col(
+            "days_since_last_test"
+        ) / 365.0, "historic_negligence_ratio_smoothed": ratio, "negligence_band": band,
         "raw_behavioral_count": F.col("prev_count_advisory"), "local_corrosion_index": index_here, "local_corrosion_delta": index_here - NEUTRAL_CORROSION,
-        "high_risk_model_flag": X.flag_in(F.trim(model_id), p.high_risk_models or [""]), "suspension_risk_profile": F.lit(0.0), "station_strictness_bias": F.lit(0.0),
+        "high_risk_model_flag": X.flag_in(
+            F.trim(model_id), p.high_risk_models or [""]
+        ), "suspension_risk_profile": F.lit(0.0), "station_strictness_bias": F.lit(0.0),
         "station_fail_rate_smoothed": F.lit(NEUTRAL_STATION), "station_x_prev_outcome_fail_rate": F.lit(NEUTRAL_STATION),
         "model_id": model_id, "age_band": R.serving_age_band(age), "mileage_band": R.below(F.col("test_mileage"), R.MILEAGE_BANDS, "100k+"),
     })
@@ -238,7 +282,11 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
     rows = rated(rows, p.make_age, ["make", "age_band"], "_make_age")
     rows = rated(rows, p.segment, ["make", "age_band", "mileage_band"], "_segment")
     if p.cohort is not None:
-        rows = rows.join(p.cohort.select("model_id", "age_band", F.col("mileage").alias("_miles"), F.col("advisories").alias("_advised")), ["model_id", "age_band"], "left")
+        rows = rows.join(
+            p.cohort.select("model_id", "age_band", F.col("mileage").alias("_miles"), F.col("advisories").alias("_advised")),
+            ["model_id", "age_band"],
+            "left",
+        )
     else:
         rows = rows.withColumns({"_miles": F.lit(None).cast("double"), "_advised": F.lit(None).cast("double")})
     miles = F.coalesce(F.when(F.col("_miles") > 0, F.col("_miles")), F.lit(p.overall_mileage).cast("double"), F.col("test_mileage"))
@@ -246,8 +294,12 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
     known = p.cohort is not None
     by_age = F.coalesce("_model_age", "_make_age", F.lit(p.overall_age_rate))
     rows = add(rows, {
-        "model_fail_rate_smoothed": F.coalesce("_model", F.lit(NEUTRAL_RATE)), "make_fail_rate_smoothed": F.coalesce("_make", F.lit(NEUTRAL_RATE)), "model_age_fail_rate_eb": by_age,
-        "make_age_fail_rate_eb": F.coalesce("_make_age", F.lit(p.overall_age_rate)), "eb_unified_prior": by_age, "segment_fail_rate_smoothed": F.coalesce("_segment", "_make", F.lit(NEUTRAL_RATE)),
+        "model_fail_rate_smoothed": F.coalesce(
+            "_model", F.lit(NEUTRAL_RATE)
+        ), "make_fail_rate_smoothed": F.coalesce("_make", F.lit(NEUTRAL_RATE)), "model_age_fail_rate_eb": by_age,
+        "make_age_fail_rate_eb": F.coalesce("_make_age", F.lit(p.overall_age_rate)), "eb_unified_prior": by_age, "segment_fail_rate_smoothed": F.coalesce(
+            "_segment", "_make", F.lit(NEUTRAL_RATE)
+        ),
         "mileage_cohort_ratio": F.coalesce(F.try_divide(F.col("test_mileage"), F.when(miles > 0, miles)), F.lit(1.0)) if known else F.lit(1.0),
         "advisory_cohort_delta": (F.col("prev_count_advisory") - advised).cast("double") if known else F.lit(0.0),
     })

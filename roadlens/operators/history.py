@@ -86,7 +86,9 @@ def advisory_trend(rows: DataFrame, advisories: str) -> DataFrame:
     at = lambda r: F.max(F.when(F.col("_r") == r, F.col(advisories)))
     two = numbered.groupBy(VEHICLE).agg(F.count(F.lit(1)).alias("_n"), at(1).alias("_now"), at(2).alias("_before"))
     now, before = F.col("_now"), F.col("_before")
-    return two.select(VEHICLE, F.when(F.col("_n") < 2, "unknown").when(now > before, "increasing").when(now < before, "decreasing").otherwise("stable").alias("trend"))
+    return two.select(
+        VEHICLE, F.when(F.col("_n") < 2, "unknown").when(now > before, "increasing").when(now < before, "decreasing").otherwise("stable").alias("trend")
+    )
 
 
 def days_late(as_of: Column, expiry: Column) -> Column:

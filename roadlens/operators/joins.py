@@ -88,8 +88,12 @@ def nearest_values(rates: DataFrame, entity: str, group: str, value: str, k: int
     value at or below its own and the first one at or above it: one sweep over entities times groups, no pairs of entities.
     """
     groups = rates.select(F.col(group).alias("_g")).distinct()
-    asks = rates.select(F.col(entity).alias("_e"), F.col(group).alias("_own"), F.col(value).alias("_v"), F.lit(1).alias("_ask")).join(F.broadcast(groups), F.col("_g") != F.col("_own"))
-    has = rates.select(F.col(group).alias("_g"), F.col(value).alias("_v"), F.struct(F.col(value).alias("v"), F.col(entity).alias("e")).alias("_f"), F.lit(0).alias("_ask"))
+    asks = rates.select(
+        F.col(entity).alias("_e"), F.col(group).alias("_own"), F.col(value).alias("_v"), F.lit(1).alias("_ask")
+    ).join(F.broadcast(groups), F.col("_g") != F.col("_own"))
+    has = rates.select(
+        F.col(group).alias("_g"), F.col(value).alias("_v"), F.struct(F.col(value).alias("v"), F.col(entity).alias("e")).alias("_f"), F.lit(0).alias("_ask")
+    )
     rows = asks.unionByName(has, allowMissingColumns=True)
     below = Window.partitionBy("_g").orderBy("_v", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     above = Window.partitionBy("_g").orderBy(F.desc("_v"), "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -97,7 +101,9 @@ def nearest_values(rates: DataFrame, entity: str, group: str, value: str, k: int
     gap = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.round(F.abs(F.col(f"{f}.v") - F.col("_v")), 9).alias("gap"), F.col(f"{f}.e").alias("e")))
     best = met.select(F.col("_e").alias(entity), "_g", F.least(gap("_a"), gap("_b")).alias("n"))
     order = Window.partitionBy(entity).orderBy("n.gap", "_g")
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(entity, "place", F.col("_g").alias(group), F.col("n.e").alias("similar"), F.col("n.gap").alias("gap"))
+    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(
+        entity, "place", F.col("_g").alias(group), F.col("n.e").alias("similar"), F.col("n.gap").alias("gap")
+    )
 
 
 def compare_pairs(pairs: DataFrame, rates: DataFrame, entity: str, value: str) -> DataFrame:
@@ -105,7 +111,9 @@ def compare_pairs(pairs: DataFrame, rates: DataFrame, entity: str, value: str) -
     side = lambda s: rates.select(F.col(entity).alias(s), F.col(value).alias(f"{value}_{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     va, vb = F.col(f"{value}_a"), F.col(f"{value}_b")
-    return joined.select("a", "b", f"{value}_a", f"{value}_b", F.round(va - vb, 6).alias("diff"), F.when(va < vb, F.col("a")).when(vb < va, F.col("b")).alias("winner"))
+    return joined.select(
+        "a", "b", f"{value}_a", f"{value}_b", F.round(va - vb, 6).alias("diff"), F.when(va < vb, F.col("a")).when(vb < va, F.col("b")).alias("winner")
+    )
 
 
 def key_overlap(left: DataFrame, right: DataFrame, key: Column) -> DataFrame:

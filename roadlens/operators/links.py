@@ -34,7 +34,9 @@ def link_tables(models: DataFrame, rivals: dict[Model, list[Model]], pairs: list
     models: make, model (distinct). A maker's siblings grow with the square of its models, as the pages that show them do.
     """
     other = models.select("make", F.col("model").alias("to_model"))
-    siblings = models.join(other, "make").where("model <> to_model").select(F.lit("sibling").alias("kind"), "make", "model", F.col("make").alias("to_make"), "to_model")
+    siblings = models.join(other, "make").where("model <> to_model").select(
+        F.lit("sibling").alias("kind"), "make", "model", F.col("make").alias("to_make"), "to_model"
+    )
     schema = "make string, model string, to_make string, to_model string"
     wanted = _frame(models, [(*m, *r) for m, listed in rivals.items() for r in listed], schema)
     there = models.select(F.col("make").alias("to_make"), F.col("model").alias("to_model"))

@@ -69,7 +69,9 @@ def calibration_check(scored: DataFrame, raw: str, calibrated: str, buckets: int
     compared = rows.join(F.broadcast(last), "_slot").withColumn("_before", F.coalesce(F.lag("_cal").over(own), "_last"))
     bucket = F.least(F.lit(buckets - 1), F.floor(F.col("_raw") * buckets)).cast("int")
     outside = F.count_if((F.col("_cal") <= 0) | (F.col("_cal") >= 1))
-    return compared.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), outside.alias("outside"), F.count_if(F.col("_cal") < F.col("_before")).alias("falling"))
+    return compared.groupBy(bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), outside.alias("outside"), F.count_if(F.col("_cal") < F.col("_before")).alias("falling")
+    )
 
 
 def brier_and_loss(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -82,7 +84,10 @@ def calibration(scored: DataFrame, score: str, label: str, bins: int = 10) -> Da
     """ece, expected_over_observed from equal-width bins."""
     place = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))
     binned = scored.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("p"), F.sum(label).alias("y"))
-    return binned.agg(F.round(F.sum(F.abs(F.col("p") - F.col("y"))) / F.sum("n"), 9).alias("ece"), F.round(F.try_divide(F.sum("p"), F.sum("y")), 9).alias("expected_over_observed"))
+    return binned.agg(
+        F.round(F.sum(F.abs(F.col("p") - F.col("y"))) / F.sum("n"), 9).alias("ece"),
+        F.round(F.try_divide(F.sum("p"), F.sum("y")), 9).alias("expected_over_observed"),
+    )
 
 
 def top_share_lift(scored: DataFrame, score: str, label: str, tie: str, parts: int = 10) -> DataFrame:
@@ -94,7 +99,9 @@ def top_share_lift(scored: DataFrame, score: str, label: str, tie: str, parts: i
     by_score = preceding(scored.groupBy(score).agg(F.count(F.lit(1)).alias("m")), score, ["m"])
     cut = by_score.join(F.broadcast(total)).withColumn("above", F.col("n") - F.col("before_m") - F.col("m"))  # one row
     cut = cut.select(score, F.floor(F.col("n") / parts).alias("want"), "above", "base").where("above < want")
-    rows = scored.join(cut, score).withColumn("r", F.row_number().over(Window.partitionBy(score).orderBy(tie))).where(F.col("above") + F.col("r") <= F.col("want"))
+    rows = scored.join(cut, score).withColumn(
+        "r", F.row_number().over(Window.partitionBy(score).orderBy(tie))
+    ).where(F.col("above") + F.col("r") <= F.col("want"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(label) / F.first("base"), 6).alias("lift"))
 
 
@@ -105,10 +112,21 @@ def latency(rows: DataFrame, ms: str, failed: str, at: str) -> DataFrame:
     run = preceding(by_value, ms, ["m"]).withColumn("upto", F.col("before_m") + F.col("m")).join(F.broadcast(total))  # one row
     rank = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(ms)))
     span = F.unix_micros(F.max("last").cast("timestamp")) - F.unix_micros(F.min("first").cast("timestamp"))
-    return run.agg(F.sum("m").alias("n"), rank(50).alias("p50"), rank(95).alias("p95"), rank(99).alias("p99"), F.min(ms).alias("least"), F.max(ms).alias("most"), F.round(F.sum("e") * 100.0 / F.sum("m"), 6).alias("error_pct"), F.round(F.try_divide(F.sum("m"), span / 1e6), 6).alias("rps"))
+    return run.agg(
+        F.sum("m").alias("n"),
+        rank(50).alias("p50"),
+        rank(95).alias("p95"),
+        rank(99).alias("p99"),
+        F.min(ms).alias("least"),
+        F.max(ms).alias("most"),
+        F.round(F.sum("e") * 100.0 / F.sum("m"), 6).alias("error_pct"),
+        F.round(F.try_divide(F.sum("m"), span / 1e6), 6).alias("rps"),
+    )
 
 
-def falls(cube: DataFrame, axis: str, order: list[str], scope: str | None = None, rate: str = "risk", weight: str = "n", tolerance: float = 2.0, least: int = 100) -> DataFrame:
+def falls(
+    cube: DataFrame, axis: str, order: list[str], scope: str | None = None, rate: str = "risk", weight: str = "n", tolerance: float = 2.0, least: int = 100
+) -> DataFrame:
     """scope, axis, soft, hard: how often the weighted rate falls from one band of an axis to the next, by scope (or over all).
 
     A fall of more than `tolerance` per cent between bands of at least `least` tests is hard, any other one soft. Bands outside the order are left out.
@@ -127,8 +145,12 @@ def falls(cube: DataFrame, axis: str, order: list[str], scope: str | None = None
 def trend_votes(cube: DataFrame, entity: str, axis: str, midpoints: dict[str, float], rate: str, more_than: int = 3, cut: float = 0.1) -> DataFrame:
     """trend, models: how entities with more than so many cells vote, by the correlation of the axis' midpoints with the rate."""
     middle = F.try_element_at(F.create_map(*[F.lit(x) for p in midpoints.items() for x in p]), F.col(axis))
-    found = cube.withColumn("_m", middle).where("_m is not null").groupBy(entity).agg(F.corr("_m", rate).alias("_r"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > more_than)
-    return found.groupBy(F.when(F.col("_r") > cut, "rising").when(F.col("_r") < -cut, "falling").otherwise("flat").alias("trend")).agg(F.count(F.lit(1)).alias("models"))
+    found = cube.withColumn("_m", middle).where("_m is not null").groupBy(entity).agg(
+        F.corr("_m", rate).alias("_r"), F.count(F.lit(1)).alias("_n")
+    ).where(F.col("_n") > more_than)
+    return found.groupBy(
+        F.when(F.col("_r") > cut, "rising").when(F.col("_r") < -cut, "falling").otherwise("flat").alias("trend")
+    ).agg(F.count(F.lit(1)).alias("models"))
 
 
 def risk_categories(scored: DataFrame, score: str, label: str, amber: float = 0.10, red: float = 0.40) -> DataFrame:
@@ -148,7 +170,16 @@ def golden_diff(current: DataFrame, golden: DataFrame, rate: str, tolerance: flo
     diff = F.abs(F.col("_mean_now") - F.col("_mean_golden"))
     same = (F.col("rows_now") == F.col("rows_golden")) & (F.col("columns_now") == F.col("columns_golden"))
     means = [F.round(f"_mean_{s}", 9).alias(f"mean_{s}") for s in ("now", "golden")]
-    return both.select("rows_now", "rows_golden", "columns_now", "columns_golden", same.alias("same_shape"), *means, F.round(diff, 9).alias("diff"), (diff <= tolerance).alias("ok"))
+    return both.select(
+        "rows_now",
+        "rows_golden",
+        "columns_now",
+        "columns_golden",
+        same.alias("same_shape"),
+        *means,
+        F.round(diff, 9).alias("diff"),
+        (diff <= tolerance).alias("ok"),
+    )
 
 
 def schema_check(rows: DataFrame, required: list[str], numbers: list[str], prefix: str) -> DataFrame:

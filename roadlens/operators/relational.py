@@ -56,7 +56,9 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> D
 
 def validate(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rows with errors (names of broken rules, in their order) and valid; a rule that gives null is broken."""
-    found = F.filter(F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, ok in rules.items()]), lambda e: e.isNotNull())
+    found = F.filter(
+        F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, ok in rules.items()]), lambda e: e.isNotNull()
+    )
     return rows.withColumn("errors", found).withColumn("valid", F.size("errors") == 0)
 
 
@@ -122,7 +124,9 @@ def wide_features(tests: DataFrame, history: DataFrame, advisories: DataFrame, p
     rows = tests.where(three_valued_history(F.col("prev_cycle_outcome_band"), F.col("n_prior_tests"))) if veterans_only else tests
     linked = history.select("test_id", *HISTORY_DEFAULTS, F.lit(1).alias("has_cycle_history_link"))
     joined = rows.join(linked, "test_id", "left")
-    joined = joined.join(advisories.select("test_id", *ADVISORY_DEFAULTS), "test_id", "left").join(patterns.select("test_id", *PATTERN_DEFAULTS), "test_id", "left")
+    joined = joined.join(
+        advisories.select("test_id", *ADVISORY_DEFAULTS), "test_id", "left"
+    ).join(patterns.select("test_id", *PATTERN_DEFAULTS), "test_id", "left")
     filled = lambda name, value: F.coalesce(F.col(name), F.lit(value)).cast({str: "string", float: "double", int: "int"}[type(value)])
     days = filled("days_since_prev_cycle", 730.0)
     return joined.select(
@@ -175,8 +179,18 @@ def contract(rows: DataFrame) -> DataFrame:
     stats = []
     for f in rows.schema.fields:
         value = F.col(f.name)
-        bounds = (F.min(value).cast("double"), F.max(value).cast("double")) if f.name in numeric else (F.lit(None).cast("double"), F.lit(None).cast("double"))
-        stats.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("dtype"), F.avg(value.isNull().cast("double")).alias("null_rate"), bounds[0].alias("least"), bounds[1].alias("most")).alias(f"s_{f.name}"))
+        bounds = (
+            F.min(value).cast("double"), F.max(value).cast("double")
+        ) if f.name in numeric else (F.lit(None).cast("double"), F.lit(None).cast("double"))
+        stats.append(
+            F.struct(
+                F.lit(f.name).alias("name"),
+                F.lit(f.dataType.simpleString()).alias("dtype"),
+                F.avg(value.isNull().cast("double")).alias("null_rate"),
+                bounds[0].alias("least"),
+                bounds[1].alias("most"),
+            ).alias(f"s_{f.name}")
+        )
     one = rows.agg(*stats)
     return one.select(F.posexplode(F.array(*[F.col(f"s_{f.name}") for f in rows.schema.fields])).alias("position", "s")).select("position", "s.*")
 

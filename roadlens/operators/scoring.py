@@ -24,7 +24,9 @@ def matrix(categories: list[str], numbers: list[str]) -> Pipeline:
 
 def fit_ensemble(rows: DataFrame, label: str, weight: str, holdout: str, seeds: list[int], trees: int, bins: int) -> list:
     """Boosted trees, one model for each seed; training stops early on the rows marked as holdout, a slice of the training years."""
-    boost = lambda seed: GBTClassifier(labelCol=label, weightCol=weight, validationIndicatorCol=holdout, maxIter=trees, maxDepth=3, maxBins=bins, subsamplingRate=0.7, seed=seed)
+    boost = lambda seed: GBTClassifier(
+        labelCol=label, weightCol=weight, validationIndicatorCol=holdout, maxIter=trees, maxDepth=3, maxBins=bins, subsamplingRate=0.7, seed=seed
+    )
     return [boost(seed).fit(rows) for seed in seeds]
 
 

@@ -38,7 +38,8 @@ def _(t):
 
 @query(
     "src03_optional_source",
-    "SELECT p_partkey, false AS there, 0.5 AS strictness, 'none' AS kind FROM part UNION ALL SELECT p_partkey, true, CASE WHEN p_partkey % 3 > 0 AND p_size > 9 THEN p_size ELSE 0.5 END, CASE WHEN p_partkey % 3 > 0 THEN p_brand ELSE 'none' END FROM part",
+    "SELECT p_partkey, false AS there, 0.5 AS strictness, 'none' AS kind FROM part UNION ALL SELECT p_partkey, true, CASE WHEN p_partkey % 3 > 0 AND "
+    "p_size > 9 THEN p_size ELSE 0.5 END, CASE WHEN p_partkey % 3 > 0 THEN p_brand ELSE 'none' END FROM part",
 )
 def _(t):
     parts, defaults = t("part").select("p_partkey"), {"strictness": 0.5, "kind": "none"}
@@ -49,18 +50,30 @@ def _(t):
     return found[0].unionByName(found[1])
 
 
-@query("src04_gzip_csv", "SELECT p_brand AS \"Brand_Name\", p_type AS type_x, CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END::BIGINT AS size, p_retailprice AS price FROM part")
+@query(
+    "src04_gzip_csv",
+    "SELECT p_brand AS \"Brand_Name\", p_type AS type_x, CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END::BIGINT AS size, p_retailprice AS price "
+    "FROM part",
+)
 def _(t):
     path = IO.new_folder(t.spark, "csv")
     size = F.when(F.col("p_size") % 10 != 0, F.concat(F.col("p_size").cast("string"), F.lit(".0")))
-    t("part").select(F.col("p_brand").alias(" Brand Name"), F.col("p_type").alias("type-x"), size.alias("size"), F.col("p_retailprice").alias("price ")).write.option("header", True).option("compression", "gzip").csv(path)
+    t("part").select(
+        F.col("p_brand").alias(" Brand Name"), F.col("p_type").alias("type-x"), size.alias("size"), F.col("p_retailprice").alias("price ")
+    ).write.option("header", True).option("compression", "gzip").csv(path)
     return IO.load_typed_csv(t.spark, path, 2, 1)
 
 
-@query("src05_csv_rejects", "SELECT 'accepted' AS side, o_orderkey, substr(o_orderpriority, 1, 4) AS priority FROM orders WHERE length(o_orderpriority) <= 8 UNION ALL SELECT 'rejected', o_orderkey, o_orderpriority FROM orders WHERE length(o_orderpriority) > 8")
+@query(
+    "src05_csv_rejects",
+    "SELECT 'accepted' AS side, o_orderkey, substr(o_orderpriority, 1, 4) AS priority FROM orders WHERE length(o_orderpriority) <= 8 UNION ALL SELECT "
+    "'rejected', o_orderkey, o_orderpriority FROM orders WHERE length(o_orderpriority) > 8",
+)
 def _(t):
     path = IO.new_folder(t.spark, "csv")
-    t("orders").select("o_orderkey", F.col("o_orderpriority").alias("key"), F.col("o_orderpriority").alias("priority")).write.option("header", True).csv(path)
+    t("orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("key"), F.col("o_orderpriority").alias("priority")
+    ).write.option("header", True).csv(path)
     accepted, rejected = IO.load_with_rejects(t.spark, path, "key", 8, 4)
     # the cut touches every string but the key, so ids go through a cast of their own
     full = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("key"))
@@ -68,29 +81,53 @@ def _(t):
     return ids("accepted", accepted).union(ids("rejected", rejected))
 
 
-@query("src06_lookup_pair", "SELECT p_partkey AS rfr_id, CASE WHEN n_name = 'CHINA' THEN 'Wheels' ELSE n_name END AS item FROM part JOIN nation ON p_size % 25 = n_nationkey WHERE p_partkey % 3 = 1 AND n_nationkey % 2 = 1")
+@query(
+    "src06_lookup_pair",
+    "SELECT p_partkey AS rfr_id, CASE WHEN n_name = 'CHINA' THEN 'Wheels' ELSE n_name END AS item FROM part JOIN nation ON p_size % 25 = n_nationkey "
+    "WHERE p_partkey % 3 = 1 AND n_nationkey % 2 = 1",
+)
 def _(t):
     paths = [IO.new_folder(t.spark, "lookup") for _ in range(2)]
     k = F.col("p_partkey")
-    t("part").select(k.alias("rfr_id"), (k % 3).alias("test_class_id"), (F.col("p_size") % 25).alias("test_item_set_section_id")).write.option("header", True).option("sep", "|").csv(paths[0])
+    t("part").select(
+        k.alias("rfr_id"), (k % 3).alias("test_class_id"), (F.col("p_size") % 25).alias("test_item_set_section_id")
+    ).write.option("header", True).option("sep", "|").csv(paths[0])
     n = F.col("n_nationkey")
-    t("nation").select(n.alias("test_item_id"), (n % 2).alias("test_class_id"), F.when(F.col("n_name") == "CHINA", "Road Wheels").otherwise(F.col("n_name")).alias("item_name")).write.option("header", True).option("sep", "|").csv(paths[1])
+    t("nation").select(
+        n.alias("test_item_id"),
+        (n % 2).alias("test_class_id"),
+        F.when(F.col("n_name") == "CHINA", "Road Wheels").otherwise(F.col("n_name")).alias("item_name"),
+    ).write.option("header", True).option("sep", "|").csv(paths[1])
     return IO.load_lookup_pair(t.spark, *paths, 1)
 
 
-@query("src07_nested_history", "SELECT CAST(o_custkey AS VARCHAR) AS registration, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS test_date, o_orderstatus AS test_result, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey AS INT) END AS odometer, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 1 END AS n_defects FROM orders")
+@query(
+    "src07_nested_history",
+    "SELECT CAST(o_custkey AS VARCHAR) AS registration, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS test_date, o_orderstatus AS test_result, CASE WHEN "
+    "o_orderkey % 5 <> 0 THEN CAST(o_orderkey AS INT) END AS odometer, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 1 END AS n_defects FROM "
+    "orders",
+)
 def _(t):
     comment = F.struct(F.lit("worn").alias("text"), F.lit("ADVISORY").alias("type"))
     status = F.col("o_orderstatus")
     test = F.struct(
-        F.date_format("o_orderdate", "yyyy.MM.dd HH:mm:ss").alias("completedDate"), status.alias("testResult"), F.when(F.col("o_orderkey") % 5 == 0, "unreadable").otherwise(F.col("o_orderkey").cast("string")).alias("odometerValue"),
-        F.when(status == "F", F.array().cast("array<struct<text:string,type:string>>")).when(status == "O", F.array(comment, comment)).alias("defects"), F.array(comment).alias("rfrAndComments"),
+        F.date_format("o_orderdate", "yyyy.MM.dd HH:mm:ss").alias("completedDate"), status.alias("testResult"), F.when(
+            F.col("o_orderkey") % 5 == 0, "unreadable"
+        ).otherwise(F.col("o_orderkey").cast("string")).alias("odometerValue"),
+        F.when(
+            status == "F", F.array().cast("array<struct<text:string,type:string>>")
+        ).when(status == "O", F.array(comment, comment)).alias("defects"), F.array(comment).alias("rfrAndComments"),
     )
-    raw = t("orders").groupBy("o_custkey").agg(F.collect_list(test).alias("tests")).select(F.to_json(F.struct(F.col("o_custkey").cast("string").alias("registration"), F.col("tests").alias("motTests"))).alias("json"))
+    raw = t("orders").groupBy("o_custkey").agg(F.collect_list(test).alias("tests")).select(
+        F.to_json(F.struct(F.col("o_custkey").cast("string").alias("registration"), F.col("tests").alias("motTests"))).alias("json")
+    )
     return IO.parse_histories(raw, "json").withColumn("test_date", F.col("test_date").cast("string"))
 
 
-@query("src08_json_columns", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 0 END AS items, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query(
+    "src08_json_columns",
+    "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 0 END AS items, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+)
 def _(t):
     text = F.when(F.col("user_id") % 3 == 0, '["a", "b"]').when(F.col("user_id") % 3 == 1, "not json")
     return t("events").select("event_id", F.size(IO.json_list(text)).alias("items"), F.from_json("props", "map<string,bigint>")["k"].alias("k"))
@@ -111,7 +148,9 @@ def _(t):
 @query("snk02_export", "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-25'")
 def _(t):
     path = IO.new_folder(t.spark, "export")
-    IO.export_newest(t("events").where("ts >= timestamp'2024-01-25'").select("event_id", "event_type", "ts"), path, "csv", [F.desc("ts"), F.asc("event_id")])
+    IO.export_newest(
+        t("events").where("ts >= timestamp'2024-01-25'").select("event_id", "event_type", "ts"), path, "csv", [F.desc("ts"), F.asc("event_id")]
+    )
     return t.spark.read.option("header", True).schema("event_id long, event_type string, ts string").csv(path).select("event_id", "event_type")
 
 
@@ -131,14 +170,21 @@ def _(t):
     return t.spark.read.schema("model_id string, risk double, metadata struct<story: string>").json(path).select("model_id", "risk", "metadata.story")
 
 
-@query("snk05_saved_encoder", f"WITH {BANDED}, " + eb_sql([["make"], ["make", "model_id"]], [10.0, 20.0]) + " SELECT model_id, n, round(rate, 7) AS rate FROM e2")
+@query(
+    "snk05_saved_encoder",
+    f"WITH {BANDED}, " + eb_sql([["make"], ["make", "model_id"]], [10.0, 20.0]) + " SELECT model_id, n, round(rate, 7) AS rate FROM e2",
+)
 def _(t):
     path = IO.new_folder(t.spark, "encoder")
     IO.save_encoder(E.Encoder([["make"], ["make", "model_id"]], [10.0, 20.0]).fit(t.banded(), "target"), path)
     return IO.load_encoder(t.spark, path, 3)[2].select("model_id", "n", F.round("rate", 7).alias("rate"))
 
 
-@query("snk06_matrix", f"WITH {BANDED} SELECT year(test_date) AS year, count(*) AS n, sum(target)::BIGINT AS failures, round(sum(CASE year(test_date) WHEN 1998 THEN 20.0 WHEN 1997 THEN 6.0 WHEN 1996 THEN 2.0 ELSE 1.0 END), 6) AS weight FROM banded GROUP BY 1")
+@query(
+    "snk06_matrix",
+    f"WITH {BANDED} SELECT year(test_date) AS year, count(*) AS n, sum(target)::BIGINT AS failures, round(sum(CASE year(test_date) WHEN 1998 THEN 20.0 "
+    "WHEN 1997 THEN 6.0 WHEN 1996 THEN 2.0 ELSE 1.0 END), 6) AS weight FROM banded GROUP BY 1",
+)
 def _(t):
     path = IO.new_folder(t.spark, "matrix")
     rows = t.banded().select(F.year("test_date").alias("year"), F.col("target").alias("y"), "age_years", "test_mileage")
@@ -146,7 +192,11 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("year").agg(count(), F.sum("y").alias("failures"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query("snk07_manifest", "SELECT 'orders' AS name, count(*) AS n, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last FROM orders UNION ALL SELECT 'events', count(*), CAST(min(CAST(ts AS DATE)) AS VARCHAR), CAST(max(CAST(ts AS DATE)) AS VARCHAR) FROM events")
+@query(
+    "snk07_manifest",
+    "SELECT 'orders' AS name, count(*) AS n, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) "
+    "AS last FROM orders UNION ALL SELECT 'events', count(*), CAST(min(CAST(ts AS DATE)) AS VARCHAR), CAST(max(CAST(ts AS DATE)) AS VARCHAR) FROM events",
+)
 def _(t):
     return IO.manifest({"orders": (t("orders"), "o_orderdate"), "events": (t("events"), "ts")})
 
@@ -163,7 +213,11 @@ def _(t):
     return J.windowed_counts(t("events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
 
 
-@query("str01c_sliding_week", "SELECT strftime(CAST(ts AS DATE) - CAST(k AS INT), '%Y-%m-%d 00:00:00') AS start, event_type, count(*) AS n FROM events, range(7) AS r(k) GROUP BY ALL")
+@query(
+    "str01c_sliding_week",
+    "SELECT strftime(CAST(ts AS DATE) - CAST(k AS INT), '%Y-%m-%d 00:00:00') AS start, event_type, count(*) AS n FROM events, range(7) AS r(k) GROUP "
+    "BY ALL",
+)
 def _(t):
     return J.run_available(J.windowed_counts(J.read_events(t.spark, t.folder), "7 days", "1 day"), "complete")
 
@@ -177,7 +231,10 @@ def _(t):
 _NOW = "2024-01-15 12:00:00"
 
 
-@query("str03_seen_ids", "SELECT DISTINCT user_id FROM events WHERE event_type <> 'error' AND ts BETWEEN TIMESTAMP '2024-01-13 12:00:00' AND TIMESTAMP '2024-01-15 11:00:00'")
+@query(
+    "str03_seen_ids",
+    "SELECT DISTINCT user_id FROM events WHERE event_type <> 'error' AND ts BETWEEN TIMESTAMP '2024-01-13 12:00:00' AND TIMESTAMP '2024-01-15 11:00:00'",
+)
 def _(t):
     posts = J.age_band(J.read_events(t.spark, t.folder).where("event_type <> 'error'"), _NOW).where("band = 'in_band'")
     return J.run_available(J.first_signups(posts, ["user_id"], "60 days").select("user_id"))
@@ -185,14 +242,19 @@ def _(t):
 
 @query(
     "str03b_age_bands",
-    "SELECT CASE WHEN ts > TIMESTAMP '2024-01-15 11:00:00' THEN 'too_new' WHEN ts < TIMESTAMP '2024-01-13 12:00:00' THEN 'too_old' ELSE 'in_band' END AS band, count(*) AS n FROM events GROUP BY 1",
+    "SELECT CASE WHEN ts > TIMESTAMP '2024-01-15 11:00:00' THEN 'too_new' WHEN ts < TIMESTAMP '2024-01-13 12:00:00' THEN 'too_old' ELSE 'in_band' "
+    "END AS band, count(*) AS n FROM events GROUP BY 1",
 )
 def _(t):
     """How many posts are late or too new: a stream of running totals."""
     return J.run_available(J.age_band(J.read_events(t.spark, t.folder), _NOW).groupBy("band").agg(count()), "complete")
 
 
-@query("str04_prediction_log", "WITH r AS (SELECT event_type, round(avg(value), 6) AS rate FROM events GROUP BY 1) SELECT event_id, event_type, rate FROM events JOIN r USING (event_type)")
+@query(
+    "str04_prediction_log",
+    "WITH r AS (SELECT event_type, round(avg(value), 6) AS rate FROM events GROUP BY 1) SELECT event_id, event_type, rate FROM events JOIN r USING "
+    "(event_type)",
+)
 def _(t):
     """Predictions of a stream appended to a log; batches that its store refuses are backed up and replayed."""
     fitted = t("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("rate"))
@@ -202,8 +264,10 @@ def _(t):
     return J.replay(t.spark, log, backup, "event_id long, event_type string, rate double")
 
 
-_SESSION = """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
-SELECT user_id, count(*) AS n, max((event_type = 'view')::INT) AS viewed, max((event_type = 'purchase')::INT) AS bought, epoch_us(min(ts)) AS start FROM s GROUP BY user_id, k"""
+_SESSION = """WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, count(*) AS n, max((event_type = 'view')::INT) AS viewed, max((event_type = 'purchase')::INT) AS bought, epoch_us(min(ts)) AS start
+FROM s GROUP BY user_id, k"""
 
 
 def _sessions(events):
@@ -229,13 +293,21 @@ def _(t):
 IN = f"WITH {INSPECTIONS} "
 
 
-@query("udf01_row_rules", IN + "SELECT make, prev_outcome, CASE WHEN prev_outcome = 'F' THEN 'a' WHEN make < 'Brand#3' THEN 'b' ELSE 'c' END AS kind, count(*) AS n FROM inspections GROUP BY ALL")
+@query(
+    "udf01_row_rules",
+    IN + "SELECT make, prev_outcome, CASE WHEN prev_outcome = 'F' THEN 'a' WHEN make < 'Brand#3' THEN 'b' ELSE 'c' END AS kind, count(*) AS n FROM "
+    "inspections GROUP BY ALL",
+)
 def _(t):
     kind = F.when(F.col("prev_outcome") == "F", "a").when(F.col("make") < "Brand#3", "b").otherwise("c")
     return t.inspections().groupBy("make", "prev_outcome", kind.alias("kind")).agg(count())
 
 
-@query("udf02_encoder_fit_transform", f"WITH {BANDED}, " + eb_sql([["area"]], [100.0]) + " SELECT area, count(*) AS n, round(avg(e1.rate), 7) AS rate FROM banded JOIN e1 USING (area) GROUP BY 1")
+@query(
+    "udf02_encoder_fit_transform",
+    f"WITH {BANDED}, "
+    + eb_sql([["area"]], [100.0]) + " SELECT area, count(*) AS n, round(avg(e1.rate), 7) AS rate FROM banded JOIN e1 USING (area) GROUP BY 1",
+)
 def _(t):
     rows, encoder = t.banded(), E.Encoder([["area"]], [100.0])
     return encoder.transform(rows, encoder.fit(rows, "target"), "rate").groupBy("area").agg(count(), F.round(F.avg("rate"), 7).alias("rate"))
@@ -250,8 +322,10 @@ def _(t):
 
 @query(
     "udf04_named_queries",
-    CU + """, m AS (SELECT model_id, sum(n) AS n, round(sum(risk * n) / sum(n), 6) AS risk FROM cube GROUP BY 1) SELECT 'volume' AS story, model_id AS key, n::DOUBLE AS value FROM m WHERE n >= 100
-UNION ALL SELECT 'worst', model_id, risk FROM (SELECT * FROM m WHERE n >= 100 ORDER BY risk DESC, model_id LIMIT 10) UNION ALL SELECT 'best', model_id, risk FROM (SELECT * FROM m WHERE n >= 100 ORDER BY risk, model_id LIMIT 10)
+    CU + """, m AS (SELECT model_id, sum(n) AS n, round(sum(risk * n) / sum(n), 6) AS risk FROM cube GROUP BY 1)
+SELECT 'volume' AS story, model_id AS key, n::DOUBLE AS value FROM m WHERE n >= 100
+UNION ALL SELECT 'worst', model_id, risk FROM (SELECT * FROM m WHERE n >= 100 ORDER BY risk DESC, model_id LIMIT 10) UNION ALL
+SELECT 'best', model_id, risk FROM (SELECT * FROM m WHERE n >= 100 ORDER BY risk, model_id LIMIT 10)
 UNION ALL SELECT 'age', age_band, round(sum(risk * n) / sum(n), 6) FROM cube GROUP BY age_band""",
 )
 def _(t):
@@ -278,27 +352,46 @@ def nested_histories(t):
     defect = F.struct(pick(DEFECTS, i).alias("text"), F.when(i % 3 == 0, "FAIL").when(i % 3 == 1, "ADVISORY").otherwise("MINOR").alias("type"))
     tests = F.struct(
         "test_date", F.when(F.col("outcome") == "error", "FAILED").when(F.col("outcome") == "view", "ABANDONED").otherwise("PASSED").alias("result"),
-        F.when(i % 11 > 0, (F.col("reading") * 700).cast("int")).alias("odometer"), F.when(i % 5 == 0, "km").otherwise("mi").alias("unit"), F.when(i % 4 > 0, F.date_add("test_date", 9)).alias("expiry"),
+        F.when(
+            i % 11 > 0, (F.col("reading") * 700).cast("int")
+        ).alias("odometer"), F.when(i % 5 == 0, "km").otherwise("mi").alias("unit"), F.when(i % 4 > 0, F.date_add("test_date", 9)).alias("expiry"),
         F.filter(F.array(defect, F.struct(pick(DEFECTS, i * 3).alias("text"), F.lit("ADVISORY").alias("type"))), lambda d: i % 2 == 0).alias("defects"),
     )
     grouped = t.history().groupBy("vehicle_id").agg(F.sort_array(F.collect_list(tests)).alias("tests"))
     tests = F.when(k % 9 > 0, F.slice("tests", 1, F.greatest(F.lit(1), (k % 6).cast("int"))))  # some without history, some with a few tests
     model = F.regexp_replace(pick(MODELS, k), "^[^ ]+ ", "")
     return grouped.select(
-        "vehicle_id", F.split(pick(MODELS, k), " ")[0].alias("make"), model.alias("model"), pick(POSTCODES, k).alias("postcode"), F.when(k % 4 > 0, F.date_sub(F.lit("2024-01-01").cast("date"), (k * 37 % 7000).cast("int"))).alias("manufacture_date"), tests.alias("tests"),
+        "vehicle_id", F.split(pick(MODELS, k), " ")[0].alias("make"), model.alias("model"), pick(POSTCODES, k).alias("postcode"), F.when(
+            k % 4 > 0, F.date_sub(F.lit("2024-01-01").cast("date"), (k * 37 % 7000).cast("int"))
+        ).alias("manufacture_date"), tests.alias("tests"),
     )
 
 
 # Models ------------------------------------------------------------------------------------------------------------------------
 
 
-@query("ml01_recency_weights", IN + "SELECT year(test_date) AS year, CASE year(test_date) WHEN 1998 THEN 20.0 WHEN 1997 THEN 6.0 WHEN 1996 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, count(*) AS n FROM inspections GROUP BY ALL")
+@query(
+    "ml01_recency_weights",
+    IN + "SELECT year(test_date) AS year, CASE year(test_date) WHEN 1998 THEN 20.0 WHEN 1997 THEN 6.0 WHEN 1996 THEN 2.0 ELSE 1.0 END::DOUBLE AS "
+    "weight, count(*) AS n FROM inspections GROUP BY ALL",
+)
 def _(t):
     return t.inspections().groupBy(F.year("test_date").alias("year"), S.recency_weight(F.year("test_date"), 1998).alias("weight")).agg(count())
 
 
 def _fitted(t, seeds):
-    rows = t.banded().select("vehicle_id", "test_date", "line", "make", "area", "age_band", "mileage_band", F.col("age_years").cast("double").alias("age"), "test_mileage", F.col("target").cast("double").alias("label"))
+    rows = t.banded().select(
+        "vehicle_id",
+        "test_date",
+        "line",
+        "make",
+        "area",
+        "age_band",
+        "mileage_band",
+        F.col("age_years").cast("double").alias("age"),
+        "test_mileage",
+        F.col("target").cast("double").alias("label"),
+    )
     rows = rows.withColumns({"weight": S.recency_weight(F.year("test_date"), 1997), "holdout": F.pmod(F.xxhash64("vehicle_id"), F.lit(5)) == 0})
     dev, oot = rows.where("test_date < date'1998-01-01'"), rows.where("test_date >= date'1998-01-01'")
     prepared = S.matrix(["make", "area", "age_band", "mileage_band"], ["age", "test_mileage", "line"]).fit(dev)
@@ -329,7 +422,12 @@ def _(t):
     return scored.select("vehicle_id", "test_date", "line", F.round("raw", 6).alias("raw"), "calibrated")
 
 
-@query("ml05_data_confidence", MILES + f", c AS (SELECT test_id, (before IS NOT NULL)::INT AS h, count(*) OVER {P} AS n, days * 30 AS days FROM g), p AS (SELECT test_id, 2 * h + CASE WHEN n > 0 THEN 2 ELSE 0 END + CASE WHEN n >= 3 THEN 1 ELSE 0 END + CASE WHEN coalesce(days, 999) < 400 THEN 1 ELSE 0 END AS points FROM c) SELECT test_id, CASE WHEN points >= 5 THEN 'High' WHEN points >= 3 THEN 'Medium' ELSE 'Low' END AS confidence FROM p")
+@query(
+    "ml05_data_confidence",
+    MILES + f", c AS (SELECT test_id, (before IS NOT NULL)::INT AS h, count(*) OVER {P} AS n, days * 30 AS days FROM g), p AS (SELECT test_id, 2 * h + "
+    "CASE WHEN n > 0 THEN 2 ELSE 0 END + CASE WHEN n >= 3 THEN 1 ELSE 0 END + CASE WHEN coalesce(days, 999) < 400 THEN 1 ELSE 0 END AS points "
+    "FROM c) SELECT test_id, CASE WHEN points >= 5 THEN 'High' WHEN points >= 3 THEN 'Medium' ELSE 'Low' END AS confidence FROM p",
+)
 def _(t):
     rows = H.prior_counts(miles(t), "failed")
     return rows.select("test_id", R.data_confidence(F.col("before").isNotNull().cast("int"), F.col("n_prior"), F.col("days") * 30).alias("confidence"))
@@ -338,10 +436,21 @@ def _(t):
 _RISK = {c: f"round(least(greatest({b} * (1 + {'0.5 * least(a, 3) + ' if c in ('brakes', 'tyres') else ''}{'2 * least(0.1 * f, 1) + ' if c == 'brakes' else ''}{'CASE WHEN f > 0 THEN 1 ELSE 0 END' if c == 'suspension' else '0'}) * p / {R.AVERAGE_FAIL_RATE}, 0.01), 0.5), 4) AS {c}" for c, b in R.BASE_RISKS.items()}
 
 
-@query("ml06_component_risks", f"WITH {HISTORY}, c AS (SELECT vehicle_id, (sum(advisory) % 5)::DOUBLE AS a, (sum(failed) % 4)::DOUBLE AS f, avg(failed) + 0.1037 AS p FROM history GROUP BY 1) SELECT vehicle_id, {', '.join(_RISK.values())} FROM c")
+@query(
+    "ml06_component_risks",
+    f"WITH {HISTORY}, c AS (SELECT vehicle_id, (sum(advisory) % 5)::DOUBLE AS a, (sum(failed) % 4)::DOUBLE AS f, avg(failed) + 0.1037 AS p FROM history "
+    f"GROUP BY 1) SELECT vehicle_id, {', '.join(_RISK.values())} FROM c",
+)
 def _(t):
-    rows = t.history().groupBy("vehicle_id").agg((F.sum("advisory") % 5).cast("double").alias("a"), (F.sum("failed") % 4).cast("double").alias("f"), (F.avg("failed") + 0.1037).alias("p"))
-    found = R.component_risks(F.col("p"), {"brakes": F.col("a"), "tyres": F.col("a")}, {"brakes": F.least(0.1 * F.col("f"), F.lit(1.0))}, {"suspension": (F.col("f") > 0).cast("int")})
+    rows = t.history().groupBy("vehicle_id").agg(
+        (F.sum("advisory") % 5).cast("double").alias("a"), (F.sum("failed") % 4).cast("double").alias("f"), (F.avg("failed") + 0.1037).alias("p")
+    )
+    found = R.component_risks(
+        F.col("p"),
+        {"brakes": F.col("a"), "tyres": F.col("a")},
+        {"brakes": F.least(0.1 * F.col("f"), F.lit(1.0))},
+        {"suspension": (F.col("f") > 0).cast("int")},
+    )
     return rows.select("vehicle_id", *[c.alias(n) for n, c in found.items()])
 
 
@@ -349,16 +458,28 @@ def _(t):
 def _(t):
     _, _, _, models, _ = _fitted(t, [1])
     names = ["make", "area", "age_band", "mileage_band", "age", "test_mileage", "line"]
-    return S.importances(models, names, {"make": "vehicle", "area": "place", "age_band": "age", "age": "age", "mileage_band": "use", "test_mileage": "use"}, t.spark)
+    return S.importances(
+        models, names, {"make": "vehicle", "area": "place", "age_band": "age", "age": "age", "mileage_band": "use", "test_mileage": "use"}, t.spark
+    )
 
 
-@query("ml08_temporal_split", IN + "SELECT CASE WHEN year(test_date) < 1998 THEN 'dev' ELSE 'oot' END AS part, count(*) AS n, CAST(min(test_date) AS VARCHAR) AS first, CAST(max(test_date) AS VARCHAR) AS last FROM inspections GROUP BY 1")
+@query(
+    "ml08_temporal_split",
+    IN + "SELECT CASE WHEN year(test_date) < 1998 THEN 'dev' ELSE 'oot' END AS part, count(*) AS n, CAST(min(test_date) AS VARCHAR) AS first, "
+    "CAST(max(test_date) AS VARCHAR) AS last FROM inspections GROUP BY 1",
+)
 def _(t):
     part = F.when(F.year("test_date") < 1998, "dev").otherwise("oot")
-    return t.inspections().groupBy(part.alias("part")).agg(count(), F.min("test_date").cast("string").alias("first"), F.max("test_date").cast("string").alias("last"))
+    return t.inspections().groupBy(part.alias("part")).agg(
+        count(), F.min("test_date").cast("string").alias("first"), F.max("test_date").cast("string").alias("last")
+    )
 
 
-@query("ml09_category_encoding", IN + ", c AS (SELECT make, count(*) AS n FROM inspections GROUP BY 1) SELECT make, n, CAST(row_number() OVER (ORDER BY n DESC, make) - 1 AS DOUBLE) AS index FROM c")
+@query(
+    "ml09_category_encoding",
+    IN + ", c AS (SELECT make, count(*) AS n FROM inspections GROUP BY 1) SELECT make, n, CAST(row_number() OVER (ORDER BY n DESC, make) - 1 AS "
+    "DOUBLE) AS index FROM c",
+)
 def _(t):
     from pyspark.ml.feature import StringIndexer
 

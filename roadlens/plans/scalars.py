@@ -51,7 +51,9 @@ _ALL_IDS = f"ids AS (SELECT vehicle_id, model_id FROM vehicles UNION ALL SELECT
 
 def _ids(t):
     rows = t.vehicles()
-    return rows.select("vehicle_id", "model_id").unionByName(rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_IDS, F.col("vehicle_id") * 5).alias("model_id")))
+    return rows.select("vehicle_id", "model_id").unionByName(
+        rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_IDS, F.col("vehicle_id") * 5).alias("model_id"))
+    )
 
 
 @query(
@@ -68,8 +70,12 @@ _FIRST = {}
 for _m in X.MAJOR_MAKES:
     _FIRST.setdefault(_m.split(" ")[0], _m)
 CANONICAL_SQL = (
-    "CASE WHEN " + in_sql("trim(upper(raw_make))", X.REJECTED_MAKES) + " THEN NULL " + " ".join(f"WHEN trim(upper(raw_make)) = '{a}' THEN '{b}'" for a, b in X.CANONICAL_MAKES.items())
-    + " WHEN " + in_sql("trim(upper(raw_make))", X.MAJOR_MAKES) + " THEN trim(upper(raw_make)) " + " ".join(f"WHEN trim(upper(raw_make)) = '{a}' THEN '{b}'" for a, b in _FIRST.items()) + " END"
+    "CASE WHEN " + in_sql("trim(upper(raw_make))", X.REJECTED_MAKES) + " THEN NULL " + " ".join(
+        f"WHEN trim(upper(raw_make)) = '{a}' THEN '{b}'" for a, b in X.CANONICAL_MAKES.items()
+    )
+    + " WHEN " + in_sql("trim(upper(raw_make))", X.MAJOR_MAKES) + " THEN trim(upper(raw_make)) " + " ".join(
+        f"WHEN trim(upper(raw_make)) = '{a}' THEN '{b}'" for a, b in _FIRST.items()
+    ) + " END"
 )
 
 
@@ -81,12 +87,15 @@ def _(t):
 _STRIPPED = "m"
 for _p in X.MODEL_STRIPS:
     _STRIPPED = f"regexp_replace({_STRIPPED}, '{_p}', '', 'gi')"
-BASE_MODEL_CTE = f"""s AS (SELECT vehicle_id, model_id, make, CASE WHEN starts_with(model_id, make) THEN trim(substr(model_id, length(make) + 1)) ELSE model_id END AS m
+BASE_MODEL_CTE = f"""s AS (SELECT vehicle_id, model_id, make, CASE WHEN starts_with(model_id, make) THEN trim(substr(model_id, length(make) + 1))
+ELSE model_id END AS m
   FROM (SELECT *, {_TWO} AS make FROM vehicles)),
 w AS (SELECT *, split_part(trim(regexp_replace({_STRIPPED}, '\\s+', ' ', 'g')), ' ', 1) AS word FROM s),
 base AS (SELECT vehicle_id, make, CASE WHEN m = '' OR substr(m, 1, 1) IN ('.', '/', '-', '(', ')') OR word = '' OR {in_sql("word", X.TRIM_WORDS)} THEN NULL
-  WHEN {in_sql("make", X.NUMERIC_MODEL_MAKES)} AND regexp_matches(word, '^[A-Z]?[0-9]') THEN CASE WHEN make = 'BMW' AND regexp_matches(word, '^[0-9]') THEN substr(word, 1, 1) || ' SERIES' ELSE word END
-  WHEN regexp_matches(word, '^[0-9]') OR length(word) < 2 OR length(regexp_replace(word, '[^A-Z]', '', 'g')) < length(word) * 0.6 THEN NULL ELSE word END AS model FROM w)"""
+  WHEN {in_sql("make", X.NUMERIC_MODEL_MAKES)} AND regexp_matches(word, '^[A-Z]?[0-9]') THEN CASE WHEN make = 'BMW' AND regexp_matches(word, '^[0-9]')
+THEN substr(word, 1, 1) || ' SERIES' ELSE word END
+  WHEN regexp_matches(word, '^[0-9]') OR length(word) < 2 OR length(regexp_replace(word, '[^A-Z]', '', 'g')) < length(word) * 0.6 THEN NULL
+ELSE word END AS model FROM w)"""
 
 
 @query("scl_s4_base_model", V + ", " + BASE_MODEL_CTE + " SELECT * FROM base")
@@ -97,7 +106,8 @@ def _(t):
 
 @query(
     "scl_s5_slugify",
-    "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(replace(lower(p_name || ' - & ' || p_type || ' '), '&', 'and'), '[^a-z0-9\\s-]', '', 'g'), "
+    "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(replace(lower(p_name || ' - & ' || p_type || ' '), '&', 'and'), '[^a-z0-9\\s-]', "
+    "'', 'g'), "
     "'\\s+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part",
 )
 def _(t):
@@ -127,7 +137,9 @@ SELECT vehicle_id, regexp_full_match(upper(trim(postcode)), '[A-Z]{{1,2}}[0-9][A
 )
 def _(t):
     rows = t.vehicles()
-    both = rows.select("vehicle_id", "postcode").unionByName(rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_CODES, F.col("vehicle_id")).alias("postcode")))
+    both = rows.select("vehicle_id", "postcode").unionByName(
+        rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_CODES, F.col("vehicle_id")).alias("postcode"))
+    )
     return both.select("vehicle_id", X.postcode_valid(F.col("postcode")).alias("valid"))
 
 
@@ -135,7 +147,8 @@ def _(t):
     "scl_s9_registration",
     V + """, r AS (SELECT vehicle_id, replace(upper(trim(registration)), ' ', '') AS raw FROM vehicles),
 p AS (SELECT vehicle_id, CASE WHEN regexp_full_match(raw, '[A-Z0-9]{2,8}') THEN raw END AS plate FROM r)
-SELECT vehicle_id, plate, CASE WHEN regexp_full_match(plate, '[A-Z]{2}[0-9]{2}[A-Z]{3}') THEN 'current' WHEN regexp_full_match(plate, '[A-Z][0-9]{1,3}[A-Z]{3}') THEN 'prefix'
+SELECT vehicle_id, plate, CASE WHEN regexp_full_match(plate, '[A-Z]{2}[0-9]{2}[A-Z]{3}') THEN 'current'
+WHEN regexp_full_match(plate, '[A-Z][0-9]{1,3}[A-Z]{3}') THEN 'prefix'
 WHEN regexp_full_match(plate, '[A-Z]{3}[0-9]{1,3}[A-Z]') THEN 'suffix' WHEN regexp_full_match(plate, '[0-9]{1,4}[A-Z]{1,3}') THEN 'dateless_numeric'
 WHEN regexp_full_match(plate, '[A-Z]{1,3}[0-9]{1,4}') THEN 'dateless_alpha' END AS kind FROM p""",
 )
@@ -150,13 +163,16 @@ ODD_EMAILS = ["o'neil@x.com", "j@x.org", "a@b@c.de", "@nope.com", "no.dot@host",
 @query(
     "scl_s10_email",
     V + f""", e AS (SELECT vehicle_id, email FROM vehicles UNION ALL SELECT -vehicle_id, {pick_sql(ODD_EMAILS, "vehicle_id")} FROM vehicles),
-p AS (SELECT vehicle_id, email, contains(email, '@') AS has, split_part(email, '@', -1) AS domain, left(email, greatest(0, length(email) - length(split_part(email, '@', -1)) - 1)) AS local FROM e)
+p AS (SELECT vehicle_id, email, contains(email, '@') AS has, split_part(email, '@', -1) AS domain, left(email, greatest(0, length(email) - length(split_part(email, '@', -1)) - 1)) AS local
+FROM e)
 SELECT vehicle_id, CASE WHEN has AND local <> '' AND contains(domain, '.') THEN trim(lower(email)) END AS email,
 CASE WHEN NOT has THEN '***' WHEN length(local) <= 1 THEN '*@' || domain ELSE left(local, 1) || '***@' || domain END AS masked FROM p""",
 )
 def _(t):
     rows = t.vehicles()
-    both = rows.select("vehicle_id", "email").unionByName(rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_EMAILS, F.col("vehicle_id")).alias("email")))
+    both = rows.select("vehicle_id", "email").unionByName(
+        rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(ODD_EMAILS, F.col("vehicle_id")).alias("email"))
+    )
     return both.select("vehicle_id", X.normal_email(F.col("email")).alias("email"), X.mask_email(F.col("email")).alias("masked"))
 
 
@@ -170,12 +186,15 @@ MARKUP = {
     "<b>Ann</b> Lee": "Ann Lee", "  plain  ": "plain", "a < b & c": "a &lt; b &amp; c", "<script>x</script>": "x", "<!-- note -->": None, "R&amp;D": "R&amp;D",
     "1 > 0": "1 &gt; 0", "<a href='/x'>link</a>, please": "link, please", "": None,
 }
-_CLEAN = f"CASE CAST(vehicle_id % {len(MARKUP)} AS INT) " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(MARKUP.values())) + " END"
+_CLEAN = f"CASE CAST(vehicle_id % {len(MARKUP)} AS INT) " + " ".join(
+    f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(MARKUP.values())
+) + " END"
 
 
 @query(
     "scl_s12_sanitise",
-    V + f"SELECT vehicle_id, left({_CLEAN}, 12) AS cleaned, nullif(left(trim(regexp_replace('tel ' || registration || ' (0)  +44-1', '[^0-9\\s+()-]', '', 'g')), 20), '') AS phone FROM vehicles",
+    V + f"SELECT vehicle_id, left({_CLEAN}, 12) AS cleaned, nullif(left(trim(regexp_replace('tel ' || registration || ' (0)  +44-1', '[^0-9\\s+()-]', "
+    "'', 'g')), 20), '') AS phone FROM vehicles",
 )
 def _(t):
     k = F.col("vehicle_id")
@@ -183,9 +202,15 @@ def _(t):
     return t.vehicles().select("vehicle_id", X.clean_text(pick(list(MARKUP), k), 12).alias("cleaned"), X.clean_phone(phone).alias("phone"))
 
 
-REGIME_SQL = f"CASE WHEN {in_sql('trim(upper(raw_make))', X.MOTORCYCLE_MAKES)} THEN 'Motorcycle' WHEN {in_sql('trim(upper(raw_make))', X.COMMERCIAL_MAKES)} THEN 'Commercial' ELSE 'Car' END"
+REGIME_SQL = (
+    f"CASE WHEN {in_sql('trim(upper(raw_make))', X.MOTORCYCLE_MAKES)} THEN 'Motorcycle' WHEN {in_sql('trim(upper(raw_make))', X.COMMERCIAL_MAKES)} THEN "
+    "'Commercial' ELSE 'Car' END"
+)
 _M = "trim(upper(model_id))"
-POWER_SQL = f"CASE WHEN {any_sql(_M, X.BEV_WORDS)} THEN 'BEV' WHEN {any_sql(_M, X.PHEV_WORDS)} THEN 'PHEV' WHEN {any_sql(_M, X.HEV_WORDS)} THEN 'HEV' ELSE 'ICE' END"
+POWER_SQL = (
+    f"CASE WHEN {any_sql(_M, X.BEV_WORDS)} THEN 'BEV' WHEN {any_sql(_M, X.PHEV_WORDS)} THEN 'PHEV' WHEN {any_sql(_M, X.HEV_WORDS)} THEN 'HEV' ELSE 'ICE' "
+    "END"
+)
 
 
 @query("scl_s13_regime", V + f"SELECT vehicle_id, {REGIME_SQL} AS regime FROM vehicles")
@@ -198,13 +223,17 @@ def _(t):
     return t.vehicles().select("vehicle_id", X.powertrain(F.col("model_id")).alias("powertrain"))
 
 
-@query("scl_s15_body_type", V + f"SELECT vehicle_id, CASE WHEN {any_sql(_M, X.COMMERCIAL_MODELS)} THEN 'Commercial' ELSE 'Passenger' END AS body FROM vehicles")
+@query(
+    "scl_s15_body_type", V + f"SELECT vehicle_id, CASE WHEN {any_sql(_M, X.COMMERCIAL_MODELS)} THEN 'Commercial' ELSE 'Passenger' END AS body FROM vehicles"
+)
 def _(t):
     return t.vehicles().select("vehicle_id", X.body_type(F.col("model_id")).alias("body"))
 
 
 _VAN_IDS = ["RENAULT MASTER", "IVECO DAILY", "VOLKSWAGEN CRAFTER", "CITROEN DISPATCH", "MERCEDES-BENZ VITO", "FORD KA+", "VOLVO XC60", "CITROEN C4"]
-_COHORT = """CASE WHEN regexp_matches(upper(model_id), 'TRANSIT|SPRINTER|BOXER|TRAFIC|VIVARO|RELAY|MASTER|CRAFTER|DUCATO|DAILY|DISPATCH|TRANSPORTER|CADDY|BERLINGO|PARTNER|COMBO|PROACE|TALENTO|MOVANO|NV200|NV300|NV400') THEN 'commercial_van'
+_COHORT = """CASE
+WHEN regexp_matches(upper(model_id), 'TRANSIT|SPRINTER|BOXER|TRAFIC|VIVARO|RELAY|MASTER|CRAFTER|DUCATO|DAILY|DISPATCH|TRANSPORTER|CADDY|BERLINGO|PARTNER|COMBO|PROACE|TALENTO|MOVANO|NV200|NV300|NV400')
+THEN 'commercial_van'
 WHEN regexp_matches(upper(model_id), 'CORSA|ADAM|VIVA|KA|500|PANDA|AYGO|YARIS|I10|I20|PICANTO|RIO|MICRA|NOTE|SWIFT|IGNIS|TWINGO|ZOE') THEN 'small_hatch'
 WHEN split_part(model_id, ' ', 1) IN ('BMW', 'MERCEDES-BENZ', 'MERCEDES', 'AUDI', 'PORSCHE', 'JAGUAR', 'VOLVO', 'LAND ROVER', 'LEXUS') THEN 'euro_premium'
 WHEN regexp_matches(upper(model_id), 'CLIO|MEGANE|CAPTUR|SCENIC|KADJAR|207|208|308|2008|3008|C3|C4|DS3|DS4') THEN 'french_compact' ELSE 'standard' END"""
@@ -212,11 +241,14 @@ WHEN regexp_matches(upper(model_id), 'CLIO|MEGANE|CAPTUR|SCENIC|KADJAR|207|208|3
 
 @query(
     "scl_s16_cohort",
-    V + f", c AS (SELECT vehicle_id, model_id FROM vehicles UNION ALL SELECT -vehicle_id, {pick_sql(_VAN_IDS, 'vehicle_id')} FROM vehicles) SELECT vehicle_id, {_COHORT} AS cohort FROM c",
+    V + f", c AS (SELECT vehicle_id, model_id FROM vehicles UNION ALL SELECT -vehicle_id, {pick_sql(_VAN_IDS, 'vehicle_id')} FROM vehicles) SELECT "
+    f"vehicle_id, {_COHORT} AS cohort FROM c",
 )
 def _(t):
     rows = t.vehicles()
-    both = rows.select("vehicle_id", "model_id").unionByName(rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(_VAN_IDS, F.col("vehicle_id")).alias("model_id")))
+    both = rows.select("vehicle_id", "model_id").unionByName(
+        rows.select((-F.col("vehicle_id")).alias("vehicle_id"), pick(_VAN_IDS, F.col("vehicle_id")).alias("model_id"))
+    )
     return both.select("vehicle_id", X.vehicle_cohort(F.col("model_id"), X.first_word(F.col("model_id"))).alias("cohort"))
 
 
@@ -236,12 +268,18 @@ def _(t):
     return t.vehicles().select("vehicle_id", X.defect_component(F.col("defect")).alias("component"))
 
 
-@query("scl_s19_mechanisms", V + "SELECT vehicle_id, " + ", ".join(f"{any_sql('lower(defect)', w)} AS {m}" for m, w in X.MECHANISM_WORDS.items()) + " FROM vehicles")
+@query(
+    "scl_s19_mechanisms",
+    V + "SELECT vehicle_id, " + ", ".join(f"{any_sql('lower(defect)', w)} AS {m}" for m, w in X.MECHANISM_WORDS.items()) + " FROM vehicles",
+)
 def _(t):
     return t.vehicles().select("vehicle_id", *[c.alias(n) for n, c in X.mechanism_flags(F.col("defect")).items()])
 
 
-@query("scl_s20_component_key", V + "SELECT vehicle_id, replace(CASE WHEN vehicle_id % 2 = 0 THEN defect ELSE 'risk_' || defect END, ' ', '_') AS key FROM vehicles")
+@query(
+    "scl_s20_component_key",
+    V + "SELECT vehicle_id, replace(CASE WHEN vehicle_id % 2 = 0 THEN defect ELSE 'risk_' || defect END, ' ', '_') AS key FROM vehicles",
+)
 def _(t):
     prefix = F.when(F.col("vehicle_id") % 2 == 0, "Risk_").otherwise("risk_")  # only the first spelling is a prefix
     return t.vehicles().select("vehicle_id", X.component_key(F.concat(prefix, "defect")).alias("key"))
@@ -262,7 +300,9 @@ def _(t):
 def _banded(name: str, sql: str, fn, source: str = "inspections"):
     """A query that counts rows by band."""
     cte = I if source == "inspections" else f"WITH {HISTORY} "
-    query(name, f"{cte}SELECT {sql} AS band, count(*) AS n FROM {source} GROUP BY 1")(lambda t: getattr(t, source)().groupBy(fn().alias("band")).agg(F.count(F.lit(1)).alias("n")))
+    query(name, f"{cte}SELECT {sql} AS band, count(*) AS n FROM {source} GROUP BY 1")(
+        lambda t: getattr(t, source)().groupBy(fn().alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 _age = "CASE WHEN line = 7 THEN NULL ELSE age_years - line // 6 END"
@@ -277,7 +317,8 @@ _banded("scl_b2_mileage_band", MILEAGE_SQL.replace("test_mileage", "(test_mileag
 _banded("scl_b3_serving_age_band", bands_sql("age_years", R.SERVING_AGE_BANDS, "15+", closed=True), lambda: R.serving_age_band(F.col("age_years")))
 _banded(
     "scl_b4_closed_bins",
-    "CASE WHEN line * 2 - 2 <= 0 THEN '0-2' WHEN line * 2 - 2 <= 2 THEN '3-5' WHEN line * 2 - 2 <= 5 THEN '6-10' WHEN line * 2 - 2 <= 10 THEN '11-15' ELSE '15+' END || ' ' || "
+    "CASE WHEN line * 2 - 2 <= 0 THEN '0-2' WHEN line * 2 - 2 <= 2 THEN '3-5' WHEN line * 2 - 2 <= 5 THEN '6-10' WHEN line * 2 - 2 <= 10 THEN "
+    "'11-15' ELSE '15+' END || ' ' || "
     "CASE WHEN test_mileage <= 30000 THEN '0-30k' WHEN test_mileage <= 60000 THEN '30k-60k' WHEN test_mileage <= 100000 THEN '60k-100k' ELSE '100k+' END",
     lambda: F.concat_ws(" ", R.tests_band(F.col("line") * 2 - 2), R.closed_mileage_band(F.col("test_mileage"))),
 )
@@ -286,7 +327,8 @@ FINE_BANDS = ["1-2", "8-9", "UNKNOWN", "Unknown", "11-15", "4-5", "15+", "0-3",
 
 @query(
     "scl_b5_age_key",
-    f"WITH b AS (SELECT CASE WHEN p_partkey % 13 < 11 THEN {pick_sql(FINE_BANDS, 'p_partkey % 13')} END AS band FROM part) SELECT coalesce(band, 'null') AS band, "
+    f"WITH b AS (SELECT CASE WHEN p_partkey % 13 < 11 THEN {pick_sql(FINE_BANDS, 'p_partkey % 13')} END AS band FROM part) SELECT coalesce(band, "
+    "'null') AS band, "
     "CASE WHEN band IS NULL OR band = 'UNKNOWN' THEN 'Unknown' WHEN band IN ('1-2', '0-3') THEN '0-2' WHEN band IN ('4-5', '3-5') THEN '3-5' WHEN band IN ('8-9', '5-6') THEN '6-10' "
     "WHEN band IN ('11-15', '10-11') THEN '11-15' ELSE '15+' END AS key, count(*) AS n FROM b GROUP BY ALL",
 )
@@ -300,32 +342,43 @@ _banded("scl_b6_gap_band", bands_sql("age_years * 30", R.GAP_BANDS, "very_late")
 _banded("scl_b7_usage_band", bands_sql("test_mileage / 5", R.USAGE_BANDS, "very_high"), lambda: R.usage_band(F.col("test_mileage") / 5))
 
 
-@query("scl_b8_confidence", I + "SELECT model_id, count(*) AS n, CASE WHEN count(*) >= 1000 THEN 'High' WHEN count(*) >= 100 THEN 'Medium' WHEN count(*) >= 20 THEN 'Low' ELSE 'Very Low' END AS confidence FROM inspections GROUP BY model_id")
+@query(
+    "scl_b8_confidence",
+    I + "SELECT model_id, count(*) AS n, CASE WHEN count(*) >= 1000 THEN 'High' WHEN count(*) >= 100 THEN 'Medium' WHEN count(*) >= 20 THEN 'Low' "
+    "ELSE 'Very Low' END AS confidence FROM inspections GROUP BY model_id",
+)
 def _(t):
     return t.inspections().groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).withColumn("confidence", R.confidence_class(F.col("n")))
 
 
 @query("scl_b9_negligence", f"""WITH {HISTORY}, c AS (SELECT vehicle_id, sum(advisory) AS a, count(*) AS n FROM history GROUP BY vehicle_id), r AS (SELECT vehicle_id, least(a::DOUBLE / n, 1.0) AS ratio FROM c)
-SELECT vehicle_id, round(ratio, 6) AS ratio, CASE WHEN ratio <= 0 THEN 'clean' WHEN ratio < 0.3 THEN 'low' WHEN ratio < 0.6 THEN 'high' ELSE 'chronic' END AS band FROM r""")
+SELECT vehicle_id, round(ratio, 6) AS ratio, CASE WHEN ratio <= 0 THEN 'clean' WHEN ratio < 0.3 THEN 'low' WHEN ratio < 0.6 THEN 'high'
+ELSE 'chronic' END AS band FROM r""")
 def _(t):
     ratio, band = R.negligence(F.col("a"), F.col("n"))
-    return t.history().groupBy("vehicle_id").agg(F.sum("advisory").alias("a"), F.count(F.lit(1)).alias("n")).select("vehicle_id", F.round(ratio, 6).alias("ratio"), band.alias("band"))
+    return t.history().groupBy("vehicle_id").agg(F.sum("advisory").alias("a"), F.count(F.lit(1)).alias("n")).select(
+        "vehicle_id", F.round(ratio, 6).alias("ratio"), band.alias("band")
+    )
 
 
 @query(
     "scl_b10_risk_levels",
     f"""WITH {CUBE} SELECT model_id, age_band, mileage_band, CASE WHEN risk >= 0.35 THEN 'HIGH' WHEN risk >= 0.2 THEN 'MODERATE' ELSE 'LOW' END AS email,
-CASE WHEN risk_brakes >= 0.15 THEN 'High' WHEN risk_brakes >= 0.08 THEN 'Medium' ELSE 'Low' END AS fault, CASE WHEN risk * 100 > 50 THEN 'high' WHEN risk * 100 > 30 THEN 'medium' ELSE 'low' END AS report FROM cube""",
+CASE WHEN risk_brakes >= 0.15 THEN 'High' WHEN risk_brakes >= 0.08 THEN 'Medium' ELSE 'Low' END AS fault, CASE WHEN risk * 100 > 50 THEN 'high'
+WHEN risk * 100 > 30 THEN 'medium' ELSE 'low' END AS report FROM cube""",
 )
 def _(t):
     report = R.below(F.col("risk") * 100, [(30, "low"), (50, "medium")], "high", closed=True)
-    email, fault = R.cut_class(F.col("risk"), 0.35, 0.20, ("HIGH", "MODERATE", "LOW")), R.cut_class(F.col("risk_brakes"), 0.15, 0.08, ("High", "Medium", "Low"))
+    email, fault = R.cut_class(F.col("risk"), 0.35, 0.20, ("HIGH", "MODERATE", "LOW")), R.cut_class(
+        F.col("risk_brakes"), 0.15, 0.08, ("High", "Medium", "Low")
+    )
     return t.cube().select("model_id", "age_band", "mileage_band", email.alias("email"), fault.alias("fault"), report.alias("report"))
 
 
 @query(
     "scl_b11_verdict",
-    f"WITH {CUBE} SELECT CASE WHEN risk < 0.15 THEN 'Good reliability' WHEN risk < 0.3 THEN 'Moderate reliability' WHEN risk < 0.45 THEN 'Below average reliability' "
+    f"WITH {CUBE} SELECT CASE WHEN risk < 0.15 THEN 'Good reliability' WHEN risk < 0.3 THEN 'Moderate reliability' WHEN risk < 0.45 THEN 'Below "
+    "average reliability' "
     "ELSE 'High risk vehicle' END AS verdict, count(*) AS cells, sum(n)::BIGINT AS n FROM cube GROUP BY 1",
 )
 def _(t):
@@ -333,15 +386,24 @@ def _(t):
 
 
 @query("scl_b12_recommendation", f"""WITH {CUBE}, p AS (SELECT model_id, age_band, mileage_band, risk, CAST(n % 200 AS INT) - 20 AS d FROM cube),
-a AS (SELECT *, CASE WHEN risk >= 0.5 THEN 'GET_QUOTES' WHEN risk >= 0.3 THEN 'PRE_MOT_CHECK' WHEN d < 0 OR d <= 30 THEN 'BOOK_MOT' ELSE 'SET_REMINDER' END AS action FROM p)
-SELECT model_id, age_band, mileage_band, action AS "primary", CASE WHEN action IN ('GET_QUOTES', 'PRE_MOT_CHECK') THEN 'SET_REMINDER' WHEN action = 'BOOK_MOT' THEN 'GET_QUOTES' ELSE 'FIND_GARAGE' END AS secondary,
-CASE WHEN risk > 0.33 AND action IN ('GET_QUOTES', 'PRE_MOT_CHECK') THEN 'COST_ESTIMATE' WHEN d < 0 OR d <= 90 THEN 'MOT_COUNTDOWN' ELSE 'REMINDER_PITCH' END AS card FROM a""")
+a AS (SELECT *, CASE WHEN risk >= 0.5 THEN 'GET_QUOTES' WHEN risk >= 0.3 THEN 'PRE_MOT_CHECK' WHEN d < 0 OR d <= 30 THEN 'BOOK_MOT'
+ELSE 'SET_REMINDER' END AS action FROM p)
+SELECT model_id, age_band, mileage_band, action AS "primary", CASE WHEN action IN ('GET_QUOTES', 'PRE_MOT_CHECK') THEN 'SET_REMINDER'
+WHEN action = 'BOOK_MOT' THEN 'GET_QUOTES' ELSE 'FIND_GARAGE' END AS secondary,
+CASE WHEN risk > 0.33 AND action IN ('GET_QUOTES', 'PRE_MOT_CHECK') THEN 'COST_ESTIMATE' WHEN d < 0 OR d <= 90 THEN 'MOT_COUNTDOWN'
+ELSE 'REMINDER_PITCH' END AS card FROM a""")
 def _(t):
     days = (F.col("n") % 200).cast("int") - 20
-    return t.cube().withColumn("r", R.recommendation(F.col("risk"), days, days < 0, F.col("risk") > 0.33)).select("model_id", "age_band", "mileage_band", "r.primary", "r.secondary", "r.card")
+    return t.cube().withColumn("r", R.recommendation(F.col("risk"), days, days < 0, F.col("risk") > 0.33)).select(
+        "model_id", "age_band", "mileage_band", "r.primary", "r.secondary", "r.card"
+    )
 
 
-@query("scl_b13_chart_class", f"WITH {CUBE} SELECT model_id, round(100 * sum(risk * n) / sum(n), 6) AS pct, CASE WHEN 100 * sum(risk * n) / sum(n) >= 35 THEN 'red' WHEN 100 * sum(risk * n) / sum(n) >= 20 THEN 'amber' ELSE 'green' END AS colour FROM cube GROUP BY model_id")
+@query(
+    "scl_b13_chart_class",
+    f"WITH {CUBE} SELECT model_id, round(100 * sum(risk * n) / sum(n), 6) AS pct, CASE WHEN 100 * sum(risk * n) / sum(n) >= 35 THEN 'red' WHEN 100 * "
+    "sum(risk * n) / sum(n) >= 20 THEN 'amber' ELSE 'green' END AS colour FROM cube GROUP BY model_id",
+)
 def _(t):
     rates = t.cube().groupBy("model_id").agg((100 * F.try_divide(F.sum(F.col("risk") * F.col("n")), F.sum("n"))).alias("pct"))
     return rates.select("model_id", F.round("pct", 6).alias("pct"), R.cut_class(F.col("pct"), 35, 20, ("red", "amber", "green")).alias("colour"))
@@ -359,21 +421,29 @@ def wilson_sql(k: str, n: str, z: float) -> tuple[str, str]:
 _LOW, _HIGH = wilson_sql("sum(target)", "count(*)", 1.96)
 
 
-@query("scl_m1_wilson", I + f"SELECT model_id, age_years, count(*) AS n, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high FROM inspections GROUP BY model_id, age_years")
+@query(
+    "scl_m1_wilson",
+    I + f"SELECT model_id, age_years, count(*) AS n, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high FROM inspections GROUP BY model_id, age_years",
+)
 def _(t):
     low, high = R.wilson(F.col("k"), F.col("n"))
     grouped = t.inspections().groupBy("model_id", "age_years").agg(F.sum("target").alias("k"), F.count(F.lit(1)).alias("n"))
     return grouped.select("model_id", "age_years", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("scl_m2_clamp", "SELECT l_orderkey, l_linenumber, l_extendedprice, round(CASE WHEN l_linenumber = 3 THEN 0.0 ELSE greatest(0.0, least(1.0, l_extendedprice / 50000 - 0.3)) END, 6) AS clamped FROM lineitem")
+@query(
+    "scl_m2_clamp",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice, round(CASE WHEN l_linenumber = 3 THEN 0.0 ELSE greatest(0.0, least(1.0, l_extendedprice / 50000 - "
+    "0.3)) END, 6) AS clamped FROM lineitem",
+)
 def _(t):
     risk = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") / 50000 - 0.3)
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.round(R.clamp(risk), 6).alias("clamped"))
 
 
 @query("scl_m3_haversine", f"""SELECT c_custkey, round({R.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)), 4) AS miles FROM (SELECT c_custkey, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2) AS a
-FROM (SELECT c_custkey, 50 + c_custkey % 89 / 10.0 AS lat1, -5 + c_custkey % 71 / 10.0 AS lon1, 50 + c_custkey % 83 / 10.0 AS lat2, -5 + c_custkey % 67 / 10.0 AS lon2 FROM customer))""")
+FROM (SELECT c_custkey, 50 + c_custkey % 89 / 10.0 AS lat1, -5 + c_custkey % 71 / 10.0 AS lon1, 50 + c_custkey % 83 / 10.0 AS lat2, -5 + c_custkey % 67 / 10.0 AS lon2
+FROM customer))""")
 def _(t):
     at = lambda base, m: base + (F.col("c_custkey") % m) / 10.0
     return t("customer").select("c_custkey", F.round(R.haversine(at(50, 89), at(-5, 71), at(50, 83), at(-5, 67)), 4).alias("miles"))
@@ -386,7 +456,11 @@ def tens_sql(v: str) -> str:
 _PER = " + ".join(f"risk_{c} * {v}" for c, v in R.TYPICAL_COSTS.items())
 
 
-@query("scl_m4_expected_cost", f"WITH {CUBE}, m AS (SELECT model_id, age_band, mileage_band, ({_PER}) / risk AS mid FROM cube WHERE risk > 0) SELECT model_id, age_band, mileage_band, {tens_sql('greatest(0.6 * mid, 150.0)')} AS cost_min, {tens_sql('mid')} AS cost_mid, {tens_sql('1.7 * mid')} AS cost_max FROM m")
+@query(
+    "scl_m4_expected_cost",
+    f"WITH {CUBE}, m AS (SELECT model_id, age_band, mileage_band, ({_PER}) / risk AS mid FROM cube WHERE risk > 0) SELECT model_id, age_band, "
+    f"mileage_band, {tens_sql('greatest(0.6 * mid, 150.0)')} AS cost_min, {tens_sql('mid')} AS cost_mid, {tens_sql('1.7 * mid')} AS cost_max FROM m",
+)
 def _(t):
     cost = R.expected_cost({c: F.col(f"risk_{c}") for c in R.COMPONENTS}, F.col("risk"))
     return t.cube().where("risk > 0").withColumn("cost", cost).select("model_id", "age_band", "mileage_band", "cost.*")
@@ -395,7 +469,12 @@ def _(t):
 _MIX = " + ".join(f"risk_{c} * {v}" for c, v in R.MIDPOINT_COSTS.items())
 
 
-@query("scl_m5_scaled_cost", f"WITH {CUBE}, m AS (SELECT model_id, age_band, mileage_band, greatest(({_MIX}) * greatest(0.5, least(3.0, risk / {R.AVERAGE_FAIL_RATE})), 100.0) AS e FROM cube WHERE risk > 0) SELECT model_id, age_band, mileage_band, {tens_sql('e')} AS expected, {tens_sql('greatest(e * 0.5, 50.0)')} AS range_low, {tens_sql('e * 2')} AS range_high FROM m")
+@query(
+    "scl_m5_scaled_cost",
+    f"WITH {CUBE}, m AS (SELECT model_id, age_band, mileage_band, greatest(({_MIX}) * greatest(0.5, least(3.0, risk / {R.AVERAGE_FAIL_RATE})), 100.0) AS "
+    f"e FROM cube WHERE risk > 0) SELECT model_id, age_band, mileage_band, {tens_sql('e')} AS expected, {tens_sql('greatest(e * 0.5, 50.0)')} AS "
+    f"range_low, {tens_sql('e * 2')} AS range_high FROM m",
+)
 def _(t):
     cost = R.scaled_cost({c: F.col(f"risk_{c}") for c in R.COMPONENTS}, F.col("risk"))
     return t.cube().where("risk > 0").withColumn("cost", cost).select("model_id", "age_band", "mileage_band", "cost.*")
@@ -404,37 +483,63 @@ def _(t):
 _COST = "CASE component " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in R.TYPICAL_COSTS.items()) + " END"
 
 
-@query("scl_m6_component_cost", I + f", c AS (SELECT age_years, list_extract([{', '.join(repr(c) for c in R.COMPONENTS)}], line) AS component, count(*) AS n FROM inspections GROUP BY ALL) SELECT age_years, component, n, CAST(CASE WHEN age_years >= 10 THEN round_even({_COST} * 1.15::DOUBLE, 0) ELSE {_COST} END AS BIGINT) AS cost FROM c")
+@query(
+    "scl_m6_component_cost",
+    I + f", c AS (SELECT age_years, list_extract([{', '.join(repr(c) for c in R.COMPONENTS)}], line) AS component, count(*) AS n FROM inspections "
+    f"GROUP BY ALL) SELECT age_years, component, n, CAST(CASE WHEN age_years >= 10 THEN round_even({_COST} * 1.15::DOUBLE, 0) ELSE {_COST} END AS "
+    "BIGINT) AS cost FROM c",
+)
 def _(t):
     name = F.element_at(F.array(*[F.lit(c) for c in R.COMPONENTS]), F.col("line"))
-    return t.inspections().groupBy("age_years", name.alias("component")).agg(F.count(F.lit(1)).alias("n")).withColumn("cost", R.component_cost(F.col("component"), F.col("age_years")))
+    return t.inspections().groupBy("age_years", name.alias("component")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "cost", R.component_cost(F.col("component"), F.col("age_years"))
+    )
 
 
-COUNTS = f"""WITH {HISTORY}, c AS (SELECT vehicle_id, sum(CASE WHEN outcome = 'click' THEN 1 ELSE 0 END)::BIGINT AS brakes, sum(CASE WHEN outcome = 'view' THEN 1 ELSE 0 END)::BIGINT AS suspension, sum(CASE WHEN outcome = 'signup' THEN 1 ELSE 0 END)::BIGINT AS steering,
-sum(CASE WHEN outcome = 'purchase' THEN 1 ELSE 0 END)::BIGINT AS tyres, sum(failed)::BIGINT AS fails, count(*) AS n, sum(reading) * 10 AS annual, CAST(count(*) * 9 AS BIGINT) AS days FROM history GROUP BY vehicle_id)"""
+COUNTS = f"""WITH {HISTORY}, c AS (SELECT vehicle_id, sum(CASE WHEN outcome = 'click' THEN 1 ELSE 0 END)::BIGINT AS brakes, sum(CASE
+WHEN outcome = 'view' THEN 1 ELSE 0 END)::BIGINT AS suspension, sum(CASE WHEN outcome = 'signup' THEN 1 ELSE 0 END)::BIGINT AS steering,
+sum(CASE WHEN outcome = 'purchase' THEN 1 ELSE 0 END)::BIGINT AS tyres, sum(failed)::BIGINT AS fails, count(*) AS n, sum(reading) * 10 AS annual,
+CAST(count(*) * 9 AS BIGINT) AS days FROM history GROUP BY vehicle_id)"""
 
 
 def counts(t):
     """Per vehicle: how often each component was advised, fails, tests, yearly use and days since the last test."""
     of = lambda v: F.count_if(F.col("outcome") == v)
     return t.history().groupBy("vehicle_id").agg(
-        of("click").alias("brakes"), of("view").alias("suspension"), of("signup").alias("steering"), of("purchase").alias("tyres"), F.sum("failed").alias("fails"), F.count(F.lit(1)).alias("n"), (F.sum("reading") * 10).alias("annual"), (F.count(F.lit(1)) * 9).alias("days")
+        of("click").alias("brakes"), of("view").alias("suspension"), of("signup").alias("steering"), of("purchase").alias("tyres"), F.sum("failed").alias("fails"), F.count(F.lit(1)).alias("n"), (
+            F.sum("reading") * 10
+        ).alias("annual"), (F.count(F.lit(1)) * 9).alias("days")
     )
 
 
-@query("scl_m7_wear_proxies", COUNTS + " SELECT vehicle_id, steering + suspension + tyres AS front_end, round(brakes + ln(1 + n) / 3.0, 6) AS brake_stress, round(ln(1 + annual / 10000) + greatest(0, days - 365) / 365.0 + ln(1 + n) / 3.0, 6) AS wear FROM c")
+@query(
+    "scl_m7_wear_proxies",
+    COUNTS + " SELECT vehicle_id, steering + suspension + tyres AS front_end, round(brakes + ln(1 + n) / 3.0, 6) AS brake_stress, round(ln(1 + annual "
+    "/ 10000) + greatest(0, days - 365) / 365.0 + ln(1 + n) / 3.0, 6) AS wear FROM c",
+)
 def _(t):
     age = F.log1p("n") / 3.0
     wear = F.log1p(F.col("annual") / 10000) + F.greatest(F.lit(0), F.col("days") - 365) / 365.0 + age
-    return counts(t).select("vehicle_id", (F.col("steering") + F.col("suspension") + F.col("tyres")).alias("front_end"), F.round(F.col("brakes") + age, 6).alias("brake_stress"), F.round(wear, 6).alias("wear"))
+    return counts(t).select(
+        "vehicle_id",
+        (F.col("steering") + F.col("suspension") + F.col("tyres")).alias("front_end"),
+        F.round(F.col("brakes") + age, 6).alias("brake_stress"),
+        F.round(wear, 6).alias("wear"),
+    )
 
 
 @query("scl_m8_debt_score", COUNTS + """, d AS (SELECT *, CASE WHEN brakes > tyres THEN 'worsening' WHEN brakes = tyres THEN 'stable' ELSE 'improving' END AS trend FROM c)
-SELECT vehicle_id, trend, round(greatest(1.0, 1 + 0.7 * ln(1 + annual / 5000) + 0.3 * ln(1 + days / 30.0)) * (1.3 * ln(1 + suspension + steering) + 1.2 * ln(1 + brakes) + ln(1 + tyres)) * CASE trend WHEN 'worsening' THEN 2.5 WHEN 'stable' THEN 1.5 ELSE 1.0 END, 5) AS debt FROM d""")
+SELECT vehicle_id, trend,
+round(greatest(1.0, 1 + 0.7 * ln(1 + annual / 5000) + 0.3 * ln(1 + days / 30.0)) * (1.3 * ln(1 + suspension + steering) + 1.2 * ln(1 + brakes) + ln(1 + tyres)) *
+CASE trend WHEN 'worsening' THEN 2.5 WHEN 'stable' THEN 1.5 ELSE 1.0 END, 5) AS debt FROM d""")
 def _(t):
     trend = F.when(F.col("brakes") > F.col("tyres"), "worsening").when(F.col("brakes") == F.col("tyres"), "stable").otherwise("improving")
     rows = counts(t).withColumn("trend", trend)
-    return rows.select("vehicle_id", "trend", F.round(R.debt_score(*[F.col(c) for c in ("brakes", "suspension", "steering", "tyres", "trend", "days", "annual")]), 5).alias("debt"))
+    return rows.select(
+        "vehicle_id",
+        "trend",
+        F.round(R.debt_score(*[F.col(c) for c in ("brakes", "suspension", "steering", "tyres", "trend", "days", "annual")]), 5).alias("debt"),
+    )
 
 
 @query("scl_m9_late_debt", COUNTS + " SELECT vehicle_id, round(greatest(0, days - 365) / 365.0, 6) AS debt FROM c")
@@ -445,18 +550,30 @@ def _(t):
 @query("scl_m10_neglect", COUNTS + " SELECT vehicle_id, " + ", ".join(f"round({c} * {a}::DOUBLE + fails * {f}::DOUBLE + CASE WHEN n = 999 THEN 0 ELSE n END * ({s})::DOUBLE, 6) AS neglect_{c}" for c, (a, f, s) in R.NEGLECT_WEIGHTS.items()) + " FROM c")
 def _(t):
     since = F.when(F.col("n") == 999, 0).otherwise(F.col("n"))
-    return counts(t).select("vehicle_id", *[F.round(F.col(c) * a + F.col("fails") * f + since * s, 6).alias(f"neglect_{c}") for c, (a, f, s) in R.NEGLECT_WEIGHTS.items()])
+    return counts(t).select(
+        "vehicle_id", *[F.round(F.col(c) * a + F.col("fails") * f + since * s, 6).alias(f"neglect_{c}") for c, (a, f, s) in R.NEGLECT_WEIGHTS.items()]
+    )
 
 
 _PAIRS = [("brakes", "tyres"), ("brakes", "steering"), ("suspension", "tyres"), ("steering", "tyres"), ("suspension", "steering"), ("brakes", "suspension")]
 _OVER = 13
 
 
-@query("scl_m11_cooccurrence", COUNTS + ", f AS (SELECT vehicle_id, " + ", ".join(f"(({c} > {_OVER})::INT) AS {c}" for c in ("brakes", "suspension", "steering", "tyres")) + " FROM c) SELECT vehicle_id, " + ", ".join(f"{a} * {b} AS {a}_{b}" for a, b in _PAIRS) + ", brakes + suspension + steering + tyres AS systems, CASE WHEN brakes + suspension + steering + tyres >= 2 THEN 1 ELSE 0 END AS multi FROM f")
+@query(
+    "scl_m11_cooccurrence",
+    COUNTS + ", f AS (SELECT vehicle_id, "
+    + ", "
+    .join(f"(({c} > {_OVER})::INT) AS {c}" for c in ("brakes", "suspension", "steering", "tyres")) + " FROM c) SELECT vehicle_id, "
+    + ", "
+    .join(f"{a} * {b} AS {a}_{b}" for a, b in _PAIRS) + ", brakes + suspension + steering + tyres AS systems, CASE WHEN brakes + suspension + "
+    "steering + tyres >= 2 THEN 1 ELSE 0 END AS multi FROM f",
+)
 def _(t):
     flags = {c: (F.col(c) > _OVER).cast("int") for c in ("brakes", "suspension", "steering", "tyres")}
     systems = sum(flags.values(), F.lit(0))
-    return counts(t).select("vehicle_id", *[(flags[a] * flags[b]).alias(f"{a}_{b}") for a, b in _PAIRS], systems.alias("systems"), (systems >= 2).cast("int").alias("multi"))
+    return counts(t).select(
+        "vehicle_id", *[(flags[a] * flags[b]).alias(f"{a}_{b}") for a, b in _PAIRS], systems.alias("systems"), (systems >= 2).cast("int").alias("multi")
+    )
 
 
 _SYSTEMS = ("brakes", "suspension", "steering", "tyres")
@@ -470,7 +587,8 @@ def _few(t):
 @query(
     "scl_m12_decay_index",
     COUNTS + f""", {_FEW} SELECT vehicle_id, round(least(0.2 * greatest(b, su, st, x), 1.0), 6) AS decay,
-CASE WHEN greatest(b, su, st, x) = 0 THEN 'CLEAN' WHEN least(b, 5) >= least(greatest(su, st, x), 5) THEN 'BRAKE' WHEN least(su, 5) >= least(greatest(st, x), 5) THEN 'SUSP'
+CASE WHEN greatest(b, su, st, x) = 0 THEN 'CLEAN' WHEN least(b, 5) >= least(greatest(su, st, x), 5) THEN 'BRAKE'
+WHEN least(su, 5) >= least(greatest(st, x), 5) THEN 'SUSP'
 WHEN least(st, 5) >= least(x, 5) THEN 'STEER' ELSE 'STRUCT' END AS driver FROM d""",
 )
 def _(t):
@@ -480,14 +598,20 @@ def _(t):
 
 @query(
     "scl_m13_text_indices",
-    COUNTS + f""", {_FEW}, e AS (SELECT *, vehicle_id % 3 AS tests FROM d) SELECT vehicle_id, round(ln(1 + b), 6) AS corrosion_log, round(ln(1 + su), 6) AS wear_log,
-(b > 0)::INT AS has_corrosion, (b > 0)::INT + (su > 0)::INT + (st > 0)::INT + (x > 0)::INT AS mechanisms, CASE WHEN greatest(b, su, st, x) = 0 THEN CASE WHEN tests > 0 THEN 'CLEAN' ELSE 'NO_HISTORY' END
+    COUNTS + f""", {_FEW}, e AS (SELECT *, vehicle_id % 3 AS tests FROM d) SELECT vehicle_id, round(ln(1 + b), 6) AS corrosion_log,
+round(ln(1 + su), 6) AS wear_log,
+(b > 0)::INT AS has_corrosion, (b > 0)::INT + (su > 0)::INT + (st > 0)::INT + (x > 0)::INT AS mechanisms, CASE WHEN greatest(b, su, st, x) = 0 THEN
+CASE WHEN tests > 0 THEN 'CLEAN' ELSE 'NO_HISTORY' END
 WHEN b >= greatest(su, st, x) THEN 'CORROSION' WHEN su >= greatest(st, x) THEN 'WEAR' WHEN st >= x THEN 'LEAK' ELSE 'DAMAGE' END AS dominant FROM e""",
 )
 def _(t):
     named = dict(zip(("corrosion", "wear", "leak", "damage"), map(F.col, _SYSTEMS), strict=True))
     kinds, dominant = R.mechanisms(named, F.col("vehicle_id") % 3)
-    logs = [F.round(F.log1p("brakes"), 6).alias("corrosion_log"), F.round(F.log1p("suspension"), 6).alias("wear_log"), (F.col("brakes") > 0).cast("int").alias("has_corrosion")]
+    logs = [
+        F.round(F.log1p("brakes"), 6).alias("corrosion_log"),
+        F.round(F.log1p("suspension"), 6).alias("wear_log"),
+        (F.col("brakes") > 0).cast("int").alias("has_corrosion"),
+    ]
     return _few(t).select("vehicle_id", *logs, kinds.alias("mechanisms"), dominant.alias("dominant"))
 
 
@@ -503,27 +627,43 @@ def _(t):
     "scl_m15_calibration_check",
     f"""WITH {CUBE}, s AS (SELECT least(9, floor(risk * 10)) AS bucket, risk, {PLATT_SQL} - CASE WHEN n % 3 = 0 THEN 0.05 ELSE 0 END AS cal FROM cube),
 o AS (SELECT *, lag(cal) OVER (ORDER BY risk, cal) AS before FROM s)
-SELECT CAST(bucket AS INT) AS bucket, count(*) AS n, count(*) FILTER (cal <= 0 OR cal >= 1) AS outside, count(*) FILTER (cal < before) AS falling FROM o GROUP BY bucket""",
+SELECT CAST(bucket AS INT) AS bucket, count(*) AS n, count(*) FILTER (cal <= 0 OR cal >= 1) AS outside, count(*) FILTER (cal < before) AS falling
+FROM o GROUP BY bucket""",
 )
 def _(t):
     calibrated = R.platt(F.col("risk")) - F.when(F.col("n") % 3 == 0, 0.05).otherwise(0.0)  # not monotone, so that falls are found
     return M.calibration_check(t.cube().select("risk", calibrated.alias("cal")), "risk", "cal")
 
 
-@query("scl_m16_reliability_score", f"WITH {CUBE} SELECT model_id, age_band, mileage_band, CAST(floor((1 - risk) * 100 + 0.5) AS BIGINT) AS score FROM cube")
+@query(
+    "scl_m16_reliability_score", f"WITH {CUBE} SELECT model_id, age_band, mileage_band, CAST(floor((1 - risk) * 100 + 0.5) AS BIGINT) AS score FROM cube"
+)
 def _(t):
     return t.cube().select("model_id", "age_band", "mileage_band", F.floor((1 - F.col("risk")) * 100 + 0.5).alias("score"))
 
 
-@query("scl_m17_cohort_residuals", BANDED.join(("WITH ", "")) + ", m AS (SELECT model_id, age_band, avg(test_mileage) AS mean_mileage, avg(target) AS mean_target FROM banded GROUP BY ALL) SELECT model_id, age_band, round(avg(test_mileage / mean_mileage), 6) AS ratio, round(max(target - mean_target), 6) AS delta, count(*) AS n FROM banded JOIN m USING (model_id, age_band) GROUP BY ALL")
+@query(
+    "scl_m17_cohort_residuals",
+    BANDED.join(("WITH ", "")) + ", m AS (SELECT model_id, age_band, avg(test_mileage) AS mean_mileage, avg(target) AS mean_target FROM banded GROUP "
+    "BY ALL) SELECT model_id, age_band, round(avg(test_mileage / mean_mileage), 6) AS ratio, round(max(target - "
+    "mean_target), 6) AS delta, count(*) AS n FROM banded JOIN m USING (model_id, age_band) GROUP BY ALL",
+)
 def _(t):
     rows = t.banded()
     means = rows.groupBy("model_id", "age_band").agg(F.avg("test_mileage").alias("mean_mileage"), F.avg("target").alias("mean_target"))
     joined = rows.join(means, ["model_id", "age_band"])
-    return joined.groupBy("model_id", "age_band").agg(F.round(F.avg(F.try_divide(F.col("test_mileage"), F.col("mean_mileage"))), 6).alias("ratio"), F.round(F.max(F.col("target") - F.col("mean_target")), 6).alias("delta"), F.count(F.lit(1)).alias("n"))
+    return joined.groupBy("model_id", "age_band").agg(
+        F.round(F.avg(F.try_divide(F.col("test_mileage"), F.col("mean_mileage"))), 6).alias("ratio"),
+        F.round(F.max(F.col("target") - F.col("mean_target")), 6).alias("delta"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
-@query("scl_m18_corrosion_delta", I + ", a AS (SELECT area, avg(target) AS rate FROM inspections GROUP BY area) SELECT area, round(rate - (SELECT avg(target) FROM inspections), 6) AS train_delta, round(rate - 0.5, 6) AS serve_delta FROM a")
+@query(
+    "scl_m18_corrosion_delta",
+    I + ", a AS (SELECT area, avg(target) AS rate FROM inspections GROUP BY area) SELECT area, round(rate - (SELECT avg(target) FROM inspections), 6) "
+    "AS train_delta, round(rate - 0.5, 6) AS serve_delta FROM a",
+)
 def _(t):
     rows = t.inspections()
     rates = rows.groupBy("area").agg(F.avg("target").alias("rate")).join(F.broadcast(rows.agg(F.avg("target").alias("all"))))  # one row
@@ -533,37 +673,69 @@ def _(t):
 # Dates -------------------------------------------------------------------------------------------------------------------------
 
 
-@query("scl_d1_calendar", "SELECT month(ts) AS month, isodow(ts) - 1 AS weekday, CASE WHEN month(ts) IN (10, 11, 12, 1, 2, 3) THEN 1 ELSE 0 END AS winter, count(*) AS n FROM events GROUP BY ALL")
+@query(
+    "scl_d1_calendar",
+    "SELECT month(ts) AS month, isodow(ts) - 1 AS weekday, CASE WHEN month(ts) IN (10, 11, 12, 1, 2, 3) THEN 1 ELSE 0 END AS winter, count(*) AS n FROM "
+    "events GROUP BY ALL",
+)
 def _(t):
     month = F.month("ts")
-    return t("events").groupBy(month.alias("month"), F.weekday("ts").alias("weekday"), month.isin(10, 11, 12, 1, 2, 3).cast("int").alias("winter")).agg(F.count(F.lit(1)).alias("n"))
+    return t("events").groupBy(
+        month.alias("month"), F.weekday("ts").alias("weekday"), month.isin(10, 11, 12, 1, 2, 3).cast("int").alias("winter")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scl_d2_day_gap", "SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query(
+    "scl_d2_day_gap",
+    "SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM lineitem JOIN orders "
+    "ON l_orderkey = o_orderkey",
+)
 def _(t):
-    return t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.datediff("l_shipdate", "o_orderdate").alias("days"))
+    return t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.datediff("l_shipdate", "o_orderdate").alias("days")
+    )
 
 
-@query("scl_d3_month_clip", "SELECT CAST(least(CAST(date_trunc('month', o_orderdate) AS DATE), DATE '1997-06-01') AS VARCHAR) AS month, count(*) AS n FROM orders GROUP BY 1")
+@query(
+    "scl_d3_month_clip",
+    "SELECT CAST(least(CAST(date_trunc('month', o_orderdate) AS DATE), DATE '1997-06-01') AS VARCHAR) AS month, count(*) AS n FROM orders GROUP BY 1",
+)
 def _(t):
-    return t("orders").groupBy(F.least(F.trunc("o_orderdate", "MM"), F.lit("1997-06-01").cast("date")).cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return t("orders").groupBy(
+        F.least(F.trunc("o_orderdate", "MM"), F.lit("1997-06-01").cast("date")).cast("string").alias("month")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scl_d4_age_years", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 5 ELSE CAST(floor(date_diff('day', CAST(o_orderdate AS DATE), DATE '2024-06-30') / 365) AS BIGINT) END AS age FROM orders")
+@query(
+    "scl_d4_age_years",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 5 ELSE CAST(floor(date_diff('day', CAST(o_orderdate AS DATE), DATE '2024-06-30') / 365) AS "
+    "BIGINT) END AS age FROM orders",
+)
 def _(t):
     born = F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate"))
     return t("orders").select("o_orderkey", F.coalesce(F.floor(F.datediff(F.lit("2024-06-30").cast("date"), born) / 365), F.lit(5)).alias("age"))
 
 
-@query("scl_d5_tolerant_date", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS parsed FROM orders")
+@query(
+    "scl_d5_tolerant_date",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS parsed FROM orders",
+)
 def _(t):
-    text = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy.MM.dd HH:mm:ss")).when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("not a date")
+    text = F.when(
+        F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy.MM.dd HH:mm:ss")
+    ).when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("not a date")
     return t("orders").select("o_orderkey", R.tolerant_date(text).cast("string").alias("parsed"))
 
 
-@query("scl_d6_days_until", "SELECT event_id, CAST(ceil((epoch(ts + INTERVAL 20 DAY) - epoch(TIMESTAMP '2024-02-01 12:00:00')) / 86400.0) AS BIGINT) AS days_left, epoch(ts + INTERVAL 20 DAY) < epoch(TIMESTAMP '2024-02-01 12:00:00') AS expired FROM events")
+@query(
+    "scl_d6_days_until",
+    "SELECT event_id, CAST(ceil((epoch(ts + INTERVAL 20 DAY) - epoch(TIMESTAMP '2024-02-01 12:00:00')) / 86400.0) AS BIGINT) AS days_left, epoch(ts + "
+    "INTERVAL 20 DAY) < epoch(TIMESTAMP '2024-02-01 12:00:00') AS expired FROM events",
+)
 def _(t):
-    seconds = F.unix_micros(F.col("ts").cast("timestamp") + F.expr("INTERVAL 20 DAYS")) / 1e6 - F.unix_micros(F.lit("2024-02-01 12:00:00").cast("timestamp")) / 1e6
+    seconds = F.unix_micros(
+        F.col("ts").cast("timestamp") + F.expr("INTERVAL 20 DAYS")
+    ) / 1e6 - F.unix_micros(F.lit("2024-02-01 12:00:00").cast("timestamp")) / 1e6
     return t("events").select("event_id", F.ceil(seconds / 86400).alias("days_left"), (seconds < 0).alias("expired"))
 
 
@@ -582,12 +754,20 @@ def _(t):
     return t.cube().select("model_id", "age_band", "mileage_band", R.first_argmax({c: F.col(f"risk_{c}") for c in R.COMPONENTS}).alias("worst"))
 
 
-_STACK = "SELECT model_id, age_band, mileage_band, unnest([" + ", ".join(repr(c) for c in R.COMPONENTS) + "]) AS component, unnest([" + ", ".join(f"risk_{c}" for c in R.COMPONENTS) + "]) AS risk, unnest(range(7)) AS i FROM cube"
+_STACK = "SELECT model_id, age_band, mileage_band, unnest([" + ", ".join(repr(c) for c in R.COMPONENTS) + "]) AS component, unnest([" + ", ".join(
+    f"risk_{c}" for c in R.COMPONENTS
+) + "]) AS risk, unnest(range(7)) AS i FROM cube"
 
 
-@query("scl_a2_top_three", f"WITH {CUBE}, u AS ({_STACK}), r AS (SELECT *, row_number() OVER (PARTITION BY model_id, age_band, mileage_band ORDER BY risk DESC, i) AS k FROM u) SELECT model_id, age_band, mileage_band, string_agg(component, ',' ORDER BY k) AS top FROM r WHERE k <= 3 GROUP BY ALL")
+@query(
+    "scl_a2_top_three",
+    f"WITH {CUBE}, u AS ({_STACK}), r AS (SELECT *, row_number() OVER (PARTITION BY model_id, age_band, mileage_band ORDER BY risk DESC, i) AS k FROM u) "
+    "SELECT model_id, age_band, mileage_band, string_agg(component, ',' ORDER BY k) AS top FROM r WHERE k <= 3 GROUP BY ALL",
+)
 def _(t):
-    return t.cube().select("model_id", "age_band", "mileage_band", F.array_join(R.top_components({c: F.col(f"risk_{c}") for c in R.COMPONENTS}, 3), ",").alias("top"))
+    return t.cube().select(
+        "model_id", "age_band", "mileage_band", F.array_join(R.top_components({c: F.col(f"risk_{c}") for c in R.COMPONENTS}, 3), ",").alias("top")
+    )
 
 
 @query("scl_a3_unpivot", f"WITH {CUBE}, u AS ({_STACK}) SELECT model_id, age_band, mileage_band, component, round(risk, 9) AS risk FROM u")
@@ -597,28 +777,47 @@ def _(t):
     return breakdown(t.cube(), ["model_id", "age_band", "mileage_band"], R.COMPONENTS).withColumn("risk", F.round("risk", 9))
 
 
-@query("scl_a4_explode_nested", "SELECT o_custkey AS vehicle_id, l_orderkey AS test, l_linenumber AS item, l_quantity AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+@query(
+    "scl_a4_explode_nested",
+    "SELECT o_custkey AS vehicle_id, l_orderkey AS test, l_linenumber AS item, l_quantity AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
+)
 def _(t):
-    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("item"), F.col("l_quantity").alias("quantity"))).alias("items"))  # a test's own items
-    tests = t("orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("test"), "items")).alias("tests"))
+    # a test's own items
+    lines = t("lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(F.col("l_linenumber").alias("item"), F.col("l_quantity").alias("quantity"))).alias("items")
+    )
+    tests = t("orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(
+        F.collect_list(F.struct(F.col("o_orderkey").alias("test"), "items")).alias("tests")
+    )
     flat = tests.select(F.col("o_custkey").alias("vehicle_id"), F.explode_outer("tests").alias("t"))
     return flat.select("vehicle_id", "t.test", F.explode_outer("t.items").alias("i")).select("vehicle_id", "test", "i.item", "i.quantity")
 
 
-@query("scl_a5_defect_predicates", V + """SELECT vehicle_id, contains(lower(defect), 'advisory') AS advisory, contains(lower(defect), 'fail') OR size % 7 = 0 AS failure FROM vehicles""")
+@query(
+    "scl_a5_defect_predicates",
+    V + """SELECT vehicle_id, contains(lower(defect), 'advisory') AS advisory, contains(lower(defect), 'fail') OR size % 7 = 0 AS failure FROM vehicles""",
+)
 def _(t):
     defect = F.struct(F.when(F.col("size") % 7 == 0, "FAIL").otherwise("OTHER").alias("type"), F.col("defect").alias("text"))
     text = F.lower(F.to_json(defect))
     return t.vehicles().select("vehicle_id", text.contains("advisory").alias("advisory"), text.contains("fail").alias("failure"))
 
 
-@query("scl_a6_project_structs", "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey")
+@query(
+    "scl_a6_project_structs",
+    "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY l_orderkey",
+)
 def _(t):
     items = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
     return items.select("l_orderkey", F.array_join(F.transform("items", lambda i: i["l_linenumber"].cast("string")), ",").alias("lines"))
 
 
-@query("scl_a7_map_default", f"SELECT n_nationkey, CASE r_name WHEN 'EUROPE' THEN 3 WHEN 'ASIA' THEN 2 ELSE 1 END AS weight FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(
+    "scl_a7_map_default",
+    f"SELECT n_nationkey, CASE r_name WHEN 'EUROPE' THEN 3 WHEN 'ASIA' THEN 2 ELSE 1 END AS weight FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
 def _(t):
     table = F.create_map(F.lit("EUROPE"), F.lit(3), F.lit("ASIA"), F.lit(2))
-    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", R.map_or(table, F.col("r_name"), F.lit(1)).alias("weight"))
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "n_nationkey", R.map_or(table, F.col("r_name"), F.lit(1)).alias("weight")
+    )

@@ -9,7 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HISTORY_SCHEMA = "registration string, make string, motTests array<struct<completedDate string, testResult string, odometerValue string, odometerUnit string, defects array<struct<text string, type string>>, rfrAndComments array<struct<text string, type string>>>>"
+HISTORY_SCHEMA = (
+    "registration string, make string, motTests array<struct<completedDate string, testResult string, odometerValue string, odometerUnit string, defects "
+    "array<struct<text string, type string>>, rfrAndComments array<struct<text string, type string>>>>"
+)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -52,8 +55,12 @@ def load_with_rejects(spark: SparkSession, path: str, key: str, longest: int, ke
 def load_lookup_pair(spark: SparkSession, detail: str, group: str, vehicle_class: int) -> DataFrame:
     """rfr_id and item of two pipe-separated files joined on section and class."""
     read = lambda p: spark.read.option("header", True).option("sep", "|").csv(p)
-    details = read(detail).where(F.col("test_class_id").try_cast("int") == vehicle_class).select("rfr_id", F.col("test_item_set_section_id").alias("section"))
-    groups = read(group).where(F.col("test_class_id").try_cast("int") == vehicle_class).select(F.col("test_item_id").alias("section"), F.when(F.col("item_name") == "Road Wheels", "Wheels").otherwise(F.col("item_name")).alias("item"))
+    details = read(detail).where(F.col("test_class_id").try_cast("int") == vehicle_class).select(
+        "rfr_id", F.col("test_item_set_section_id").alias("section")
+    )
+    groups = read(group).where(F.col("test_class_id").try_cast("int") == vehicle_class).select(
+        F.col("test_item_id").alias("section"), F.when(F.col("item_name") == "Road Wheels", "Wheels").otherwise(F.col("item_name")).alias("item")
+    )
     return details.join(groups, "section").select(F.col("rfr_id").cast("long").alias("rfr_id"), "item")
 
 
@@ -65,7 +72,13 @@ def parse_histories(rows: DataFrame, column: str) -> DataFrame:
     """
     parsed = rows.select(F.from_json(column, HISTORY_SCHEMA).alias("h")).select("h.registration", F.explode("h.motTests").alias("t"))
     date = F.try_to_timestamp(F.replace(F.substring("t.completedDate", 1, 10), F.lit("."), F.lit("-")), F.lit("yyyy-MM-dd")).cast("date")
-    return parsed.select("registration", date.alias("test_date"), F.col("t.testResult").alias("test_result"), F.col("t.odometerValue").try_cast("int").alias("odometer"), F.size(F.coalesce("t.defects", "t.rfrAndComments", F.array())).alias("n_defects"))
+    return parsed.select(
+        "registration",
+        date.alias("test_date"),
+        F.col("t.testResult").alias("test_result"),
+        F.col("t.odometerValue").try_cast("int").alias("odometer"),
+        F.size(F.coalesce("t.defects", "t.rfrAndComments", F.array())).alias("n_defects"),
+    )
 
 
 def json_list(column):

@@ -26,7 +26,9 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataF
 def run_stream(stream: DataFrame, each: Callable[[DataFrame, int], object], label: str, mode: str = "append") -> None:
     """Hand all that is available to `each` (batch, number), with the state in a checkpoint of the shared folder."""
     state = new_folder(stream.sparkSession, label)
-    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda b, n: each(b, n) and None).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(
+        lambda b, n: each(b, n) and None
+    ).start().awaitTermination()
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,5 +85,7 @@ def replay(spark: SparkSession, path: str, backup: str, schema: str) -> DataFram
 def sessions(events: DataFrame, gap: str, steps: dict[str, Column]) -> DataFrame:
     """user_id, start, n and step flags of each session."""
     watermarked = events.withWatermark("ts", "2 days") if events.isStreaming else events
-    counted = watermarked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"), *[F.max(c.cast("int")).alias(name) for name, c in steps.items()])
+    counted = watermarked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.max(c.cast("int")).alias(name) for name, c in steps.items()]
+    )
     return counted.select("user_id", F.col("w.start").cast("string").alias("start"), "n", *steps)

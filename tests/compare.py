@@ -19,7 +19,10 @@ def plain(value):
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    return sorted((tuple(plain(v) for v in r) for r in frame.itertuples(index=False, name=None)), key=lambda r: [f"{v:.7g}" if isinstance(v, float) else repr(v) for v in r])
+    return sorted(
+        (tuple(plain(v) for v in r) for r in frame.itertuples(index=False, name=None)),
+        key=lambda r: [f"{v:.7g}" if isinstance(v, float) else repr(v) for v in r],
+    )
 
 
 def same(a, b) -> bool:

@@ -14,7 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    builder = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
+    builder = SparkSession.builder.master("local[4]").config(
+        "spark.sql.shuffle.partitions", "4"
+    ).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
     session = builder.config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoint')}").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

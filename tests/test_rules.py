@@ -21,9 +21,13 @@ def values(spark, rows, schema, column):
 
 def test_age_and_mileage_bands(spark):
     ages = [None, float("nan"), 0.0, 2.9, 3.0, 11.0, 15.9, 16.0, 25.0]
-    assert values(spark, [(a,) for a in ages], "v double", R.age_band(F.col("v"))) == ["Unknown", "Unknown", "0-2", "0-2", "3-5", "11-15", "11-15", "15+", "15+"]
+    assert values(spark, [(a,) for a in ages], "v double", R.age_band(F.col("v"))) == [
+        "Unknown", "Unknown", "0-2", "0-2", "3-5", "11-15", "11-15", "15+", "15+"
+    ]
     miles = [None, float("nan"), -1.0, 0.0, 29999.0, 30000.0, 59999.0, 60000.0, 99999.0, 100000.0, 200000.0, 500001.0]
-    assert values(spark, [(m,) for m in miles], "v double", R.mileage_band(F.col("v"))) == ["Unknown", "Unknown", "Unknown", "0-30k", "0-30k", "30k-60k", "30k-60k", "60k-100k", "60k-100k", "100k+", "100k+", "Unknown"]
+    assert values(spark, [(m,) for m in miles], "v double", R.mileage_band(F.col("v"))) == [
+        "Unknown", "Unknown", "Unknown", "0-30k", "0-30k", "30k-60k", "30k-60k", "60k-100k", "60k-100k", "100k+", "100k+", "Unknown"
+    ]
     assert values(spark, [(30000.0,)], "v double", R.closed_mileage_band(F.col("v"))) == ["0-30k"]
 
 
@@ -54,16 +58,22 @@ def test_platt_golden_and_monotone(spark):
 
 def test_costs(spark):
     risks = {c: F.lit(0.05) for c in R.COMPONENTS}
-    row = spark.range(1).select(R.expected_cost(risks, F.lit(0.3)).alias("e"), R.expected_cost(risks, F.lit(0.0)).alias("none"), R.scaled_cost(risks, F.lit(0.28)).alias("s")).first()
+    row = spark.range(1).select(
+        R.expected_cost(risks, F.lit(0.3)).alias("e"), R.expected_cost(risks, F.lit(0.0)).alias("none"), R.scaled_cost(risks, F.lit(0.28)).alias("s")
+    ).first()
     assert row.e.asDict() == {"cost_min": 150, "cost_mid": 240, "cost_max": 420} and row.none is None
     assert row.s.expected == 100 and row.s.range_low == 50
 
 
 def test_makers_models_and_plates(spark):
     makes = ["0pel", "LAND", " ford ", "THE", "unknown", "ASTON", None, ""]
-    assert values(spark, [(m,) for m in makes], "v string", X.canonical_make(F.col("v"))) == ["OPEL", "LAND ROVER", "FORD", None, None, "ASTON MARTIN", None, None]
+    assert values(
+        spark, [(m,) for m in makes], "v string", X.canonical_make(F.col("v"))
+    ) == ["OPEL", "LAND ROVER", "FORD", None, None, "ASTON MARTIN", None, None]
     models = [("BMW 320D SE", "BMW"), ("FORD FIESTA 1.4L", "FORD"), ("FORD ZETEC", "FORD"), ("FORD 500", "FORD"), ("MG 3 STYLE", "MG"), (None, "MG")]
-    assert [r[0] for r in spark.createDataFrame(models, "m string, k string").select(X.base_model(F.col("m"), F.col("k"))).collect()] == ["3 SERIES", "FIESTA", None, None, "3", None]
+    assert [
+        r[0] for r in spark.createDataFrame(models, "m string, k string").select(X.base_model(F.col("m"), F.col("k"))).collect()
+    ] == ["3 SERIES", "FIESTA", None, None, "3", None]
     plates = ["AB12CDE", "A123BCD", "ABC123D", "AB1234", "1234AB", "1A", "ABCDEFGH", "1234567"]
     kinds = ["current", "prefix", "suffix", "dateless_alpha", "dateless_numeric", "dateless_numeric", None, None]
     assert values(spark, [(p,) for p in plates], "v string", X.registration_kind(F.col("v"))) == kinds
@@ -78,11 +88,17 @@ def test_names_and_slugs(spark):
         return values(spark, [(t,) for t in texts], "v string", column)
 
     v = F.col("v")
-    assert on(X.slugify(v), ["3 SERIES", "LAND ROVER", "Lamps & Electrics", "a - b", " x ", "C-CLASS (W205)", "é"]) == ["3-series", "land-rover", "lamps-and-electrics", "a---b", "x", "c-class-w205", ""]
-    assert on(X.display_name(v), ["FORD", "BMW", "mg", "LAND ROVER", "BMW 320D SE", "MERCEDES-BENZ", "A3", "C'EED", ""]) == ["Ford", "BMW", "mg", "Land Rover", "Bmw 320D Se", "Mercedes-Benz", "A3", "C'Eed", ""]
+    assert on(
+        X.slugify(v), ["3 SERIES", "LAND ROVER", "Lamps & Electrics", "a - b", " x ", "C-CLASS (W205)", "é"]
+    ) == ["3-series", "land-rover", "lamps-and-electrics", "a---b", "x", "c-class-w205", ""]
+    assert on(
+        X.display_name(v), ["FORD", "BMW", "mg", "LAND ROVER", "BMW 320D SE", "MERCEDES-BENZ", "A3", "C'EED", ""]
+    ) == ["Ford", "BMW", "mg", "Land Rover", "Bmw 320D Se", "Mercedes-Benz", "A3", "C'Eed", ""]
     made = spark.createDataFrame([("ROLLS ROYCE GHOST",), ("Ds Automobiles DS 3",), ("MG",), ("ford FOCUS ST",)], "v string")
     make, model = X.split_make(v)
-    assert [tuple(r) for r in made.select(make, model).collect()] == [("Rolls Royce", "Ghost"), ("Ds Automobiles", "Ds 3"), ("MG", ""), ("Ford", "Focus St")]
+    assert [tuple(r) for r in made.select(make, model).collect()] == [
+        ("Rolls Royce", "Ghost"), ("Ds Automobiles", "Ds 3"), ("MG", ""), ("Ford", "Focus St")
+    ]
     assert on(X.component_key(v), ["Risk_Brakes", "Lamps Reflectors", "risk_x"]) == ["Brakes", "Lamps_Reflectors", "risk_x"]
     assert on(X.clean_text(v, 20), ["<b>a</b> & b", "<x", "<!-- c -->", None]) == ["a &amp; b", "&lt;x", None, None]
 
@@ -93,10 +109,16 @@ def test_postcodes_and_emails(spark):
 
     v = F.col("v")
     assert on(X.postcode_area(v), ["SW1A 1AA", " n1", "QQ", "SW", "1AB", "", None]) == ["SW", "N", "QQ", "SW", None, None, None]
-    assert on(X.postcode_valid(v), ["SW1A 1AA", "SW1A1AA", "S W1A 1AA", "EC2V", "M1  1AE", "QQ", "", None]) == [True, True, False, True, True, False, False, False]
+    assert on(
+        X.postcode_valid(v), ["SW1A 1AA", "SW1A1AA", "S W1A 1AA", "EC2V", "M1  1AE", "QQ", "", None]
+    ) == [True, True, False, True, True, False, False, False]
     assert on(X.normal_email(v), ["o'neil@X.com ", "a@b@c.de", "@x.com", "a@b", "none", None]) == ["o'neil@x.com", "a@b@c.de", None, None, None, None]
-    assert on(X.mask_email(v), ["john@example.com", "j@x.org", "@x.org", "none", "", None]) == ["j***@example.com", "*@x.org", "*@x.org", "***", "***", "***"]
-    assert on(X.in_areas(v, ["N"]), ["N1 9GU", "NW1", None]) == [True, False, False] and on(X.in_areas(v, ["N"], True), ["N1 9GU", "NW1", None]) == [True, True, False]
+    assert on(
+        X.mask_email(v), ["john@example.com", "j@x.org", "@x.org", "none", "", None]
+    ) == ["j***@example.com", "*@x.org", "*@x.org", "***", "***", "***"]
+    assert on(X.in_areas(v, ["N"]), ["N1 9GU", "NW1", None]) == [True, False, False] and on(
+        X.in_areas(v, ["N"], True), ["N1 9GU", "NW1", None]
+    ) == [True, True, False]
 
 
 def test_reference_bands_and_labels(spark):
@@ -105,17 +127,30 @@ def test_reference_bands_and_labels(spark):
 
     v = F.col("v")
     assert on(R.tests_band(v), [None, 0, 1, 2, 3, 5, 6, 10, 11], "int") == ["0-2", "0-2", "3-5", "3-5", "6-10", "6-10", "11-15", "11-15", "15+"]
-    assert on(R.age_key(v), ["1-2", "8-9", "UNKNOWN", None, "11-15", "15+", "Unknown"], "string") == ["0-2", "6-10", "Unknown", "Unknown", "11-15", "15+", "15+"]
+    assert on(
+        R.age_key(v), ["1-2", "8-9", "UNKNOWN", None, "11-15", "15+", "Unknown"], "string"
+    ) == ["0-2", "6-10", "Unknown", "Unknown", "11-15", "15+", "15+"]
     assert on(R.verdict(v), [0.1, 0.15, 0.3, 0.45]) == ["Good reliability", "Moderate reliability", "Below average reliability", "High risk vehicle"]
     assert on(R.negligence(v, F.lit(10))[1], [0, 2, 3, 6, 20], "int") == ["clean", "low", "high", "chronic", "chronic"]
     assert on(R.negligence(v, F.lit(0))[1], [3], "int") == ["clean"]
-    vans = [("RENAULT MASTER", "commercial_van"), ("IVECO DAILY", "commercial_van"), ("MERCEDES-BENZ VITO", "euro_premium"), ("FORD KA+", "small_hatch"), ("CITROEN C4", "french_compact"), ("SKODA X", "standard")]
+    vans = [
+        ("RENAULT MASTER", "commercial_van"),
+        ("IVECO DAILY", "commercial_van"),
+        ("MERCEDES-BENZ VITO", "euro_premium"),
+        ("FORD KA+", "small_hatch"),
+        ("CITROEN C4", "french_compact"),
+        ("SKODA X", "standard"),
+    ]
     assert on(X.vehicle_cohort(v, X.first_word(v)), [m for m, _ in vans], "string") == [c for _, c in vans]
     counts = spark.createDataFrame([(0, 0, 0, 0), (1, 1, 0, 0), (0, 2, 3, 3), (9, 7, 0, 0), (0, 0, 0, 1)], "a int, b int, c int, d int")
     index, driver = R.decay(dict(zip(("BRAKE", "SUSP", "STEER", "STRUCT"), map(F.col, "abcd"), strict=True)))
-    assert [r[0] for r in counts.select(driver).collect()] == ["CLEAN", "BRAKE", "STEER", "BRAKE", "STRUCT"] and [r[0] for r in counts.select(F.round(index, 6)).collect()] == [0.0, 0.2, 0.6, 1.0, 0.2]
+    assert [r[0] for r in counts.select(driver).collect()] == ["CLEAN", "BRAKE", "STEER", "BRAKE", "STRUCT"] and [
+        r[0] for r in counts.select(F.round(index, 6)).collect()
+    ] == [0.0, 0.2, 0.6, 1.0, 0.2]
     kinds, dominant = R.mechanisms(dict(zip(("corrosion", "wear", "leak", "damage"), map(F.col, "abcd"), strict=True)), F.col("b") - 1)
-    assert [tuple(r) for r in counts.select(kinds, dominant).collect()] == [(0, "NO_HISTORY"), (2, "CORROSION"), (3, "LEAK"), (2, "CORROSION"), (1, "DAMAGE")]
+    assert [tuple(r) for r in counts.select(kinds, dominant).collect()] == [
+        (0, "NO_HISTORY"), (2, "CORROSION"), (3, "LEAK"), (2, "CORROSION"), (1, "DAMAGE")
+    ]
     asks = ["My MOT failed?", "the motor runs", "annual test: should I worry", "mot check", "MOT due, any advice before the test", None]
     assert on(X.relevant(v), asks, "string") == [True, False, True, False, True, False]
 
@@ -171,7 +206,9 @@ def test_latest_before_with_null_values_and_ties(spark):
 @pytest.mark.parametrize("where", ["70N", "pole", "equator", "antimeridian"])
 def test_radius_join_equals_brute_force_everywhere(spark, where):
     rng = random.Random(where)
-    lat, lon = {"70N": ((69, 71), (10, 14)), "pole": ((88.5, 90), (-180, 180)), "equator": ((-1, 1), (-1, 1)), "antimeridian": ((59, 61), (178, 182))}[where]
+    lat, lon = {
+        "70N": ((69, 71), (10, 14)), "pole": ((88.5, 90), (-180, 180)), "equator": ((-1, 1), (-1, 1)), "antimeridian": ((59, 61), (178, 182))
+    }[where]
 
     def points(n):
         return [(i, rng.uniform(*lat), (rng.uniform(*lon) + 180) % 360 - 180) for i in range(n)]
@@ -201,7 +238,9 @@ def test_running_sums_over_ranges(spark):
     rows = [(k, v, rng.randint(1, 5)) for k in "ab" for v in rng.sample(range(10_000), 900)]
     got = {(r.k, r.v): r.before_n for r in M.preceding(spark.createDataFrame(rows, "k string, v int, n int"), "v", ["n"], ["k"], slots=16).collect()}
     assert got == {(k, v): sum(n for j, w, n in rows if j == k and w < v) for k, v, _ in rows}
-    frame = spark.createDataFrame([(1.0, 0.2), (2.0, 0.3), (3.0, 0.1), (4.0, 0.4), (5.0, 1.0)], "raw double, cal double").selectExpr("raw / 10 AS raw", "cal")
+    frame = spark.createDataFrame(
+        [(1.0, 0.2), (2.0, 0.3), (3.0, 0.1), (4.0, 0.4), (5.0, 1.0)], "raw double, cal double"
+    ).selectExpr("raw / 10 AS raw", "cal")
     assert M.calibration_check(frame, "raw", "cal", 1).first().asDict() == {"bucket": 0, "n": 5, "outside": 1, "falling": 1}
 
 
@@ -230,11 +269,23 @@ def test_log_with_backup_and_replay(spark, tmp_path):
 
 
 def test_leads_are_split_by_validity(spark):
-    schema = "mileage long, year int, failure_risk double, reliability_score int, urgency string, consent boolean, email string, postcode string, registration string"
+    schema = (
+        "mileage long, year int, failure_risk double, reliability_score int, urgency string, consent boolean, email string, postcode string, "
+        "registration string"
+    )
     good = (None, None, None, None, None, True, "a@b.c", "N1 ", "ab12cde")
-    rows = spark.createDataFrame([(0, 2027, 1.0, 100, "asap", True, "a@b.c", "N1 1AA", "A1"), (1_000_001, 1899, 1.1, 101, "now", False, "a@b", " N ", ""), (*good[:7], "N1A", "ab12cde")], schema)
+    rows = spark.createDataFrame(
+        [
+            (0, 2027, 1.0, 100, "asap", True, "a@b.c", "N1 1AA", "A1"),
+            (1_000_001, 1899, 1.1, 101, "now", False, "a@b", " N ", ""),
+            (*good[:7], "N1A", "ab12cde"),
+        ],
+        schema,
+    )
     kept, held = O.quarantine(rows, O.lead_rules(2026))
-    assert kept.count() == 2 and held.first().errors == ["mileage", "year", "failure_risk", "reliability_score", "urgency", "consent", "email", "postcode", "registration"]
+    assert kept.count() == 2 and held.first().errors == [
+        "mileage", "year", "failure_risk", "reliability_score", "urgency", "consent", "email", "postcode", "registration"
+    ]
 
 
 def test_contract_problems(spark):
@@ -246,7 +297,10 @@ def test_contract_problems(spark):
 
 
 def test_histories_with_bad_json(spark):
-    rows = spark.createDataFrame([('{"registration": "A1", "motTests": [{"completedDate": "2024.01.05 10:00", "odometerValue": "x", "defects": []}]}',), ("no",), (None,)], "j string")
+    rows = spark.createDataFrame(
+        [('{"registration": "A1", "motTests": [{"completedDate": "2024.01.05 10:00", "odometerValue": "x", "defects": []}]}',), ("no",), (None,)],
+        "j string",
+    )
     got = IO.parse_histories(rows, "j").collect()
     assert len(got) == 1 and str(got[0].test_date) == "2024-01-05" and got[0].odometer is None and got[0].n_defects == 0
 

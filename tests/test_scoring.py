@@ -29,7 +29,9 @@ def test_mean_of_seeds_ranks_better_than_chance(fitted):
     assert scored.where("raw < 0 or raw > 1").count() == 0
     assert M.auc(scored, "raw", "label").first().auc > 0.68
     own = [S.mean_probability(ready, [m]).select("id", "raw") for m in models]
-    joined = scored.select("id", "raw").join(own[0].withColumnRenamed("raw", "a"), "id").join(own[1].withColumnRenamed("raw", "b"), "id").join(own[2].withColumnRenamed("raw", "c"), "id")
+    joined = scored.select("id", "raw").join(
+        own[0].withColumnRenamed("raw", "a"), "id"
+    ).join(own[1].withColumnRenamed("raw", "b"), "id").join(own[2].withColumnRenamed("raw", "c"), "id")
     assert joined.where("abs(raw - (a + b + c) / 3) > 1e-12").count() == 0
 
 
