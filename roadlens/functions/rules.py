@@ -168,10 +168,17 @@ def scaled_cost(risks: dict[str, Column], p_fail: Column) -> Column:
     return F.struct(tens(total).alias("expected"), tens(F.greatest(total * 0.5, F.lit(50.0))).alias("range_low"), tens(total * 2).alias("range_high"))
 
 
-def component_cost(component: Column, age: Column) -> Column:
-    """Typical cost, 15 % more from ten years on; null for an unknown component."""
-    base = F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPICAL_COSTS.items() for x in pair]), component)
-    return F.when(age >= 10, F.bround(base * 1.15).cast("long")).otherwise(base.cast("long"))
+def component_costs(component: Column, age: Column) -> Column:
+    """struct(cost_min, cost_max, typical, age_adjusted) of a component, 15 % more from ten years on; null for an unknown one."""
+    table = {c: (*COST_RANGES[c], TYPICAL_COSTS[c]) for c in COMPONENTS}
+    old = F.coalesce(age >= 10, F.lit(False))
+
+    def cost(i: int) -> Column:
+        base = F.try_element_at(F.create_map(*[F.lit(x) for c, costs in table.items() for x in (c, costs[i])]), component)
+        return F.when(old, F.bround(base * 1.15)).otherwise(base).cast("long")
+
+    known = component.isin(list(table))
+    return F.when(known, F.struct(cost(0).alias("cost_min"), cost(1).alias("cost_max"), cost(2).alias("typical"), old.alias("age_adjusted")))
 
 
 def component_risks(p: Column, advisories: dict[str, Column], decay: dict[str, Column], prior_failure: dict[str, Column]) -> dict[str, Column]:

@@ -480,20 +480,21 @@ def _(t):
     return t.cube().where("risk > 0").withColumn("cost", cost).select("model_id", "age_band", "mileage_band", "cost.*")
 
 
-_COST = "CASE component " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in R.TYPICAL_COSTS.items()) + " END"
+_COSTS = """costs(component, low, high, usual) AS (VALUES ('brakes', 80, 350, 180), ('suspension', 150, 600, 350), ('tyres', 60, 200, 100), ('steering', 100, 500, 250),
+('visibility', 20, 150, 60), ('lamps', 30, 200, 80), ('body', 200, 1000, 450))"""
+_UP = "CAST(round_even({0} * CASE WHEN age_years >= 10 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END, 0) AS BIGINT)"
 
 
 @query(
     "scl_m6_component_cost",
-    I + f", c AS (SELECT age_years, list_extract([{', '.join(repr(c) for c in R.COMPONENTS)}], line) AS component, count(*) AS n FROM inspections "
-    f"GROUP BY ALL) SELECT age_years, component, n, CAST(CASE WHEN age_years >= 10 THEN round_even({_COST} * 1.15::DOUBLE, 0) ELSE {_COST} END AS "
-    "BIGINT) AS cost FROM c",
+    I + f", {_COSTS}, c AS (SELECT age_years, list_extract(['brakes', 'suspension', 'tyres', 'steering', 'visibility', 'lamps', 'engine'], line) AS component, "
+    f"count(*) AS n FROM inspections GROUP BY ALL) SELECT age_years, component, n, {_UP.format('low')} AS cost_min, {_UP.format('high')} AS cost_max, "
+    f"{_UP.format('usual')} AS typical, CASE WHEN low IS NOT NULL THEN age_years >= 10 END AS age_adjusted FROM c LEFT JOIN costs USING (component)",
 )
 def _(t):
-    name = F.element_at(F.array(*[F.lit(c) for c in R.COMPONENTS]), F.col("line"))
-    return t.inspections().groupBy("age_years", name.alias("component")).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "cost", R.component_cost(F.col("component"), F.col("age_years"))
-    )
+    name = F.element_at(F.array(*[F.lit(c) for c in ("brakes", "suspension", "tyres", "steering", "visibility", "lamps", "engine")]), F.col("line"))
+    grouped = t.inspections().groupBy("age_years", name.alias("component")).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.withColumn("cost", R.component_costs(F.col("component"), F.col("age_years"))).select("age_years", "component", "n", "cost.*")
 
 
 COUNTS = f"""WITH {HISTORY}, c AS (SELECT vehicle_id, sum(CASE WHEN outcome = 'click' THEN 1 ELSE 0 END)::BIGINT AS brakes, sum(CASE
