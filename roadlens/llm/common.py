@@ -15,15 +15,21 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 #: Most rows of an Arrow batch: some megabytes of text, where Spark's default of 10,000 rows would be tens of them in each worker.
 BATCH_ROWS = 2_000
+#: Most ids that are sampled for range bounds.
+SAMPLED_IDS = 1_000_000
+#: A key of more than one row in HOT is joined by a broadcast; there can be no more than HOT such keys.
+HOT = 2_000
 
 _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new temporary one only where that setting is missing (local tests)."""
+    """The folder in spark.checkpoint.dir; where that setting is missing, a new temporary one in local mode and an error on a cluster."""
     small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -42,13 +48,32 @@ def keep_ids(df: DataFrame, key: str, ids: DataFrame, n_ids: int) -> DataFrame:
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, spread: str) -> DataFrame:
+    """Inner join of rows with table, which has one row for each key and, in `weight`, how many of the `total` rows have it.
+
+    Keys that more than total / HOT rows have are broadcast (at most HOT of them), and their rows are dealt by `spread`; all
+    other keys are joined by a shuffle, in which none of them is large.
+    """
+    rest = F.struct(*[c for c in table.columns if c not in keys])
+    hot = F.col(weight) > total / HOT
+    heavy = table.where(hot).select(*keys, rest.alias("_heavy"))
+    light = table.where(~hot).select(*keys, rest.alias("_light"), F.lit(0).alias("_deal"))
+    dealt = rows.join(F.broadcast(heavy), keys, "left")
+    dealt = dealt.withColumn("_deal", F.when(F.col("_heavy").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")))
+    found = dealt.join(light, [*keys, "_deal"], "left").withColumn("_found", F.coalesce("_heavy", "_light")).where("_found is not null")
+    return found.select(*rows.columns, "_found.*")
+
+
 def utf8(column: str | Column) -> Column:
     """A string column as its UTF-8 bytes; ASCII case folding and splitting are cheap on bytes."""
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of whole texts go to Python in batches of at most BATCH_ROWS, unless the session asks for fewer."""
+    """Rows of whole texts go to Python in batches of at most BATCH_ROWS, unless the session asks for fewer.
+
+    This lowers the session's own setting, which stays lowered: Spark reads it when a plan runs, so it cannot be given back here.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -114,33 +139,32 @@ def word_hashes(words: list[bytes], cache: WordHashes | None = None) -> np.ndarr
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def id_bounds(df: DataFrame, key: str, parts: int, per_part: int = 40) -> list[int]:
-    """parts - 1 increasing values that split the keys evenly: quantiles of a hash sample whose size is bounded by parts.
+def id_bounds(df: DataFrame, key: str, parts: int, per_part: int = 40) -> np.ndarray:
+    """At most parts - 1 increasing values that split the keys evenly: quantiles of a hash sample of at most SAMPLED_IDS keys.
 
     The sample depends on the keys alone, so a rerun gives the same bounds.
     """
     ids = df.select(F.col(key).cast("long").alias("k")).where("k is not null")
     n = ids.count()
     if parts <= 1 or not n:
-        return []
-    want = parts * per_part
+        return np.empty(0, np.int64)
+    want = min(parts * per_part, SAMPLED_IDS // 4)
     step = max(1, n // want)
-    rows = ids.where(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).groupBy("k").count().select("k").orderBy("k").limit(8 * want).collect()
-    found = [r.k for r in rows]
-    return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
-
-
-def bucket_of(column: Column, bounds: list[int]) -> Column:
-    """How many of the bounds are at most the key, found over two levels of literal arrays; a null key is in bucket 0."""
-    if not bounds:
-        return F.lit(0)
-    step = int(len(bounds) ** 0.5) + 1
-    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda values: "array(" + ", ".join(f"{v}L" for v in values) + ")"
-    at_most = lambda edges: F.size(F.filter(edges, lambda b: b <= column))
-    chunk = at_most(F.expr(longs(c[0] for c in chunks)))
-    inner = F.element_at(F.expr("array(" + ", ".join(longs(c) for c in chunks) + ")"), F.greatest(chunk, F.lit(1)))
-    return F.when(column.isNull() | (chunk == 0), F.lit(0)).otherwise((chunk - 1) * step + at_most(inner)).cast("int")
+    rows = ids.where(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).groupBy("k").count().select("k").orderBy("k").limit(4 * want).collect()
+    found = np.array([r.k for r in rows], np.int64)
+    return np.unique(found[np.arange(1, parts) * len(found) // parts]) if len(found) else found
+
+
+def range_of(spark: SparkSession, key: str, bounds: np.ndarray) -> Column:
+    """How many of the bounds are at most the key (0 for a null key). The bounds are broadcast, not written into the plan; keys alone go to Python."""
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def place(keys: pa.Array) -> pa.Array:
+        at = np.searchsorted(shared.value, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(np.where(keys.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32))
+
+    return place(F.col(key).cast("long"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, id_bounds, partitions
+from .common import id_bounds, partitions, range_of, small_batches
 
 #: Chunk sizes in bytes: least, wanted, most; bits that must be zero before and after the wanted size.
 LEAST, WANTED, MOST = 16, 64, 256
@@ -84,22 +84,26 @@ def likeness(x: dict[str, int], y: dict[str, int]) -> float:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text) dealt so that each bucket holds a run of ids, in descending order, ended by the row that follows it.
+    """Rows of docs (doc_id, text) in ranges of ids, one a partition, in descending order, each ended by the row that follows it.
 
-    bucket, doc_id, text, tail: the tail row of a bucket is the first row of the next non-empty one (of the first after the last).
-    Only one id for each bucket goes to the driver; texts are shuffled once.
+    bucket, doc_id, text, tail: the tail row of a range is the first row of the next non-empty one (of the first after the last).
+    Only one id for each range goes to the driver; texts are shuffled once.
     """
     spark = docs.sparkSession
-    bounds = id_bounds(docs, "doc_id", 8 * partitions(spark))
-    dealt = docs.select(bucket_of(F.col("doc_id"), bounds).alias("bucket"), "doc_id", "text")
-    heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy(F.desc("bucket")).collect()  # at most len(bounds) + 1 rows
-    heads = [(r["bucket"], r["head"]) for r in heads if r["head"] is not None]
-    if not heads:
-        return dealt.withColumn("tail", F.lit(False))
+    bounds = id_bounds(docs, "doc_id", partitions(spark))
+    ids = docs.select("doc_id").where("doc_id is not null")
+    heads = ids.groupBy(range_of(spark, "doc_id", bounds).alias("bucket")).agg(F.max("doc_id").alias("head")).orderBy(F.desc("bucket")).collect()
+    heads = [(r["bucket"], r["head"]) for r in heads]  # one row for each range
     follows = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    tails = docs.join(F.broadcast(spark.createDataFrame(follows, "doc_id long, bucket int")), "doc_id").groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    all_rows = dealt.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True)))
-    return all_rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
+    first = docs.join(
+        F.broadcast(spark.createDataFrame(follows, "doc_id long, goes int")), "doc_id"
+    ).groupBy("goes", "doc_id").agg(F.min("text").alias("text"))
+    # a tail is dealt by the id of the range that it ends
+    end = spark.createDataFrame([(bucket, head) for bucket, head in heads], "goes int, at long")
+    tails = first.join(F.broadcast(end), "goes").select("doc_id", "text", F.lit(True).alias("tail"), "at")
+    rows = docs.select("doc_id", "text", F.lit(False).alias("tail"), F.col("doc_id").alias("at")).unionByName(tails)
+    dealt = rows.withColumn("bucket", range_of(spark, "at", bounds)).repartitionById(len(bounds) + 1, "bucket").select("bucket", "doc_id", "text", "tail")
+    return dealt.sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -111,7 +115,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    types = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    types = [
+        ("doc_id", pa.int64()),
+        ("n_chars", pa.int64()),
+        ("edited_sha256", pa.string()),
+        ("fingerprint", pa.string()),
+        ("edited_fingerprint", pa.string()),
+        ("near_edited", pa.float64()),
+        ("near_next", pa.float64()),
+    ]
 
     def run(batches):
         out: list[tuple] = []
@@ -122,7 +134,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             half = len(own) // 2
             edited = (own[: len(own) - half] + text[:half]).encode()
             changed = fingerprint(edited)
-            out.append((doc_id, len(own), hashlib.sha256(edited).hexdigest(), render(mine), render(changed), likeness(mine, changed), likeness(mine, found)))
+            out.append(
+                (doc_id, len(own), hashlib.sha256(edited).hexdigest(), render(mine), render(changed), likeness(mine, changed), likeness(mine, found))
+            )
 
         def emit():
             columns = list(zip(*out, strict=True))
@@ -141,6 +155,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             done(held, "", {})
             yield emit()
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
