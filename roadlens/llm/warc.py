@@ -16,10 +16,10 @@ import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, id_bounds, materialize, partitions, shared_dir
+from .common import id_bounds, materialize, partitions, range_of, shared_dir, small_batches
 
 ROLL_BYTES = 16 << 20
 MIN_REVISIT = 100
@@ -88,7 +88,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where((F.length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    first = rows.where(
+        (F.length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()
+    ).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
     first = materialize(first, "warc-copies")
     joined = rows.join(F.broadcast(first) if first.count() <= BROADCAST_GROUPS else first, "digest", "left")  # payloads stay where they are
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
@@ -97,11 +99,11 @@ def plan_records(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write one record per row of pages under folder and return the manifest: path, records, bytes, sha256 of each file."""
     spark = pages.sparkSession
-    shards = partitions(spark)
-    bounds = id_bounds(pages, "page_id", shards)
-    rows = plan_records(pages).withColumn("shard", bucket_of(F.col("page_id"), bounds))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "url", "digest")
+    bounds = id_bounds(pages, "page_id", partitions(spark))
+    rows = plan_records(pages).withColumn("shard", range_of(spark, "page_id", bounds))
+    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "url", "digest")
     attempt_folder = f"{folder}/_temporary"
+    small_batches(spark)
 
     def write(batches):
         system, base = _filesystem(attempt_folder)
@@ -139,9 +141,16 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> D
                 records, size = records + 1, size + len(member)
         close()
         if done:
-            yield pa.RecordBatch.from_pydict({name: pa.array([x[i] for x in done]) for i, name in enumerate(("temporary", "name", "records", "bytes", "sha256"))})
+            yield pa.RecordBatch.from_pydict(
+                {name: pa.array([x[i] for x in done]) for i, name in enumerate(("temporary", "name", "records", "bytes", "sha256"))}
+            )
 
-    manifest = materialize(rows.select("page_id", "url", "payload", "digest", "refers_to", "shard").mapInArrow(write, "temporary string, name string, records long, bytes long, sha256 string"), "warc-manifest")
+    manifest = materialize(
+        rows.select("page_id", "url", "payload", "digest", "refers_to", "shard").mapInArrow(
+            write, "temporary string, name string, records long, bytes long, sha256 string"
+        ),
+        "warc-manifest",
+    )
 
     def commit(batches):
         system, base = _filesystem(folder)
@@ -182,7 +191,17 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
                     revisit = headers["warc-type"] == "revisit"
                     length = int(re.search(rb"Content-Length: (\d+)", head)[1])
                     page = headers["x-page-id"]
-                    out.append((int(page) if page else None, length, headers["warc-payload-digest"].removeprefix("sha256:"), headers["warc-type"], int(headers["x-refers-to-page-id"]) if revisit else None, headers["warc-target-uri"], None if revisit else payload))
+                    out.append(
+                        (
+                            int(page) if page else None,
+                            length,
+                            headers["warc-payload-digest"].removeprefix("sha256:"),
+                            headers["warc-type"],
+                            int(headers["x-refers-to-page-id"]) if revisit else None,
+                            headers["warc-target-uri"],
+                            None if revisit else payload,
+                        )
+                    )
                     if len(out) >= 500:
                         yield _rows(out)
                         out = []
@@ -191,11 +210,22 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
                 if out:
                     yield _rows(out)
 
-    return manifest.select("path", "records", "sha256").repartition(max(1, partitions(spark)), "path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    # files are numbered and dealt one by one: hashing their paths would give some tasks several and others none
+    numbered = manifest.withColumn("number", F.row_number().over(Window.orderBy("path")))  # one short row for each file
+    dealt = numbered.repartitionById(max(1, partitions(spark)), "number").select("path", "records", "sha256")
+    return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
+    types = {
+        "page_id": pa.int64(),
+        "payload_bytes": pa.int64(),
+        "payload_digest": pa.string(),
+        "record_type": pa.string(),
+        "refers_to": pa.int64(),
+        "url": pa.string(),
+        "payload": pa.binary(),
+    }
     return pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(types.items())})
 
 
