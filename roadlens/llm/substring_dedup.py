@@ -6,21 +6,25 @@ left of a line is a unit of its own if it has MIN_WORDS words, and else belongs
 words is split after words that their hash selects. So every line of MIN_WORDS words or more lies in units as a whole. Characters of
 scripts without spaces between words count as words.
 All of these bounds depend on nearby text alone, so a passage has the same inner units wherever it stands, be it a line of its own or
-inside one. Units are normalised (case, white space) and hashed; digests are grouped over the corpus; the occurrence that
-comes first by (doc_id, offset) stays and all others are removed. Offsets refer to the original text.
+inside one. Units are normalised (case, white space) and hashed to 128 bits; digests are grouped over the corpus; the occurrence that
+comes first by (doc_id, offset) stays, and runs of later ones that stand side by side are removed if they have LEAST_RUN words or more
+(stock sentences stay; least_run = 1 removes every repeated unit). Offsets refer to the original text.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import join_hot, map_arrow, materialize
 
 MIN_WORDS, LONG_WORDS = 5, 40
+#: Repeated units side by side are removed if they have so many words together.
+LEAST_RUN = 15
 _LINE = re.compile(r"[^\n]+")
 #: Bounds inside a line: white space after a sentence end, a sentence end of scripts without spaces, or (if a lower-case letter stands before it) before a capitalised word.
 _BOUND = re.compile(r"[.!?…。！？]\s+|[。！？]|\s+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
@@ -30,15 +34,23 @@ _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 
 
+def is_spaced(text: str) -> bool:
+    return text.isascii() or not _ANY_UNSPACED.search(text)
+
+
+def count_words(text: str, a: int, b: int, spaced: bool) -> int:
+    return len(text[a:b].split()) if spaced else sum(1 for _ in _WORD.finditer(text, a, b))
+
+
 def units(text: str, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
     """Start and end of each unit, in code points."""
     import xxhash
 
     out: list[tuple[int, int]] = []
-    spaced = text.isascii() or not _ANY_UNSPACED.search(text)
+    spaced = is_spaced(text)
 
     def words_of(a: int, b: int) -> int:
-        return len(text[a:b].split()) if spaced else sum(1 for _ in _WORD.finditer(text, a, b))
+        return count_words(text, a, b, spaced)
 
     def add(a: int, b: int, n_words: int) -> None:
         if n_words <= long_words:
@@ -89,35 +101,55 @@ def units(text: str, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -
     return out
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, digest of every unit of docs (doc_id, text)."""
+def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, start, end, d1, d2 (the digest's halves) of every unit of docs (doc_id, text)."""
 
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
-        from xxhash import xxh3_64_intdigest as hashed
+        from xxhash import xxh3_128_digest
 
         ids, starts, ends, digests = [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for a, b in units(text or ""):
+            for a, b in units(text or "", min_words):
                 normal = " ".join(text[a:b].lower().split())
                 if normal:
                     ids.append(doc_id)
                     starts.append(a)
                     ends.append(b)
-                    digests.append(hashed(normal) - (1 << 63))
-        return {"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32()), "digest": pa.array(digests, pa.int64())}
+                    digests.append(xxh3_128_digest(normal))
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return {
+            "doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32()),
+            "d1": pa.array(halves[:, 0]), "d2": pa.array(halves[:, 1]),
+        }
 
-    return map_arrow(docs.select("doc_id", "text"), fn, "doc_id long, start int, end int, digest long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_arrow(rows, fn, "doc_id long, start int, end int, d1 long, d2 long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of start, end; sorted): what is to be removed from each document that repeats earlier units."""
-    table = materialize(unit_table(docs.where("doc_id is not null")), "units")
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, spans (array of start, end; sorted): the units of each document that repeat earlier ones."""
+    table = materialize(unit_table(docs.where("doc_id is not null"), min_words), "units")
     rank = F.struct("doc_id", "start")
-    repeated = table.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last").select("digest", "first")
-    later = table.join(repeated, "digest").where(rank > F.col("first"))
+    grouped = table.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n"))
+    repeated = grouped.where("first < last").select("d1", "d2", "first", "n")
+    later = join_hot(table, repeated, ["d1", "d2"], "n", table.count(), "doc_id").where(rank > F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
+def long_runs(text: str, spans: list[tuple[int, int]], least_run: int) -> list[tuple[int, int]]:
+    """The spans (sorted) of runs, parted by white space alone, that have least_run words or more together."""
+    out: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []
+    n, spaced = 0, is_spaced(text)
+    for a, b in spans:
+        if run and text[run[-1][1] : a].strip():
+            out += run if n >= least_run else []
+            run, n = [], 0
+        run.append((a, b))
+        n += count_words(text, a, b, spaced)
+    return out + run if n >= least_run else out
+
+
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans; white space left double by a removal goes with it."""
     kept, at = [], 0
@@ -131,29 +163,35 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
     """docs with n_units_removed and removed_spans, and text without the repeated units; n_chars, if present, is renewed.
 
     A null text and texts without repeats stay as they are; a text that repeats earlier units alone becomes empty. Rows of equal
     doc_id are one document: they keep the same units. Rows without doc_id are kept as they are and don't count as occurrences.
+    With min_words = 1 lines of any length are units, with least_run = 1 each repeated unit goes.
     """
     names = [c for c in docs.columns if c not in ("n_units_removed", "removed_spans")]
     rest = [c for c in names if c not in ("doc_id", "text")]
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*rest) if rest else F.struct(F.lit(0))).alias("rest"))
-    joined = packed.join(repeated_spans(packed.select("doc_id", "text")), "doc_id", "left")
+    joined = packed.join(repeated_spans(packed.select("doc_id", "text"), min_words), "doc_id", "left")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("text string, spans array<struct<start:int,end:int>>")
     def cleaned(texts, spans):
         import pandas as pd
 
-        return pd.Series([t if t is None or s is None or not len(s) else remove_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        out: list[tuple] = []
+        for text, found in zip(texts, spans, strict=True):
+            kept = [] if text is None or found is None else long_runs(text, [(x["start"], x["end"]) for x in found], least_run)
+            out.append((remove_spans(text, kept) if kept else text, [{"start": a, "end": b} for a, b in kept]))
+        return pd.DataFrame(out, columns=["text", "spans"], dtype=object)
 
-    joined = joined.withColumn("clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned("text", "spans")))
-    columns = {"doc_id": F.col("doc_id"), "text": F.col("clean")} | {c: F.col(f"rest.`{c}`") for c in rest}
+    # the text of a row without repeats does not go to Python
+    joined = joined.withColumn("found", cleaned(F.when(F.col("spans").isNotNull(), F.col("text")), "spans"))
+    cut = F.size("found.spans") > 0
+    columns = {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("found.text")).otherwise(F.col("text"))} | {c: F.col(f"rest.`{c}`") for c in rest}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("spans").isNull(), F.col("rest.n_chars")).otherwise(F.length("clean").cast("long"))
-    spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-    return joined.select(*[columns[c].alias(c) for c in names], F.size(spans).alias("n_units_removed"), spans.alias("removed_spans"))
+        columns["n_chars"] = F.when(cut, F.length("found.text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return joined.select(*[columns[c].alias(c) for c in names], F.size("found.spans").alias("n_units_removed"), F.col("found.spans").alias("removed_spans"))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
