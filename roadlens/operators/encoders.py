@@ -85,6 +85,26 @@ def regime_hierarchy(
     }
 
 
+def regime_transform(rows: DataFrame, tables: dict[str, DataFrame], segment: list[str]) -> DataFrame:
+    """rows (regime, powertrain, make, the segment columns, prev_outcome) with the rates of all levels and two interaction keys.
+
+    An unseen make takes its powertrain's rate, an unseen segment its make's; a regime or powertrain outside the enumerations takes the overall rate.
+    """
+    out = rows.join(F.broadcast(tables["overall"]))  # one row
+    out = out.join(F.broadcast(tables["regime"].select("regime", F.col("rate").alias("_regime"))), "regime", "left")  # the enumerations
+    out = out.join(F.broadcast(tables["powertrain"].select("regime", "powertrain", F.col("rate").alias("_power"))), ["regime", "powertrain"], "left")
+    out = out.join(tables["make"].select("make", F.col("rate").alias("_make")), "make", "left")
+    out = out.join(tables["segment"].select("make", *segment, F.col("rate").alias("_segment")), ["make", *segment], "left")
+    regime = F.coalesce("_regime", "overall")
+    power = F.coalesce(F.col("_power"), regime)
+    made = F.coalesce(F.col("_make"), power)
+    return out.select(
+        *rows.columns, regime.alias("regime_fail_rate"), power.alias("powertrain_fail_rate"), made.alias("make_fail_rate_smoothed"),
+        F.coalesce(F.col("_segment"), made).alias("segment_fail_rate_smoothed"), F.concat_ws("_", "make", segment[0]).alias("make_x_age_band"),
+        F.concat_ws("_", F.col("make"), F.coalesce("prev_outcome", F.lit("UNKNOWN"))).alias("make_x_prev_outcome"),
+    )
+
+
 def shrink(rows: DataFrame, key: str, target: str, k: float, least: int = 0) -> DataFrame:
     """key, n, rate: one level shrunk to the overall rate."""
     return Encoder([[key]], [k], least).fit(rows, target)[1]

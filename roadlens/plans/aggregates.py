@@ -58,19 +58,24 @@ p AS (SELECT regime, powertrain, count(target) AS n, (coalesce(sum(target), 0) +
 JOIN w JOIN r USING (regime) LEFT JOIN v USING (regime, powertrain) GROUP BY ALL)"""
 
 
-def _regimes(t):
-    rows = t.vehicles().select(
-        X.regime(F.col("raw_make")).alias("regime"), X.powertrain(F.col("model_id")).alias("powertrain"), X.first_word(F.col("model_id")).alias("make"), (
-            F.col("price") > 1400
-        ).cast("int").alias("target"),
-        R.age_band(F.col("size") % 20).alias("age_band"), F.when(F.col("price") < 1300, "0-30k").otherwise("30k-60k").alias("mileage_band"),
+def _regime_rows(t):
+    return t.vehicles().select(
+        "vehicle_id", X.regime(F.col("raw_make")).alias("regime"), X.powertrain(F.col("model_id")).alias("powertrain"),
+        X.first_word(F.col("model_id")).alias("make"), (F.col("price") > 1400).cast("int").alias("target"), R.age_band(F.col("size") % 20).alias("age_band"),
+        F.when(F.col("price") < 1300, "0-30k").otherwise("30k-60k").alias("mileage_band"),
     )
-    return E.regime_hierarchy(rows, "target", ["age_band", "mileage_band"], ["Car", "Motorcycle", "Commercial"], ["ICE", "HEV", "PHEV", "BEV"])
+
+
+_SEGMENT = ["age_band", "mileage_band"]
+
+
+def _regimes(rows):
+    return E.regime_hierarchy(rows, "target", _SEGMENT, ["Car", "Motorcycle", "Commercial"], ["ICE", "HEV", "PHEV", "BEV"])
 
 
 @query("ag05_regime_dense", _REGIME_SQL + " SELECT regime, powertrain, n, round(rate, 6) AS rate FROM p")
 def _(t):
-    return _regimes(t)["powertrain"].withColumn("rate", F.round("rate", 6))
+    return _regimes(_regime_rows(t))["powertrain"].withColumn("rate", F.round("rate", 6))
 
 
 @query(
@@ -82,7 +87,33 @@ SELECT make, age_band, mileage_band, count(*) AS n, round((sum(target) + 5 * any
 JOIN m USING (make) GROUP BY ALL""",
 )
 def _(t):
-    return _regimes(t)["segment"].withColumn("rate", F.round("rate", 6))
+    return _regimes(_regime_rows(t))["segment"].withColumn("rate", F.round("rate", 6))
+
+
+_FITTED = _REGIME_SQL.replace("FROM vehicles),", "FROM vehicles WHERE split_part(model_id, ' ', 1) NOT IN ('SKODA', 'TESLA') AND NOT (split_part(model_id, ' ', 1) = 'FORD' AND size % 20 < 3)),", 1)
+
+
+@query(
+    "ag05c_regime_features",
+    _FITTED + f""", k AS (SELECT make, regime, powertrain, (sum(target) + 10 * any_value(p.rate)) / (count(*) + 10) AS rate FROM v JOIN p USING (regime, powertrain) GROUP BY ALL),
+m AS (SELECT make, arg_max(rate, regime || '/' || powertrain) AS rate FROM k GROUP BY 1),
+s AS (SELECT make, age_band, mileage_band, (sum(target) + 5 * any_value(m.rate)) / (count(*) + 5) AS rate FROM v JOIN m USING (make) GROUP BY ALL),
+a AS (SELECT vehicle_id, {REGIME_SQL} AS regime, {POWER_SQL} AS powertrain, split_part(model_id, ' ', 1) AS make,
+CASE WHEN size % 20 < 3 THEN '0-2' WHEN size % 20 < 6 THEN '3-5' WHEN size % 20 < 11 THEN '6-10' WHEN size % 20 < 16 THEN '11-15' ELSE '15+' END AS age_band,
+CASE WHEN price < 1300 THEN '0-30k' ELSE '30k-60k' END AS mileage_band, CASE WHEN vehicle_id % 3 > 0 THEN 'pass' END AS prev FROM vehicles)
+SELECT vehicle_id, round(r.rate, 6) AS regime_fail_rate, round(p.rate, 6) AS powertrain_fail_rate, round(coalesce(m.rate, p.rate), 6) AS make_fail_rate_smoothed,
+round(coalesce(s.rate, m.rate, p.rate), 6) AS segment_fail_rate_smoothed, a.make || '_' || a.age_band AS make_x_age_band,
+a.make || '_' || coalesce(prev, 'UNKNOWN') AS make_x_prev_outcome FROM a JOIN r USING (regime) JOIN p USING (regime, powertrain)
+LEFT JOIN m ON a.make = m.make LEFT JOIN s ON a.make = s.make AND a.age_band = s.age_band AND a.mileage_band = s.mileage_band""",
+)
+def _(t):
+    """Fitted without two makers and one segment of a third, applied to all vehicles."""
+    rows = _regime_rows(t)
+    tables = _regimes(rows.where("make not in ('SKODA', 'TESLA') and not (make = 'FORD' and age_band = '0-2')"))
+    asked = rows.withColumn("prev_outcome", F.when(F.col("vehicle_id") % 3 > 0, "pass"))
+    rates = ("regime_fail_rate", "powertrain_fail_rate", "make_fail_rate_smoothed", "segment_fail_rate_smoothed")
+    found = E.regime_transform(asked, tables, _SEGMENT)
+    return found.select("vehicle_id", *[F.round(c, 6).alias(c) for c in rates], "make_x_age_band", "make_x_prev_outcome")
 
 
 @query(
