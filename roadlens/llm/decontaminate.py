@@ -2,22 +2,25 @@
 
 Words are the runs of digits, ASCII letters and non-ASCII characters after folding A-Z. An item's windows are its runs of `width`
 words; a shorter item is one window. Window hashes find candidates, the words themselves confirm them. The benchmark is read in
-blocks of at most BLOCK_BYTES of text, so what is broadcast at once is bounded however large it gets.
+blocks of about BLOCK_BYTES of text, so what is broadcast at once is bounded however large it gets: about 20 bytes a word and 200 a
+distinct word, under half a gigabyte for a block of distinct short words and some tens of megabytes for prose. Texts are cut
+or dropped in the pass that finds the last hits, so they are never shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, mix64, odd_multipliers, utf8
+from .common import mix64, odd_multipliers, small_batches, utf8
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 WIDTH = 10
 
 #: A-Z folded, digits, a-z and bytes of non-ASCII characters kept, all else a separator.
@@ -32,52 +35,54 @@ def words_of(text: bytes | None) -> list[bytes]:
 def _window_hashes(codes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(len(starts), np.uint64)
     for j in range(k):
-        out += codes[starts + j] * _POSITION[j % 256]
+        out += codes[starts + j].astype(np.uint64) * _POSITION[j % 256]
     return mix64(out)
 
 
 class Windows:
-    """The windows of one block of benchmark items, by length and hash."""
+    """The windows of one block of benchmark items: sorted hashes by length, and where each stands in the block's words."""
 
     def __init__(self, items: list[tuple[int, bytes]], width: int) -> None:
-        import xxhash
-
+        #: word -> number from 1; 0 marks words that the block does not have
         self.vocabulary: dict[bytes, int] = {}
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, dict[tuple[bytes, ...], set[int]]]]] = {}
-        lists = [(item, w) for item, text in items if item is not None and (w := words_of(text))]
-        for _, w in lists:
-            for x in w:
-                if x not in self.vocabulary:
-                    self.vocabulary[x] = xxhash.xxh3_64_intdigest(x) | 1  # never 0, which marks other words
-        tables: dict[int, dict[int, dict[tuple[bytes, ...], set[int]]]] = {}
-        for item, w in lists:
-            k = min(width, len(w))
-            starts = np.arange(len(w) - k + 1)
-            codes = np.fromiter(map(self.vocabulary.__getitem__, w), np.uint64, len(w))
-            for i, h in enumerate(_window_hashes(codes, starts, k).tolist()):
-                tables.setdefault(k, {}).setdefault(h, {}).setdefault(tuple(w[i : i + k]), set()).add(item)
-        for k, table in tables.items():
-            self.by_length[k] = (np.array(sorted(table), np.uint64), table)
+        codes, by_length, at = [], {}, 0
+        for item, text in items:
+            if item is None or not (words := words_of(text)):
+                continue
+            k = min(width, len(words))
+            codes.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words)))
+            by_length.setdefault(k, []).append((at, at + len(words) - k + 1, item))
+            at += len(words)
+        self.codes = np.concatenate(codes) if codes else np.empty(0, np.int32)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, runs in by_length.items():
+            starts = np.concatenate([np.arange(a, b) for a, b, _ in runs])
+            owners = np.repeat(np.array([item for _, _, item in runs], np.int64), [b - a for a, b, _ in runs])
+            hashes = _window_hashes(self.codes, starts, k)
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[k] = (hashes[order], starts[order].astype(np.int32), owners[order])
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray | None, set[int]]:
         """The mask of hit words (None without any) and the items that occur."""
         n = len(words)
-        codes = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, n)
+        codes = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, n)
         known = np.concatenate([[0], np.cumsum(codes != 0)])
         mask, items = None, set()
-        for k, (hashes, table) in self.by_length.items():
+        for k, (hashes, places, owners) in self.by_length.items():
             if n < k:
                 continue
             starts = np.flatnonzero(known[k:] - known[:-k] == k)
             if not len(starts):
                 continue
             found = _window_hashes(codes, starts, k)
-            at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-            for i, h in zip(starts[hashes[at] == found].tolist(), found[hashes[at] == found].tolist(), strict=True):
-                if got := table[h].get(tuple(words[i : i + k])):
-                    mask = np.zeros(n, bool) if mask is None else mask
-                    mask[i : i + k] = True
-                    items |= got
+            first, last = np.searchsorted(hashes, found, side="left"), np.searchsorted(hashes, found, side="right")
+            for i in np.flatnonzero(last > first).tolist():
+                window = codes[starts[i] : starts[i] + k]
+                for at in range(int(first[i]), int(last[i])):  # equal hashes: items that share the window
+                    if np.array_equal(window, self.codes[places[at] : places[at] + k]):
+                        mask = np.zeros(n, bool) if mask is None else mask
+                        mask[starts[i] : starts[i] + k] = True
+                        items.add(int(owners[at]))
         return mask, items
 
 
@@ -87,37 +92,68 @@ def _ranges(mask: np.ndarray) -> list[list[int]]:
     return edge.reshape(-1, 2).tolist()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text, n_words, hit_ranges (first word, one past the last word), item_ids (sorted) for every row of docs.
+#: What the last pass makes of a batch, its words' numbers, hit ranges and items.
+Finish = Callable[[pa.RecordBatch, list[int], list[list[list[int]]], list[list[int]]], pa.RecordBatch]
 
-    A null or blank text has no words; items without id or words have no windows; repeated rows get equal results.
-    """
-    spark = docs.sparkSession
+
+def _passes(rows: DataFrame, benchmark: DataFrame, width: int, finish: Finish, schema) -> DataFrame:
+    """rows (with a column text) through one pass for each block of the benchmark; the last one returns what finish makes of them."""
+    spark = rows.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8("text").alias("text")).where("item_id is not null and text is not null")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<array<int>>)").alias("hit_ranges"), F.expr("cast(array() as array<long>)").alias("item_ids"))
+    width_in, text_at = len(rows.columns), rows.columns.index("text")
+    hits, items_name = "hits", "items"
+    while {hits, items_name} & set(rows.columns):
+        hits, items_name = hits + "_", items_name + "_"
+    extra = [T.StructField(hits, T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField(items_name, T.ArrayType(T.LongType()))]
+    carried = T.StructType([*rows.schema.fields, *extra])
     for block in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # bounded by BLOCK_BYTES on average
-        windows = spark.sparkContext.broadcast(Windows([(r.item_id, bytes(r.text)) for r in rows], width))
-
-        def fn(batch: pa.RecordBatch, windows=windows, first=block == 0) -> dict[str, object]:
-            ranges, items, n_words = [], [], []
-            before = repeat((None, None)) if first else zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            for text, (old, old_items) in zip(batch.column(1).cast(pa.binary()).to_pylist(), before, strict=False):
-                words = words_of(text)
-                mask, got = windows.value.hits(words)
-                if old:
-                    mask = np.zeros(len(words), bool) if mask is None else mask
-                    for a, b in old:
-                        mask[a:b] = True
-                n_words.append(len(words))
-                ranges.append([] if mask is None else _ranges(mask))
-                items.append(sorted(got | set(old_items or ())))
-            return {"doc_id": batch.column(0), "text": batch.column(1), "n_words": pa.array(n_words, pa.int64()), "hit_ranges": pa.array(ranges, pa.list_(pa.list_(pa.int32()))), "item_ids": pa.array(items, pa.list_(pa.int64()))}
-
-        out = map_arrow(out, fn, "doc_id long, text string, n_words long, hit_ranges array<array<int>>, item_ids array<long>")
-    return out
+        listed = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
+        windows = spark.sparkContext.broadcast(Windows([(r.item_id, bytes(r.text)) for r in listed], width))
+
+        def run(batches, windows=windows, first=block == 0, last=block == blocks - 1):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ranges, items, n_words = [], [], []
+                texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+                before = repeat((None, None)) if first else zip(batch.column(width_in).to_pylist(), batch.column(width_in + 1).to_pylist(), strict=True)
+                for text, (old, old_items) in zip(texts, before, strict=False):
+                    words = words_of(text)
+                    mask, got = windows.value.hits(words)
+                    if old:
+                        mask = np.zeros(len(words), bool) if mask is None else mask
+                        for a, b in old:
+                            mask[a:b] = True
+                    n_words.append(len(words))
+                    ranges.append([] if mask is None else _ranges(mask))
+                    items.append(sorted(got | set(old_items or ())))
+                own = pa.RecordBatch.from_arrays(batch.columns[:width_in], names=batch.schema.names[:width_in])
+                if last:
+                    yield finish(own, n_words, ranges, items)
+                else:
+                    arrays = [*own.columns, pa.array(ranges, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*own.schema.names, hits, items_name])
+
+        small_batches(spark)
+        rows = rows.mapInArrow(run, schema if block == blocks - 1 else carried)
+    return rows
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_words, hit_ranges (first word, one past the last word), item_ids (sorted) for every row of docs (doc_id, text).
+
+    A null or blank text has no words; items without id or words have no windows; repeated rows get equal results.
+    """
+
+    def finish(batch, n_words, ranges, items):
+        columns = {"doc_id": batch.column(0), "n_words": pa.array(n_words, pa.int64())}
+        columns |= {"hit_ranges": pa.array(ranges, pa.list_(pa.list_(pa.int32()))), "item_ids": pa.array(items, pa.list_(pa.int64()))}
+        return pa.RecordBatch.from_pydict(columns)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _passes(rows, benchmark, width, finish, "doc_id long, n_words long, hit_ranges array<array<int>>, item_ids array<long>")
 
 
 def cut_words(text: str, ranges: list[list[int]]) -> str:
@@ -139,30 +175,30 @@ def cut_words(text: str, ranges: list[list[int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, drop_share: float = 0.5) -> DataFrame:
     """docs with benchmark passages cut out; a document with more than drop_share of its words hit is left out.
 
-    Columns of docs are kept; n_chars, if present, is renewed for cut texts. Texts without hits stay as they are.
+    Columns of docs are kept; n_chars, if present, is renewed for cut texts. Texts without hits stay as they are. Rows are judged one
+    by one, so repeated rows and rows without an id need no care; nothing is shuffled.
     """
     names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "text")]
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*rest).alias("rest") if rest else F.struct(F.lit(0)).alias("rest"))
-    marked = scan(packed.select("doc_id", "text"), benchmark, width).where(F.size("hit_ranges") > 0)
-
-    def fn(batch: pa.RecordBatch) -> dict[str, object]:
-        ids, texts, cleaned = [], [], []
-        for doc_id, text, n_words, ranges in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            hit = sum(b - a for a, b in ranges)
-            ids.append(doc_id)
-            texts.append(text)
-            cleaned.append(None if hit > drop_share * n_words else cut_words(text, ranges))
-        return {"doc_id": pa.array(ids, pa.int64()), "old": pa.array(texts, pa.string()), "cut": pa.array(cleaned, pa.string())}
-
-    changes = map_arrow(marked, fn, "doc_id long, old string, cut string")
-    changes = changes.groupBy(F.col("doc_id").alias("changed_id"), F.xxhash64("old").alias("changed_hash")).agg(F.first("cut").alias("cut"), F.lit(True).alias("hit"))
-    same = F.col("doc_id").eqNullSafe(F.col("changed_id")) & (F.xxhash64("text") == F.col("changed_hash"))
-    joined = packed.join(changes, same, "left").where("hit is null or cut is not null")
-    out = {"doc_id": F.col("doc_id"), "text": F.when(F.col("hit"), F.col("cut")).otherwise(F.col("text"))} | {c: F.col(f"rest.`{c}`") for c in rest}
-    if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("hit"), F.length("cut").cast("long")).otherwise(F.col("rest.n_chars"))
-    return joined.select(*[out[c].alias(c) for c in names])
+    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def finish(batch, n_words, ranges, items):
+        hit = [sum(b - a for a, b in r) for r in ranges]
+        if any(hit):
+            arrays = list(batch.columns)
+            texts = arrays[text_at].to_pylist()
+            chars = arrays[chars_at].to_pylist() if chars_at is not None else None
+            for i, found in enumerate(ranges):
+                if found:
+                    texts[i] = cut_words(texts[i], found)
+                    if chars is not None:
+                        chars[i] = len(texts[i])
+            arrays[text_at] = pa.array(texts, arrays[text_at].type)
+            if chars is not None:
+                arrays[chars_at] = pa.array(chars, arrays[chars_at].type)
+            batch = pa.RecordBatch.from_arrays(arrays, names=names)
+        return batch.filter(pa.array([h <= drop_share * n for h, n in zip(hit, n_words, strict=True)], pa.bool_()))
+
+    return _passes(docs, benchmark, width, finish, docs.schema)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -171,7 +207,14 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = scan(docs.select("doc_id", "text"), benchmark)
     names = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
     n_hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda s, r: s + (r[1] - r[0]))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
