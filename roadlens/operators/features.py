@@ -106,9 +106,8 @@ def _derived(test: Column) -> Column:
 
     found = F.transform(F.coalesce(test["defects"], F.array().cast("array<struct<text:string,type:string>>")), defect)
     return F.struct(
-        test["test_date"].alias("date"), test["result"].alias("result"), F.coalesce(
-            test["result"] == "FAILED", F.lit(False)
-        ).alias("failed"), test["odometer"].alias("odometer"),
+        test["test_date"].alias("date"), test["result"].alias("result"), F.coalesce(test["result"] == "FAILED", F.lit(False)).alias("failed"),
+        test["odometer"].alias("odometer"),
         test["unit"].alias("unit"), test["expiry"].alias("expiry"), found.alias("defects"),
     )
 
@@ -163,15 +162,13 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
     within = lambda days: F.size(F.filter(fails, lambda x: F.datediff(day, x["date"]) <= days))
     failed = F.transform(t, lambda x: x["failed"].cast("int"))
     rows = add(rows, {
-        "test_month": F.month(shown).cast("string"), "is_winter_test": F.month(shown).isin(
-            10, 11, 12, 1, 2, 3
-        ).cast("int"), "day_of_week": F.weekday(shown).cast("string"),
+        "test_month": F.month(shown).cast("string"), "is_winter_test": F.month(shown).isin(10, 11, 12, 1, 2, 3).cast("int"),
+        "day_of_week": F.weekday(shown).cast("string"),
         "prev_cycle_outcome_band": F.when(n == 0, "first_test").when(
             at(0, "result") == "PASSED", "pass"
         ).when(at(0, "result") == "FAILED", "fail").otherwise("unknown"),
-        "days_since_last_test": gap, "gap_band": F.when(
-            n >= 2, R.gap_band(gap)
-        ).otherwise("first_test"), "n_prior_tests": n, "n_prior_fails": F.size(fails),
+        "days_since_last_test": gap, "gap_band": F.when(n >= 2, R.gap_band(gap)).otherwise("first_test"), "n_prior_tests": n,
+        "n_prior_fails": F.size(fails),
         "fails_last_365d": within(365), "fails_last_730d": within(730), "fail_rate_trend": F.when(
             n >= 4, _total(F.slice(failed, 1, 2)) - _total(F.slice(failed, 3, 2))
         ).otherwise(0),
@@ -191,12 +188,10 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
     plain = F.when((gap > 0) & (at(0, "odometer") > at(1, "odometer")), (at(0, "odometer") - at(1, "odometer")) * 365.0 / gap)
     annual = F.when(has & ~odd & plain.isNotNull(), plain)
     rows = add(rows, {
-        "test_mileage": F.when(
-            odd, before
-        ).when(has, now).otherwise(0.0), "has_prev_mileage": has.cast("int"), "mileage_plausible_flag": (has & ~odd).cast("int"), "mileage_anomaly_flag": odd.cast("int"),
-        "annualized_mileage_v2": F.coalesce(
-            annual, F.lit(USUAL_MILES)
-        ), "usage_band_hybrid": F.when(annual.isNull(), "average").otherwise(R.usage_band(annual)),
+        "test_mileage": F.when(odd, before).when(has, now).otherwise(0.0), "has_prev_mileage": has.cast("int"),
+        "mileage_plausible_flag": (has & ~odd).cast("int"), "mileage_anomaly_flag": odd.cast("int"),
+        "annualized_mileage_v2": F.coalesce(annual, F.lit(USUAL_MILES)),
+        "usage_band_hybrid": F.when(annual.isNull(), "average").otherwise(R.usage_band(annual)),
     })
 
     # advisories and failures of components, newest test first
@@ -230,15 +225,13 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
             f"has_{m}_history": (F.col(f"text_{m}_index") > 0).cast("int") for m in _MECHANISMS
         },
         "mechanism_count": kinds, "dominant_mechanism": dominant, "has_advisory_history": (F.col("prev_count_advisory") > 0).cast("int"),
-        "max_severity_score": F.when(F.col("n_prior_fails") > 0, 2).when(
-            F.col("prev_count_advisory") > 0, 1
-        ).otherwise(0), "severity_escalation_flag": (F.col("fail_rate_trend") > 0).cast("int"),
+        "max_severity_score": F.when(F.col("n_prior_fails") > 0, 2).when(F.col("prev_count_advisory") > 0, 1).otherwise(0),
+        "severity_escalation_flag": (F.col("fail_rate_trend") > 0).cast("int"),
         "mech_decay_brake": decay["brakes"], "mech_decay_suspension": decay[
             "suspension"
         ], "mech_decay_structure": decay["structure"], "mech_decay_steering": decay["steering"],
-        "mech_decay_index": index, "mech_decay_index_normalized": F.coalesce(
-            F.try_divide(index, F.when(usual_decay > 0, usual_decay)), index
-        ), "mech_risk_driver": driver,
+        "mech_decay_index": index, "mech_decay_index_normalized": F.coalesce(F.try_divide(index, F.when(usual_decay > 0, usual_decay)), index),
+        "mech_risk_driver": driver,
     })
 
     # sums of what is there
@@ -250,22 +243,18 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
         **{f"prev_adv_{c}": F.col(f"_adv_{c}") for c in _COMPONENTS[:4]}, "multi_system_advisory_count": reduce(
             lambda a, b: a + b, [(F.col(f"_adv_{c}") > 0).cast("int") for c in _COMPONENTS]
         ),
-        "prior_fail_rate_smoothed": F.coalesce(
-            F.try_divide(F.col("n_prior_fails").cast("double"), n), F.lit(0.0)
-        ), "recent_fail_intensity": F.col("fails_last_365d"),
-        "front_end_advisory_intensity": F.col("_adv_steering") + F.col(
-            "_adv_suspension"
-        ) + F.col("_adv_tyres"), "brake_system_stress": F.col("_adv_brakes") + per_test,
+        "prior_fail_rate_smoothed": F.coalesce(F.try_divide(F.col("n_prior_fails").cast("double"), n), F.lit(0.0)),
+        "recent_fail_intensity": F.col("fails_last_365d"),
+        "front_end_advisory_intensity": F.col("_adv_steering") + F.col("_adv_suspension") + F.col("_adv_tyres"),
+        "brake_system_stress": F.col("_adv_brakes") + per_test,
         "commercial_wear_proxy": F.log1p(F.col("annualized_mileage_v2") / 10_000) + F.greatest(
             F.lit(0), F.col("days_since_last_test") - 365
         ) / 365.0 + per_test,
-        "mdps_score": F.col("days_late") / 365.0, "days_since_pass_ratio": F.col(
-            "days_since_last_test"
-        ) / 365.0, "historic_negligence_ratio_smoothed": ratio, "negligence_band": band,
+        "mdps_score": F.col("days_late") / 365.0, "days_since_pass_ratio": F.col("days_since_last_test") / 365.0,
+        "historic_negligence_ratio_smoothed": ratio, "negligence_band": band,
         "raw_behavioral_count": F.col("prev_count_advisory"), "local_corrosion_index": index_here, "local_corrosion_delta": index_here - NEUTRAL_CORROSION,
-        "high_risk_model_flag": X.flag_in(
-            F.trim(model_id), p.high_risk_models or [""]
-        ), "suspension_risk_profile": F.lit(0.0), "station_strictness_bias": F.lit(0.0),
+        "high_risk_model_flag": X.flag_in(F.trim(model_id), p.high_risk_models or [""]), "suspension_risk_profile": F.lit(0.0),
+        "station_strictness_bias": F.lit(0.0),
         "station_fail_rate_smoothed": F.lit(NEUTRAL_STATION), "station_x_prev_outcome_fail_rate": F.lit(NEUTRAL_STATION),
         "model_id": model_id, "age_band": R.serving_age_band(age), "mileage_band": R.below(F.col("test_mileage"), R.MILEAGE_BANDS, "100k+"),
     })
@@ -294,9 +283,8 @@ def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = No
     known = p.cohort is not None
     by_age = F.coalesce("_model_age", "_make_age", F.lit(p.overall_age_rate))
     rows = add(rows, {
-        "model_fail_rate_smoothed": F.coalesce(
-            "_model", F.lit(NEUTRAL_RATE)
-        ), "make_fail_rate_smoothed": F.coalesce("_make", F.lit(NEUTRAL_RATE)), "model_age_fail_rate_eb": by_age,
+        "model_fail_rate_smoothed": F.coalesce("_model", F.lit(NEUTRAL_RATE)), "make_fail_rate_smoothed": F.coalesce("_make", F.lit(NEUTRAL_RATE)),
+        "model_age_fail_rate_eb": by_age,
         "make_age_fail_rate_eb": F.coalesce("_make_age", F.lit(p.overall_age_rate)), "eb_unified_prior": by_age, "segment_fail_rate_smoothed": F.coalesce(
             "_segment", "_make", F.lit(NEUTRAL_RATE)
         ),

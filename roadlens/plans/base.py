@@ -57,9 +57,8 @@ class Tables:
             F.col("o_custkey").alias("vehicle_id"), F.to_date("l_shipdate").alias("test_date"), F.col("l_shipdate").alias("shipped"), failed.alias("target"), F.col("p_brand").alias("make"), F.concat_ws(
                 " ", "p_brand", "p_type"
             ).alias("model_id"),
-            (
-                F.col("p_size") % 20
-            ).alias("age_years"), F.col("l_extendedprice").alias("test_mileage"), F.col("n_name").alias("area"), F.col("o_orderstatus").alias("prev_outcome"), F.col("l_linenumber").alias("line"),
+            (F.col("p_size") % 20).alias("age_years"), F.col("l_extendedprice").alias("test_mileage"), F.col("n_name").alias("area"),
+            F.col("o_orderstatus").alias("prev_outcome"), F.col("l_linenumber").alias("line"),
         )
 
     def banded(self) -> DataFrame:
@@ -75,9 +74,8 @@ class Tables:
         """One row for each event in the role of an inspection of its user's vehicle."""
         kind = F.col("event_type")
         return self("events").select(
-            F.col("event_id").alias("test_id"), F.col("user_id").alias(
-                "vehicle_id"
-            ), F.col("ts").alias("test_ts"), F.to_date("ts").alias("test_date"), kind.alias("outcome"),
+            F.col("event_id").alias("test_id"), F.col("user_id").alias("vehicle_id"), F.col("ts").alias("test_ts"), F.to_date("ts").alias("test_date"),
+            kind.alias("outcome"),
             (kind == "error").cast("int").alias("failed"), (kind == "click").cast("int").alias("advisory"), F.col("value").alias("reading"),
         )
 
@@ -85,9 +83,8 @@ class Tables:
         """One row for each part with names, registrations and texts that depend on its key."""
         k = F.col("p_partkey")
         return self("part").select(
-            k.alias("vehicle_id"), pick(MODELS, k * 7).alias("model_id"), pick(RAW_MAKES, k).alias("raw_make"), pick(
-                REGISTRATIONS, k
-            ).alias("registration"), pick(POSTCODES, k * 3).alias("postcode"), pick(EMAILS, k).alias("email"),
+            k.alias("vehicle_id"), pick(MODELS, k * 7).alias("model_id"), pick(RAW_MAKES, k).alias("raw_make"),
+            pick(REGISTRATIONS, k).alias("registration"), pick(POSTCODES, k * 3).alias("postcode"), pick(EMAILS, k).alias("email"),
             pick(DEFECTS, k * 3).alias("defect"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), F.col("p_name").alias("name"),
         )
 

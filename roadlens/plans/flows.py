@@ -114,9 +114,8 @@ def _(t):
         F.date_format("o_orderdate", "yyyy.MM.dd HH:mm:ss").alias("completedDate"), status.alias("testResult"), F.when(
             F.col("o_orderkey") % 5 == 0, "unreadable"
         ).otherwise(F.col("o_orderkey").cast("string")).alias("odometerValue"),
-        F.when(
-            status == "F", F.array().cast("array<struct<text:string,type:string>>")
-        ).when(status == "O", F.array(comment, comment)).alias("defects"), F.array(comment).alias("rfrAndComments"),
+        F.when(status == "F", F.array().cast("array<struct<text:string,type:string>>")).when(status == "O", F.array(comment, comment)).alias("defects"),
+        F.array(comment).alias("rfrAndComments"),
     )
     raw = t("orders").groupBy("o_custkey").agg(F.collect_list(test).alias("tests")).select(
         F.to_json(F.struct(F.col("o_custkey").cast("string").alias("registration"), F.col("tests").alias("motTests"))).alias("json")
@@ -352,18 +351,16 @@ def nested_histories(t):
     defect = F.struct(pick(DEFECTS, i).alias("text"), F.when(i % 3 == 0, "FAIL").when(i % 3 == 1, "ADVISORY").otherwise("MINOR").alias("type"))
     tests = F.struct(
         "test_date", F.when(F.col("outcome") == "error", "FAILED").when(F.col("outcome") == "view", "ABANDONED").otherwise("PASSED").alias("result"),
-        F.when(
-            i % 11 > 0, (F.col("reading") * 700).cast("int")
-        ).alias("odometer"), F.when(i % 5 == 0, "km").otherwise("mi").alias("unit"), F.when(i % 4 > 0, F.date_add("test_date", 9)).alias("expiry"),
+        F.when(i % 11 > 0, (F.col("reading") * 700).cast("int")).alias("odometer"), F.when(i % 5 == 0, "km").otherwise("mi").alias("unit"),
+        F.when(i % 4 > 0, F.date_add("test_date", 9)).alias("expiry"),
         F.filter(F.array(defect, F.struct(pick(DEFECTS, i * 3).alias("text"), F.lit("ADVISORY").alias("type"))), lambda d: i % 2 == 0).alias("defects"),
     )
     grouped = t.history().groupBy("vehicle_id").agg(F.sort_array(F.collect_list(tests)).alias("tests"))
     tests = F.when(k % 9 > 0, F.slice("tests", 1, F.greatest(F.lit(1), (k % 6).cast("int"))))  # some without history, some with a few tests
     model = F.regexp_replace(pick(MODELS, k), "^[^ ]+ ", "")
     return grouped.select(
-        "vehicle_id", F.split(pick(MODELS, k), " ")[0].alias("make"), model.alias("model"), pick(POSTCODES, k).alias("postcode"), F.when(
-            k % 4 > 0, F.date_sub(F.lit("2024-01-01").cast("date"), (k * 37 % 7000).cast("int"))
-        ).alias("manufacture_date"), tests.alias("tests"),
+        "vehicle_id", F.split(pick(MODELS, k), " ")[0].alias("make"), model.alias("model"), pick(POSTCODES, k).alias("postcode"),
+        F.when(k % 4 > 0, F.date_sub(F.lit("2024-01-01").cast("date"), (k * 37 % 7000).cast("int"))).alias("manufacture_date"), tests.alias("tests"),
     )
 
 

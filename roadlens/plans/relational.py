@@ -119,15 +119,13 @@ FROM lineitem)"""
 def _leads(t):
     line = F.col("l_linenumber")
     return t("lineitem").select(
-        "l_orderkey", "l_linenumber", F.when(
-            line != 2, F.col("l_extendedprice") * 30 - 90000
-        ).alias("mileage"), F.when(line != 3, 1880 + F.col("l_partkey") % 160).alias("year"),
+        "l_orderkey", "l_linenumber", F.when(line != 2, F.col("l_extendedprice") * 30 - 90000).alias("mileage"),
+        F.when(line != 3, 1880 + F.col("l_partkey") % 160).alias("year"),
         F.when(line != 4, F.col("l_discount") * 12 - 0.1).alias("failure_risk"), F.when(
             line != 5, (F.col("l_quantity") * 3 - 10).cast("int")
         ).alias("reliability_score"),
-        pick(
-            ["asap", "this_week", "this_month", "exploring", "soon"], F.col("l_suppkey")
-        ).alias("urgency"), (F.col("l_returnflag") != "A").alias("consent"), pick(EMAILS, F.col("l_partkey")).alias("email"),
+        pick(["asap", "this_week", "this_month", "exploring", "soon"], F.col("l_suppkey")).alias("urgency"),
+        (F.col("l_returnflag") != "A").alias("consent"), pick(EMAILS, F.col("l_partkey")).alias("email"),
         pick([" M1 ", "N1", " B ", "SW1A 1AA"], F.col("l_suppkey")).alias("postcode"), pick(
             ["AB12 CDE", "<b>A1</b>", "ABCDEFGHI", " "], F.col("l_orderkey")
         ).alias("registration"),
@@ -259,18 +257,15 @@ WHERE l_shipdate {{0}} TIMESTAMP '1997-01-01' AND NOT (prev_cycle_outcome_band =
 def _tests(rows):
     line, supp, part = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_partkey")
     return rows.select(
-        (
-            F.col("l_orderkey") * 10 + line
-        ).alias("test_id"), part.alias("vehicle_id"), F.to_date("l_shipdate").alias("test_date"), (F.col("l_returnflag") == "R").alias("is_failure"),
-        F.when(
-            supp % 5 != 0, F.concat(F.lit("M"), part)
-        ).alias("model_id"), F.when(line % 3 == 0, "NO_PRIOR_RECORDED").when(line % 3 == 1, "PASS").alias("prev_cycle_outcome_band"),
+        (F.col("l_orderkey") * 10 + line).alias("test_id"), part.alias("vehicle_id"), F.to_date("l_shipdate").alias("test_date"),
+        (F.col("l_returnflag") == "R").alias("is_failure"),
+        F.when(supp % 5 != 0, F.concat(F.lit("M"), part)).alias("model_id"),
+        F.when(line % 3 == 0, "NO_PRIOR_RECORDED").when(line % 3 == 1, "PASS").alias("prev_cycle_outcome_band"),
         F.when(line % 2 == 0, "late").alias("gap_band"), F.when(supp % 7 != 0, "FORD").alias("make"), F.when(line != 4, "3-5").alias("age_band"), F.nullif(
             "l_quantity", F.lit(1.0)
         ).alias("test_mileage"),
-        F.when(
-            F.col("l_returnflag") != "A", F.col("l_tax")
-        ).alias("prior_fail_rate_smoothed"), F.when(supp % 4 != 0, (supp % 4 - 1).cast("double")).alias("n_prior_tests"),
+        F.when(F.col("l_returnflag") != "A", F.col("l_tax")).alias("prior_fail_rate_smoothed"),
+        F.when(supp % 4 != 0, (supp % 4 - 1).cast("double")).alias("n_prior_tests"),
         F.when(
             line != 5, F.col("l_extendedprice") / 4 - 1000
         ).alias("annualized_mileage"), F.when(line != 6, "SW").alias("postcode_area"), F.nullif("l_discount", F.lit(
@@ -290,9 +285,8 @@ def _wide(t, rows):
         )
     )
     advisories = every.where(i % 5 > 0).select(
-        "test_id", number(2).alias("prev_adv_brakes"), number(3).alias(
-            "prev_adv_suspension"
-        ), F.lit(None).cast("double").alias("prev_adv_steering"), number(4).alias("prev_adv_tyres")
+        "test_id", number(2).alias("prev_adv_brakes"), number(3).alias("prev_adv_suspension"), F.lit(None).cast("double").alias("prev_adv_steering"),
+        number(4).alias("prev_adv_tyres")
     )
     patterns = every.where(i % 7 > 0).select("test_id", (number(10) / 10).alias("ponr_risk_score"), (i % 2).cast("int").alias("has_ponr_pattern"))
     return O.wide_features(tests, history, advisories, patterns).withColumn("test_date", F.col("test_date").cast("string"))

@@ -507,9 +507,8 @@ def counts(t):
     """Per vehicle: how often each component was advised, fails, tests, yearly use and days since the last test."""
     of = lambda v: F.count_if(F.col("outcome") == v)
     return t.history().groupBy("vehicle_id").agg(
-        of("click").alias("brakes"), of("view").alias("suspension"), of("signup").alias("steering"), of("purchase").alias("tyres"), F.sum("failed").alias("fails"), F.count(F.lit(1)).alias("n"), (
-            F.sum("reading") * 10
-        ).alias("annual"), (F.count(F.lit(1)) * 9).alias("days")
+        of("click").alias("brakes"), of("view").alias("suspension"), of("signup").alias("steering"), of("purchase").alias("tyres"),
+        F.sum("failed").alias("fails"), F.count(F.lit(1)).alias("n"), (F.sum("reading") * 10).alias("annual"), (F.count(F.lit(1)) * 9).alias("days")
     )
 
 

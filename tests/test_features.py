@@ -176,13 +176,11 @@ def test_features_with_priors(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     priors = FE.Priors(
         model=frame([("FORD KA", 0.3)], "model_id string, rate double"), make=frame([("FORD", 0.2), ("SEAT", 0.4)], "make string, rate double"),
-        model_age=frame(
-            [("FORD KA", "3-5", 0.31)], "model_id string, age_band string, rate double"
-        ), make_age=frame([("SEAT", "3-5", 0.41)], "make string, age_band string, rate double"),
+        model_age=frame([("FORD KA", "3-5", 0.31)], "model_id string, age_band string, rate double"),
+        make_age=frame([("SEAT", "3-5", 0.41)], "make string, age_band string, rate double"),
         segment=frame([("FORD", "3-5", "0-30k", 0.22)], "make string, age_band string, mileage_band string, rate double"), overall_age_rate=0.27,
-        cohort=frame(
-            [("FORD KA", "3-5", 40000.0, 2.0)], "model_id string, age_band string, mileage double, advisories double"
-        ), overall_mileage=50000.0, overall_advisories=1.5,
+        cohort=frame([("FORD KA", "3-5", 40000.0, 2.0)], "model_id string, age_band string, mileage double, advisories double"), overall_mileage=50000.0,
+        overall_advisories=1.5,
     )
     got = {r.registration: r for r in FE.history_features(frame(rows, schema), "2024-02-01", priors).collect()}
     a, b = got["A"], got["B"]

@@ -121,7 +121,7 @@ def test_postcodes_and_emails(spark):
     ) == [True, True, False]
 
 
-def test_reference_bands_and_labels(spark):
+def test_fixed_bands_and_labels(spark):
     def on(column, rows, kind="double"):
         return values(spark, [(x,) for x in rows], f"v {kind}", column)
 
