@@ -4,7 +4,7 @@ Every text becomes its set of distinct word shingles. Texts with equal sets are
 doc_id, so copies are never paired. Classes branch in independent trees: at each level of a tree a class goes to two child
 nodes, each chosen by the minwise shingle of one more hash function, so similar classes stay together and others part. A node of
 at most `small` classes is compared exhaustively; in a larger one every class is compared with the node's first class, and
-those that are still not connected with each other branch further. Candidates pass a sketch of SKETCH minwise hashes (an estimate
+those that are still not connected with each other branch further, down to DEPTH levels; what these do not part is compared in blocks. Candidates pass a sketch of SKETCH minwise hashes (an estimate
 far below the threshold drops them) and are confirmed on full shingle sets of the whole texts. Connected components are found
 by alternating star contraction, all of it as joins.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, map_arrow, materialize, mix64, odd_multipliers, partitions, utf8, word_hashes
+from .common import BROADCAST_IDS, join_hot, map_arrow, materialize, mix64, odd_multipliers, utf8, word_hashes
 
 TREES, DEPTH, CHILDREN = 4, 8, 2
 #: Minwise hashes of a class; with fewer, nodes pick the same ones too often.
@@ -29,6 +29,8 @@ SKETCH = 128
 SMALL = 4096
 #: ... and of at most so many shingles in all, so that their sets fit into a task.
 SMALL_SHINGLES = 4_000_000
+#: Rows of a star that meet one copy of the hub.
+SLOT = 1024
 #: Block sizes of the products: rows, and shingles.
 _ROWS, _STEP = 512, 2048
 
@@ -59,62 +61,112 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_digest (null without words), sketch."""
+    """doc_id, text_hash, n_shingles, set_digest (null without words), sketch."""
 
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
         import xxhash
 
         n, digests, sketches = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             s = shingle_set(text, width)
             n.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sketches.append(sketch(s) if len(s) else None)
         flat = np.concatenate([x for x in sketches if x is not None]) if any(n) else np.empty(0, np.int32)
         ends = np.concatenate([[0], np.cumsum([0 if x is None else SKETCH for x in sketches])]).astype(np.int32)
-        return {"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "set_digest": pa.array(digests, pa.binary()), "sketch": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+        return {
+            "doc_id": batch.column(0), "text_hash": batch.column(1), "n_shingles": pa.array(n, pa.int64()), "set_digest": pa.array(digests, pa.binary()),
+            "sketch": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+        }
 
-    return map_arrow(docs.select("doc_id", utf8("text")), fn, "doc_id long, n_shingles long, set_digest binary, sketch array<int>")
+    rows = docs.select("doc_id", F.xxhash64("text"), utf8("text"))
+    return map_arrow(rows, fn, "doc_id long, text_hash long, n_shingles long, set_digest binary, sketch array<int>")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * |intersection| >= num * |union| of the shingle sets of their whole texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = keep_ids(docs.select("doc_id", "text"), "doc_id", ids, 2 * n_pairs).groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "near-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), utf8("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), utf8("text").alias("text_a")), "a")
-    both = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+def classes_of(sets: DataFrame) -> tuple[DataFrame, bool]:
+    """id, doc_id, text_hash, set_digest, size, sketch, copies: one row for each distinct set, represented by its row of smallest doc_id.
 
-    def fn(batch: pa.RecordBatch) -> dict[str, object]:
-        out_a, out_b, last, hub = [], [], None, None
-        for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if a != last:
-                last, hub = a, shingle_set(text_a, width)
-            other = shingle_set(text_b, width)
-            common = len(np.intersect1d(hub, other, assume_unique=True))
-            if den * common >= num * (len(hub) + len(other) - common):
-                out_a.append(a)
-                out_b.append(b)
-        return {"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())}
+    id is that doc_id, or a hash of it and the set where rows of one doc_id represent several sets; whether this occurs comes second.
+    """
+    rows = sets.where("set_digest is not null and doc_id is not null")
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    grouped = rows.groupBy("set_digest").agg(
+        least, F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")
+    )
+    named = materialize(grouped.select("least.doc_id", "least.text_hash", "set_digest", "size", "sketch", "copies"), "near-classes")
+    shared = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not shared.limit(1).count():
+        return named.withColumn("id", F.col("doc_id")), False
+    marked = named.join(shared.withColumn("several", F.lit(True)), "doc_id", "left")
+    own = F.when(F.col("several"), F.xxhash64("doc_id", "set_digest")).otherwise(F.col("doc_id"))
+    return materialize(marked.withColumn("id", own).drop("several"), "near-classes"), True
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """id, text (bytes) of the representatives of the classes in ids (id, distinct)."""
+    wanted = classes.join(ids, "id", "left_semi").select("id", "doc_id", "text_hash")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8("text").alias("text"))
+    found = rows.join(F.broadcast(wanted) if n_ids <= BROADCAST_IDS else wanted, ["doc_id", "text_hash"])
+    return found.groupBy("id").agg(F.first("text").alias("text"))  # repeated rows have equal texts
+
+
+def star_links(docs: DataFrame, classes: DataFrame, stars: DataFrame, width: int, num: int, den: int, at_least: int) -> DataFrame:
+    """a, b: the links among stars (hub, id, n), n being at least the number of a hub's rows.
+
+    Sketches that agree at fewer than at_least places are dropped, links are confirmed on full sets. The hub's sketch and text go out
+    once for each slot of about SLOT rows, so a hub with a third of all rows is no hot key.
+    """
+    slots = F.ceil(F.col("n") / SLOT)
+    dealt = stars.groupBy("hub", "id").agg(F.max(slots).alias("slots")).withColumn(
+        "g", F.xxhash64("hub", "slots", F.pmod(F.xxhash64("id"), F.col("slots")))
+    )
+    sketches = classes.select("id", "sketch")
+    hubs = dealt.select("hub", "g").distinct()
+    hub_marks = hubs.join(sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("marks")), "hub").select("g", "hub", "marks")
+    alike = F.expr(f"size(filter(zip_with(marks, sketch, (p, q) -> p = q), e -> e)) >= {at_least}")
+    pairs = materialize(dealt.join(sketches, "id").join(hub_marks, ["g", "hub"]).where(alike).select("g", "hub", "id"), "near-pairs")
+    n = pairs.count()
+    hubs = pairs.select("g", "hub").distinct()
+    ids = pairs.select("id").union(hubs.select(F.col("hub").alias("id"))).distinct()
+    texts = materialize(texts_of(docs, classes, ids, 2 * n), "near-texts")
+    ends = pairs.select("g", "id", F.lit(1).alias("place"), "hub").unionByName(hubs.select("g", F.col("hub").alias("id"), F.lit(0).alias("place"), "hub"))
+    rows = ends.join(texts, "id").select("g", "hub", "place", "id", "text").repartition("g").sortWithinPartitions("g", "hub", "place")
 
-    return map_arrow(both, fn, "a long, b long")
+    def run(batches):
+        hub = None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for _, of, place, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = shingle_set(text, width)
+                if place == 0:
+                    hub = own
+                    continue
+                common = len(np.intersect1d(hub, own, assume_unique=True))
+                if den * common >= num * (len(hub) + len(own) - common):
+                    found.append((of, i))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """id, root: every id of an edge (a, b) and the smallest id that it is connected with.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join, until every id has one root that has none itself.
+    Alternates large-star and small-star steps, each a grouped minimum and a join, until every id has one root that has none itself. Every
+    step keeps the components and lowers the sum of neighbours, so this ends; no number of rounds is set.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    for _ in range(rounds):
+    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    while n := now.count():
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = materialize(small.coalesce(max(1, partitions(small.sparkSession) // 8)), "stars")
-        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
-        if not ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("down")).where("ups > 1 or (ups = 1 and down = 0)").limit(1).count():
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("w"))
+        large = join_hot(both, least, ["u"], "w", 2 * n, "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        small = join_hot(large, least, ["u"], "w", n, "v").select(ends.alias("e")).select("e.*").where("u <> v").distinct()
+        now = materialize(small, "stars")
+        ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"))))
+        degrees = now.select(ends.alias("e")).select("e.*").groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("down"))
+        if not degrees.where("ups > 1 or (ups = 1 and down = 0)").limit(1).count():
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
@@ -128,7 +180,9 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     else:
         grown = rows.select("id", "size", "sketch", "tree", "node", F.explode(F.sequence(F.lit(0), F.lit(CHILDREN - 1))).alias("k"))
         tree, child, above = F.col("tree"), F.col("k"), F.col("node")
-    coordinate = tree * CHILDREN + child if level == 0 else F.pmod(F.xxhash64(above, tree, F.lit(level), child, F.lit("coordinate")), F.lit(SKETCH)).cast("int")
+    coordinate = tree * CHILDREN + child if level == 0 else F.pmod(
+        F.xxhash64(above, tree, F.lit(level), child, F.lit("coordinate")), F.lit(SKETCH)
+    ).cast("int")
     return grown.select(tree.alias("tree"), F.xxhash64(above, tree, F.lit(level), child, F.get("sketch", coordinate)).alias("node"), "id", "size")
 
 
@@ -192,12 +246,10 @@ def links_within(ids: list[int], roots: list[int], sets: list[np.ndarray], num:
     return out
 
 
-def _node_links(docs: DataFrame, members: DataFrame, n_members: int, width: int, num: int, den: int) -> DataFrame:
+def _node_links(docs: DataFrame, classes: DataFrame, members: DataFrame, n_members: int, width: int, num: int, den: int) -> DataFrame:
     """a, b: links within each group of members (g, id, root), confirmed on full sets inside the group's task."""
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = keep_ids(docs.select("doc_id", "text"), "doc_id", ids, n_members).groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = members.join(texts.select(F.col("doc_id").alias("id"), utf8("text").alias("text")), "id").select("g", "id", "root", "text")
-    rows = rows.repartition("g").sortWithinPartitions("g")
+    texts = texts_of(docs, classes, members.select("id").distinct(), n_members)
+    rows = members.join(texts, "id").select("g", "id", "root", "text").repartition("g").sortWithinPartitions("g")
 
     def run(batches):
         group, ids, roots, sets = None, [], [], []
@@ -218,14 +270,21 @@ def _node_links(docs: DataFrame, members: DataFrame, n_members: int, width: int,
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """tree, node, id, root of large nodes (tree, node, n, shingles, id, root) as pairs of blocks, each pair a node of about SMALL members."""
+    count = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / SMALL), F.ceil(2 * F.col("shingles") / SMALL_SHINGLES)).cast("int")
+    dealt = rows.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("id"), F.col("count")).cast("int"))
+    met = dealt.select("tree", "node", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
+    return met.select("tree", F.xxhash64("tree", "node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "root")
+
+
 def similar_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """id, root for the classes (id, size, sketch) that are linked with another one."""
+    """id, root for the classes that are linked with another one."""
     spark = docs.sparkSession
     j = num / den
     # six standard deviations below the expected agreement at the threshold
     at_least = max(1, int(SKETCH * j - 6 * (SKETCH * j * (1 - j)) ** 0.5))
     sketches = classes.select("id", "sketch")
-    alike = F.expr(f"size(filter(zip_with(sa, sb, (p, q) -> p = q), e -> e)) >= {at_least}")
     edges = roots = None
 
     def add(found: DataFrame) -> None:
@@ -236,56 +295,70 @@ def similar_components(docs: DataFrame, classes: DataFrame, width: int, num: int
             edges = found if edges is None else edges.union(found)
             roots = star_components(edges)
 
-    def check_pairs(pairs: DataFrame) -> None:
-        both = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        alike_pairs = materialize(both.where(alike).select("a", "b").distinct(), "near-pairs")
-        if n := alike_pairs.count():
-            add(confirm(docs, alike_pairs, n, width, num, den))
+    def compare(nodes: DataFrame) -> None:
+        """Compare the members of small nodes."""
+        close = materialize(_close_members(nodes, sketches, at_least), "near-members")
+        if n := close.count():
+            add(_node_links(docs, classes, close, n, width, num, den))
 
+    counts = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min(F.struct("root", "id")).alias("pivot"), F.max("root").alias("last")]
     small = F.expr(f"n <= {SMALL} and shingles <= {SMALL_SHINGLES}")
-    rows, level = _children(classes, 0), 0
-    while True:
-        labelled = _labelled(rows, roots)
-        nodes = labelled.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min(F.struct("root", "id")).alias("pivot"), F.max("root").alias("last"))
-        nodes = nodes.where("n > 1 and pivot.root < last").select("tree", "node", "n", "shingles", F.col("pivot.id").alias("pivot"), F.col("pivot.root").alias("pivot_root"))
-        mixed = materialize(labelled.join(nodes, ["tree", "node"]), "near-nodes")
-        close = materialize(_close_members(mixed.where(small), sketches, at_least), "near-members")
-        if n := close.count():
-            add(_node_links(docs, close, n, width, num, den))
+
+    def unsettled(rows: DataFrame, total: int, label: str) -> DataFrame:
+        """rows of nodes whose members are not all connected, with n, shingles, pivot and pivot_root of their node."""
+        nodes = rows.groupBy("tree", "node").agg(*counts).where("n > 1 and pivot.root < last")
+        nodes = nodes.select("tree", "node", "n", "shingles", F.col("pivot.id").alias("pivot"), F.col("pivot.root").alias("pivot_root"))
+        return materialize(join_hot(rows, nodes, ["tree", "node"], "n", total, "id"), label)
+
+    rows, total, level = _children(classes, 0), TREES * CHILDREN * classes.count(), 0
+    while total:
+        mixed = unsettled(_labelled(rows, roots), total, "near-nodes")
+        compare(mixed.where(small))
         large, level = mixed.where(~small), level + 1
         if not large.limit(1).count():
             break
-        check_pairs(_labelled(large.drop("root"), roots).where("root <> pivot_root").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")))
-        left = _labelled(large.select("tree", "node", "id", "size"), roots)
-        still = left.groupBy("tree", "node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "node")
-        left = materialize(left.join(still, ["tree", "node"], "left_semi"), "near-rows")
-        if not left.limit(1).count():
+        stars = _labelled(large.drop("root"), roots).where("root <> pivot_root").select(F.col("pivot").alias("hub"), "id", "n")
+        add(star_links(docs, classes, stars, width, num, den, at_least))
+        large = large.select("tree", "node", "id", "size")
+        left = unsettled(_labelled(large, roots), large.count(), "near-rows")
+        if level == DEPTH:  # minwise hashes do not part these: blocks of each node meet pair by pair, inside tasks
+            compare(_blocks(left))
             break
-        if level == DEPTH:  # classes that eight minwise hashes do not part: join each node's unconnected ones
-            left = left.withColumnRenamed("id", "a")
-            right = left.select("tree", "node", F.col("a").alias("b"), F.col("root").alias("root_b"))
-            check_pairs(left.join(right, ["tree", "node"]).where("a < b and root <> root_b").select("a", "b"))
-            break
-        rows = _children(left.drop("root").join(sketches, "id"), level)
+        total = CHILDREN * left.count()
+        rows = _children(left.select("tree", "node", "id", "size").join(sketches, "id"), level)
     return roots if roots is not None else spark.createDataFrame([], "id long, root long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of docs (doc_id, text).
 
-    component_id is the smallest doc_id reachable over links of Jaccard similarity num / den or more. A null or blank text has
-    no shingles and is linked with nothing; repeated rows get equal results; a row without doc_id keeps a null component and is kept.
+    component_id is the smallest doc_id reachable over links of Jaccard similarity num / den or more; the component's row of smallest
+    (doc_id, text_hash) is kept, with rows equal to it. A null or blank text has no shingles, is linked with nothing and kept; repeated
+    rows get equal results; rows of one doc_id with different texts are judged by their texts; a row without doc_id keeps a null
+    component and is kept. text_hash is xxhash64 of the text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sets = materialize(shingle_sets(docs, width), "near-sets")
-    classes = materialize(sets.where("set_digest is not null and doc_id is not null").groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "near-classes")
-    roots = similar_components(docs, classes, width, num, den)
-    named = classes.join(roots, "id", "left").select("set_digest", F.coalesce("root", "id").alias("root"))
-    out = sets.select("doc_id", "n_shingles", "set_digest").join(named, "set_digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    classes, several = classes_of(sets)
+    named = classes.join(similar_components(docs, classes, width, num, den), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if several:  # ids that are no doc_ids: find each component's smallest row
+        best = named.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash", "id")).alias("best"), F.count(F.lit(1)).alias("n"))
+        named = join_hot(named, best, ["root"], "n", classes.count(), "id").withColumns({"component": F.col("best.doc_id"), "head": F.col("best.id")})
+    else:
+        named = named.withColumns({"component": F.col("root"), "head": F.col("root")})
+    first = F.when(F.col("id") == F.col("head"), F.struct("doc_id", "text_hash"))
+    named = named.select("set_digest", "copies", "component", first.alias("first"))
+    rows = sets.select("doc_id", "text_hash", "n_shingles", "set_digest")
+    judged = F.col("doc_id").isNotNull() & F.col("set_digest").isNotNull()
+    found = join_hot(rows.where(judged), named, ["set_digest"], "copies", sets.count(), "doc_id")
+    kept = F.coalesce(F.struct("doc_id", "text_hash") == F.col("first"), F.lit(False))
+    found = found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"), "text_hash")
+    return found.unionByName(
+        rows.where(~judged).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_hash")
+    )
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of 0.85 or more, over all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85, 100)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85, 100)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
