@@ -117,7 +117,9 @@ def train(labelled: DataFrame, alpha: float = 0.5) -> Model:
         for k in range(len(index)):
             at = np.flatnonzero(total[k])
             if len(at):
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[k][at])})
+                yield pa.RecordBatch.from_pydict(
+                    {"k": pa.array(np.full(len(at), k, np.int32)), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[k][at])}
+                )
 
     counts = rows.mapInArrow(fn, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
     matrix = np.full((buckets, len(languages)), alpha)

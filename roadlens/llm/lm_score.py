@@ -163,7 +163,9 @@ def sum_blocks(rows: DataFrame) -> DataFrame:
         def packed():
             at = np.flatnonzero(total)
             names = ("block", "places", "counts")
-            arrays = (pa.array([key], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([total[at].astype("<i8").tobytes()], pa.binary()))
+            arrays = (
+                pa.array([key], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([total[at].astype("<i8").tobytes()], pa.binary())
+            )
             return pa.RecordBatch.from_arrays(list(arrays), names=list(names))
 
         for batch in batches:
@@ -205,7 +207,13 @@ def count_contexts(texts: DataFrame, own_ids: np.ndarray, own_classes: np.ndarra
                 at = np.flatnonzero(cells[k : k + BLOCK])
                 if len(at):
                     places, counts = at.astype("<u2").tobytes(), cells[k : k + BLOCK][at].astype("<i8").tobytes()
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([first + k // BLOCK], pa.int32()), "places": pa.array([places], pa.binary()), "counts": pa.array([counts], pa.binary())})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "block": pa.array([first + k // BLOCK], pa.int32()),
+                            "places": pa.array([places], pa.binary()),
+                            "counts": pa.array([counts], pa.binary()),
+                        }
+                    )
 
     small_batches(texts.sparkSession)
     return sum_blocks(texts.mapInArrow(count, "block int, places binary, counts binary"))
@@ -235,7 +243,9 @@ def train_digits(blocks: DataFrame, shares: np.ndarray, slots: int) -> np.ndarra
                     weights = weights + DIGIT_STEP * slope / (seen * p + DIGIT_PENALTY)
                     p = q * np.exp(np.clip(weights, -20, 20))
                     p /= p.sum(axis=1, keepdims=True)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block - FIRST], pa.int32()), "ratio": pa.array([(p / q).astype("<f2").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {"block": pa.array([block - FIRST], pa.int32()), "ratio": pa.array([(p / q).astype("<f2").tobytes()], pa.binary())}
+                )
 
     out = np.ones((2, family), np.float16)
     for r in blocks.where(F.col("block") >= FIRST).mapInArrow(fit, "block int, ratio binary").toLocalIterator():  # at most 2 x 32 x SLOTS x DIGITS halves
@@ -255,7 +265,9 @@ def train_classes(blocks: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
                 n[np.frombuffer(places, "<u2")] = np.frombuffer(counts, "<i8")
                 n = n.reshape(-1, CLASSES)
                 at = np.flatnonzero(n.sum(axis=1))
-                yield pa.RecordBatch.from_pydict({"history": pa.array((at + block * BLOCK // CLASSES).astype(np.int32)), "n": pa.array([n[i].tobytes() for i in at], pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {"history": pa.array((at + block * BLOCK // CLASSES).astype(np.int32)), "n": pa.array([n[i].tobytes() for i in at], pa.binary())}
+                )
 
     table = blocks.where(F.col("block") < FIRST).mapInArrow(rows_of, "history int, n binary").repartition(6, "history")
     table = materialize(table, "histories")
@@ -369,20 +381,35 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
                 n_known = np.add.reduceat(known.astype(np.int64), starts)
                 n_rare = sizes - n_known
                 ends = np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "row": pa.array(np.arange(row, row + len(sizes))), "doc_id": batch.column(0).slice(first, len(sizes)), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(n_known),
-                    "counted": pa.array(counted), "history": pa.array(history), "rare": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[~known])),
-                })
+                columns = {
+                    "row": pa.array(np.arange(row, row + len(sizes))),
+                    "doc_id": batch.column(0).slice(first, len(sizes)),
+                    "n_tokens": pa.array(sizes.astype(np.int64)),
+                    "n_known": pa.array(n_known),
+                    "counted": pa.array(counted),
+                    "history": pa.array(history),
+                    "rare": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[~known])),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
                 row += len(sizes)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.coalesce("text", F.lit(""))).alias("text"))
-    scored = materialize(rows.mapInArrow(fn, "row long, doc_id long, n_tokens long, n_known long, counted double, history double, rare array<long>"), "scored")
+    scored = materialize(
+        rows.mapInArrow(fn, "row long, doc_id long, n_tokens long, n_known long, counted double, history double, rare array<long>"), "scored"
+    )
     rare = scored.select("row", F.explode("rare").alias("token")).join(words.where(F.col("n") < threshold), "token")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("rare_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("rare_counted"))
     out = scored.drop("rare").join(rare, "row", "left").na.fill(0, ["rare_known"]).na.fill(0.0, ["rare_counted"])
     n_known = F.col("n_known") + F.col("rare_known")
     counted = F.col("counted") + F.col("rare_counted") + (F.col("n_tokens") - n_known) * math.log10(0.5)
-    return out.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), (counted - F.col("n_tokens") * base_log).alias("base_score"), (counted + F.col("history")).alias("score"))
+    return out.select(
+        "doc_id",
+        "n_tokens",
+        n_known.alias("n_known"),
+        F.lit(int(n_train)).cast("long").alias("train_tokens"),
+        (counted - F.col("n_tokens") * base_log).alias("base_score"),
+        (counted + F.col("history")).alias("score"),
+    )
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

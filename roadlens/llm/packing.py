@@ -161,9 +161,13 @@ def _rank(pieces: DataFrame) -> DataFrame:
     slots = 4 * partitions(pieces.sparkSession)
     salted = pieces.withColumn("slot", F.pmod(F.xxhash64("doc_id", "row_hash", "start"), F.lit(slots)))
     before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    counts = salted.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("n")).select("length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counts = salted.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("n")).select(
+        "length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
+    )
     own = Window.partitionBy("length", "slot").orderBy("doc_id", "row_hash", "start")
-    return salted.withColumn("own", F.row_number().over(own) - 1).join(counts, ["length", "slot"]).withColumn("rank", F.col("base") + F.col("own")).drop("slot", "own", "base")
+    return salted.withColumn("own", F.row_number().over(own) - 1).join(counts, ["length", "slot"]).withColumn(
+        "rank", F.col("base") + F.col("own")
+    ).drop("slot", "own", "base")
 
 
 def cut_ids(docs: DataFrame, pieces: DataFrame, path: str, end: int = END, keep_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
@@ -243,7 +247,16 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
                     window_start, window_end, number = int(tails[k]), int(tails[k + 1]), last_window // window + k
                 q = min(stop, window_end)
                 uncut = q - p == stop - begin
-                values = (doc_id[i].as_py(), row_hash[i].as_py(), start[i].as_py() + p - begin, q - p, crc[i].as_py() if uncut else None, tokens[i].as_py(), first_laid + number, p - window_start)
+                values = (
+                    doc_id[i].as_py(),
+                    row_hash[i].as_py(),
+                    start[i].as_py() + p - begin,
+                    q - p,
+                    crc[i].as_py() if uncut else None,
+                    tokens[i].as_py(),
+                    first_laid + number,
+                    p - window_start,
+                )
                 for k, v in zip(names, values, strict=True):
                     extra[k].append(v)
                 p = q

@@ -49,8 +49,10 @@ def statistics(text: bytes | None) -> list[float]:
     lines = [x for x in text.split(b"\n") if x.strip()]
     pairs = len(set(zip(words, words[1:], strict=False)))
     return [
-        math.log1p(n), math.log1p(k), float(sizes.mean()), float(sizes.max()), float(kinds[0] + kinds[1] + kinds[7]), float(kinds[1]), float(kinds[2]), float(kinds[3]), float(kinds[4]), float(kinds[5]), float(kinds[6]), float(kinds[7]),
-        math.log1p(len(lines)), k / len(lines), len(seen) / k, max(seen.values()) / k, len(_ODD_END.findall(text)) / k, 1 - len(set(lines)) / len(lines), float((sizes <= 3).mean()), 1 - pairs / max(1, k - 1),
+        math.log1p(n), math.log1p(k), float(sizes.mean()), float(sizes.max()), float(kinds[0] + kinds[1] + kinds[7]), float(kinds[1]), float(kinds[2]),
+        float(kinds[3]), float(kinds[4]), float(kinds[5]), float(kinds[6]), float(kinds[7]),
+        math.log1p(len(lines)), k / len(lines), len(seen) / k, max(seen.values()) / k, len(_ODD_END.findall(text)) / k, 1 - len(set(lines)) / len(lines),
+        float((sizes <= 3).mean()), 1 - pairs / max(1, k - 1),
     ]
 
 
@@ -129,7 +131,9 @@ def fit_rules(labelled: DataFrame, sample: int = SAMPLE, trees: int = 12, depth:
     fired = rows.select("label", F.array(*[holds(r).cast("double") for r in rules]).alias("x"))
     from pyspark.ml.functions import array_to_vector
 
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(fired.select("label", array_to_vector("x").alias("features")))
+    lasso = LogisticRegression(
+        elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60
+    ).fit(fired.select("label", array_to_vector("x").alias("features")))
     weights = lasso.coefficients.toArray()
     kept = [i for i in np.argsort(-np.abs(weights)).tolist() if abs(weights[i]) > 1e-6]
     return RuleModel([rules[i] for i in kept], [float(weights[i]) for i in kept], float(lasso.intercept))

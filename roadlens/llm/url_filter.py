@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEX = 8
+#: Rules that are broadcast (about 200 bytes each); more of them are joined by a shuffle of SALTS copies.
+BROADCAST_RULES, SALTS = 100_000, 16
 #: (verdict, host, path): the rules of query op3.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
@@ -46,11 +48,25 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]), lambda p: p.isNotNull())
     distinct = urls.select("host", "path").distinct()
-    expressions = distinct.select("host", "path", F.explode(suffixes).alias("h"), prefixes.alias("ps")).select("host", "path", "h", F.explode("ps").alias("p"))
+    expressions = distinct.select(
+        "host", "path", F.explode(suffixes).alias("h"), prefixes.alias("ps")
+    ).select("host", "path", "h", F.explode("ps").alias("p"))
     expressions = expressions.withColumn("digest", _digest(F.col("h"), F.col("p"))).withColumn("short", F.substring("digest", 1, HEX))
-    keyed = rules.select(_digest(F.col("host"), F.col("path")).alias("rule_digest"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.length("host").alias("nh"), F.length("path").alias("np"))
+    keyed = rules.select(
+        _digest(F.col("host"), F.col("path")).alias("rule_digest"),
+        F.concat("host", "path").alias("rule"),
+        F.col("verdict").alias("rule_verdict"),
+        F.length("host").alias("nh"),
+        F.length("path").alias("np"),
+    )
     keyed = keyed.withColumn("short", F.substring("rule_digest", 1, HEX))
-    fits = expressions.join(keyed, "short").where("digest = rule_digest")
+    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        met = expressions.join(F.broadcast(keyed), "short")
+    else:  # an expression that a third of all hosts share is dealt over SALTS keys
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        dealt = expressions.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+        met = dealt.join(keyed.withColumn("salt", salts), ["short", "salt"])
+    fits = met.where("digest = rule_digest")
     best = fits.groupBy("host", "path").agg(F.max(F.struct("nh", "np", F.col("rule_verdict"), "rule")).alias("best"))
     out = urls.join(best, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
