@@ -24,7 +24,7 @@ from .common import join_hot, map_arrow, materialize
 
 MIN_WORDS, LONG_WORDS = 5, 40
 #: Repeated units side by side are removed if they have so many words together.
-LEAST_RUN = 15
+LEAST_RUN = 10
 _LINE = re.compile(r"[^\n]+")
 #: Bounds inside a line: white space after a sentence end, a sentence end of scripts without spaces, or (if a lower-case letter stands before it) before a capitalised word.
 _BOUND = re.compile(r"[.!?…。！？]\s+|[。！？]|\s+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")

@@ -171,7 +171,7 @@ def test_substring_dedup_equals_brute_force(spark, folder, documents):
                     runs[-1].append((a, b))
                 else:
                     runs.append([(a, b)])
-        spans = [span for run in runs if sum(len(text[a:b].split()) for a, b in run) >= 15 for span in run]
+        spans = [span for run in runs if sum(len(text[a:b].split()) for a, b in run) >= 10 for span in run]
         want[i] = (S.remove_spans(text, spans) if spans else text, spans)
     got = {r.doc_id: (r.text or "", [(s.start, s.end) for s in r.removed_spans]) for r in queries.QUERIES["op6_substring_dedup"](spark, folder).collect()}
     assert got == want and any(spans for _, spans in want.values())
