@@ -95,7 +95,7 @@ def test_near_dedup_of_chains_and_groups(spark, monkeypatch):
         texts[900 + i] = " ".join(chain)
     want = brute_components(texts, 3, 85, 100)
     frame = docs_of(spark, list(texts.items()))
-    for small, depth in ((N.SMALL, N.DEPTH), (6, N.DEPTH), (6, 1)):  # the last: nodes that are still large meet in blocks
+    for small, depth in ((6, N.DEPTH), (6, 1)):  # the last: nodes that are still large meet in blocks
         monkeypatch.setattr(N, "SMALL", small)
         monkeypatch.setattr(N, "DEPTH", depth)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(frame, 3, 85, 100).collect()}
