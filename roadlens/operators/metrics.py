@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadlens.sources.files import new_folder
 
 #: Ranges that ordered values are cut into; each is sorted by one task.
 SLOTS = 256
+#: ... and fewer where keys part the rows already.
+KEYED_SLOTS = 16
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, written once to the shared folder and read back: quantiles, sums of slots and running sums all go over them."""
+    path = new_folder(rows.sparkSession, "ordered")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def with_slots(rows: DataFrame, order: str, slots: int = SLOTS) -> DataFrame:
     """rows with _slot: the range of `order` that a row falls into, between approximate quantiles; equal values share a slot.
 
-    The quantiles are one row, found by a mergeable sketch, so no task sorts all values.
+    The quantiles come from a mergeable sketch, so no task sorts all values; at most `slots` of them go to the driver, and a row finds its
+    slot by halving inside generated code.
     """
-    bounds = rows.agg(F.percentile_approx(order, [i / slots for i in range(1, slots)], 10_000).alias("_bounds"))
-    return rows.join(F.broadcast(bounds)).withColumn("_slot", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")  # one row
+    found = rows.agg(F.percentile_approx(order, [i / slots for i in range(1, slots)], 10_000)).first()[0] or []
+    bounds = sorted(set(found))
+
+    def slot(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(order) > F.lit(bounds[middle]), slot(middle + 1, high)).otherwise(slot(low, middle))
+
+    return rows.withColumn("_slot", slot(0, len(bounds)))
 
 
-def preceding(values: DataFrame, order: str, columns: list[str], keys: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
+def preceding(values: DataFrame, order: str, columns: list[str], keys: list[str] | None = None, slots: int | None = None) -> DataFrame:
     """values with before_<column>: sums over all rows of equal keys that come before in order, 0 without any.
 
     Running sums go over one slot each; the sums of earlier slots are added from a table of at most `slots` rows for each key.
     """
     keys = keys or []
-    slotted = with_slots(values, order, slots)
+    slotted = with_slots(stored(values), order, slots or (KEYED_SLOTS if keys else SLOTS))
     inside = Window.partitionBy(*keys, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = slotted.groupBy(*keys, "_slot").agg(*[F.sum(c).alias(c) for c in columns])
@@ -50,7 +69,7 @@ def auc(scored: DataFrame, score: str, label: str, keys: list[str] | None = None
 
 def percent_ranks(rows: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
     """rows with their percent rank by value among rows of equal keys, from counts by value (0 for a single row)."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     ranks = preceding(counts, value, ["_n"], keys).join(totals, keys)
     rank = F.coalesce(F.try_divide(F.col("before__n").cast("double"), F.col("_total") - 1), F.lit(0.0))
@@ -62,7 +81,7 @@ def calibration_check(scored: DataFrame, raw: str, calibrated: str, buckets: int
 
     The first row of each range is compared with the last one of the ranges before it, so falls between ranges count too.
     """
-    rows = with_slots(scored.select(F.col(raw).alias("_raw"), F.col(calibrated).alias("_cal")), "_raw")
+    rows = with_slots(stored(scored.select(F.col(raw).alias("_raw"), F.col(calibrated).alias("_cal"))), "_raw")
     last = rows.groupBy("_slot").agg(F.max(F.struct("_raw", "_cal"))["_cal"].alias("_last"))
     last = last.withColumn("_last", F.lag("_last").over(Window.orderBy("_slot")))  # at most SLOTS rows
     own = Window.partitionBy("_slot").orderBy("_raw", "_cal")
