@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 from roadlens.sources.files import new_folder
 
-#: Ranges that ordered values are cut into; each is sorted by one task.
-SLOTS = 256
-#: ... and fewer where keys part the rows already.
-KEYED_SLOTS = 16
+#: Up to so many values are sorted by one task (or one for each key), without ranges.
+ONE_TASK = 1_000_000
+#: Ranges that more ordered values are cut into; each is sorted by one task. Fewer where keys part the rows already.
+SLOTS, KEYED_SLOTS = 256, 16
 
 
 def stored(rows: DataFrame) -> DataFrame:
@@ -42,10 +42,15 @@ def with_slots(rows: DataFrame, order: str, slots: int = SLOTS) -> DataFrame:
 def preceding(values: DataFrame, order: str, columns: list[str], keys: list[str] | None = None, slots: int | None = None) -> DataFrame:
     """values with before_<column>: sums over all rows of equal keys that come before in order, 0 without any.
 
-    Running sums go over one slot each; the sums of earlier slots are added from a table of at most `slots` rows for each key.
+    Up to ONE_TASK values are summed in one window. Beyond that running sums go over one slot each, and the sums of earlier slots are added
+    from a table of at most `slots` rows for each key.
     """
     keys = keys or []
-    slotted = with_slots(stored(values), order, slots or (KEYED_SLOTS if keys else SLOTS))
+    held = stored(values)
+    if slots is None and held.count() <= ONE_TASK:  # few enough for one task to sort
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return held.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns})
+    slotted = with_slots(held, order, slots or (KEYED_SLOTS if keys else SLOTS))
     inside = Window.partitionBy(*keys, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = slotted.groupBy(*keys, "_slot").agg(*[F.sum(c).alias(c) for c in columns])
