@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 from .decontaminate import OP1_SQL
+from .importance import OP13_SQL
 from .url_filter import OP3_SQL
 from .warc import OP9_SQL
 
@@ -20,6 +21,7 @@ _WHERE = {
     "op8_fingerprints": ("fingerprint", "op8_fingerprints"),
     "op9_warc": ("warc", "op9_warc"),
     "op10_lm_score": ("lm_score", "op10_lm_score"),
+    "op13_importance_resampling": ("importance", "op13_importance_resampling"),
 }
 
 
@@ -28,7 +30,7 @@ def _query(module: str, function: str):
 
 
 QUERIES = {name: _query(*where) for name, where in _WHERE.items()}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_warc": OP9_SQL, "op13_importance_resampling": OP13_SQL}
 
 
 def _pipeline(spark, sf_dir: str):
