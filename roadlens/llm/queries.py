@@ -6,6 +6,7 @@ import importlib
 
 from .decontaminate import OP1_SQL
 from .importance import OP13_SQL
+from .spelling import OP12_SQL
 from .url_filter import OP3_SQL
 from .warc import OP9_SQL
 
@@ -21,6 +22,7 @@ _WHERE = {
     "op8_fingerprints": ("fingerprint", "op8_fingerprints"),
     "op9_warc": ("warc", "op9_warc"),
     "op10_lm_score": ("lm_score", "op10_lm_score"),
+    "op12_spelling_variants": ("spelling", "op12_spelling_variants"),
     "op13_importance_resampling": ("importance", "op13_importance_resampling"),
 }
 
@@ -30,7 +32,8 @@ def _query(module: str, function: str):
 
 
 QUERIES = {name: _query(*where) for name, where in _WHERE.items()}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_warc": OP9_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_url_filter": OP3_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL |= {"op12_spelling_variants": OP12_SQL, "op13_importance_resampling": OP13_SQL}
 
 
 def _pipeline(spark, sf_dir: str):
