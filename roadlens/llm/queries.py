@@ -22,6 +22,7 @@ _WHERE = {
     "op8_fingerprints": ("fingerprint", "op8_fingerprints"),
     "op9_warc": ("warc", "op9_warc"),
     "op10_lm_score": ("lm_score", "op10_lm_score"),
+    "op11_toxicity": ("toxicity", "op11_toxicity"),
     "op12_spelling_variants": ("spelling", "op12_spelling_variants"),
     "op13_importance_resampling": ("importance", "op13_importance_resampling"),
 }
