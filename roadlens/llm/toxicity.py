@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
-Every word scores its log-odds of standing in toxic against clean labelled documents. Counts are of documents, and a Dirichlet prior with
-PRIOR documents' weight carries the shares of a word's stem (its first letters, from short to long) down to the word, so unseen
-inflections score as their stem does and rare words score near zero. Less DRIFT a word, scores fall on clean text, and one linear scan
+Every word scores its log-odds of standing in toxic against clean labelled documents. Occurrences are counted (TOLD of a word in one document
+at most), and a Dirichlet prior of PRIOR words' weight carries the shares of a word's stem (its first letters, from short to long) down
+to the word, so unseen inflections score as their stem does and rare words score near zero. Less DRIFT a word, scores fall on clean text, and one linear scan
 over a document's words finds all of its maximal scoring segments. For segments by chance extreme-value theory holds: with lambda
 from the score distribution of clean words and K fitted on clean documents, K n exp(-lambda s) segments of score s or more are expected
 among n words. The best segments together give the evidence against a document, and a logistic curve turns it into a probability.
@@ -31,14 +31,16 @@ from .language_id import fold
 
 #: Most labelled documents to learn from, and most stems and words in the lexicon.
 SAMPLE, LEXICON = 60_000, 400_000
-#: Lengths of stems in code points, and the weight of the prior in documents.
-STEMS, PRIOR = (4, 5, 6, 7, 8), 4.0
+#: Lengths of stems in code points, the weight of the prior in words, and how often a document counts for one word.
+STEMS, PRIOR, TOLD = (4, 5, 6, 7, 8), 6.0, 10
 #: A stem or word is listed if so many toxic or so many clean documents have it.
 LEAST_TOXIC, LEAST_CLEAN = 2, 10
 #: Log-odds are held between these bounds, less DRIFT each.
 LOWEST, HIGHEST, DRIFT = -1.5, 8.0, 0.7
-#: Best segments that count together; expected chance segments up to which a passage is reported; evidence that is told apart.
-SEGMENTS, EXPECTED, MOST_EVIDENCE = 8, 0.05, 40.0
+#: Best segments that count together, and expected chance segments up to which a passage is reported.
+SEGMENTS, EXPECTED = 8, 0.05
+#: Evidence x counts as SATURATION (1 - exp(-x / SATURATION)): some labels are wrong, so a smaller chance says little more.
+SATURATION = 12.0
 #: Signatures by which near copies of labelled documents are left out.
 SIGNATURES = 4
 _BIN = 0.01
@@ -46,14 +48,30 @@ _MARKS = odd_multipliers(SIGNATURES + 3, 17)
 
 
 def path_of(word: bytes) -> list[str]:
-    """The stems of a word from short to long, then the word itself (marked by a dot, which no word has)."""
+    """The root, the stems of a word from short to long, then the word itself (marked by a dot, which no word has)."""
     letters = word.decode("utf-8", "replace")
-    return [*(letters[:k] for k in STEMS if k <= len(letters)), letters + "."]
+    return ["", *(letters[:k] for k in STEMS if k <= len(letters)), letters + "."]
+
+
+def node_counts(words: list[bytes], paths: dict[bytes, list[str]]) -> dict[str, int]:
+    """How often one document counts for each node of its words; paths is a cache."""
+    seen: dict[bytes, int] = {}
+    for word in words:
+        seen[word] = seen.get(word, 0) + 1
+    out: dict[str, int] = {}
+    for word, n in seen.items():
+        path = paths.get(word)
+        if path is None:
+            path = paths[word] = path_of(word)
+        told = n if n < TOLD else TOLD
+        for node in path:
+            out[node] = out.get(node, 0) + told
+    return out
 
 
 @dataclass
 class Model:
-    """Listed stems and words with their numbers of toxic and clean documents, and the calibration."""
+    """Listed stems and words with their occurrences in toxic and clean documents, the numbers of these, and the calibration."""
 
     counts: dict[str, tuple[int, int]]
     toxic: int
@@ -64,17 +82,18 @@ class Model:
     intercept: float = 0.0
     scores: dict[bytes, float] = field(default_factory=dict)
 
-    def score(self, word: bytes, label: int | None = None) -> float:
-        """Score of a word in a new document, or in one of the learned documents with this label, whose own count is then taken out."""
-        toxic, clean = self.toxic - (label == 1), self.clean - (label == 0)
-        base = (toxic + 1) / (toxic + clean + 2)
-        share = base
+    def score(self, word: bytes, label: int | None = None, own: dict[str, int] | None = None) -> float:
+        """Score of a word in a new document, or in a learned one with this label, whose own counts are then taken out."""
+        share, base = 0.5, None
         for node in path_of(word):
             found = self.counts.get(node)
             if found is None:  # longer stems are rarer still
                 break
-            a, b = found[0] - (label == 1), found[1] - (label == 0)
-            share = (max(a, 0) + PRIOR * share) / (max(a, 0) + max(b, 0) + PRIOR)
+            mine = own[node] if own else 0
+            a, b = found[0] - (mine if label == 1 else 0), found[1] - (mine if label == 0 else 0)
+            share = (a + PRIOR * share) / (a + b + PRIOR) if base is not None else (a + 1) / (a + b + 2)
+            base = share if base is None else base
+        base = share if base is None else base
         odds = math.log(share / (1 - share)) - math.log(base / (1 - base))
         return min(max(odds, LOWEST), HIGHEST) - DRIFT
 
@@ -83,8 +102,9 @@ class Model:
 
     def scores_of(self, words: list[bytes], label: int | None = None) -> np.ndarray:
         if label is not None:
-            own = {w: self.score(w, label) for w in set(words)}
-            return np.fromiter(map(own.__getitem__, words), np.float64, len(words))
+            own = node_counts(words, {})
+            held = {w: self.score(w, label, own) for w in set(words)}
+            return np.fromiter(map(held.__getitem__, words), np.float64, len(words))
         known = self.scores
         if len(known) > 250_000:
             known.clear()
@@ -93,7 +113,7 @@ class Model:
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def evidence(self, n_words: int, best: list[float]) -> float:
-        """Minus the log of the chance that clean text of n_words has segments as good as these (falling scores) together."""
+        """Minus the log of the chance that clean text of n_words has segments as good as these (falling scores) together, saturated."""
         out, total = 0.0, 0.0
         space = math.log(max(self.rate * n_words, 1e-300))
         for r, score in enumerate(best[:SEGMENTS], 1):
@@ -105,7 +125,7 @@ class Model:
             else:
                 break
             out = max(out, found)
-        return min(out, MOST_EVIDENCE)
+        return -SATURATION * math.expm1(-out / SATURATION)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-(self.intercept + self.slope * evidence)))
@@ -165,40 +185,41 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def count_nodes(texts: DataFrame) -> Model:
-    """The uncalibrated model: how many toxic and clean documents have each stem and word."""
+    """The uncalibrated model: how often each stem and word occurs in toxic and in clean documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        docs: tuple[dict[str, int], dict[str, int]] = ({}, {})
         paths: dict[bytes, list[str]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for label, counts in enumerate(held):
-                none = np.zeros(len(counts), np.int64)
-                own = np.fromiter(counts.values(), np.int64, len(counts))
-                a, b = (own, none) if label else (none, own)
-                yield pa.RecordBatch.from_pydict({"node": pa.array(list(counts), pa.string()), "a": pa.array(a), "b": pa.array(b)})
+            for label in (0, 1):
+                counts, found = held[label], docs[label]
+                columns = {"node": pa.array(list(counts), pa.string()), "label": pa.array([label] * len(counts), pa.int32())}
+                columns |= {"n": pa.array(list(counts.values()), pa.int64()), "docs": pa.array([found[x] for x in counts], pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns)
                 counts.clear()
+                found.clear()
             paths.clear()
 
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes: set[str] = set()
-                for word in set(words_of(text)):
-                    if word not in paths:
-                        paths[word] = path_of(word)
-                    nodes.update(paths[word])
-                counts = held[label]
-                for node in nodes:
-                    counts[node] = counts.get(node, 0) + 1
-                if len(held[0]) + len(held[1]) > 500_000 or len(paths) > 250_000:
+                counts, found = held[label], docs[label]
+                for node, n in node_counts(words_of(text), paths).items():
+                    counts[node] = counts.get(node, 0) + n
+                    found[node] = found.get(node, 0) + 1
+                if len(held[0]) + len(held[1]) > 400_000 or len(paths) > 200_000:
                     yield from flush()
         yield from flush()
 
     small_batches(texts.sparkSession)
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    nodes = texts.select("label", "text").mapInArrow(run, "node string, a long, b long").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = texts.select("label", "text").mapInArrow(run, "node string, label int, n long, docs long")
+    of = lambda column, label: F.sum(F.when(F.col("label") == label, F.col(column)).otherwise(0))
+    nodes = counted.groupBy("node").agg(of("n", 1).alias("a"), of("n", 0).alias("b"), of("docs", 1).alias("da"), of("docs", 0).alias("db"))
     # stems are listed wherever their longer forms are, as they are at least as common
-    listed = nodes.where((F.col("a") >= LEAST_TOXIC) | (F.col("b") >= LEAST_CLEAN)).orderBy(F.desc("a"), F.desc("b"), F.length("node"), "node").limit(LEXICON)
+    listed = nodes.where((F.col("da") >= LEAST_TOXIC) | (F.col("db") >= LEAST_CLEAN))
+    listed = listed.orderBy(F.desc("da"), F.desc("db"), F.length("node"), "node").limit(LEXICON)
     return Model({r.node: (r.a, r.b) for r in listed.collect()}, sizes.get(1, 0), sizes.get(0, 0))
 
 
@@ -275,11 +296,11 @@ def fit(texts: DataFrame) -> Model:
 
     def weigh(batch: pa.RecordBatch) -> dict[str, object]:
         found = [shared.value.evidence(n, best or []) for n, best in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        return {"label": batch.column(0), "step": pa.array([round(x * 10) for x in found], pa.int32())}
+        return {"label": batch.column(0), "step": pa.array([round(x * 20) for x in found], pa.int32())}
 
     steps = map_arrow(scanned.where("label is not null").select("label", "n_words", "best"), weigh, "label int, step int")
     counted = steps.groupBy("step").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).orderBy("step").collect()  # few steps
-    columns = np.array([[r.step / 10, r.toxic, r.clean] for r in counted], float).T
+    columns = np.array([[r.step / 20, r.toxic, r.clean] for r in counted], float).T
     model.slope, model.intercept = logistic(*columns)
     return model
 
