@@ -94,6 +94,7 @@ class Model:
             share = (a + PRIOR * share) / (a + b + PRIOR) if base is not None else (a + 1) / (a + b + 2)
             base = share if base is None else base
         base = share if base is None else base
+        share = min(max(share, 1e-9), 1 - 1e-9)  # beyond the bounds of the score
         odds = math.log(share / (1 - share)) - math.log(base / (1 - base))
         return min(max(odds, LOWEST), HIGHEST) - DRIFT
 

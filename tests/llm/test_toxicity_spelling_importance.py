@@ -284,6 +284,13 @@ def test_toxicity_odd_tables(spark, tmp_path):
         assert len({r.score for r in got if r.doc_id == 1}) <= 1
 
 
+def test_scores_of_very_common_words_are_bounded():
+    path = T.path_of(b"insulting")
+    sure = T.Model({x: (10**9, 0) for x in path} | {"": (10**9, 10**9)}, 10, 10)
+    never = T.Model({x: (0, 10**9) for x in path} | {"": (10**9, 10**9)}, 10, 10)
+    assert sure.score(b"insulting") == T.HIGHEST - T.DRIFT and never.score(b"insulting") == T.LOWEST - T.DRIFT
+
+
 def test_near_copies_are_learned_once(spark):
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in rng.integers(0, 10_000, 200)]
