@@ -167,5 +167,43 @@ def range_of(spark: SparkSession, key: str, bounds: np.ndarray) -> Column:
     return place(F.col(key).cast("long"))
 
 
+#: Bits of a map of 64-bit keys (16 MB); a map that is fuller lets more keys pass in vain, and loses none.
+MAP_BITS = 27
+
+
+def key_map(keys: DataFrame) -> np.ndarray:
+    """A bitmap with a bit for the upper MAP_BITS bits of each key (a column `key` of evenly spread longs); tasks make its 8 KB pieces."""
+    place = F.shiftrightunsigned("key", 64 - MAP_BITS)
+    bits = keys.select(F.shiftright(place, 16).cast("int").alias("piece"), place.bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int").alias("bit"))
+
+    def piece(table: pa.Table) -> pa.Table:
+        found = np.zeros(1 << 16, bool)
+        found[table.column("bit").to_numpy()] = True
+        packed = np.packbits(found, bitorder="little").tobytes()
+        return pa.table({"piece": table.column("piece")[:1].cast(pa.int32()), "bits": pa.array([packed], pa.binary())})
+
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for row in bits.distinct().groupBy("piece").applyInArrow(piece, "piece int, bits binary").collect():  # 16 MB at most
+        out[row.piece << 13 : (row.piece + 1) << 13] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def in_map(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (uint64) may be among those of the map."""
+    place = (keys >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def may_be_in(spark: SparkSession, bitmap: np.ndarray, key: Column) -> Column:
+    """in_map as a column over longs without nulls."""
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def found(keys: pa.Array) -> pa.Array:
+        return pa.array(in_map(shared.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return found(key)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, mix64, small_batches
+from .common import in_map, key_map, map_arrow, materialize, mix64, small_batches
 from .importance import CRC_TABLE, crc_sql
 
 SYMBOLS = 6
 #: A reduced form of more words is not matched as one group.
 CROWD = 64
-#: Bits of the map of reduced forms (16 MB); more forms let more needless keys pass, and lose nothing.
-BITS = 27
 LEAST_LETTERS, LEAST_COUNT, RATIO, TYPO = 6, 5, 5, 199
 #: Distinct words that a task holds before it passes their counts on, and keys that it makes at once.
 HELD, KEYS = 400_000, 1 << 21
@@ -149,22 +147,6 @@ def with_keys(words: DataFrame, full: bool) -> DataFrame:
     return map_arrow(words.select("word", "n"), fn, "word string, n long, key long")
 
 
-def form_map(keyed: DataFrame) -> np.ndarray:
-    """A bitmap with a bit for the upper BITS bits of each key; its 8 KB pieces are made by tasks."""
-    place = F.shiftrightunsigned("key", 64 - BITS)
-    placed = keyed.select(place.alias("place")).select(F.shiftright("place", 16).cast("int").alias("piece"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("bit"))
-
-    def piece(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << 16, bool)
-        bits[table.column("bit").to_numpy()] = True
-        return pa.table({"piece": table.column("piece")[:1].cast(pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for row in placed.distinct().groupBy("piece").applyInArrow(piece, "piece int, bits binary").collect():  # 2^BITS bits at most
-        out[row.piece << 13 : (row.piece + 1) << 13] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
 def probes(words: DataFrame, bitmap: np.ndarray, full: bool) -> DataFrame:
     """word, key: the keys of each word's neighbourhood that the map has."""
     shared = words.sparkSession.sparkContext.broadcast(bitmap)
@@ -172,8 +154,7 @@ def probes(words: DataFrame, bitmap: np.ndarray, full: bool) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
         listed, rows, keys = batch.column(0).to_pylist(), [], []
         for at, key in neighbour_keys(listed, full):
-            place = (key >> np.uint64(64 - BITS)).astype(np.int64)
-            have = (shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            have = in_map(shared.value, key)
             rows.append(at[have])
             keys.append(key[have])
         found = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(keys)]), axis=1)
@@ -186,7 +167,7 @@ def near_words(words: DataFrame) -> DataFrame:
     """word, near, near_n for each ordered pair of words (word, n; distinct words) that are one edit apart."""
     keyed = materialize(with_keys(words, False), "reduced")
     crowded = keyed.groupBy("key").count().where(F.col("count") > CROWD).select("key")
-    found = materialize(probes(keyed, form_map(keyed), False), "neighbourhoods")
+    found = materialize(probes(keyed, key_map(keyed), False), "neighbourhoods")
     near = lambda asked, have: asked.join(have.select("key", F.col("word").alias("near"), F.col("n").alias("near_n")), "key").where(
         F.levenshtein("word", "near", 1) == 1
     ).select("word", "near", "near_n")
@@ -196,7 +177,7 @@ def near_words(words: DataFrame) -> DataFrame:
     asked = found.join(crowded, "key", "left_semi").select("word").distinct()
     have = materialize(with_keys(keyed.join(crowded, "key", "left_semi"), True), "unreduced")
     plain = near(found.join(crowded, "key", "left_anti"), keyed)
-    return plain.unionByName(near(probes(asked, form_map(have), True), have)).distinct()
+    return plain.unionByName(near(probes(asked, key_map(have), True), have)).distinct()
 
 
 def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:

@@ -3,12 +3,12 @@
 Lines are split into units after sentence ends and before a capital that follows an uncapitalised word. Parts of fewer than MIN_WORDS
 words are joined: their unit ends where it has MIN_WORDS words and the last part's hash selects it, or where a longer part ends it (what is
 left of a line is a unit of its own if it has MIN_WORDS words, and else belongs to the unit before it). A unit of more than LONG_WORDS
-words is split after words that their hash selects. So every line of MIN_WORDS words or more lies in units as a whole. Characters of
-scripts without spaces between words count as words.
+words is split after words that their hash selects. A line of fewer than MIN_WORDS words is a unit of its own, so every line of any length
+lies in units as a whole. Characters of scripts without spaces between words count as words.
 All of these bounds depend on nearby text alone, so a passage has the same inner units wherever it stands, be it a line of its own or
 inside one. Units are normalised (case, white space) and hashed to 128 bits; digests are grouped over the corpus; the occurrence that
-comes first by (doc_id, offset) stays, and runs of later ones that stand side by side are removed if they have LEAST_RUN words or more
-(stock sentences stay; least_run = 1 removes every repeated unit). Offsets refer to the original text.
+comes first by (doc_id, hash of the text, offset) stays, all later ones are repeats. Offsets refer to the original text. Every repeat is
+reported; runs of repeats that stand side by side are removed if they have least_run words or more (1 removes every repeat).
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, map_arrow, materialize
+from .common import join_hot, key_map, map_arrow, materialize, may_be_in
 
 MIN_WORDS, LONG_WORDS = 5, 40
-#: Repeated units side by side are removed if they have so many words together.
+#: Repeated units side by side are removed from running text if they have so many words together.
 LEAST_RUN = 10
+#: Repeats that are broadcast (about 40 bytes each); with more of them, the texts that have some are shuffled to them.
+BROADCAST_SPANS = 400_000
 _LINE = re.compile(r"[^\n]+")
 #: Bounds inside a line: white space after a sentence end, a sentence end of scripts without spaces, or (if a lower-case letter stands before it) before a capitalised word.
 _BOUND = re.compile(r"[.!?…。！？]\s+|[。！？]|\s+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
@@ -98,56 +100,80 @@ def units(text: str, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -
             add(begin, end, n)
         elif begin is not None and len(out) > first:  # a short rest of the line ends its last unit
             out[-1] = (out[-1][0], end)
+        elif begin is not None and text[a:end].strip():  # a short line
+            out.append((a, end))
     return out
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, d1, d2 (the digest's halves) of every unit of docs (doc_id, text)."""
+    """doc_id, text_hash, start, end, place, words, d1, d2 (the digest's halves) of every unit of docs (doc_id, text).
+
+    place counts a document's units; it skips a number where more than white space stands between two of them.
+    """
 
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
         from xxhash import xxh3_128_digest
 
-        ids, starts, ends, digests = [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        at, starts, ends, places, sizes, digests = [], [], [], [], [], []
+        for row, text in enumerate(batch.column(2).to_pylist()):
+            place, last, spaced = 0, 0, is_spaced(text or "")
             for a, b in units(text or "", min_words):
                 normal = " ".join(text[a:b].lower().split())
                 if normal:
-                    ids.append(doc_id)
+                    place += 1 if not text[last:a].strip() else 2
+                    last = b
+                    at.append(row)
                     starts.append(a)
                     ends.append(b)
+                    places.append(place)
+                    sizes.append(count_words(normal, 0, len(normal), spaced))
                     digests.append(xxh3_128_digest(normal))
         halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        rows = pa.array(at, pa.int32())
         return {
-            "doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32()),
-            "d1": pa.array(halves[:, 0]), "d2": pa.array(halves[:, 1]),
+            "doc_id": batch.column(0).take(rows), "text_hash": batch.column(1).take(rows), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32()),
+            "place": pa.array(places, pa.int32()), "words": pa.array(sizes, pa.int32()), "d1": pa.array(halves[:, 0]), "d2": pa.array(halves[:, 1]),
         }
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(rows, fn, "doc_id long, start int, end int, d1 long, d2 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_arrow(rows, fn, "doc_id long, text_hash long, start int, end int, place int, words int, d1 long, d2 long")
+
 
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
+    """doc_id, text_hash, repeated, removed (arrays of start, end; sorted) of each text with units that repeat earlier ones.
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, spans (array of start, end; sorted): the units of each document that repeat earlier ones."""
+    removed are those in runs of least_run words or more; it may be empty.
+    """
     table = materialize(unit_table(docs.where("doc_id is not null"), min_words), "units")
-    rank = F.struct("doc_id", "start")
+    rank = F.struct("doc_id", "text_hash", "start")
     grouped = table.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n"))
     repeated = grouped.where("first < last").select("d1", "d2", "first", "n")
     later = join_hot(table, repeated, ["d1", "d2"], "n", table.count(), "doc_id").where(rank > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    found = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "place", "words"))).alias("repeated"))
+
+    def fn(batch: pa.RecordBatch) -> dict[str, object]:
+        listed = [[(x["start"], x["end"], x["place"], x["words"]) for x in spans] for spans in batch.column(2).to_pylist()]
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        pairs = lambda spans: [{"start": s[0], "end": s[1]} for s in spans]
+        return {
+            "doc_id": batch.column(0), "text_hash": batch.column(1), "repeated": pa.array([pairs(x) for x in listed], kind),
+            "removed": pa.array([pairs(long_runs(x, least_run)) for x in listed], kind),
+        }
 
+    spans = "array<struct<start:int,end:int>>"
+    return map_arrow(found, fn, f"doc_id long, text_hash long, repeated {spans}, removed {spans}")
 
-def long_runs(text: str, spans: list[tuple[int, int]], least_run: int) -> list[tuple[int, int]]:
-    """The spans (sorted) of runs, parted by white space alone, that have least_run words or more together."""
-    out: list[tuple[int, int]] = []
-    run: list[tuple[int, int]] = []
-    n, spaced = 0, is_spaced(text)
-    for a, b in spans:
-        if run and text[run[-1][1] : a].strip():
-            out += run if n >= least_run else []
-            run, n = [], 0
-        run.append((a, b))
-        n += count_words(text, a, b, spaced)
-    return out + run if n >= least_run else out
+
+def long_runs(spans: list[tuple[int, int, int, int]], least_run: int) -> list[tuple[int, int, int, int]]:
+    """The spans (start, end, place, words; sorted) of runs of neighbouring places that have least_run words or more together."""
+    out: list[tuple[int, int, int, int]] = []
+    run: list[tuple[int, int, int, int]] = []
+    for span in spans:
+        if run and span[2] != run[-1][2] + 1:
+            out += run if sum(s[3] for s in run) >= least_run else []
+            run = []
+        run.append(span)
+    return out + run if sum(s[3] for s in run) >= least_run else out
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -163,38 +189,56 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
-    """docs with n_units_removed and removed_spans, and text without the repeated units; n_chars, if present, is renewed.
+def _meet(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (doc_id, text_hash, ...) with the columns of found, or nulls.
 
-    A null text and texts without repeats stay as they are; a text that repeats earlier units alone becomes empty. Rows of equal
-    doc_id are one document: they keep the same units. Rows without doc_id are kept as they are and don't count as occurrences.
-    With min_words = 1 lines of any length are units, with least_run = 1 each repeated unit goes.
+    Up to BROADCAST_SPANS repeats are broadcast. With more, a map of fixed size says which rows may have some, and only those are shuffled.
+    """
+    spark, keys = rows.sparkSession, ["doc_id", "text_hash"]
+    if (found.agg(F.sum(F.size("repeated"))).first()[0] or 0) <= BROADCAST_SPANS:
+        return rows.join(F.broadcast(found), keys, "left")
+    key = F.xxhash64(*keys)
+    marked = rows.withColumn("maybe", may_be_in(spark, key_map(found.select(key.alias("key"))), key))
+    others = marked.where("not maybe").drop("maybe").withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in ("repeated", "removed")})
+    return marked.where("maybe").drop("maybe").join(found, keys, "left").unionByName(others)
+
+
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, least_run: int = LEAST_RUN, report: bool = True) -> DataFrame:
+    """docs with n_units_removed and removed_spans, and text without the removed repeats; n_chars, if present, is renewed.
+
+    With report, repeated_spans has all repeats, removed or not, and text_without_repeats is the text without any of them.
+    A null text and texts without repeats stay as they are; a text of repeats alone becomes empty. Texts are told apart by (doc_id, hash
+    of the text): rows equal in both are one document and keep the same units, rows of one id with different texts are different
+    documents, the one with the smaller hash first. Rows without doc_id are kept as they are and don't count as occurrences.
     """
-    names = [c for c in docs.columns if c not in ("n_units_removed", "removed_spans")]
+    made = ("n_units_removed", "removed_spans", "repeated_spans", "text_without_repeats")
+    names = [c for c in docs.columns if c not in made]
     rest = [c for c in names if c not in ("doc_id", "text")]
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*rest) if rest else F.struct(F.lit(0))).alias("rest"))
-    joined = packed.join(repeated_spans(packed.select("doc_id", "text"), min_words), "doc_id", "left")
+    found = materialize(repeats(packed.select("doc_id", "text"), min_words, least_run), "repeats")
+    joined = _meet(packed.withColumn("text_hash", F.xxhash64("text")), found if report else found.where(F.size("removed") > 0))
 
-    @F.pandas_udf("text string, spans array<struct<start:int,end:int>>")
-    def cleaned(texts, spans):
+    @F.pandas_udf("string")
+    def without(texts, spans):
         import pandas as pd
 
-        out: list[tuple] = []
-        for text, found in zip(texts, spans, strict=True):
-            kept = [] if text is None or found is None else long_runs(text, [(x["start"], x["end"]) for x in found], least_run)
-            out.append((remove_spans(text, kept) if kept else text, [{"start": a, "end": b} for a, b in kept]))
-        return pd.DataFrame(out, columns=["text", "spans"], dtype=object)
+        return pd.Series([text if s is None else remove_spans(text, [(x["start"], x["end"]) for x in s]) for text, s in zip(texts, spans, strict=True)], dtype=object)
 
-    # the text of a row without repeats does not go to Python
-    joined = joined.withColumn("found", cleaned(F.when(F.col("spans").isNotNull(), F.col("text")), "spans"))
-    cut = F.size("found.spans") > 0
-    columns = {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("found.text")).otherwise(F.col("text"))} | {c: F.col(f"rest.`{c}`") for c in rest}
+    # a text goes to Python only where something is cut
+    cut, again = F.coalesce(F.size("removed") > 0, F.lit(False)), F.coalesce(F.size("repeated") > 0, F.lit(False))
+    joined = joined.withColumn("short", without(F.when(cut, F.col("text")), F.when(cut, F.col("removed"))))
+    columns = {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("short")).otherwise(F.col("text"))} | {c: F.col(f"rest.`{c}`") for c in rest}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(cut, F.length("found.text").cast("long")).otherwise(F.col("rest.n_chars"))
-    return joined.select(*[columns[c].alias(c) for c in names], F.size("found.spans").alias("n_units_removed"), F.col("found.spans").alias("removed_spans"))
+        columns["n_chars"] = F.when(cut, F.length("short").cast("long")).otherwise(F.col("rest.n_chars"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    out = [columns[c].alias(c) for c in names] + [F.when(cut, F.size("removed")).otherwise(0).alias("n_units_removed"), F.coalesce("removed", none).alias("removed_spans")]
+    if report:
+        all_cut = without(F.when(again, F.col("text")), F.when(again, F.col("repeated")))
+        out += [F.coalesce("repeated", none).alias("repeated_spans"), F.when(again, all_cut).otherwise(F.col("text")).alias("text_without_repeats")]
+    return joined.select(*out)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents: the cleaned text, and where units were removed."""
+    """All documents: the text without repeated passages, the text without any repeat, and where all of these stand."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_substrings(docs).select("doc_id", "text", "n_units_removed", "removed_spans")
+    return dedup_substrings(docs).select("doc_id", "text", "n_units_removed", "removed_spans", "repeated_spans", "text_without_repeats")

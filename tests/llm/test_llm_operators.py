@@ -160,7 +160,7 @@ def test_exact_links_inside_a_node():
 
 
 def test_substring_dedup_equals_brute_force(spark, folder, documents):
-    """Later occurrences of units, kept where a run of them is short, by plain dictionaries and word lists."""
+    """Later occurrences of units, and which of them stand in long runs, by plain dictionaries and word lists."""
     first, want = {}, {}
     for i in sorted(documents):
         text, runs = documents[i], []
@@ -171,10 +171,54 @@ def test_substring_dedup_equals_brute_force(spark, folder, documents):
                     runs[-1].append((a, b))
                 else:
                     runs.append([(a, b)])
+        every = [span for run in runs for span in run]
         spans = [span for run in runs if sum(len(text[a:b].split()) for a, b in run) >= 10 for span in run]
-        want[i] = (S.remove_spans(text, spans) if spans else text, spans)
-    got = {r.doc_id: (r.text or "", [(s.start, s.end) for s in r.removed_spans]) for r in queries.QUERIES["op6_substring_dedup"](spark, folder).collect()}
-    assert got == want and any(spans for _, spans in want.values())
+        want[i] = (S.remove_spans(text, spans) if spans else text, spans, every, S.remove_spans(text, every) if every else text)
+    rows = queries.QUERIES["op6_substring_dedup"](spark, folder).collect()
+    pairs = lambda spans: [(s.start, s.end) for s in spans]
+    got = {r.doc_id: (r.text or "", pairs(r.removed_spans), pairs(r.repeated_spans), r.text_without_repeats or "") for r in rows}
+    assert got == want and any(spans for _, spans, _, _ in want.values())
+    assert all(r.n_units_removed == len(r.removed_spans) for r in rows)
+
+
+def test_every_repeated_line_goes(spark, monkeypatch):
+    """Plain sets of whole lines, of any length, over sf0.01: nothing of a line that stood before is left, and first lines of new words stay."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    seen_lines, seen_words, again, new = set(), set(), defaultdict(list), defaultdict(list)
+    for i in sorted(texts):
+        at = 0
+        for line in texts[i].split("\n"):
+            key, words = " ".join(line.lower().split()), set(line.lower().split())
+            if key:
+                if key in seen_lines:
+                    again[i].append((at, at + len(line)))
+                elif words - seen_words == words:
+                    new[i].append((at, at + len(line)))
+                seen_lines.add(key)
+                seen_words |= words
+            at += len(line) + 1
+    assert sum(map(len, again.values())) > 1000 and new
+    for limit in (S.BROADCAST_SPANS, 0):  # broadcast, and shuffled behind the map
+        monkeypatch.setattr(S, "BROADCAST_SPANS", limit)
+        for r in S.dedup_substrings(docs).collect():
+            gone = np.zeros(len(texts[r.doc_id]) + 1, bool)
+            for s in r.repeated_spans:
+                gone[s.start : s.end] = True
+            for a, b in again[r.doc_id]:
+                assert all(gone[k] or texts[r.doc_id][k].isspace() for k in range(a, b)), (r.doc_id, a, b)
+
+
+@pytest.mark.parametrize("limit", [S.BROADCAST_SPANS, 0])
+def test_texts_of_one_id_are_cut_apart(spark, monkeypatch, limit):
+    monkeypatch.setattr(S, "BROADCAST_SPANS", limit)
+    rng = np.random.default_rng(6)
+    passage, own, other = (" ".join(f"{k}{rng.integers(1 << 30)}" for _ in range(60)) for k in "pao")
+    rows = [(0, passage), (1, own), (1, f"{other}\n{passage}"), (1, own), (None, passage)]
+    for report in (True, False):
+        out = Counter((r.doc_id, r.text) for r in S.dedup_substrings(docs_of(spark, rows), report=report).collect())
+        assert out == Counter([(0, passage), (1, own), (1, f"{other}\n"), (1, own), (None, passage)])
 
 
 def test_whole_lines_equal_brute_force(spark):
@@ -613,7 +657,10 @@ def test_pipeline_stages(spark, folder, documents):
     assert set(kept["language_id"]) == set(documents)  # every text of these tables has a language
     components = brute_components(documents, 5, 80, 100)
     assert set(kept["near_dedup"]) == {i for i, (_, c) in components.items() if i == c}
-    assert len(kept["substring_dedup"]) <= len(kept["near_dedup"])
+    cut = {r.doc_id: r for r in S.dedup_substrings(docs_of(spark, list(kept["near_dedup"].items()))).collect()}
+    assert kept["substring_dedup"] == {i: r.text for i, r in cut.items() if r.text and r.text.strip()}
+    for i, r in cut.items():
+        assert r.text == (S.remove_spans(kept["near_dedup"][i], [(x.start, x.end) for x in r.removed_spans]) if r.removed_spans else kept["near_dedup"][i])
     flagged = {
         r.doc_id for r in D.scan(
             spark.createDataFrame(list(kept["decontamination"].items()), DOCS), spark.read.parquet(f"{folder}/benchmark.parquet")
