@@ -51,9 +51,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of text that an earlier document has; those of which nothing is left go, null and empty texts too.
 
-    Rows of one id are one document (the stage before leaves several only where their texts differ); rows without an id stay as they are.
+    Rows of one id with different texts are different documents; rows without an id stay as they are.
     """
-    return dedup_substrings(docs).select(*docs.columns).where(F.length(F.trim("text")) > 0)
+    return dedup_substrings(docs, report=False).select(*docs.columns).where(F.length(F.trim("text")) > 0)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
