@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions joined with rules on a short hash prefix, then confirmed.
 
-All of it is DataFrame code. Each distinct (host, path) is expanded into the host's suffixes at label bounds times the path's
-prefixes of the lengths that rules have; an expression meets a rule on the first HEX characters of its SHA-256, the full digest
+All of it is DataFrame code. Each distinct (host, path) is expanded into the host's suffixes of as many labels as rules have times the
+path's prefixes of the lengths that rules have, so hostile URLs of many labels cost no more than others; an expression meets a rule on the first HEX characters of its SHA-256, the full digest
 confirms it, and the longest rule wins. URLs without a rule get the default verdict.
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_hot, materialize
+
 HEX = 8
-#: Rules that are broadcast (about 200 bytes each); more of them are joined by a shuffle of SALTS copies.
-BROADCAST_RULES, SALTS = 100_000, 16
+#: Rules that are broadcast (about 200 bytes each); with more of them, those of hot expressions are broadcast and the rest is shuffled.
+BROADCAST_RULES = 100_000
 #: (verdict, host, path): the rules of query op3.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DEFAULT = "allow"
@@ -41,12 +43,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     """
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
-    lengths = [r.n for r in rules.select(F.length("path").alias("n")).distinct().collect()]  # bounded by the longest path of a rule
-    if not lengths:
+    n_labels = lambda host: 1 + F.length(host) - F.length(F.translate(host, ".", ""))
+    shapes = rules.select(F.length("path").alias("n"), n_labels(F.col("host")).alias("labels")).distinct().collect()  # bounded by the longest rule
+    if not shapes:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]), lambda p: p.isNotNull())
+    present = lambda parts: F.filter(F.array(*parts), lambda p: p.isNotNull())
+    lengths, labels = sorted({r.n for r in shapes}), sorted({r.labels for r in shapes})
+    suffixes = present([F.when(n_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in labels])
+    prefixes = present([F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
     distinct = urls.select("host", "path").distinct()
     expressions = distinct.select(
         "host", "path", F.explode(suffixes).alias("h"), prefixes.alias("ps")
@@ -62,10 +66,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     keyed = keyed.withColumn("short", F.substring("rule_digest", 1, HEX))
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         met = expressions.join(F.broadcast(keyed), "short")
-    else:  # an expression that a third of all hosts share is dealt over SALTS keys
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        dealt = expressions.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
-        met = dealt.join(keyed.withColumn("salt", salts), ["short", "salt"])
+    else:  # a suffix that a third of all hosts share is a hot key
+        expressions = materialize(expressions, "expressions")
+        counts, total = expressions.groupBy("short").count().withColumnRenamed("count", "n"), expressions.count()
+        table = keyed.groupBy("short").agg(F.collect_set(F.struct("rule_digest", "rule", "rule_verdict", "nh", "np")).alias("rules"))
+        met = join_hot(expressions, table.join(counts, "short"), ["short"], "n", total, "host").withColumn("rules", F.explode("rules")).select("*", "rules.*")
     fits = met.where("digest = rule_digest")
     best = fits.groupBy("host", "path").agg(F.max(F.struct("nh", "np", F.col("rule_verdict"), "rule")).alias("best"))
     out = urls.join(best, ["host", "path"], "left")

@@ -195,6 +195,26 @@ def test_url_filter_of_an_empty_table(spark):
     assert U.judge(spark.createDataFrame([(1, "http://a.b/x")], "page_id long, url string"), tie).first().verdict == "block"
 
 
+def test_url_filter_of_hosts_with_many_labels(spark, monkeypatch):
+    """A host of 60,000 labels costs no more than its length; suffixes that most hosts share; repeated rows."""
+    import time
+
+    rules = spark.createDataFrame([*U.RULES, ("block", "", "/p"), ("allow", "b.c.d.net", "/")], "verdict string, host string, path string")
+    deep = "http://" + "a." * 60_000 + "b.c.d.net/x"
+    rows = [(1, deep), (2, "http://" + "a." * 60_000 + "com/de/"), (3, "http:///p"), (3, "http:///p"), (4, "http://net./p/q")]
+    rows += [(100 + i, f"http://h{i}.net/") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(4).cache()
+    want = Counter({(1, "b.c.d.net/", "allow"): 1, (2, None, "allow"): 1, (3, "/p", "block"): 2, (4, "/p", "block"): 1})
+    want.update((100 + i, "net/", "block") for i in range(3000))
+    pages.count()
+    for limit in (U.BROADCAST_RULES, 1):
+        monkeypatch.setattr(U, "BROADCAST_RULES", limit)
+        began = time.time()
+        assert Counter((r.page_id, r.rule, r.verdict) for r in U.judge(pages, rules).select("page_id", "rule", "verdict").collect()) == want
+        assert time.time() - began < 30
+    pages.unpersist()
+
+
 def test_very_long_texts(spark, tmp_path):
     long = " ".join(f"w{i % 5000}x{i % 77}" for i in range(150_000))
     rows = [(1, long), (2, long + " end"), (3, "y" * 400_000)]
