@@ -204,7 +204,8 @@ def _(t):
 
 @query("str01_daily_funnel", "SELECT strftime(ts, '%Y-%m-%d 00:00:00') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    return J.run_available(J.windowed_counts(J.read_events(t.spark, t.folder), "1 day"), "complete")
+    """Days are written once, when the watermark has passed them, and leave the state."""
+    return J.run_to_close(J.read_events(t.spark, t.folder), lambda events: J.windowed_counts(events, "1 day"))[0]
 
 
 @query("str01b_daily_funnel_batch", "SELECT strftime(ts, '%Y-%m-%d 00:00:00') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -218,7 +219,7 @@ def _(t):
     "BY ALL",
 )
 def _(t):
-    return J.run_available(J.windowed_counts(J.read_events(t.spark, t.folder), "7 days", "1 day"), "complete")
+    return J.run_to_close(J.read_events(t.spark, t.folder), lambda events: J.windowed_counts(events, "7 days", "1 day"))[0]
 
 
 @query("str02_signup_dedupe", "SELECT DISTINCT user_id, event_type FROM events WHERE event_type = 'signup'")
@@ -245,10 +246,17 @@ def _(t):
     "END AS band, count(*) AS n FROM events GROUP BY 1",
 )
 def _(t):
-    """How many posts are late or too new: a stream of running totals."""
+    """How many posts are late or too new: a stream of running totals, whose state is one row a band."""
     return J.run_available(J.age_band(J.read_events(t.spark, t.folder), _NOW).groupBy("band").agg(count()), "complete")
 
 
+@query("str03c_capped_seen")
+def _(t):
+    """First sights of an id by its source within two days, with at most 1000 ids kept for each source."""
+    posts = J.read_events(t.spark, t.folder).select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("id"), "ts")
+    return J.run_available(J.unseen(posts))
+
+
 @query(
     "str04_prediction_log",
     "WITH r AS (SELECT event_type, round(avg(value), 6) AS rate FROM events GROUP BY 1) SELECT event_id, event_type, rate FROM events JOIN r USING "
@@ -277,7 +285,7 @@ def _sessions(events):
 
 @query("str05_session_funnel", _SESSION)
 def _(t):
-    found = J.run_available(_sessions(J.read_events(t.spark, t.folder)), "complete")
+    found, _ = J.run_to_close(J.read_events(t.spark, t.folder), _sessions)
     return found.withColumn("start", F.unix_micros(F.col("start").cast("timestamp")))
 
 
