@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -30,10 +31,12 @@ from .decontaminate import _FOLD, words_of
 from .language_id import fold
 
 #: Most labelled documents to learn from, and most stems and words in the lexicon.
-SAMPLE, LEXICON = 60_000, 400_000
+SAMPLE, LEXICON = 60_000, 300_000
 #: Lengths of stems in code points, the weight of the prior in words, and how often a document counts for one word.
 STEMS, PRIOR, TOLD = (4, 5, 6, 7, 8), 6.0, 10
-#: A stem or word is listed if so many toxic or so many clean documents have it.
+#: Most of the labelled documents that the calibration is fitted on; it has five numbers.
+CALIBRATION = 15_000
+#: A stem or word is listed if it stands so often in toxic or in clean documents, each word of a document counted once.
 LEAST_TOXIC, LEAST_CLEAN = 2, 10
 #: Log-odds are held between these bounds, less DRIFT each.
 LOWEST, HIGHEST, DRIFT = -1.5, 8.0, 0.7
@@ -80,12 +83,14 @@ class Model:
     rate: float = 1.0  # K
     slope: float = 0.0
     intercept: float = 0.0
-    scores: dict[bytes, float] = field(default_factory=dict)
+    #: scores of all listed words, and of all listed stems, for new documents
+    words: dict[bytes, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
 
-    def score(self, word: bytes, label: int | None = None, own: dict[str, int] | None = None) -> float:
-        """Score of a word in a new document, or in a learned one with this label, whose own counts are then taken out."""
+    def score(self, word: bytes, label: int | None = None, own: dict[str, int] | None = None, stem: bool = False) -> float:
+        """Score of a word (or of a stem) in a new document, or in a learned one with this label, whose own counts are then taken out."""
         share, base = 0.5, None
-        for node in path_of(word):
+        for node in path_of(word)[: -1 if stem else None]:
             found = self.counts.get(node)
             if found is None:  # longer stems are rarer still
                 break
@@ -98,20 +103,38 @@ class Model:
         odds = math.log(share / (1 - share)) - math.log(base / (1 - base))
         return min(max(odds, LOWEST), HIGHEST) - DRIFT
 
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "scores": {}}
+    def ready(self) -> Model:
+        """The model for new documents: scores in place of counts, without stems and words that score as their own stem does."""
+        self.words, self.stems = {}, {}
+        for node in sorted(self.counts, key=len):
+            if node.endswith("."):
+                word = node[:-1].encode()
+                score = self.score(word)
+                if abs(score - self.stem_score(word)) > 0.01:
+                    self.words[word] = score
+            elif node:
+                self.stems[node] = self.score(node.encode(), stem=True)
+        return Model({}, self.toxic, self.clean, self.scale, self.rate, self.slope, self.intercept, self.words, self.stems)
+
+    def stem_score(self, word: bytes) -> float:
+        """Score of a word that is not listed: that of its longest listed stem."""
+        letters, found = word.decode("utf-8", "replace"), -DRIFT
+        for k in STEMS:
+            score = self.stems.get(letters[:k]) if k <= len(letters) else None
+            if score is None:
+                break
+            found = score
+        return found
 
     def scores_of(self, words: list[bytes], label: int | None = None) -> np.ndarray:
+        """Scores for a new document (after ready), or for a learned one with its label."""
         if label is not None:
             own = node_counts(words, {})
             held = {w: self.score(w, label, own) for w in set(words)}
-            return np.fromiter(map(held.__getitem__, words), np.float64, len(words))
-        known = self.scores
-        if len(known) > 250_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.score(w)
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        else:
+            get, stem = self.words.get, self.stem_score
+            held = {w: stem(w) if (x := get(w)) is None else x for w in set(words)}
+        return np.fromiter(map(held.__getitem__, words), np.float64, len(words))
 
     def evidence(self, n_words: int, best: list[float]) -> float:
         """Minus the log of the chance that clean text of n_words has segments as good as these (falling scores) together, saturated."""
@@ -189,38 +212,39 @@ def count_nodes(texts: DataFrame) -> Model:
     """The uncalibrated model: how often each stem and word occurs in toxic and in clean documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        held: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        docs: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        paths: dict[bytes, list[str]] = {}
+        told: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+        docs: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
 
         def flush() -> Iterator[pa.RecordBatch]:
             for label in (0, 1):
-                counts, found = held[label], docs[label]
-                columns = {"node": pa.array(list(counts), pa.string()), "label": pa.array([label] * len(counts), pa.int32())}
-                columns |= {"n": pa.array(list(counts.values()), pa.int64()), "docs": pa.array([found[x] for x in counts], pa.int64())}
+                counts, found = told[label], docs[label]
+                columns = {"word": pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()), "label": pa.array([label] * len(counts), pa.int32())}
+                columns |= {"n": pa.array(list(counts.values()), pa.int64()), "docs": pa.array([found[w] for w in counts], pa.int64())}
                 yield pa.RecordBatch.from_pydict(columns)
                 counts.clear()
                 found.clear()
-            paths.clear()
 
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts, found = held[label], docs[label]
-                for node, n in node_counts(words_of(text), paths).items():
-                    counts[node] = counts.get(node, 0) + n
-                    found[node] = found.get(node, 0) + 1
-                if len(held[0]) + len(held[1]) > 400_000 or len(paths) > 200_000:
+                counts, found = told[label], docs[label]
+                for word, n in Counter(words_of(text)).items():
+                    counts[word] = counts.get(word, 0) + (n if n < TOLD else TOLD)
+                    found[word] = found.get(word, 0) + 1
+                if len(told[0]) + len(told[1]) > 400_000:
                     yield from flush()
         yield from flush()
 
     small_batches(texts.sparkSession)
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    counted = texts.select("label", "text").mapInArrow(run, "node string, label int, n long, docs long")
+    counted = texts.select("label", "text").mapInArrow(run, "word string, label int, n long, docs long")
     of = lambda column, label: F.sum(F.when(F.col("label") == label, F.col(column)).otherwise(0))
-    nodes = counted.groupBy("node").agg(of("n", 1).alias("a"), of("n", 0).alias("b"), of("docs", 1).alias("da"), of("docs", 0).alias("db"))
+    words = counted.groupBy("word").agg(of("n", 1).alias("a"), of("n", 0).alias("b"), of("docs", 1).alias("da"), of("docs", 0).alias("db"))
+    stems = [F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEMS]
+    path = F.filter(F.array(F.lit(""), *stems, F.concat("word", F.lit("."))), lambda x: x.isNotNull())
+    nodes = words.withColumn("node", F.explode(path)).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("a", "b", "da", "db")])
     # stems are listed wherever their longer forms are, as they are at least as common
     listed = nodes.where((F.col("da") >= LEAST_TOXIC) | (F.col("db") >= LEAST_CLEAN))
-    listed = listed.orderBy(F.desc("da"), F.desc("db"), F.length("node"), "node").limit(LEXICON)
+    listed = listed.orderBy(F.desc("da"), F.desc("db"), F.length("node"), "node").limit(LEXICON).select("node", "a", "b")
     return Model({r.node: (r.a, r.b) for r in listed.collect()}, sizes.get(1, 0), sizes.get(0, 0))
 
 
@@ -268,8 +292,10 @@ def fit(texts: DataFrame) -> Model:
     model = count_nodes(texts)
     if not model.toxic or not model.clean:
         model.intercept = math.log((model.toxic + 1) / (model.clean + 1))
-        return model
-    spark = texts.sparkSession
+        return model.ready()
+    spark, learned = texts.sparkSession, model.toxic + model.clean
+    if learned > CALIBRATION:  # by hash of the id: the same rows each time
+        texts = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int(CALIBRATION / learned * (1 << 30)))
     shared = spark.sparkContext.broadcast(model)
 
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
@@ -303,7 +329,7 @@ def fit(texts: DataFrame) -> Model:
     counted = steps.groupBy("step").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).orderBy("step").collect()  # few steps
     columns = np.array([[r.step / 20, r.toxic, r.clean] for r in counted], float).T
     model.slope, model.intercept = logistic(*columns)
-    return model
+    return model.ready()
 
 
 _SPAN = re.compile(rb"[^ ]+")

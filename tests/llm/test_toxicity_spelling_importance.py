@@ -209,40 +209,40 @@ def fitted(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     texts = T.labelled_texts(docs, labels.select("doc_id", F.col("toxic").alias("label")).where(~T.fold("doc_id", 5, 0)))
-    return texts, T.fit(texts)
+    return texts, T.count_nodes(texts), T.fit(texts)
 
 
 def test_lexicon_and_scores_equal_plain_python(spark, fitted):
-    texts, model = fitted
-    counts, docs = (defaultdict(Counter), defaultdict(Counter))
+    texts, counted, model = fitted
+    counts, words = defaultdict(Counter), defaultdict(Counter)
     for r in texts.collect():
-        own = Counter()
         for word, n in Counter(split(bytes(r.text).decode())).items():
-            own.update(dict.fromkeys([word[:k] for k in (4, 5, 6, 7, 8) if k <= len(word)] + [word + ".", ""], min(n, 10)))
-        for node, n in own.items():
-            counts[node][r.label] += n
-            docs[node][r.label] += 1
-    listed = {x for x, d in docs.items() if d[1] >= 2 or d[0] >= 10}
-    assert model.counts == {x: (counts[x][1], counts[x][0]) for x in listed}
+            for node in ["", *(word[:k] for k in (4, 5, 6, 7, 8) if k <= len(word)), word + "."]:
+                counts[node][r.label] += min(n, 10)
+                words[node][r.label] += 1
+    listed = {x for x, d in words.items() if d[1] >= 2 or d[0] >= 10}
+    assert counted.counts == {x: (counts[x][1], counts[x][0]) for x in listed}
     base = (counts[""][1] + 1) / (counts[""][1] + counts[""][0] + 2)
-    for word in ("idiot", "idiots", "the", "unheardofword", "thenx", "de"):
+    for word in ("idiot", "idiots", "idiotic", "the", "unheardofword", "thenx", "de"):
         share = base
         for node in [word[:k] for k in (4, 5, 6, 7, 8) if k <= len(word)] + [word + "."]:
             if node not in listed:
                 break
             share = (counts[node][1] + 6 * share) / (counts[node][1] + counts[node][0] + 6)
         odds = math.log(share / (1 - share)) - math.log(base / (1 - base))
-        assert model.score(word.encode()) == pytest.approx(min(max(odds, -1.5), 8) - 0.7)
-    assert model.score(b"idiot") > 3 > 0 > model.score(b"the")
+        want = min(max(odds, -1.5), 8) - 0.7
+        assert counted.score(word.encode()) == pytest.approx(want)
+        assert model.scores_of([word.encode()])[0] == pytest.approx(want, abs=0.011)
+    assert model.scores_of([b"idiot"])[0] > 3 > 0 > model.scores_of([b"the"])[0]
 
 
 def test_own_counts_are_taken_out(fitted):
-    texts, model = fitted
+    texts, counted, _ = fitted
     r = texts.where("label = 1 and length(text) < 2000").orderBy("doc_id").first()
     own = T.node_counts(T.words_of(bytes(r.text)), {})
-    rest = T.Model({x: (a - own.get(x, 0), b) for x, (a, b) in model.counts.items()}, model.toxic - 1, model.clean)
+    rest = T.Model({x: (a - own.get(x, 0), b) for x, (a, b) in counted.counts.items()}, counted.toxic - 1, counted.clean)
     words = T.words_of(bytes(r.text))
-    assert np.allclose(model.scores_of(words, 1), [rest.score(w) for w in words])
+    assert np.allclose(counted.scores_of(words, 1), [rest.score(w) for w in words])
 
 
 def test_toxicity_held_out(spark):
@@ -255,7 +255,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_passages_lie_where_the_words_are(spark, fitted):
-    _, model = fitted
+    model = fitted[2]
     calm = "the and of that is with for in to as " * 30
     text = "É " + calm + "you Idiot, you worthless\nclown of " + calm
     row = T.score_texts(spark.createDataFrame([(1, text), (2, calm)], DOCS), model).orderBy("doc_id").collect()
