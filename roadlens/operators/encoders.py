@@ -23,7 +23,10 @@ class Encoder:
         All levels come from the counts at the union of their keys, so the base is aggregated once.
         """
         keys = list(dict.fromkeys(c for level in self.levels for c in level))
-        base = rows.groupBy(*keys).agg(F.sum(target).alias("f"), F.count(target).alias("n"))
+        return self.from_sums(rows.groupBy(*keys).agg(F.sum(target).alias("f"), F.count(target).alias("n")))
+
+    def from_sums(self, base: DataFrame) -> list[DataFrame]:
+        """The tables of fit from failures f and tests n at the union of the levels' keys, which may have several rows for one key."""
         tables = [base.agg(F.sum("n").alias("n"), F.try_divide(F.sum("f"), F.sum("n")).alias("rate"))]
         for i, level in enumerate(self.levels):
             k = self.k_overrides.get(i, self.k[i])

@@ -13,7 +13,9 @@ from roadlens.operators import history as H
 from roadlens.operators import metrics as M
 from roadlens.operators import relational as O
 from roadlens.operators import scoring as S
+from roadlens.operators import refresh as RF
 from roadlens.sources import files as IO
+from roadlens.sources.versions import VersionedTable
 from roadlens.streaming import jobs as J
 
 from .base import BANDED, CUBE, DEFECTS, HISTORY, INSPECTIONS, MODELS, POSTCODES, pick, query
@@ -139,9 +141,11 @@ CU = f"WITH {CUBE} "
 
 @query("snk01_full_refresh", CU + "SELECT model_id, age_band, n FROM cube WHERE age_band = '6-10'")
 def _(t):
+    """Refreshed twice: readers of the second version see it whole, the first one stays for those that have it open."""
     path = IO.new_folder(t.spark, "cube")
+    IO.full_refresh(t.cube().where("age_band = '0-2'"), path, "age_band", "model_id")
     IO.full_refresh(t.cube(), path, "age_band", "model_id")
-    return t.spark.read.parquet(path).where("age_band = '6-10'").select("model_id", "age_band", "n")
+    return VersionedTable(t.spark, path).read().where("age_band = '6-10'").select("model_id", "age_band", "n")
 
 
 @query("snk02_export", "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-25'")
@@ -179,6 +183,59 @@ def _(t):
     return IO.load_encoder(t.spark, path, 3)[2].select("model_id", "n", F.round("rate", 7).alias("rate"))
 
 
+@query(
+    "snk05b_refreshed_encoder",
+    f"WITH {BANDED}, " + eb_sql([["make"], ["make", "model_id"]], [10.0, 20.0]) + " SELECT model_id, n, round(rate, 7) AS rate FROM e2",
+)
+def _(t):
+    """Sums of odd and even vehicles as two batches, the second one sent twice, the first one then merged; the rates are those of one fit."""
+    rows = t.banded()
+    sums = RF.RunningSums(t.spark, IO.new_folder(t.spark, "sums"), ["make", "model_id"])
+    for number, part in ((0, "vehicle_id % 2 = 0"), (1, "vehicle_id % 2 = 1"), (1, "vehicle_id % 2 = 1")):
+        sums.upsert(rows.where(part), "target", F.col("test_date"), number)
+    sums.merge_before(1)
+    tables = sums.fit(E.Encoder([["make"], ["make", "model_id"]], [10.0, 20.0]))
+    return tables[2].select("model_id", "n", F.round("rate", 7).alias("rate"))
+
+
+_PSI = "(ln({x} + 6) - 1 / (2 * ({x} + 6)) - 1 / (12 * ({x} + 6) ^ 2) + 1 / (120 * ({x} + 6) ^ 4) - 1 / (252 * ({x} + 6) ^ 6)" + "".join(
+    f" - 1 / ({{x}} + {i})" for i in range(6)
+) + ")"
+_PSI1 = "(1 / ({x} + 6) + 1 / (2 * ({x} + 6) ^ 2) + 1 / (6 * ({x} + 6) ^ 3) - 1 / (30 * ({x} + 6) ^ 5) + 1 / (42 * ({x} + 6) ^ 7)" + "".join(
+    f" + 1 / ({{x}} + {i}) ^ 2" for i in range(6)
+) + ")"
+
+
+def _psi(x, form=_PSI):
+    return form.replace("{x}", f"({x})")
+
+
+_WEIGHT_SQL = f"""WITH {INSPECTIONS}, g AS (SELECT avg(target) AS p FROM inspections),
+c AS (SELECT model_id, sum(target)::DOUBLE AS f, count(*)::DOUBLE AS n FROM inspections GROUP BY 1),
+d AS (SELECT {_psi('10.0')} - {_psi('n + 10')} + p * ({_psi('f + 10 * p')} - {_psi('10 * p')}) + (1 - p) * ({_psi('n - f + 10 * (1 - p)')} - {_psi('10 * (1 - p)')}) AS a,
+  {_psi('10.0', _PSI1)} - {_psi('n + 10', _PSI1)} + p * p * ({_psi('f + 10 * p', _PSI1)} - {_psi('10 * p', _PSI1)})
+  + (1 - p) * (1 - p) * ({_psi('n - f + 10 * (1 - p)', _PSI1)} - {_psi('10 * (1 - p)', _PSI1)}) AS b FROM c, g),
+s AS (SELECT sum(10 * a) AS slope, sum(10 * a + 100 * b) AS curve FROM d)
+SELECT 10.0::DOUBLE AS k, round(slope, 5) AS slope, round(curve, 5) AS curve,
+  round(10 * exp(least(2.0, greatest(-2.0, CASE WHEN curve < 0 THEN -slope / curve ELSE sign(slope) END))), 5) AS next_k FROM s"""
+
+
+@query("ag02k_weight_step", _WEIGHT_SQL)
+def _(t):
+    """One Newton step from k = 10 towards the weight that the models' counts want around the overall rate."""
+    counts = t.inspections().groupBy("model_id").agg(F.sum("target").alias("f"), F.count(F.lit(1)).alias("n"))
+    overall = counts.agg((F.sum("f") / F.sum("n")).alias("parent"))
+    step = RF.weight_step(counts.join(F.broadcast(overall)), 10.0)  # one row
+    return step.select("k", *[F.round(c, 5).alias(c) for c in ("slope", "curve", "next_k")])
+
+
+@query("ag02l_fitted_weights")
+def _(t):
+    """Weights of makers and models fitted to their counts, with the rates they give."""
+    encoder, tables = RF.fit_encoder(t.inspections(), "target", [["make"], ["make", "model_id"]])
+    return tables[2].select("make", "model_id", "n", F.round("rate", 7).alias("rate"), F.lit(encoder.k[0]).alias("k_make"), F.lit(encoder.k[1]).alias("k_model"))
+
+
 @query(
     "snk06_matrix",
     f"WITH {BANDED} SELECT year(test_date) AS year, count(*) AS n, sum(target)::BIGINT AS failures, round(sum(CASE year(test_date) WHEN 1998 THEN 20.0 "

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlens.sources.versions import VersionedTable
+
 HISTORY_SCHEMA = (
     "registration string, make string, motTests array<struct<completedDate string, testResult string, odometerValue string, odometerUnit string, defects "
     "array<struct<text string, type string>>, rfrAndComments array<struct<text string, type string>>>>"
@@ -92,9 +94,13 @@ def read_table(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.format("jdbc").options(url=url, dbtable=query, partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts).load()
 
 
-def full_refresh(df: DataFrame, path: str, partition: str, sort: str) -> None:
-    """Replace a table, partitioned by one column and sorted by another inside files, so that readers skip row groups."""
-    df.repartition(partition, F.pmod(F.xxhash64(sort), F.lit(4))).sortWithinPartitions(sort).write.mode("overwrite").partitionBy(partition).parquet(path)
+def full_refresh(df: DataFrame, path: str, partition: str, sort: str) -> int:
+    """A new version of a table, partitioned by one column and sorted by another inside files, so that readers skip row groups.
+
+    Readers see the old version until the new one is whole; read it with VersionedTable(spark, path).read(). Returns the version.
+    """
+    parts = df.repartition(partition, F.pmod(F.xxhash64(sort), F.lit(4))).sortWithinPartitions(sort)
+    return VersionedTable(df.sparkSession, path).write(parts, lambda w: w.partitionBy(partition))
 
 
 def export_newest(df: DataFrame, path: str, fmt: str, order: list) -> None:
