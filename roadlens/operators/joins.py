@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions.rules import EARTH_MILES, haversine
+from roadlens.operators.metrics import stored, with_slots
+
+# Functions that run inside tasks travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def as_of_month(rows: DataFrame, priors: DataFrame, date: str, month: str, keys: list[str], latest: str) -> DataFrame:
@@ -81,29 +87,73 @@ def within_radius(left: DataFrame, right: DataFrame, miles: float, salts: int =
     return pairs.withColumn("miles", distance).where(F.col("miles") <= miles)
 
 
+def _nearest_groups(asked: list[tuple], held: dict, k: int) -> dict[tuple, list[tuple]]:
+    """For each (value, group) in sweep order, the k nearest groups of the sweep so far without its own: (gap, group, entity).
+
+    held: the last value and entity of groups, of which the nearest k + 1 are kept (ties: by name). Rows of equal values see each other.
+    """
+    out: dict[tuple, list[tuple]] = {}
+    at = 0
+    while at < len(asked):
+        value, end = asked[at][0], at
+        while end < len(asked) and asked[end][0] == value:
+            held[asked[end][1]] = (value, asked[end][2])
+            end += 1
+        nearest = sorted(held.items(), key=lambda g: (abs(value - g[1][0]), g[0]))
+        held = dict(nearest[: k + 1])
+        for _, group, _ in asked[at:end]:
+            out[value, group] = [(abs(value - v), g, e) for g, (v, e) in nearest[: k + 1] if g != group][:k]
+        at = end
+    return out
+
+
 def nearest_values(rates: DataFrame, entity: str, group: str, value: str, k: int) -> DataFrame:
-    """For each entity the k entities of other groups with the closest values, one for each group; ties by name.
+    """For each entity the k entities of other groups with the closest values, one for each group; ties by group, then by name.
 
-    In each group only the entity's neighbours in value order can be closest, so every entity meets, for each group, the last
-    value at or below its own and the first one at or above it: one sweep over entities times groups, no pairs of entities.
+    Values are compared at 12 decimals and gaps are rounded to 9. A sweep in value order keeps the last value of the k + 1 nearest
+    groups, which is all that a later row can need; one from below and one from above give both sides. The sweeps run over ranges of values,
+    each in a task of its own, and every range is handed what the ranges before it leave: k + 1 groups each. Entities of one group and
+    value share an answer, so they are swept once.
     """
-    groups = rates.select(F.col(group).alias("_g")).distinct()
-    asks = rates.select(
-        F.col(entity).alias("_e"), F.col(group).alias("_own"), F.col(value).alias("_v"), F.lit(1).alias("_ask")
-    ).join(F.broadcast(groups), F.col("_g") != F.col("_own"))
-    has = rates.select(
-        F.col(group).alias("_g"), F.col(value).alias("_v"), F.struct(F.col(value).alias("v"), F.col(entity).alias("e")).alias("_f"), F.lit(0).alias("_ask")
-    )
-    rows = asks.unionByName(has, allowMissingColumns=True)
-    below = Window.partitionBy("_g").orderBy("_v", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = Window.partitionBy("_g").orderBy(F.desc("_v"), "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = rows.withColumns({"_b": F.last("_f", ignorenulls=True).over(below), "_a": F.last("_f", ignorenulls=True).over(above)}).where("_ask = 1")
-    gap = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.round(F.abs(F.col(f"{f}.v") - F.col("_v")), 9).alias("gap"), F.col(f"{f}.e").alias("e")))
-    best = met.select(F.col("_e").alias(entity), "_g", F.least(gap("_a"), gap("_b")).alias("n"))
-    order = Window.partitionBy(entity).orderBy("n.gap", "_g")
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(
-        entity, "place", F.col("_g").alias(group), F.col("n.e").alias("similar"), F.col("n.gap").alias("gap")
+    known = rates.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(
+        F.col(entity).alias("_e"), F.col(group).alias("_g"), F.round(F.col(value).cast("double"), 12).alias("_v")
     )
+    known = stored(known)
+    points = with_slots(known.groupBy("_v", "_g").agg(F.min("_e").alias("_e")), "_v")
+    ends = {sign: F.max(F.struct((sign * F.col("_v")).alias("v"), "_e")) for sign in (1, -1)}  # of equal values an entity is one's own choice
+    nearest = {}
+    for sign, end in ends.items():
+        best = points.groupBy("_slot", "_g").agg(end.alias("b")).withColumn("r", F.row_number().over(Window.partitionBy("_slot").orderBy(F.desc("b.v"), "_g")))
+        nearest[sign] = best.where(F.col("r") <= k + 1).select("_slot", "_g", (sign * F.col("b.v")).alias("v"), "b._e").collect()  # k + 1 a range
+
+    def carried(slot: int, sign: int) -> dict:
+        held: dict = {}
+        for row in sorted(nearest[sign], key=lambda r: sign * r["_slot"]):
+            if sign * row["_slot"] < sign * slot:
+                held[row["_g"]] = (row["v"], row["_e"])
+        return held
+
+    kind = f"_v double, _g {points.schema['_g'].dataType.simpleString()}, gap double, {group} {points.schema['_g'].dataType.simpleString()}, similar {points.schema['_e'].dataType.simpleString()}, place int"
+
+    def sweep(table):
+        import pandas as pd
+
+        slot = int(table["_slot"].iloc[0])
+        rows = sorted(zip(table["_v"], table["_g"], table["_e"], strict=True))
+        below = _nearest_groups(rows, carried(slot, 1), k)
+        above = _nearest_groups(rows[::-1], carried(slot, -1), k)
+        out = []
+        for (v, g), found in below.items():
+            best: dict = {}
+            for gap, other, e in [*found, *above[v, g]]:
+                one = (round(gap, 9), e)
+                best[other] = min(best.get(other, one), one)
+            ranked = sorted((gap, other, e) for other, (gap, e) in best.items())[:k]
+            out += [(v, g, gap, other, e, place + 1) for place, (gap, other, e) in enumerate(ranked)]
+        return pd.DataFrame(out, columns=["_v", "_g", "gap", group, "similar", "place"])
+
+    answers = points.groupBy("_slot").applyInPandas(sweep, kind)
+    return known.join(answers, ["_v", "_g"]).select(F.col("_e").alias(entity), "place", group, "similar", "gap")
 
 
 def compare_pairs(pairs: DataFrame, rates: DataFrame, entity: str, value: str) -> DataFrame:

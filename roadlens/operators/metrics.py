@@ -10,8 +10,10 @@ from roadlens.sources.files import new_folder
 
 #: Up to so many values are sorted by one task (or one for each key), without ranges.
 ONE_TASK = 1_000_000
-#: Ranges that more ordered values are cut into; each is sorted by one task. Fewer where keys part the rows already.
-SLOTS, KEYED_SLOTS = 256, 16
+#: Ranges that more ordered values are cut into, and those that each large key is cut into; each range is sorted by one task.
+SLOTS, KEYED_SLOTS = 256, 1024
+#: A key is large if it has more than ONE_TASK rows and more than this share of all rows, so there are at most 1000 of them.
+LARGE = 0.001
 
 
 def stored(rows: DataFrame) -> DataFrame:
@@ -39,18 +41,37 @@ def with_slots(rows: DataFrame, order: str, slots: int = SLOTS) -> DataFrame:
     return rows.withColumn("_slot", slot(0, len(bounds)))
 
 
+def with_keyed_slots(rows: DataFrame, order: str, keys: list[str], slots: int = KEYED_SLOTS) -> DataFrame:
+    """rows with _slot: for large keys the range of the key's own quantiles that a row falls into, for all others 0.
+
+    The quantiles of large keys come from sketches that are merged by key, so a key with half of all rows is cut as finely as any other; the
+    bounds of at most 1 / LARGE keys are broadcast, and a row finds its slot by halving its key's bounds.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    large = counts.where((F.col("_n") > ONE_TASK) & (F.col("_n") > LARGE * total)).select(*keys)
+    if not large.limit(1).count():
+        return rows.withColumn("_slot", F.lit(0))
+    quantiles = F.percentile_approx(order, [i / slots for i in range(1, slots)], 10_000)
+    bounds = rows.join(F.broadcast(large), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.array_distinct(quantiles)).alias("_bounds"))
+    steps = [1 << i for i in reversed(range(slots.bit_length()))]
+    below = lambda at: F.coalesce(F.get("_bounds", at) < F.col(order), F.lit(False))
+    slot = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(below(at + step - 1), at + step).otherwise(at))
+    return rows.join(F.broadcast(stored(bounds)), keys, "left").withColumn("_slot", slot).drop("_bounds")
+
+
 def preceding(values: DataFrame, order: str, columns: list[str], keys: list[str] | None = None, slots: int | None = None) -> DataFrame:
     """values with before_<column>: sums over all rows of equal keys that come before in order, 0 without any.
 
     Up to ONE_TASK values are summed in one window. Beyond that running sums go over one slot each, and the sums of earlier slots are added
-    from a table of at most `slots` rows for each key.
+    from a table of a row for each slot.
     """
     keys = keys or []
     held = stored(values)
     if slots is None and held.count() <= ONE_TASK:  # few enough for one task to sort
         before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return held.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns})
-    slotted = with_slots(held, order, slots or (KEYED_SLOTS if keys else SLOTS))
+    slotted = with_keyed_slots(held, order, keys, slots or KEYED_SLOTS) if keys else with_slots(held, order, slots or SLOTS)
     inside = Window.partitionBy(*keys, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = slotted.groupBy(*keys, "_slot").agg(*[F.sum(c).alias(c) for c in columns])
@@ -73,12 +94,22 @@ def auc(scored: DataFrame, score: str, label: str, keys: list[str] | None = None
 
 
 def percent_ranks(rows: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
-    """rows with their percent rank by value among rows of equal keys, from counts by value (0 for a single row)."""
-    counts = stored(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranks = preceding(counts, value, ["_n"], keys).join(totals, keys)
-    rank = F.coalesce(F.try_divide(F.col("before__n").cast("double"), F.col("_total") - 1), F.lit(0.0))
-    return rows.join(ranks.select(*keys, value, rank.alias(name)), [*keys, value])
+    """rows with their percent rank by value among rows of equal keys (0 for a single row).
+
+    Rows are written once and ranked in one pass over (key, range) groups; what lies in a key's lower ranges is added from their counts.
+    """
+    held = stored(rows)
+    if held.count() <= ONE_TASK:
+        return held.withColumn(name, F.percent_rank().over(Window.partitionBy(*keys).orderBy(value)))
+    slotted = with_keyed_slots(held, value, keys)
+    sizes = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_m"))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_slot", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_lower"), F.sum("_m").over(Window.partitionBy(*keys)).alias("_total"))
+    before = F.rank().over(Window.partitionBy(*keys, "_slot").orderBy(value)) - 1 + F.col("_lower")
+    null_safe = [slotted[k].eqNullSafe(sizes[k]) for k in (*keys, "_slot")]
+    joined = slotted.join(sizes.select(*[F.col(k) for k in (*keys, "_slot")], "_lower", "_total"), null_safe).drop(*[sizes[k] for k in (*keys, "_slot")])
+    share = F.coalesce(F.try_divide(before.cast("double"), F.col("_total") - 1), F.lit(0.0))
+    return joined.withColumn(name, share).select(*rows.columns, name)
 
 
 def calibration_check(scored: DataFrame, raw: str, calibrated: str, buckets: int = 10) -> DataFrame:
@@ -115,18 +146,24 @@ def calibration(scored: DataFrame, score: str, label: str, bins: int = 10) -> Da
 
 
 def top_share_lift(scored: DataFrame, score: str, label: str, tie: str, parts: int = 10) -> DataFrame:
-    """lift of the label in the highest 1/parts of scores, ties by id: the cut is found from counts by score, no row is ranked alone.
+    """lift of the label in the highest 1/parts of scores, ties by id: the cut is found from counts by score.
 
-    Rows above the score at which the share is reached are all in; of that score's own rows the smallest ids fill the rest.
+    Rows above the score at which the share is reached are all in and are only summed; of that score's own rows the smallest ids fill the
+    rest, found from counts by id over ranges of ids.
     """
-    total = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("base"))
-    by_score = preceding(scored.groupBy(score).agg(F.count(F.lit(1)).alias("m")), score, ["m"])
-    cut = by_score.join(F.broadcast(total)).withColumn("above", F.col("n") - F.col("before_m") - F.col("m"))  # one row
-    cut = cut.select(score, F.floor(F.col("n") / parts).alias("want"), "above", "base").where("above < want")
-    rows = scored.join(cut, score).withColumn(
-        "r", F.row_number().over(Window.partitionBy(score).orderBy(tie))
-    ).where(F.col("above") + F.col("r") <= F.col("want"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(label) / F.first("base"), 6).alias("lift"))
+    by_score = stored(scored.groupBy(score).agg(F.count(F.lit(1)).alias("m"), F.sum(label).cast("double").alias("y")))
+    total = by_score.agg(F.sum("m").alias("n"), F.try_divide(F.sum("y"), F.sum("m")).alias("base")).first()
+    n, want = total.n or 0, (total.n or 0) // parts
+    ranked = preceding(by_score, score, ["m"]).withColumn("above", F.lit(n) - F.col("before_m") - F.col("m"))
+    whole = ranked.where(F.col("above") + F.col("m") <= want).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("y"))
+    cut = ranked.where((F.col("above") < want) & (F.col("above") + F.col("m") > want)).first()
+    if cut is not None:
+        own = scored.where(F.col(score) == F.lit(cut[score])).groupBy(tie).agg(F.count(F.lit(1)).alias("c"), F.sum(label).cast("double").alias("y"))
+        taken = F.least(F.col("c"), F.lit(want - cut["above"]) - F.col("before_c"))  # of an id's equal rows, as many as there is room for
+        part = preceding(own, tie, ["c"]).where(taken > 0).agg(F.sum(taken).alias("m"), F.sum(F.col("y") * taken / F.col("c")).alias("y"))
+        whole = whole.unionByName(part)
+    share = F.try_divide(F.sum("y"), F.sum("m"))
+    return whole.agg(F.sum("m").cast("long").alias("n"), F.round(F.try_divide(share, F.lit(total.base).cast("double")), 6).alias("lift"))
 
 
 def latency(rows: DataFrame, ms: str, failed: str, at: str) -> DataFrame:
