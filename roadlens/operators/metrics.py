@@ -203,6 +203,29 @@ def falls(
     return steps.groupBy("scope").agg(F.lit(axis).alias("axis"), F.count_if((fall > 0) & ~hard).alias("soft"), F.count_if(hard).alias("hard"))
 
 
+def fall_list(
+    cube: DataFrame, axis: str, order: list[str], rates: dict[str, str], scope: str | None = None, weight: str = "n", tolerance: float = 2.0, least: int = 100
+) -> DataFrame:
+    """component, scope, axis, lower_band, higher_band, lower_rate, higher_rate, fall_pct, hard: every fall of a component's weighted rate.
+
+    rates: component -> its rate column. All components come from one aggregation by scope and band; falls are told apart as in `falls`.
+    """
+    place = F.array_position(F.array(*[F.lit(b) for b in order]), F.col(axis))
+    key = F.col(scope) if scope else F.lit("all")
+    means = [F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(weight)).alias(f"_r_{name}") for name, c in rates.items()]
+    bands = cube.where(place > 0).groupBy(key.alias("scope"), F.col(axis).alias("_band"), place.alias("_place")).agg(F.sum(weight).alias("_n"), *means)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), F.col(f"_r_{name}").alias("rate")) for name in rates]))
+    up = Window.partitionBy("scope", "component").orderBy("_place")  # as many rows as there are bands
+    steps = bands.select("scope", "_band", "_place", "_n", each.alias("_c")).select("scope", "_band", "_place", "_n", "_c.*")
+    steps = steps.select(
+        "component", "scope", F.lit(axis).alias("axis"), F.lag("_band").over(up).alias("lower_band"), F.col("_band").alias("higher_band"),
+        F.lag("rate").over(up).alias("lower_rate"), F.col("rate").alias("higher_rate"), F.least("_n", F.lag("_n").over(up)).alias("_least"),
+    )
+    fall = 100 * F.try_divide(F.col("lower_rate") - F.col("higher_rate"), F.col("lower_rate"))
+    found = steps.withColumn("fall_pct", fall).where("fall_pct > 0")
+    return found.withColumn("hard", (F.col("fall_pct") > tolerance) & (F.col("_least") >= least)).drop("_least")
+
+
 def trend_votes(cube: DataFrame, entity: str, axis: str, midpoints: dict[str, float], rate: str, more_than: int = 3, cut: float = 0.1) -> DataFrame:
     """trend, models: how entities with more than so many cells vote, by the correlation of the axis' midpoints with the rate."""
     middle = F.try_element_at(F.create_map(*[F.lit(x) for p in midpoints.items() for x in p]), F.col(axis))

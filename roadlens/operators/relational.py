@@ -204,10 +204,16 @@ def contract_problems(rows: DataFrame, names: list[str]) -> list[tuple[str, str]
     return [(c, "missing") for c in names if c not in have] + [(c, "extra") for c in have if c not in names] + misplaced
 
 
-def select_contract(rows: DataFrame, names: list[str]) -> DataFrame:
-    if problems := [p for p in contract_problems(rows, names) if p[1] != "extra"]:
+def require_contract(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows, if its columns are the names in order; raises on missing, extra and misplaced ones."""
+    if problems := contract_problems(rows, names):
         raise ValueError(f"columns differ from the contract: {problems}")
-    return rows.select(*names)
+    return rows
+
+
+def select_contract(rows: DataFrame, names: list[str], extra: list[str] | None = None) -> DataFrame:
+    """The names in order from rows that have them in that order, without the columns that `extra` names; any other column raises."""
+    return require_contract(rows.drop(*(extra or [])), names)
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

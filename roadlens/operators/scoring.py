@@ -57,3 +57,17 @@ def importances(models: list, names: list[str], groups: dict[str, str], spark) -
     values = [(n, groups.get(n, "other"), float(sum(m.featureImportances[i] for m in models) / len(models))) for i, n in enumerate(names)]
     ranked = sorted(values, key=lambda v: (-v[2], v[0]))
     return spark.createDataFrame([(*v, i + 1) for i, v in enumerate(ranked)], "feature string, part string, importance double, place int")
+
+
+def group_importances(found: DataFrame) -> DataFrame:
+    """part, features, importance (total), share, place of each group of the features of `importances`."""
+    from pyspark.sql import Window
+
+    by = found.groupBy("part").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance"))
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "part"))  # as many rows as groups
+    return by.select("part", "features", "importance", F.try_divide("importance", F.sum("importance").over(Window.partitionBy())).alias("share"), place.alias("place"))
+
+
+def top_importances(found: DataFrame, n: int = 20) -> DataFrame:
+    """The n features of highest importance, in order."""
+    return found.orderBy("place").limit(n)

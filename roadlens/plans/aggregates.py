@@ -378,6 +378,35 @@ def _(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+_PARTS = ["brakes", "suspension", "tyres", "steering", "visibility", "lamps", "body"]
+
+
+def _fall_list_sql(scope: str, axis: str, order: list[str], rate: str, name: str) -> str:
+    place = f"CASE {axis} " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(order)) + " END"
+    return f"""SELECT '{name}' AS component, scope, '{axis}' AS axis, lower_band, higher_band, round(lower_rate, 9) AS lower_rate, round(higher_rate, 9) AS higher_rate,
+round(fall, 6) AS fall_pct, fall > 2 AND least(n, before_n) >= 100 AS hard
+FROM (SELECT *, 100 * (lower_rate - higher_rate) / nullif(lower_rate, 0) AS fall FROM (SELECT scope, n, higher_band, higher_rate, lag(n) OVER w AS before_n,
+lag(higher_band) OVER w AS lower_band, lag(higher_rate) OVER w AS lower_rate FROM (SELECT {scope} AS scope, {axis} AS higher_band, {place} AS place, sum(n) AS n,
+sum({rate} * n) / sum(n) AS higher_rate FROM cube WHERE {place} IS NOT NULL GROUP BY ALL) WINDOW w AS (PARTITION BY scope ORDER BY place))) WHERE fall > 0"""
+
+
+@query(
+    "ag27b_component_falls",
+    CU + " UNION ALL ".join(
+        _fall_list_sql(scope, axis, order, rate, name)
+        for scope in ("model_id", "'all'") for axis, order in (("age_band", _AGES), ("mileage_band", _MILES))
+        for name, rate in [("overall", "risk")] + [(c, f"risk_{c}") for c in _PARTS]
+    ),
+)
+def _(t):
+    """Every fall of the overall and of each component's risk, by model and over all, listed with its bands and rates."""
+    cube = t.cube().cache()
+    rates = {"overall": "risk"} | {c: f"risk_{c}" for c in R.COMPONENTS}
+    parts = [M.fall_list(cube, axis, order, rates, scope) for scope in ("model_id", None) for axis, order in (("age_band", _AGES), ("mileage_band", _MILES))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.withColumns({"lower_rate": F.round("lower_rate", 9), "higher_rate": F.round("higher_rate", 9), "fall_pct": F.round("fall_pct", 6)})
+
+
 @query(
     "ag28_trend_votes",
     CU + """, m AS (SELECT model_id, CASE mileage_band WHEN '0-30k' THEN 15000.0 WHEN '30k-60k' THEN 45000.0 WHEN '60k-100k' THEN 80000.0 WHEN '100k+'

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from roadlens.functions import rules as R
 from roadlens.functions import text as X
+from roadlens.operators import contracts as CT
 from roadlens.operators import cube as C
 from roadlens.operators import encoders as E
 from roadlens.operators import features as FE
 from roadlens.operators import history as H
 from roadlens.operators import metrics as M
 from roadlens.operators import relational as O
+from roadlens.operators import scorer as SC
 from roadlens.operators import scoring as S
 from roadlens.operators import refresh as RF
 from roadlens.sources import files as IO
 from roadlens.sources.versions import VersionedTable
 from roadlens.streaming import jobs as J
 
-from .base import BANDED, CUBE, DEFECTS, HISTORY, INSPECTIONS, MODELS, POSTCODES, pick, query
+from .base import BANDED, CUBE, DEFECTS, HISTORY, INSPECTIONS, MODELS, POSTCODES, before, pick, query
 from .joins import eb_sql
 from .relational import RATES, count, rates
 from .windows import MILES, P, miles
@@ -242,10 +245,14 @@ def _(t):
     "WHEN 1997 THEN 6.0 WHEN 1996 THEN 2.0 ELSE 1.0 END), 6) AS weight FROM banded GROUP BY 1",
 )
 def _(t):
+    """The matrix with its contract beside it, which is checked at writing and at reading."""
     path = IO.new_folder(t.spark, "matrix")
     rows = t.banded().select(F.year("test_date").alias("year"), F.col("target").alias("y"), "age_years", "test_mileage")
-    rows.withColumn("weight", S.recency_weight(F.col("year"), 1998)).write.partitionBy("year").parquet(path)
-    return t.spark.read.parquet(path).groupBy("year").agg(count(), F.sum("y").alias("failures"), F.round(F.sum("weight"), 6).alias("weight"))
+    rows = rows.withColumn("weight", S.recency_weight(F.col("year"), 1998))
+    carried = ["year", "y", "weight"]
+    CT.write_matrix(rows.select("year", "y", "weight", "age_years", "test_mileage"), CT.Contract.of(rows.select("age_years", "test_mileage"), "v1"), carried, path, "year")
+    read, _ = CT.read_matrix(t.spark, path, carried)
+    return read.groupBy("year").agg(count(), F.sum("y").alias("failures"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @query(
@@ -445,6 +452,7 @@ def _fitted(t, seeds):
     rows = t.banded().select(
         "vehicle_id",
         "test_date",
+        "shipped",
         "line",
         "make",
         "area",
@@ -455,7 +463,8 @@ def _fitted(t, seeds):
         F.col("target").cast("double").alias("label"),
     )
     rows = rows.withColumns({"weight": S.recency_weight(F.year("test_date"), 1997), "holdout": F.pmod(F.xxhash64("vehicle_id"), F.lit(5)) == 0})
-    dev, oot = rows.where("test_date < date'1998-01-01'"), rows.where("test_date >= date'1998-01-01'")
+    earlier = before("shipped", 1998)  # reaches the scan
+    dev, oot = rows.where(earlier).drop("shipped"), rows.where(~earlier).drop("shipped")
     prepared = S.matrix(["make", "area", "age_band", "mileage_band"], ["age", "test_mileage", "line"]).fit(dev)
     ready = prepared.transform(dev)
     return dev, oot, prepared, S.fit_ensemble(ready, "label", "weight", "holdout", seeds, 4, 32), ready
@@ -479,8 +488,14 @@ def _(t):
 
 @query("ml04_batch_scoring")
 def _(t):
+    """Scored by the scorer as it is loaded from its folder; two areas go under the names that it was trained with."""
     _, oot, prepared, models, _ = _fitted(t, [1])
-    scored = S.score(oot, prepared, models, R.PLATT_A, R.PLATT_B)
+    carried, names = ["vehicle_id", "test_date"], ["make", "area", "age_band", "mileage_band", "age", "test_mileage", "line"]
+    contract = CT.Contract.of(oot.select(*names), "v1")
+    vocabulary = {"area": {"GB": "UNITED KINGDOM", "USA": "UNITED STATES"}}
+    path = IO.new_folder(t.spark, "scorer")
+    SC.build_scorer(contract, carried, vocabulary, prepared, models, R.PLATT_A, R.PLATT_B).write().save(path)
+    scored = PipelineModel.load(path).transform(oot.select(*carried, *names))
     return scored.select("vehicle_id", "test_date", "line", F.round("raw", 6).alias("raw"), "calibrated")
 
 
@@ -518,11 +533,19 @@ def _(t):
 
 @query("ml07_importances")
 def _(t):
+    return S.top_importances(_importances(t), 20)
+
+
+@query("ml07b_group_importances")
+def _(t):
+    return S.group_importances(_importances(t))
+
+
+def _importances(t):
     _, _, _, models, _ = _fitted(t, [1])
     names = ["make", "area", "age_band", "mileage_band", "age", "test_mileage", "line"]
-    return S.importances(
-        models, names, {"make": "vehicle", "area": "place", "age_band": "age", "age": "age", "mileage_band": "use", "test_mileage": "use"}, t.spark
-    )
+    groups = {"make": "vehicle", "area": "place", "age_band": "age", "age": "age", "mileage_band": "use", "test_mileage": "use"}
+    return S.importances(models, names, groups, t.spark)
 
 
 @query(

@@ -62,7 +62,7 @@ def _(t):
 )
 def _(t):
     rows = t.inspections()
-    priors = rows.where("test_date < date'1997-01-01'").groupBy("make", F.trunc("test_date", "MM").alias("month")).agg(F.avg("target").alias("prior"))
+    priors = rows.where(before("shipped", 1997)).groupBy("make", F.trunc("test_date", "MM").alias("month")).agg(F.avg("target").alias("prior"))
     return J.as_of_month(rows, priors, "test_date", "month", ["make"], "1996-12-01").groupBy("make").agg(
         count(), F.round(F.avg("prior"), 6).alias("prior"), F.count("prior").alias("found")
     )

@@ -334,7 +334,7 @@ def _(t):
 
 @query("prj06_contract_select", "SELECT p_size, p_partkey, p_brand FROM part")
 def _(t):
-    return O.select_contract(t("part").select("p_size", "p_name", "p_partkey", "p_brand"), ["p_size", "p_partkey", "p_brand"])
+    return O.select_contract(t("part").select("p_size", "p_name", "p_partkey", "p_brand"), ["p_size", "p_partkey", "p_brand"], extra=["p_name"])
 
 
 _PART = [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double")]
