@@ -12,6 +12,7 @@ from roadlens.operators import encoders as E
 from roadlens.operators import metrics as M
 from roadlens.operators import relational as O
 
+from . import oracle_values as OV
 from .base import BANDED, CUBE, HISTORY, INSPECTIONS, VEHICLES, query
 from .joins import eb_sql
 from .relational import RATES, count, rates
@@ -656,7 +657,7 @@ def _(t):
     ).withColumn("own_band", F.col("age_band") == band)
 
 
-_COSTS = "CASE component " + " ".join(f"WHEN '{c}' THEN {a} || '-' || {b}" for c, (a, b) in R.COST_RANGES.items()) + " END"
+_COSTS = "CASE component " + " ".join(f"WHEN '{c}' THEN {a} || '-' || {b}" for c, (a, b) in OV.COST_RANGES.items()) + " END"
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roadlens import registry
 from roadlens.functions import rules as R
 from roadlens.operators import cube as C
+from roadlens.plans import oracle_values as OV
 
 MODELS = [
     "FORD FIESTA ZETEC 1.4L 3 DOOR MANUAL", "BMW 320D SE", "VAUXHALL CORSA-E ELITE", "TOYOTA YARIS HEV CVT", "TESLA MODEL 3 LONG RANGE", "FORD TRANSIT CUSTOM 300", "MERCEDES-BENZ SPRINTER 315",
@@ -103,8 +104,8 @@ def bands_sql(value: str, edges, last: str, unknown: str | None = None, closed:
     ) + f" ELSE '{last}' END"
 
 
-AGE_SQL = bands_sql("age_years", R.AGE_BANDS, "15+", "age_years IS NULL OR age_years < 0")
-MILEAGE_SQL = bands_sql("test_mileage", R.MILEAGE_BANDS, "100k+", "test_mileage IS NULL OR test_mileage < 0 OR test_mileage > 500000")
+AGE_SQL = bands_sql("age_years", OV.AGE_BANDS, "15+", "age_years IS NULL OR age_years < 0")
+MILEAGE_SQL = bands_sql("test_mileage", OV.MILEAGE_BANDS, "100k+", "test_mileage IS NULL OR test_mileage < 0 OR test_mileage > 500000")
 BANDED = INSPECTIONS + f""", banded AS (
 SELECT *, {AGE_SQL} AS age_band, {MILEAGE_SQL} AS mileage_band, {", ".join(f"CASE WHEN line % 7 = {i} THEN target ELSE 0 END AS fail_{c}" for i, c in enumerate(R.COMPONENTS))}
 FROM inspections)"""

@@ -21,6 +21,7 @@ from roadlens.sources import files as IO
 from roadlens.sources.versions import VersionedTable
 from roadlens.streaming import jobs as J
 
+from . import oracle_values as OV
 from .base import BANDED, CUBE, DEFECTS, HISTORY, INSPECTIONS, MODELS, POSTCODES, before, pick, query
 from .joins import eb_sql
 from .relational import RATES, count, rates
@@ -510,7 +511,7 @@ def _(t):
     return rows.select("test_id", R.data_confidence(F.col("before").isNotNull().cast("int"), F.col("n_prior"), F.col("days") * 30).alias("confidence"))
 
 
-_RISK = {c: f"round(least(greatest({b} * (1 + {'0.5 * least(a, 3) + ' if c in ('brakes', 'tyres') else ''}{'2 * least(0.1 * f, 1) + ' if c == 'brakes' else ''}{'CASE WHEN f > 0 THEN 1 ELSE 0 END' if c == 'suspension' else '0'}) * p / {R.AVERAGE_FAIL_RATE}, 0.01), 0.5), 4) AS {c}" for c, b in R.BASE_RISKS.items()}
+_RISK = {c: f"round(least(greatest({b} * (1 + {'0.5 * least(a, 3) + ' if c in ('brakes', 'tyres') else ''}{'2 * least(0.1 * f, 1) + ' if c == 'brakes' else ''}{'CASE WHEN f > 0 THEN 1 ELSE 0 END' if c == 'suspension' else '0'}) * p / {OV.AVERAGE_FAIL_RATE}, 0.01), 0.5), 4) AS {c}" for c, b in OV.BASE_RISKS.items()}
 
 
 @query(

@@ -13,6 +13,7 @@ from roadlens.operators import links as L
 from roadlens.operators import relational as O
 from roadlens.operators.encoders import Encoder
 
+from . import oracle_values as OV
 from .base import BANDED, CUBE, HISTORY, INSPECTIONS, VEHICLES, before, pick, pick_sql, query
 from .relational import RATES, count, rates
 from .scalars import BASE_MODEL_CTE, LINKS_SQL
@@ -213,7 +214,7 @@ _LEADS = (
 )
 _NEAR = (
     _LEADS + ", d AS (SELECT *, pow(sin(radians(rlat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(rlat)) * pow(sin(radians(rlon - lon) / 2), 2) AS a "
-    f"FROM leads, garages), near AS (SELECT id, rid, {R.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)) AS miles FROM d WHERE {R.EARTH_MILES} * 2 "
+    f"FROM leads, garages), near AS (SELECT id, rid, {OV.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)) AS miles FROM d WHERE {OV.EARTH_MILES} * 2 "
     "* atan2(sqrt(a), sqrt(1 - a)) <= 60)"
 )
 

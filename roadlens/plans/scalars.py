@@ -8,6 +8,7 @@ from roadlens.functions import rules as R
 from roadlens.functions import text as X
 from roadlens.operators import metrics as M
 
+from . import oracle_values as OV
 from .base import AGE_SQL, BANDED, CUBE, HISTORY, INSPECTIONS, MILEAGE_SQL, VEHICLES, bands_sql, pick, pick_sql, query
 
 V = f"WITH {VEHICLES} "
@@ -67,13 +68,13 @@ def _(t):
 
 
 _FIRST = {}
-for _m in X.MAJOR_MAKES:
+for _m in OV.MAJOR_MAKES:
     _FIRST.setdefault(_m.split(" ")[0], _m)
 CANONICAL_SQL = (
-    "CASE WHEN " + in_sql("trim(upper(raw_make))", X.REJECTED_MAKES) + " THEN NULL " + " ".join(
-        f"WHEN trim(upper(raw_make)) = '{a}' THEN '{b}'" for a, b in X.CANONICAL_MAKES.items()
+    "CASE WHEN " + in_sql("trim(upper(raw_make))", OV.REJECTED_MAKES) + " THEN NULL " + " ".join(
+        f"WHEN trim(upper(raw_make)) = '{a}' THEN '{b}'" for a, b in OV.CANONICAL_MAKES.items()
     )
-    + " WHEN " + in_sql("trim(upper(raw_make))", X.MAJOR_MAKES) + " THEN trim(upper(raw_make)) " + " ".join(
+    + " WHEN " + in_sql("trim(upper(raw_make))", OV.MAJOR_MAKES) + " THEN trim(upper(raw_make)) " + " ".join(
         f"WHEN trim(upper(raw_make)) = '{a}' THEN '{b}'" for a, b in _FIRST.items()
     ) + " END"
 )
@@ -85,14 +86,14 @@ def _(t):
 
 
 _STRIPPED = "m"
-for _p in X.MODEL_STRIPS:
+for _p in OV.MODEL_STRIPS:
     _STRIPPED = f"regexp_replace({_STRIPPED}, '{_p}', '', 'gi')"
 BASE_MODEL_CTE = f"""s AS (SELECT vehicle_id, model_id, make, CASE WHEN starts_with(model_id, make) THEN trim(substr(model_id, length(make) + 1))
 ELSE model_id END AS m
   FROM (SELECT *, {_TWO} AS make FROM vehicles)),
 w AS (SELECT *, split_part(trim(regexp_replace({_STRIPPED}, '\\s+', ' ', 'g')), ' ', 1) AS word FROM s),
-base AS (SELECT vehicle_id, make, CASE WHEN m = '' OR substr(m, 1, 1) IN ('.', '/', '-', '(', ')') OR word = '' OR {in_sql("word", X.TRIM_WORDS)} THEN NULL
-  WHEN {in_sql("make", X.NUMERIC_MODEL_MAKES)} AND regexp_matches(word, '^[A-Z]?[0-9]') THEN CASE WHEN make = 'BMW' AND regexp_matches(word, '^[0-9]')
+base AS (SELECT vehicle_id, make, CASE WHEN m = '' OR substr(m, 1, 1) IN ('.', '/', '-', '(', ')') OR word = '' OR {in_sql("word", OV.TRIM_WORDS)} THEN NULL
+  WHEN {in_sql("make", OV.NUMERIC_MODEL_MAKES)} AND regexp_matches(word, '^[A-Z]?[0-9]') THEN CASE WHEN make = 'BMW' AND regexp_matches(word, '^[0-9]')
 THEN substr(word, 1, 1) || ' SERIES' ELSE word END
   WHEN regexp_matches(word, '^[0-9]') OR length(word) < 2 OR length(regexp_replace(word, '[^A-Z]', '', 'g')) < length(word) * 0.6 THEN NULL
 ELSE word END AS model FROM w)"""
@@ -203,12 +204,12 @@ def _(t):
 
 
 REGIME_SQL = (
-    f"CASE WHEN {in_sql('trim(upper(raw_make))', X.MOTORCYCLE_MAKES)} THEN 'Motorcycle' WHEN {in_sql('trim(upper(raw_make))', X.COMMERCIAL_MAKES)} THEN "
+    f"CASE WHEN {in_sql('trim(upper(raw_make))', OV.MOTORCYCLE_MAKES)} THEN 'Motorcycle' WHEN {in_sql('trim(upper(raw_make))', OV.COMMERCIAL_MAKES)} THEN "
     "'Commercial' ELSE 'Car' END"
 )
 _M = "trim(upper(model_id))"
 POWER_SQL = (
-    f"CASE WHEN {any_sql(_M, X.BEV_WORDS)} THEN 'BEV' WHEN {any_sql(_M, X.PHEV_WORDS)} THEN 'PHEV' WHEN {any_sql(_M, X.HEV_WORDS)} THEN 'HEV' ELSE 'ICE' "
+    f"CASE WHEN {any_sql(_M, OV.BEV_WORDS)} THEN 'BEV' WHEN {any_sql(_M, OV.PHEV_WORDS)} THEN 'PHEV' WHEN {any_sql(_M, OV.HEV_WORDS)} THEN 'HEV' ELSE 'ICE' "
     "END"
 )
 
@@ -224,7 +225,7 @@ def _(t):
 
 
 @query(
-    "scl_s15_body_type", V + f"SELECT vehicle_id, CASE WHEN {any_sql(_M, X.COMMERCIAL_MODELS)} THEN 'Commercial' ELSE 'Passenger' END AS body FROM vehicles"
+    "scl_s15_body_type", V + f"SELECT vehicle_id, CASE WHEN {any_sql(_M, OV.COMMERCIAL_MODELS)} THEN 'Commercial' ELSE 'Passenger' END AS body FROM vehicles"
 )
 def _(t):
     return t.vehicles().select("vehicle_id", X.body_type(F.col("model_id")).alias("body"))
@@ -260,7 +261,7 @@ def _(t):
     return t.vehicles().select("vehicle_id", X.flag_in(F.col("model_id"), _RISKY).alias("flag"))
 
 
-COMPONENT_SQL = "CASE " + " ".join(f"WHEN {any_sql('lower(defect)', w)} THEN '{c}'" for c, w in X.COMPONENT_WORDS.items()) + " END"
+COMPONENT_SQL = "CASE " + " ".join(f"WHEN {any_sql('lower(defect)', w)} THEN '{c}'" for c, w in OV.COMPONENT_WORDS.items()) + " END"
 
 
 @query("scl_s18_defect_component", V + f"SELECT vehicle_id, {COMPONENT_SQL} AS component FROM vehicles")
@@ -270,7 +271,7 @@ def _(t):
 
 @query(
     "scl_s19_mechanisms",
-    V + "SELECT vehicle_id, " + ", ".join(f"{any_sql('lower(defect)', w)} AS {m}" for m, w in X.MECHANISM_WORDS.items()) + " FROM vehicles",
+    V + "SELECT vehicle_id, " + ", ".join(f"{any_sql('lower(defect)', w)} AS {m}" for m, w in OV.MECHANISM_WORDS.items()) + " FROM vehicles",
 )
 def _(t):
     return t.vehicles().select("vehicle_id", *[c.alias(n) for n, c in X.mechanism_flags(F.col("defect")).items()])
@@ -314,7 +315,7 @@ def _age_column():
 
 _banded("scl_b1_age_band", AGE_SQL.replace("age_years", f"({_age})"), lambda: R.age_band(_age_column()))
 _banded("scl_b2_mileage_band", MILEAGE_SQL.replace("test_mileage", "(test_mileage * 6 - 20000)"), lambda: R.mileage_band(F.col("test_mileage") * 6 - 20000))
-_banded("scl_b3_serving_age_band", bands_sql("age_years", R.SERVING_AGE_BANDS, "15+", closed=True), lambda: R.serving_age_band(F.col("age_years")))
+_banded("scl_b3_serving_age_band", bands_sql("age_years", OV.SERVING_AGE_BANDS, "15+", closed=True), lambda: R.serving_age_band(F.col("age_years")))
 _banded(
     "scl_b4_closed_bins",
     "CASE WHEN line * 2 - 2 <= 0 THEN '0-2' WHEN line * 2 - 2 <= 2 THEN '3-5' WHEN line * 2 - 2 <= 5 THEN '6-10' WHEN line * 2 - 2 <= 10 THEN "
@@ -338,8 +339,8 @@ def _(t):
     return rows.groupBy(F.coalesce("band", F.lit("null")).alias("band"), R.age_key(F.col("band")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_banded("scl_b6_gap_band", bands_sql("age_years * 30", R.GAP_BANDS, "very_late"), lambda: R.gap_band(F.col("age_years") * 30))
-_banded("scl_b7_usage_band", bands_sql("test_mileage / 5", R.USAGE_BANDS, "very_high"), lambda: R.usage_band(F.col("test_mileage") / 5))
+_banded("scl_b6_gap_band", bands_sql("age_years * 30", OV.GAP_BANDS, "very_late"), lambda: R.gap_band(F.col("age_years") * 30))
+_banded("scl_b7_usage_band", bands_sql("test_mileage / 5", OV.USAGE_BANDS, "very_high"), lambda: R.usage_band(F.col("test_mileage") / 5))
 
 
 @query(
@@ -441,7 +442,7 @@ def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.round(R.clamp(risk), 6).alias("clamped"))
 
 
-@query("scl_m3_haversine", f"""SELECT c_custkey, round({R.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)), 4) AS miles FROM (SELECT c_custkey, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2) AS a
+@query("scl_m3_haversine", f"""SELECT c_custkey, round({OV.EARTH_MILES} * 2 * atan2(sqrt(a), sqrt(1 - a)), 4) AS miles FROM (SELECT c_custkey, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2) AS a
 FROM (SELECT c_custkey, 50 + c_custkey % 89 / 10.0 AS lat1, -5 + c_custkey % 71 / 10.0 AS lon1, 50 + c_custkey % 83 / 10.0 AS lat2, -5 + c_custkey % 67 / 10.0 AS lon2
 FROM customer))""")
 def _(t):
@@ -453,7 +454,7 @@ def tens_sql(v: str) -> str:
     return f"CAST(round_even({v} / 10, 0) * 10 AS BIGINT)"
 
 
-_PER = " + ".join(f"risk_{c} * {v}" for c, v in R.TYPICAL_COSTS.items())
+_PER = " + ".join(f"risk_{c} * {v}" for c, v in OV.TYPICAL_COSTS.items())
 
 
 @query(
@@ -466,12 +467,12 @@ def _(t):
     return t.cube().where("risk > 0").withColumn("cost", cost).select("model_id", "age_band", "mileage_band", "cost.*")
 
 
-_MIX = " + ".join(f"risk_{c} * {v}" for c, v in R.MIDPOINT_COSTS.items())
+_MIX = " + ".join(f"risk_{c} * {v}" for c, v in OV.MIDPOINT_COSTS.items())
 
 
 @query(
     "scl_m5_scaled_cost",
-    f"WITH {CUBE}, m AS (SELECT model_id, age_band, mileage_band, greatest(({_MIX}) * greatest(0.5, least(3.0, risk / {R.AVERAGE_FAIL_RATE})), 100.0) AS "
+    f"WITH {CUBE}, m AS (SELECT model_id, age_band, mileage_band, greatest(({_MIX}) * greatest(0.5, least(3.0, risk / {OV.AVERAGE_FAIL_RATE})), 100.0) AS "
     f"e FROM cube WHERE risk > 0) SELECT model_id, age_band, mileage_band, {tens_sql('e')} AS expected, {tens_sql('greatest(e * 0.5, 50.0)')} AS "
     f"range_low, {tens_sql('e * 2')} AS range_high FROM m",
 )
@@ -547,7 +548,7 @@ def _(t):
     return counts(t).select("vehicle_id", F.round(F.greatest(F.lit(0), F.col("days") - 365) / 365.0, 6).alias("debt"))
 
 
-@query("scl_m10_neglect", COUNTS + " SELECT vehicle_id, " + ", ".join(f"round({c} * {a}::DOUBLE + fails * {f}::DOUBLE + CASE WHEN n = 999 THEN 0 ELSE n END * ({s})::DOUBLE, 6) AS neglect_{c}" for c, (a, f, s) in R.NEGLECT_WEIGHTS.items()) + " FROM c")
+@query("scl_m10_neglect", COUNTS + " SELECT vehicle_id, " + ", ".join(f"round({c} * {a}::DOUBLE + fails * {f}::DOUBLE + CASE WHEN n = 999 THEN 0 ELSE n END * ({s})::DOUBLE, 6) AS neglect_{c}" for c, (a, f, s) in OV.NEGLECT_WEIGHTS.items()) + " FROM c")
 def _(t):
     since = F.when(F.col("n") == 999, 0).otherwise(F.col("n"))
     return counts(t).select(
@@ -615,7 +616,7 @@ def _(t):
     return _few(t).select("vehicle_id", *logs, kinds.alias("mechanisms"), dominant.alias("dominant"))
 
 
-PLATT_SQL = f"1 / (1 + exp(-({R.PLATT_A} * greatest(1e-8, least(1 - 1e-8, risk)) + ({R.PLATT_B}))))"
+PLATT_SQL = f"1 / (1 + exp(-({OV.PLATT_A} * greatest(1e-8, least(1 - 1e-8, risk)) + ({OV.PLATT_B}))))"
 
 
 @query("scl_m14_platt", f"WITH {CUBE} SELECT model_id, age_band, mileage_band, round({PLATT_SQL}, 4) AS calibrated FROM cube")
