@@ -11,6 +11,7 @@ from roadlens.operators import cube as C
 from roadlens.operators import encoders as E
 from roadlens.operators import metrics as M
 from roadlens.operators import relational as O
+from roadlens.operators import sketches as SK
 
 from . import oracle_values as OV
 from .base import BANDED, CUBE, HISTORY, INSPECTIONS, VEHICLES, query
@@ -233,6 +234,37 @@ def _(t):
     return t("events").groupBy("event_type").agg(F.count_distinct("user_id").alias("vehicles"))
 
 
+@query(
+    "ag17b_sketched_levels",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS level, {key} AS key, count(*) AS n, true AS distinct_ok, true AS p50_ok, true AS p95_ok FROM events GROUP BY ALL"
+        for name, key in (("all", "'all'"), ("kind", "event_type"), ("day", "CAST(CAST(ts AS DATE) AS VARCHAR)"), ("kind_day", "event_type || '/' || CAST(CAST(ts AS DATE) AS VARCHAR)"))
+    ),
+)
+def _(t):
+    """Distinct vehicles and quantiles of four levels, merged from sketches by kind and day that are made in one scan, held against exact ones.
+
+    A distinct count is right within three standard errors, a quantile if the share of rows up to it is within the sketch's bound.
+    """
+    rows = t("events").select(F.col("event_type").alias("kind"), F.to_date("ts").cast("string").alias("day"), "user_id", "value")
+    sketches = M.stored(SK.sketch(rows, ["kind", "day"], "user_id", "value"))
+    wanted = {"all": [], "kind": ["kind"], "day": ["day"], "kind_day": ["kind", "day"]}
+    found = SK.levels(sketches, wanted, {"p50": 0.5, "p95": 0.95})
+    exact = None
+    for name, keys in wanted.items():
+        key = F.concat_ws("/", *keys) if keys else F.lit("all")
+        met = rows.withColumns({"level": F.lit(name), "key": key}).join(F.broadcast(found.where(F.col("level") == name).drop("level", "n")), "key")  # one row a key
+        share = lambda q: F.avg((F.col("value") <= F.col(q)).cast("double"))
+        below = lambda q: F.avg((F.col("value") < F.col(q)).cast("double"))
+        within = lambda q, p: (share(q) >= p - SK.KLL_ERROR) & (below(q) <= p + SK.KLL_ERROR)
+        n = F.count_distinct("user_id")
+        one = met.groupBy("level", "key").agg(
+            count(), (F.abs(F.first("distinct") - n) <= 3 * SK.HLL_ERROR * n).alias("distinct_ok"), within("p50", 0.5).alias("p50_ok"), within("p95", 0.95).alias("p95_ok")
+        )
+        exact = one if exact is None else exact.unionByName(one)
+    return exact
+
+
 @query(
     "ag18_conversion",
     "SELECT user_id, round(100.0 * count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type = 'view'), 0), 6) AS pct FROM events "

@@ -12,6 +12,7 @@ from roadlens.operators import joins as J
 from roadlens.operators import links as L
 from roadlens.operators import relational as O
 from roadlens.operators.encoders import Encoder
+from roadlens.sources import files as IO
 
 from . import oracle_values as OV
 from .base import BANDED, CUBE, HISTORY, INSPECTIONS, VEHICLES, before, pick, pick_sql, query
@@ -34,6 +35,26 @@ def _(t):
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "p_brand", "s_name", "o_orderstatus")
 
 
+BUCKETS = 8
+
+
+@query(
+    "jn01b_co_located",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice, o_orderstatus, lines, total FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN "
+    "(SELECT l_orderkey AS k, count(*) AS lines, round(sum(l_quantity), 6) AS total FROM lineitem GROUP BY 1) ON l_orderkey = k",
+)
+def _(t):
+    """Facts, their orders and their totals by order on one bucketed key: written once, then joined and grouped without a shuffle of the facts."""
+    line = IO.bucketed(t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"), ["l_orderkey"], BUCKETS)
+    orders = IO.bucketed(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), ["l_orderkey"], BUCKETS)
+    return co_located(line, orders).select("l_orderkey", "l_linenumber", "l_extendedprice", "o_orderstatus", "lines", "total")
+
+
+def co_located(line, orders):
+    sums = line.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 6).alias("total"))
+    return line.join(orders.hint("merge"), "l_orderkey", "left").join(sums.hint("merge"), "l_orderkey", "left")
+
+
 @query(
     "jn02_semi",
     "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')",
