@@ -96,7 +96,7 @@ def _derived(test: Column) -> Column:
 
     def defect(d: Column) -> Column:
         text = F.coalesce(F.nullif(d["text"], F.lit("")), d["type"], F.lit(""))
-        said = F.lower(F.concat_ws(" ", d["text"], d["type"]))
+        said = F.lower(F.to_json(d))  # marks may stand in any field of the record
         flags = X.mechanism_flags(text)
         return F.struct(
             said.contains("advisory").alias("adv"), said.contains("fail").alias("fail"), X.defect_component(text).alias("part"), *[

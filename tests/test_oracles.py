@@ -33,3 +33,15 @@ def test_plan_has_no_python_or_cartesian_product(name, spark, folder):
 def test_filters_and_columns_reach_the_scan(spark, folder):
     plan = registry.QUERIES["src01_parquet_scan"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,45.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+@pytest.mark.parametrize("name", ["flt02_years", "prj01_wide_dev", "jn08_segment_make_global", "jn04_as_of_month", "ml04_batch_scoring"])
+def test_date_bounds_reach_the_scan(name, spark, folder):
+    """A bound on the stored time of the facts is pushed: it is no function of the column."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = [p.split("ReadSchema")[0] for p in plan.split("PushedFilters:")[1:]]
+    assert any("Than" in p and ("l_shipdate" in p or "o_orderdate" in p) for p in pushed)
