@@ -4,7 +4,9 @@ Every text becomes its set of distinct word shingles. Texts with equal sets are
 doc_id, so copies are never paired. Classes branch in independent trees: at each level of a tree a class goes to two child
 nodes, each chosen by the minwise shingle of one more hash function, so similar classes stay together and others part. A node of
 at most `small` classes is compared exhaustively; in a larger one every class is compared with the node's first class, and
-those that are still not connected with each other branch further, down to DEPTH levels; what these do not part is compared in blocks. Candidates pass a sketch of SKETCH minwise hashes (an estimate
+those that are still not connected with each other branch further, while that parts them: where the children of a node hold as many pairs
+as the node itself (its classes are alike on average, if below the threshold), or after DEPTH levels, its classes are compared with each
+other in blocks. Candidates pass a sketch of SKETCH minwise hashes (an estimate
 far below the threshold drops them) and are confirmed on full shingle sets of the whole texts. Connected components are found
 by alternating star contraction, all of it as joins.
 
@@ -29,6 +31,8 @@ SKETCH = 128
 SMALL = 4096
 #: ... and of at most so many shingles in all, so that their sets fit into a task.
 SMALL_SHINGLES = 4_000_000
+#: Members of a pair of blocks, in multiples of SMALL: each member is sent once for each pair that its block is in.
+WIDE = 4
 #: Rows of a star that meet one copy of the hub.
 SLOT = 1024
 #: Block sizes of the products: rows, and shingles.
@@ -149,6 +153,25 @@ def star_links(docs: DataFrame, classes: DataFrame, stars: DataFrame, width: int
     return rows.mapInArrow(run, "a long, b long")
 
 
+def contract(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """roots (id, root) renewed with more links (a, b): only links between different roots are contracted, over the roots alone."""
+    labelled = lambda df, c: df.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"r_{c}")), c, "left")
+    ends = [F.coalesce(f"r_{c}", c).alias(c) for c in ("a", "b")]
+    over = labelled(labelled(found.select("a", "b"), "a"), "b").select(*ends).where("a <> b").distinct()
+    moved = star_components(over)
+    n = moved.count()
+    if not n:
+        return roots
+    onward = moved.select(F.col("id").alias("root"), F.col("root").alias("onward"))
+    if n <= BROADCAST_IDS:
+        renewed = roots.join(F.broadcast(onward), "root", "left")
+    else:  # a root that most ids have is a hot key
+        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("w"))
+        renewed = join_hot(roots, sizes.join(onward, "root", "left"), ["root"], "w", roots.count(), "id")
+    renewed = renewed.select("id", F.coalesce("onward", "root").alias("root"))
+    return materialize(renewed.unionByName(moved.join(roots.select("id"), "id", "left_anti").select("id", "root")), "roots")
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """id, root: every id of an edge (a, b) and the smallest id that it is connected with.
 
@@ -172,7 +195,7 @@ def star_components(edges: DataFrame) -> DataFrame:
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
-    """tree, node, id of the next level: CHILDREN nodes for each row, named by the node above and one more minwise shingle."""
+    """tree, node, id, size, above of the next level: CHILDREN nodes for each row, named by the node above and one more minwise shingle."""
     if level == 0:
         grown = rows.select("id", "size", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES * CHILDREN - 1))).alias("k"))
         tree, child = F.expr(f"int(k div {CHILDREN})"), F.expr(f"k % {CHILDREN}")
@@ -183,7 +206,7 @@ def _children(rows: DataFrame, level: int) -> DataFrame:
     coordinate = tree * CHILDREN + child if level == 0 else F.pmod(
         F.xxhash64(above, tree, F.lit(level), child, F.lit("coordinate")), F.lit(SKETCH)
     ).cast("int")
-    return grown.select(tree.alias("tree"), F.xxhash64(above, tree, F.lit(level), child, F.get("sketch", coordinate)).alias("node"), "id", "size")
+    return grown.select(tree.alias("tree"), F.xxhash64(above, tree, F.lit(level), child, F.get("sketch", coordinate)).alias("node"), "id", "size", above.alias("above"))
 
 
 def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -271,8 +294,8 @@ def _node_links(docs: DataFrame, classes: DataFrame, members: DataFrame, n_membe
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """tree, node, id, root of large nodes (tree, node, n, shingles, id, root) as pairs of blocks, each pair a node of about SMALL members."""
-    count = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / SMALL), F.ceil(2 * F.col("shingles") / SMALL_SHINGLES)).cast("int")
+    """tree, node, id, root of large nodes (tree, node, n, shingles, id, root) as pairs of blocks, each pair a node of about WIDE * SMALL members."""
+    count = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / (WIDE * SMALL)), F.ceil(2 * F.col("shingles") / (WIDE * SMALL_SHINGLES))).cast("int")
     dealt = rows.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("id"), F.col("count")).cast("int"))
     met = dealt.select("tree", "node", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
     return met.select("tree", F.xxhash64("tree", "node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "root")
@@ -285,15 +308,14 @@ def similar_components(docs: DataFrame, classes: DataFrame, width: int, num: int
     # six standard deviations below the expected agreement at the threshold
     at_least = max(1, int(SKETCH * j - 6 * (SKETCH * j * (1 - j)) ** 0.5))
     sketches = classes.select("id", "sketch")
-    edges = roots = None
+    roots = None
 
     def add(found: DataFrame) -> None:
         """Renew the components with more links."""
-        nonlocal edges, roots
+        nonlocal roots
         found = materialize(found, "near-links")
         if found.limit(1).count():
-            edges = found if edges is None else edges.union(found)
-            roots = star_components(edges)
+            roots = star_components(found) if roots is None else contract(roots, found)
 
     def compare(nodes: DataFrame) -> None:
         """Compare the members of small nodes."""
@@ -324,8 +346,15 @@ def similar_components(docs: DataFrame, classes: DataFrame, width: int, num: int
         if level == DEPTH:  # minwise hashes do not part these: blocks of each node meet pair by pair, inside tasks
             compare(_blocks(left))
             break
-        total = CHILDREN * left.count()
-        rows = _children(left.select("tree", "node", "id", "size").join(sketches, "id"), level)
+        rows = materialize(_children(left.select("tree", "node", "id", "size").join(sketches, "id"), level), "near-children")
+        pairs = rows.groupBy("tree", "above", "node").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("tree", "above")
+        pairs = pairs.agg(F.sum(F.col("n") * F.col("n")).alias("below"), (F.sum("n") / CHILDREN).alias("n"))
+        dense = materialize(pairs.where("below >= n * n").select("tree", F.col("above").alias("node")), "near-dense")
+        if n_dense := dense.count():  # branching would only make more pairs of these
+            dense = F.broadcast(dense) if n_dense <= BROADCAST_IDS else dense
+            compare(_blocks(left.join(dense, ["tree", "node"], "left_semi")))
+            rows = rows.join(dense.withColumnRenamed("node", "above"), ["tree", "above"], "left_anti")
+        total = rows.count()
     return roots if roots is not None else spark.createDataFrame([], "id long, root long")
 
 

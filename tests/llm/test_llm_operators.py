@@ -102,6 +102,35 @@ def test_near_dedup_of_chains_and_groups(spark, monkeypatch):
         assert got == want
 
 
+def test_one_template_below_the_threshold_is_compared_once(spark, monkeypatch):
+    """Documents that are alike on average but not near copies: branching stops where it makes more pairs, and nothing is lost."""
+    rng = np.random.default_rng(12)
+    base = [f"t{i}" for i in range(120)]
+    texts = {i: edited(base, 4, rng) for i in range(600)}
+    texts |= {1000 + i: edited(texts[i * 7].split(), 1, rng) for i in range(20)}
+    want = brute_components(texts, 3, 85, 100)
+    levels, blocks = [], []
+    children, in_blocks = N._children, N._blocks
+    monkeypatch.setattr(N, "SMALL", 40)
+    monkeypatch.setattr(N, "_children", lambda rows, level: levels.append(level) or children(rows, level))
+    monkeypatch.setattr(N, "_blocks", lambda rows: blocks.append(rows.count()) or in_blocks(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(docs_of(spark, list(texts.items())), 3, 85, 100).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 500
+    assert len(levels) <= 4 and sum(blocks) < 40 * len(texts)  # without the rule: 8 levels, over a hundred nodes for each document
+
+
+def test_components_are_contracted_over_roots(spark):
+    rng = np.random.default_rng(2)
+    parts = [[(int(a), int(b)) for a, b in rng.integers(0, 400, (n, 2)) if a != b] for n in (60, 80, 100)]
+    frames = [spark.createDataFrame(p, "a long, b long") for p in parts]
+    roots = N.star_components(frames[0])
+    for frame in frames[1:]:
+        roots = N.contract(roots, frame)
+    want = {r.id: r.root for r in N.star_components(frames[0].union(frames[1]).union(frames[2])).collect()}
+    assert {r.id: r.root for r in roots.collect()} == want and roots.count() == len(want)
+    assert N.contract(roots, frames[0]).count() == len(want)
+
+
 def test_deep_nodes_keep_pairs_together(spark):
     """Pairs whose sketches agree at 0.7 of the places share a node of the last level as often as independent choices let them."""
     rng, n = np.random.default_rng(11), 600
