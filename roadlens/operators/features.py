@@ -135,14 +135,14 @@ def _streaks(name: str, label: str, flags: Column, n: Column) -> dict[str, Colum
     }
 
 
-def history_features(vehicles: DataFrame, as_of: str, priors: Priors | None = None, keys: tuple[str, ...] = ("registration",)) -> DataFrame:
+def history_features(vehicles: DataFrame, as_of: str | Column, priors: Priors | None = None, keys: tuple[str, ...] = ("registration",)) -> DataFrame:
     """keys and FEATURE_NAMES for every row of vehicles (keys, make, model, postcode, manufacture_date, tests of type TESTS).
 
-    as_of is the date of the prediction. Tests may stand in any order, the newest counts as the latest one (of one day the first listed); a
+    as_of is the date of the prediction, or a column of dates among the keys. Tests may stand in any order, the newest counts as the latest one (of one day the first listed); a
     null or empty array is a vehicle without history. Repeated rows get equal results; other columns are left out.
     """
     p = priors or Priors()
-    day = F.lit(as_of).cast("date")
+    day = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
     numbered = F.transform(F.coalesce("tests", F.array().cast(TESTS)), lambda t, i: F.struct(t["test_date"].alias("d"), (-i).alias("i"), t.alias("t")))
     newest_first = F.transform(F.sort_array(numbered, asc=False), lambda s: _derived(s["t"]))
     rows = vehicles.select(*keys, "make", "model", "postcode", "manufacture_date", newest_first.alias("_d"))

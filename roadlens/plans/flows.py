@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import rules as R
@@ -16,6 +17,7 @@ from roadlens.operators import metrics as M
 from roadlens.operators import relational as O
 from roadlens.operators import scorer as SC
 from roadlens.operators import scoring as S
+from roadlens.operators import training as TR
 from roadlens.operators import refresh as RF
 from roadlens.sources import files as IO
 from roadlens.sources.versions import VersionedTable
@@ -418,6 +420,19 @@ def _(t):
     return FE.history_features(vehicles, as_of, FE.Priors(model=model, corrosion={"SW": 0.4, "M": 0.6}, high_risk_models=["PEUGEOT 307"]), ("vehicle_id",))
 
 
+@query("udf05b_training_table")
+def _(t):
+    """The training table of all tests, with rates of those before the cut; tests hold it against single histories."""
+    return TR.training_table(flat_tests(t), "2024-01-20")
+
+
+def flat_tests(t):
+    """The tests of nested_histories one by one, with what their vehicle has and whether they failed."""
+    each = nested_histories(t).withColumn("t", F.explode("tests")).drop("tests").select("*", "t.*").drop("t")
+    number = F.row_number().over(Window.partitionBy("vehicle_id").orderBy("test_date", "odometer", "expiry"))
+    return each.withColumns({"test_id": number, "target": (F.col("result") == "FAILED").cast("int")})
+
+
 def nested_histories(t):
     """Vehicles of events: every event is a test, whose kind, value and id give outcome, reading and defects."""
     k, i = F.col("vehicle_id"), F.col("test_id")
