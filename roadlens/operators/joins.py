@@ -43,12 +43,18 @@ def guard_fan_out(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     return right.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").join(left.select(*keys).distinct(), keys, "left_semi")
 
 
-def check_fan_out(joined: DataFrame, n_before: int, factor: float) -> DataFrame:
-    """joined, which fails while it runs if it has more than factor times n_before rows."""
-    n = joined.agg(F.count(F.lit(1)).alias("_n"))
-    message = F.concat(F.lit("join fans out: "), F.col("_n").cast("string"), F.lit(f" rows from {n_before}"))
-    checked = n.select(F.when(F.col("_n") > factor * n_before, F.raise_error(message)).otherwise(F.lit(True)).alias("_ok"))
-    return joined.join(F.broadcast(checked)).where("_ok").drop("_ok")  # one row
+def guarded_join(left: DataFrame, right: DataFrame, keys: list[str], factor: float = 1.0, how: str = "left") -> DataFrame:
+    """left joined with right (left or inner); raises before anything is joined if that would have more than factor times left's rows.
+
+    The size of the result comes from counts by key of both sides, which read the key columns alone and are combined before their shuffle.
+    """
+    counts = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    met = counts(left, "_l").join(counts(right.na.drop(subset=keys), "_r"), keys, "left")
+    found = F.coalesce("_r", F.lit(0))
+    sizes = met.agg(F.coalesce(F.sum("_l"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("_l") * (F.greatest(found, F.lit(1)) if how == "left" else found)), F.lit(0)).alias("made")).first()
+    if sizes.made > factor * sizes.n:
+        raise ValueError(f"join fans out: {sizes.made} rows from {sizes.n}")
+    return left.join(right, keys, how)
 
 
 def _cells(band: Column, high: float) -> Column:

@@ -226,11 +226,14 @@ def test_radius_join_equals_brute_force_everywhere(spark, where):
     assert set(got) == want and len(got) == len(set(got)) and len(want) > 20
 
 
-def test_fan_out_fails(spark):
-    rows = spark.range(10)
-    assert J.check_fan_out(rows, 4, 3).count() == 10
-    with pytest.raises(Exception, match="fans out"):
-        J.check_fan_out(rows, 3, 3).collect()
+def test_fan_out_fails_before_the_join(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, l string")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (None, "n"), (None, "m")], "k int, r string")
+    assert J.guarded_join(left, right, ["k"], 2).count() == 5 and J.guarded_join(left, right, ["k"], 1, "inner").count() == 3
+    for factor, how in ((1.5, "left"), (0.9, "inner")):
+        with pytest.raises(ValueError, match="fans out"):
+            J.guarded_join(left, right, ["k"], factor, how)
+    assert J.guarded_join(left.limit(0), right, ["k"]).count() == 0
 
 
 def test_running_sums_over_ranges(spark):
