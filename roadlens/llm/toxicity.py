@@ -31,7 +31,7 @@ from .decontaminate import _FOLD, words_of
 from .language_id import fold
 
 #: Most labelled documents to learn from, and most stems and words in the lexicon.
-SAMPLE, LEXICON = 60_000, 300_000
+SAMPLE, LEXICON = 60_000, 200_000
 #: Lengths of stems in code points, the weight of the prior in words, and how often a document counts for one word.
 STEMS, PRIOR, TOLD = (4, 5, 6, 7, 8), 6.0, 10
 #: Most of the labelled documents that the calibration is fitted on; it has five numbers.
@@ -245,7 +245,9 @@ def count_nodes(texts: DataFrame) -> Model:
     # stems are listed wherever their longer forms are, as they are at least as common
     listed = nodes.where((F.col("da") >= LEAST_TOXIC) | (F.col("db") >= LEAST_CLEAN))
     listed = listed.orderBy(F.desc("da"), F.desc("db"), F.length("node"), "node").limit(LEXICON).select("node", "a", "b")
-    return Model({r.node: (r.a, r.b) for r in listed.collect()}, sizes.get(1, 0), sizes.get(0, 0))
+    found = listed.toArrow()  # at most LEXICON rows
+    counts = dict(zip(found["node"].to_pylist(), zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True), strict=True))
+    return Model(counts, sizes.get(1, 0), sizes.get(0, 0))
 
 
 def chance_scale(counts: dict[int, int]) -> float:
