@@ -35,8 +35,8 @@ SMALL_SHINGLES = 4_000_000
 WIDE = 4
 #: Rows of a star that meet one copy of the hub.
 SLOT = 1024
-#: Block sizes of the products: rows, and shingles.
-_ROWS, _STEP = 512, 2048
+#: Cells of the product of a block of rows with all members, and of the 0/1 matrix of all members by a block of shingles.
+_PRODUCT, _MATRIX = 1 << 21, 1 << 23
 
 _A = odd_multipliers(SKETCH, 17)
 _B = odd_multipliers(SKETCH, 18)
@@ -250,14 +250,15 @@ def links_within(ids: list[int], roots: list[int], sets: list[np.ndarray], num:
     member, place = np.repeat(np.arange(n), sizes)[shared], column[where[shared]]
     order = np.argsort(place, kind="stable")
     member, place = member[order], place[order]
-    edges = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + _STEP, _STEP))
+    height, step = max(16, _PRODUCT // n), max(64, _MATRIX // n)  # memory is the same for any number of members
+    edges = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + step, step))
     labels, out = np.unique(roots, return_inverse=True)[1], []
-    for top in range(0, n, _ROWS):  # blocks of rows: memory stays below a few megabytes
-        rows = min(_ROWS, n - top)
+    for top in range(0, n, height):
+        rows = min(height, n - top)
         common = np.zeros((rows, n), np.float32)
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            block = np.zeros((n, _STEP), np.float32)
-            block[member[a:b], place[a:b] - k * _STEP] = 1
+            block = np.zeros((n, step), np.float32)
+            block[member[a:b], place[a:b] - k * step] = 1
             common += block[top : top + rows] @ block.T
         near = den * common.astype(np.float64) >= num * (sizes[top : top + rows, None] + sizes[None, :] - common)
         for r in range(rows):
@@ -295,7 +296,7 @@ def _node_links(docs: DataFrame, classes: DataFrame, members: DataFrame, n_membe
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """tree, node, id, root of large nodes (tree, node, n, shingles, id, root) as pairs of blocks, each pair a node of about WIDE * SMALL members."""
-    count = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / (WIDE * SMALL)), F.ceil(2 * F.col("shingles") / (WIDE * SMALL_SHINGLES))).cast("int")
+    count = F.greatest(F.lit(1), F.ceil(2 * F.col("n") / (WIDE * SMALL)), F.ceil(2 * F.col("shingles") / SMALL_SHINGLES)).cast("int")
     dealt = rows.withColumn("count", count).withColumn("own", F.pmod(F.xxhash64("id"), F.col("count")).cast("int"))
     met = dealt.select("tree", "node", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
     return met.select("tree", F.xxhash64("tree", "node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id", "root")
