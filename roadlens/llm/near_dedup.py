@@ -250,7 +250,7 @@ def links_within(ids: list[int], roots: list[int], sets: list[np.ndarray], num:
     member, place = np.repeat(np.arange(n), sizes)[shared], column[where[shared]]
     order = np.argsort(place, kind="stable")
     member, place = member[order], place[order]
-    height, step = max(16, _PRODUCT // n), max(64, _MATRIX // n)  # memory is the same for any number of members
+    height, step = (min(most, max(16, cells // n)) for most, cells in ((512, _PRODUCT), (2048, _MATRIX)))  # memory is bounded for any n
     edges = np.searchsorted(place, np.arange(0, (place[-1] + 1 if len(place) else 0) + step, step))
     labels, out = np.unique(roots, return_inverse=True)[1], []
     for top in range(0, n, height):
