@@ -5,6 +5,8 @@ every other word belongs to a class hashed from its ending, and to one of DIGITS
 features of the history's classes: a bias, the class one back (n-gram), the class two back (skip) and both together. The digit softmax
 has hashed features of the history's words, one family for the word one back (n-gram) and one for the word two back (skip): each context
 hashes to one of `slots` rows of its class, and the two softmaxes are mixed by MIX. Rows grow with the vocabulary up to SLOTS.
+Each softmax is mixed with the level above it (classes: shares one class back, digits: the class's shares) by how few tokens its history
+has, and never stands alone: a small corpus, or one of copies, would otherwise score unseen text below the unigram base.
 Counts cover the whole training corpus: word counts, class counts by history and digit counts by hashed context, which are all
 that the gradients need. Every task sends the counts of its texts, packed in blocks of BLOCK cells; what is gathered grows with the corpus.
 Class weights are updated by gradients summed over the distributed history table, digit weights (each block's rows are independent of
@@ -35,6 +37,8 @@ ROUNDS, RATE, PENALTY = 20, 0.15, 1e-7
 DIGITS, SLOTS, MIX = 64, 4096, (0.65, 0.35)
 #: Updates of the digit softmaxes, their step, and the inverse variance of their Gaussian prior.
 DIGIT_ROUNDS, DIGIT_STEP, DIGIT_PENALTY = 15, 0.6, 2.0
+#: Tokens that the level above weighs in a history (class shares, one class back) and in a context; least share of the level above.
+BACK_OFF, CONTEXT_BACK_OFF, LEAST_BACK_OFF = (20.0, 60.0), 30.0, 0.1
 #: Cells that travel together; the first FIRST blocks are those of class counts.
 BLOCK = 1 << 16
 FIRST = CLASSES**3 // BLOCK
@@ -243,8 +247,10 @@ def train_digits(blocks: DataFrame, shares: np.ndarray, slots: int) -> np.ndarra
                     weights = weights + DIGIT_STEP * slope / (seen * p + DIGIT_PENALTY)
                     p = q * np.exp(np.clip(weights, -20, 20))
                     p /= p.sum(axis=1, keepdims=True)
+                above = np.maximum(CONTEXT_BACK_OFF / (seen + CONTEXT_BACK_OFF), LEAST_BACK_OFF)
+                ratio = (1 - above) * p / q + above
                 yield pa.RecordBatch.from_pydict(
-                    {"block": pa.array([block - FIRST], pa.int32()), "ratio": pa.array([(p / q).astype("<f2").tobytes()], pa.binary())}
+                    {"block": pa.array([block - FIRST], pa.int32()), "ratio": pa.array([ratio.astype("<f2").tobytes()], pa.binary())}
                 )
 
     out = np.ones((2, family), np.float16)
@@ -254,8 +260,20 @@ def train_digits(blocks: DataFrame, shares: np.ndarray, slots: int) -> np.ndarra
     return out
 
 
-def train_classes(blocks: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """log10 p(class | history) for every history: CLASSES**2 rows of CLASSES numbers."""
+def back_off(model: np.ndarray, counts: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """p(class | history) of the model, mixed with the smoothed shares one class back by how few tokens the history has.
+
+    counts: CLASSES**2 rows of CLASSES numbers. prior: weights of the classes where nothing is known, else from their counts.
+    """
+    shares = counts.sum(axis=0) + 0.5 if prior is None else prior
+    one = counts.reshape(CLASSES, CLASSES, CLASSES).sum(axis=0) + BACK_OFF[0] * shares / shares.sum()
+    one /= one.sum(axis=1, keepdims=True)
+    above = np.maximum(BACK_OFF[1] / (counts.sum(axis=1, keepdims=True) + BACK_OFF[1]), LEAST_BACK_OFF)
+    return (1 - above) * model + above * np.tile(one, (CLASSES, 1))
+
+
+def train_classes(blocks: DataFrame, rounds: int = ROUNDS, prior: np.ndarray | None = None) -> np.ndarray:
+    """log10 p(class | history) for every history: CLASSES**2 rows of CLASSES numbers; prior as for back_off."""
     spark = blocks.sparkSession
 
     def rows_of(batches):
@@ -308,7 +326,11 @@ def train_classes(blocks: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
         mean, square = 0.9 * mean + 0.1 * slope, 0.98 * square + 0.02 * slope**2
         step = (mean / (1 - 0.9 ** (k - 1))) / (np.sqrt(square / (1 - 0.98 ** (k - 1))) + 1e-7)
         weights = weights + RATE / math.sqrt(k - 1) * step
-    return _log_softmax(weights[feature_rows(np.arange(CLASSES**2))].sum(axis=1)) / math.log(10)
+    model = np.exp(_log_softmax(weights[feature_rows(np.arange(CLASSES**2))].sum(axis=1)))
+    counts = np.zeros((CLASSES**2, CLASSES))
+    for r in table.collect():  # at most CLASSES**2 rows
+        counts[r["history"]] = np.frombuffer(r["n"], np.int64)
+    return np.log10(back_off(model, counts, prior))
 
 
 def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
@@ -338,7 +360,6 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
         head_ids, head_counts = np.array([-1]), np.array([0])
     slots = context_slots(v_train)
     blocks = materialize(count_contexts(learn, own_ids, own_classes, slots), "contexts")
-    table = train_classes(blocks)
 
     own_list = [int(x) for x in own_ids]
     hashed = ~F.col("token").isin(own_list)
@@ -358,6 +379,7 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
         if at[i] < len(head_ids) and head_ids[at[i]] == own_ids[i]:
             sizes[c] = head_counts[at[i]] + 1
     within = np.log10(sizes)
+    table = train_classes(blocks, prior=sizes)
     base_log = math.log10(n_train + 0.5 * (v_train + 1))
     shared = spark.sparkContext.broadcast((table.astype(np.float64).reshape(-1), ratios, own_ids, own_classes, head_ids, head_counts, within))
 
