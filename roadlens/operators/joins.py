@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -63,14 +64,22 @@ def _cells(band: Column, high: float) -> Column:
     return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(farthest)) / high)).cast("long")
 
 
+def _sphere(rows: DataFrame, lat: str, lon: str, name: str) -> DataFrame:
+    """rows with <name>x, <name>y, <name>z: the place as a vector of length 1."""
+    phi, theta = F.radians(lat), F.radians(lon)
+    return rows.withColumns({f"{name}x": F.cos(phi) * F.cos(theta), f"{name}y": F.cos(phi) * F.sin(theta), f"{name}z": F.sin(phi)})
+
+
 def within_radius(left: DataFrame, right: DataFrame, miles: float, salts: int = 8) -> DataFrame:
     """Pairs at most so many miles apart: left (id, lat, lon) and right (rid, rlat, rlon), at all latitudes and over 180 degrees.
 
-    Bands of latitude are as high as the radius and cut into cells of their own width. The right side visits all cells of its own and
-    the neighbouring bands that its circle can reach (near a pole, whole bands), so pairs come from an equi-join on cells and the exact
-    distance decides. Rows of one cell on the left side are dealt over `salts` keys, so that a city is no hot key.
+    Bands of latitude are half as high as the radius and cut into cells of their own width. The right side visits all cells of its own and
+    the neighbouring bands that its circle can reach (near a pole, whole bands), so pairs come from an equi-join on cells. Straight lines
+    between the places, without trigonometry, leave out most of the pairs that are too far, and the exact distance decides. Rows of one cell
+    on the left side are dealt over `salts` keys, so that a city is no hot key. Both sides are dealt by number: they are small beside the
+    pairs, and Spark would join them in the few tasks that their own size asks for.
     """
-    high = miles / 69.0  # a degree of latitude is a little longer
+    high = miles / 69.0 / 2  # a degree of latitude is a little longer
     round_ = lambda lon: F.pmod(lon + 180.0, F.lit(360.0))
     band = F.floor(F.col("lat") / high).cast("long")
     n = _cells(F.col("_y"), high)
@@ -80,7 +89,7 @@ def within_radius(left: DataFrame, right: DataFrame, miles: float, salts: int =
     reach = miles / EARTH_MILES
     shrunk = F.cos(F.radians(F.col("rlat")))
     half = F.when(shrunk <= math.sin(reach), 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / shrunk)))) + 1e-9
-    spread = right.withColumn("_dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    spread = right.withColumn("_dy", F.explode(F.sequence(F.lit(-2), F.lit(2))))
     spread = spread.withColumn("_y", F.floor(F.col("rlat") / high).cast("long") + F.col("_dy")).withColumn("_n", n)
     first, last = (F.floor((F.col("rlon") + 180.0 + sign * half) * F.col("_n") / 360).cast("long") for sign in (-1, 1))
     all_cells = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
@@ -88,11 +97,34 @@ def within_radius(left: DataFrame, right: DataFrame, miles: float, salts: int =
     spread = spread.withColumn("_x", F.explode(F.when(last - first + 1 >= F.col("_n"), all_cells).otherwise(some)))
     spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("_dy", "_n")
 
-    pairs = placed.join(spread, ["_y", "_x", "_salt"]).drop("_y", "_x", "_salt")
+    spark, keys = left.sparkSession, ["_y", "_x", "_salt"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    one, other = (_sphere(rows, lat, lon, name).repartition(tasks, *keys) for rows, lat, lon, name in ((placed, "lat", "lon", "_l"), (spread, "rlat", "rlon", "_r")))
+    chord = sum((F.col(f"_l{c}") - F.col(f"_r{c}")) * (F.col(f"_l{c}") - F.col(f"_r{c}")) for c in "xyz")
+    pairs = one.join(other, keys).where(chord <= (2 * math.sin(min(reach, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-12)
+    pairs = pairs.drop(*keys, *[f"_{side}{c}" for side in "lr" for c in "xyz"])
     distance = haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
     return pairs.withColumn("miles", distance).where(F.col("miles") <= miles)
 
 
+def nearest_within(left: DataFrame, right: DataFrame, miles: float, k: int, prefer: str) -> DataFrame:
+    """id, rid, place: for each left row the first k of the right rows within so many miles, by `prefer` (never null), distance and rid.
+
+    Sides as for within_radius. A left row that has k rows of the lowest value of `prefer` in a smaller circle needs no other pairs, so
+    circles grow from a 64th of the radius and only rows that are still open go on; the last circle takes all values.
+    """
+    order = Window.partitionBy("id").orderBy(prefer, "miles", "rid")
+    best = right.agg(F.min(prefer)).first()[0]
+    parts, open_ = [], left
+    for share in (64, 16, 4):
+        found = within_radius(open_, right.where(F.col(prefer) == best), miles / share).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        full = F.max("place").over(Window.partitionBy("id")) == k
+        parts.append(stored(found.withColumn("_full", full).where("_full").select("id", "rid", "place")))
+        open_ = stored(open_.join(parts[-1].where("place = 1").select("id"), "id", "left_anti"))
+    rest = within_radius(open_, right, miles).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return reduce(DataFrame.unionByName, [*parts, rest.select("id", "rid", "place")])
+
+
 def _nearest_groups(asked: list[tuple], held: dict, k: int) -> dict[tuple, list[tuple]]:
     """For each (value, group) in sweep order, the k nearest groups of the sweep so far without its own: (gap, group, entity).
 

@@ -240,17 +240,17 @@ _NEAR = (
 )
 
 
-def near(t):
+def places(t):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     east, west = F.when(c % 2 == 0, -5).otherwise(177), F.when(s % 2 == 0, -5).otherwise(-183)
     leads = t("customer").select(c.alias("id"), (50 + (c % 997) / 40.0).alias("lat"), (east + (c % 1009) / 150.0).alias("lon"))
     garages = t("supplier").select(s.alias("rid"), (50 + (s % 97) / 4.0).alias("rlat"), (west + (s % 89) / 14.0).alias("rlon"))
-    return J.within_radius(leads, garages, 60)
+    return leads, garages
 
 
 @query("jn16_radius", "WITH " + _NEAR + " SELECT id, rid, round(miles, 4) AS miles FROM near")
 def _(t):
-    return near(t).select("id", "rid", F.round("miles", 4).alias("miles"))
+    return J.within_radius(*places(t), 60).select("id", "rid", F.round("miles", 4).alias("miles"))
 
 
 @query(
@@ -260,8 +260,8 @@ def _(t):
     "place <= 3",
 )
 def _(t):
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("rid") % 3, "miles", "rid"))
-    return near(t).select("id", "rid", place.alias("place")).where("place <= 3")
+    leads, garages = places(t)
+    return J.nearest_within(leads, garages.withColumn("kind", F.col("rid") % 3), 60, 3, "kind")
 
 
 _NEAREST = RATES + """, g AS (SELECT model_id, split_part(model_id, ' ', 1) AS make, risk
