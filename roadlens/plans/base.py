@@ -49,13 +49,19 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def inspections(self) -> DataFrame:
-        """One row for each lineitem in the role of an inspection."""
+        """One row for each lineitem in the role of an inspection.
+
+        The join with orders, whose size is that of the lines, comes first, while rows are numbers and flags; names and models come with the
+        smaller tables, so that no shuffle carries them for all lines unless a later one needs them.
+        """
         line, part, orders, supplier, nation = map(self, ("lineitem", "part", "orders", "supplier", "nation"))
-        joined = line.join(part, line.l_partkey == part.p_partkey).join(orders, line.l_orderkey == orders.o_orderkey)
-        joined = joined.join(supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey), line.l_suppkey == supplier.s_suppkey)  # 25 nations
         failed = (F.col("l_returnflag") == "R").cast("int")
+        line = line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate", failed.alias("target"))
+        joined = line.join(orders, line.l_orderkey == orders.o_orderkey)
+        joined = joined.join(part, joined.l_partkey == part.p_partkey)
+        joined = joined.join(supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey), joined.l_suppkey == supplier.s_suppkey)  # 25 nations
         return joined.select(
-            F.col("o_custkey").alias("vehicle_id"), F.to_date("l_shipdate").alias("test_date"), F.col("l_shipdate").alias("shipped"), failed.alias("target"), F.col("p_brand").alias("make"), F.concat_ws(
+            F.col("o_custkey").alias("vehicle_id"), F.to_date("l_shipdate").alias("test_date"), F.col("l_shipdate").alias("shipped"), "target", F.col("p_brand").alias("make"), F.concat_ws(
                 " ", "p_brand", "p_type"
             ).alias("model_id"),
             (F.col("p_size") % 20).alias("age_years"), F.col("l_extendedprice").alias("test_mileage"), F.col("n_name").alias("area"),
