@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadlens.operators.metrics import stored
+
 
 @dataclass
 class Encoder:
@@ -17,13 +19,15 @@ class Encoder:
     least: int = 0
     k_overrides: dict[int, float] = field(default_factory=dict)
 
-    def fit(self, rows: DataFrame, target: str) -> list[DataFrame]:
+    def fit(self, rows: DataFrame, target: str, store: bool = False) -> list[DataFrame]:
         """One table for each level, the overall rate first: keys, n, rate. Rows with a null key are left out of a level.
 
-        All levels come from the counts at the union of their keys, so the base is aggregated once.
+        All levels come from the counts at the union of their keys, so the base is aggregated once. With `store` it is
+        written first: tables that are used one by one, in several jobs, then read the sums and not the rows.
         """
         keys = list(dict.fromkeys(c for level in self.levels for c in level))
-        return self.from_sums(rows.groupBy(*keys).agg(F.sum(target).alias("f"), F.count(target).alias("n")))
+        base = rows.groupBy(*keys).agg(F.sum(target).alias("f"), F.count(target).alias("n"))
+        return self.from_sums(stored(base) if store else base)
 
     def from_sums(self, base: DataFrame) -> list[DataFrame]:
         """The tables of fit from failures f and tests n at the union of the levels' keys, which may have several rows for one key."""

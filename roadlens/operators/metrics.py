@@ -240,11 +240,10 @@ def trend_votes(cube: DataFrame, entity: str, axis: str, midpoints: dict[str, fl
 def risk_categories(scored: DataFrame, score: str, label: str, amber: float = 0.10, red: float = 0.40) -> DataFrame:
     """category, n, share, lift of GREEN, AMBER and RED scores."""
     category = F.when(F.col(score) < amber, "GREEN").when(F.col(score) < red, "AMBER").otherwise("RED")
-    by = scored.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("_rate"))
-    base = scored.agg(F.count(F.lit(1)).alias("_all"), F.avg(label).alias("_base"))
-    return by.join(F.broadcast(base)).select(  # one row
-        "category", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"), F.round(F.try_divide(F.col("_rate"), F.col("_base")), 6).alias("lift")
-    )
+    by = scored.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("_y"), F.count(label).alias("_m"))
+    total = lambda c: F.sum(c).over(Window.partitionBy())  # noqa: E731  # over three rows
+    lift = F.try_divide(F.try_divide("_y", "_m"), F.try_divide(total("_y"), total("_m")))
+    return by.select("category", "n", F.round(F.col("n") / total("n"), 6).alias("share"), F.round(lift, 6).alias("lift"))
 
 
 def golden_diff(current: DataFrame, golden: DataFrame, rate: str, tolerance: float = 0.01) -> DataFrame:

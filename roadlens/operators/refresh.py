@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens.operators.encoders import Encoder
+from roadlens.operators.metrics import stored
 from roadlens.sources.versions import VersionedTable
 
 
@@ -112,7 +113,7 @@ def fit_weight(counts: DataFrame, parent: str = "parent", start: float = 10.0, s
 def fit_encoder(rows: DataFrame, target: str, levels: list[list[str]], start: float = 10.0) -> tuple[Encoder, list[DataFrame]]:
     """An encoder whose weight at each level is fitted to the counts around the level above, and its tables."""
     keys = list(dict.fromkeys(c for level in levels for c in level))
-    base = rows.groupBy(*keys).agg(F.sum(target).alias("f"), F.count(target).alias("n"))
+    base = stored(rows.groupBy(*keys).agg(F.sum(target).alias("f"), F.count(target).alias("n")))  # every level and step reads the sums, not the rows
     weights: list[float] = []
     for i, level in enumerate(levels):
         tables = Encoder(levels[:i], weights).from_sums(base)

@@ -185,7 +185,7 @@ def _(t):
 )
 def _(t):
     path = IO.new_folder(t.spark, "encoder")
-    IO.save_encoder(E.Encoder([["make"], ["make", "model_id"]], [10.0, 20.0]).fit(t.banded(), "target"), path)
+    IO.save_encoder(E.Encoder([["make"], ["make", "model_id"]], [10.0, 20.0]).fit(t.banded(), "target", store=True), path)
     return IO.load_encoder(t.spark, path, 3)[2].select("model_id", "n", F.round("rate", 7).alias("rate"))
 
 
@@ -479,6 +479,7 @@ def _fitted(t, seeds):
         F.col("target").cast("double").alias("label"),
     )
     rows = rows.withColumns({"weight": S.recency_weight(F.year("test_date"), 1997), "holdout": F.pmod(F.xxhash64("vehicle_id"), F.lit(5)) == 0})
+    rows = M.stored(rows)  # every pass of the indexer and of the boosting reads these columns, not the joins
     earlier = before("shipped", 1998)  # reaches the scan
     dev, oot = rows.where(earlier).drop("shipped"), rows.where(~earlier).drop("shipped")
     prepared = S.matrix(["make", "area", "age_band", "mileage_band"], ["age", "test_mileage", "line"]).fit(dev)
