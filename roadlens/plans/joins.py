@@ -35,7 +35,8 @@ def _(t):
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "p_brand", "s_name", "o_orderstatus")
 
 
-BUCKETS = 8
+#: Buckets at least, and about as many lines as one of them has: a bucket is sorted and merged by one task, so its size must not grow.
+BUCKETS, BUCKET_LINES = 8, 2_000_000
 
 
 @query(
@@ -45,8 +46,9 @@ BUCKETS = 8
 )
 def _(t):
     """Facts, their orders and their totals by order on one bucketed key: written once, then joined and grouped without a shuffle of the facts."""
-    line = IO.bucketed(t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"), ["l_orderkey"], BUCKETS)
-    orders = IO.bucketed(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), ["l_orderkey"], BUCKETS)
+    buckets = max(BUCKETS, t("lineitem").count() // BUCKET_LINES)  # counted from the files' footers
+    line = IO.bucketed(t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"), ["l_orderkey"], buckets)
+    orders = IO.bucketed(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), ["l_orderkey"], buckets)
     return co_located(line, orders).select("l_orderkey", "l_linenumber", "l_extendedprice", "o_orderstatus", "lines", "total")
 
 
