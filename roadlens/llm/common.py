@@ -117,6 +117,21 @@ def worker_state(key: str, make: Callable[[], object]) -> object:
     return state.held[1]
 
 
+def drop_worker_state() -> None:
+    """Let go of what an earlier task's worker_state held, for tasks that need none, and hand freed memory back to the system.
+
+    Python workers outlive stages: what one stage leaves in them counts beside the next stage's heap.
+    """
+    import ctypes
+    import sys
+
+    if (state := sys.modules.get("_roadlens_worker_state")) is not None:
+        state.held = None
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, filled on demand; emptied when it holds `most` words, so memory stays bounded."""
 

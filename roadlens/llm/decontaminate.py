@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, odd_multipliers, small_batches, utf8
+from .common import drop_worker_state, mix64, odd_multipliers, small_batches, utf8
 
 BLOCK_BYTES = 8 << 20
 WIDTH = 10
@@ -113,6 +113,7 @@ def _passes(rows: DataFrame, benchmark: DataFrame, width: int, finish: Finish, s
         windows = spark.sparkContext.broadcast(Windows([(r.item_id, bytes(r.text)) for r in listed], width))
 
         def run(batches, windows=windows, first=block == 0, last=block == blocks - 1):
+            drop_worker_state()
             for batch in batches:
                 if not batch.num_rows:
                     continue
