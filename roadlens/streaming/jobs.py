@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -168,16 +170,25 @@ class SeenSet(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         ids, times, evicted = self.held.get() if self.held.exists() else ([], [], 0)
         held = dict(zip(ids, times, strict=True))
-        for row in sorted(rows, key=lambda r: (r.at, r.id)):
-            while held and (oldest := next(iter(held))) and held[oldest] < row.at - self.micros:
+        numbers: dict = {}  # of the batch's ids; its rows are kept as two numbers each
+        at_all, codes = array("q"), array("q")
+        for row in rows:
+            at_all.append(row.at)
+            codes.append(numbers.setdefault(row.id, len(numbers)))
+        names = list(numbers)
+        places = np.empty(len(names), np.int64)
+        places[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        for i in np.lexsort((places[np.frombuffer(codes, np.int64)], np.frombuffer(at_all, np.int64))):
+            at, id_ = at_all[i], names[codes[i]]
+            while held and (oldest := next(iter(held))) and held[oldest] < at - self.micros:
                 del held[oldest]
-            if row.id in held:
+            if id_ in held:
                 continue
-            held[row.id] = row.at
+            held[id_] = at
             if len(held) > self.cap:
                 del held[next(iter(held))]
                 evicted += 1
-            yield Row(source=key[0], id=row.id, at=row.at, evicted=evicted)
+            yield Row(source=key[0], id=id_, at=at, evicted=evicted)
         self.held.update((list(held), list(held.values()), evicted))
 
     def close(self) -> None:

@@ -42,3 +42,48 @@ def test_buckets_follow_the_number_of_lines(spark, folder, monkeypatch):
     rows = entry.queries()["jn01b_co_located"](spark, folder)
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
     assert made == [lines // 250] * 2 and rows.count() == lines
+
+
+def test_seen_sets_hold_no_rows_of_a_batch():
+    """Rows of a source's batch are let go of as they come; their order and the output stay those of (ts, id)."""
+    import random
+
+    from roadlens.streaming.jobs import SeenSet
+
+    class Kept:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    alive, most = [0], [0]
+
+    class Post:
+        def __init__(self, id_, at):
+            self.id, self.at = id_, at
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    posts = [(f"u{random.Random(i).randrange(40)}", random.Random(i + 9999).randrange(500)) for i in range(2000)]
+    seen = SeenSet(10, 20 / 3_600_000_000)
+    seen.held = Kept()
+    got = [(r.id, r.at) for r in seen.handleInputRows(("s",), (Post(*p) for p in posts), None)]
+    held, want = {}, []
+    for id_, at in sorted(posts, key=lambda p: (p[1], p[0])):
+        while held and held[next(iter(held))] < at - 20:
+            del held[next(iter(held))]
+        if id_ not in held:
+            held[id_] = at
+            want.append((id_, at))
+            if len(held) > 10:
+                del held[next(iter(held))]
+    assert got == want and most[0] < 10
