@@ -87,3 +87,26 @@ def test_seen_sets_hold_no_rows_of_a_batch():
             if len(held) > 10:
                 del held[next(iter(held))]
     assert got == want and most[0] < 10
+
+
+def test_training_rows_hold_no_histories(spark):
+    """Every test's features come from running sums of fixed size, with those of the nested history as the result (days shared, dates unknown)."""
+    from pyspark.sql import functions as F
+
+    from roadlens.operators import features as FE
+    from roadlens.operators import training as TR
+
+    i = F.col("id")
+    defect = F.struct(F.element_at(F.array(*map(F.lit, ("Brake pad worn", "Tyre cut", "Spring rust"))), (i % 3 + 1).cast("int")).alias("text"), F.when(i % 2 == 0, "FAIL").otherwise("ADVISORY").alias("type"))
+    tests = spark.range(0, 240, 1, 1).select(
+        (i % 4).alias("vehicle_id"), i.alias("test_id"), F.when(i % 23 > 0, F.date_add(F.lit("2020-01-01").cast("date"), (i / 8).cast("int") * 61)).alias("test_date"),
+        F.when(i % 5 < 2, "FAILED").otherwise("PASSED").alias("result"), (i * 300).cast("int").alias("odometer"), F.when(i % 7 == 0, "km").otherwise("mi").alias("unit"),
+        F.lit("2021-01-01").cast("date").alias("expiry"), F.when(i % 3 > 0, F.array(defect)).alias("defects"), F.lit("FORD").alias("make"), F.lit("KA").alias("model"),
+        F.lit("M1 1AE").alias("postcode"), F.lit("2015-01-01").cast("date").alias("manufacture_date"), (i % 2).cast("int").alias("target"),
+    )
+    made = TR.base_features(tests)
+    assert "collect_list" not in plan(made)
+    names = ["test_id", *FE.FEATURE_NAMES]
+    want = FE.history_features(TR.point_in_time(tests), F.col("test_date"), None, ("test_id", "test_date")).select(names)
+    got = sorted(map(tuple, made.select(names).collect()), key=lambda r: r[0])
+    assert got == sorted(map(tuple, want.collect()), key=lambda r: r[0]) and len(got) == 240
