@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, key_map, map_arrow, materialize, may_be_in
+from .common import HOT, key_map, map_arrow, materialize, may_be_in
 
 MIN_WORDS, LONG_WORDS = 5, 40
 #: Repeated units side by side are removed from running text if they have so many words together.
 LEAST_RUN = 10
 #: Repeats that are broadcast (about 40 bytes each); with more of them, the texts that have some are shuffled to them.
-BROADCAST_SPANS = 400_000
+BROADCAST_SPANS = 100_000
 _LINE = re.compile(r"[^\n]+")
 #: Bounds inside a line: white space after a sentence end, a sentence end of scripts without spaces, or (if a lower-case letter stands before it) before a capitalised word.
 _BOUND = re.compile(r"[.!?…。！？]\s+|[。！？]|\s+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
@@ -139,16 +139,30 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return map_arrow(rows, fn, "doc_id long, text_hash long, start int, end int, place int, words int, d1 long, d2 long")
 
 
+def later_units(table: DataFrame) -> DataFrame:
+    """Units of the table whose digest an earlier one has.
+
+    Most units stand alone. They leave first: half digests are counted, a map of fixed size of those that occur again says which units may
+    be repeats, and only these are shuffled with what belongs to them. Digests that more than one in HOT units have are broadcast (at most
+    HOT of them), and their units stay where they are.
+    """
+    spark, keys, rank = table.sparkSession, ["d1", "d2"], F.struct("doc_id", "text_hash", "start")
+    again = key_map(table.groupBy(F.col("d1").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    maybe = table.where(may_be_in(spark, again, F.col("d1")))
+    repeated = maybe.groupBy(*keys).agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = F.col("n") > table.count() / HOT
+    heavy, light = (repeated.where(x).select(*keys, "first") for x in (hot, ~hot))
+    few = maybe.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return table.join(F.broadcast(heavy), keys).unionByName(few).where(rank > F.col("first")).select(*table.columns)
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, text_hash, repeated, removed (arrays of start, end; sorted) of each text with units that repeat earlier ones.
 
     removed are those in runs of least_run words or more; it may be empty.
     """
     table = materialize(unit_table(docs.where("doc_id is not null"), min_words), "units")
-    rank = F.struct("doc_id", "text_hash", "start")
-    grouped = table.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("n"))
-    repeated = grouped.where("first < last").select("d1", "d2", "first", "n")
-    later = join_hot(table, repeated, ["d1", "d2"], "n", table.count(), "doc_id").where(rank > F.col("first"))
+    later = later_units(table)
     found = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "place", "words"))).alias("repeated"))
 
     def fn(batch: pa.RecordBatch) -> dict[str, object]:
