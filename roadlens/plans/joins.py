@@ -12,6 +12,7 @@ from roadlens.operators import joins as J
 from roadlens.operators import links as L
 from roadlens.operators import relational as O
 from roadlens.operators.encoders import Encoder
+from roadlens.operators.metrics import stored
 from roadlens.sources import files as IO
 
 from . import oracle_values as OV
@@ -200,8 +201,11 @@ hierarchy("jn12_station_outcome", [["area"], ["area", "prev_outcome"]], [100.0,
 def _(t):
     rows = t.banded()
     one = rows.where("make <> 'Brand#22'")  # a maker without a cohort of its own
-    means = one.groupBy("model_id", "age_band").agg(F.avg("test_mileage").alias("mean"))
-    joined = rows.join(means, ["model_id", "age_band"], "left").join(F.broadcast(one.agg(F.avg("test_mileage").alias("overall"))))  # one row
+    sums = one.groupBy("model_id", "age_band").agg(F.sum("test_mileage").alias("s"), F.count("test_mileage").alias("c"))
+    sums = stored(sums)  # both means come from it, and its size is known before the join
+    means = sums.select("model_id", "age_band", F.try_divide("s", "c").alias("mean"))
+    overall = sums.agg(F.try_divide(F.sum("s"), F.sum("c")).alias("overall"))
+    joined = rows.join(means, ["model_id", "age_band"], "left").join(F.broadcast(overall))  # one row
     mean = F.when(F.coalesce("mean", F.lit(0.0)) == 0, F.col("overall")).otherwise(F.col("mean"))
     return joined.groupBy("vehicle_id").agg(F.round(F.max(F.col("test_mileage") / mean), 6).alias("ratio"))
 

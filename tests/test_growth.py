@@ -110,3 +110,10 @@ def test_training_rows_hold_no_histories(spark):
     want = FE.history_features(TR.point_in_time(tests), F.col("test_date"), None, ("test_id", "test_date")).select(names)
     got = sorted(map(tuple, made.select(names).collect()), key=lambda r: r[0])
     assert got == sorted(map(tuple, want.collect()), key=lambda r: r[0]) and len(got) == 240
+
+
+def test_cohort_means_are_stored_before_lines_meet_them(spark, folder):
+    import __spark_entry__ as entry
+
+    lines = plan(entry.queries()["jn13_cohort_ratio"](spark, folder)).splitlines()
+    assert sum("Relation" in x and "l_orderkey" in x for x in lines) == 1
