@@ -297,7 +297,7 @@ def train_classes(blocks: DataFrame, rounds: int = ROUNDS, prior: np.ndarray | N
         shared = spark.sparkContext.broadcast(weights)
 
         def gradient(batches, shared=shared, starting=k == 1):
-            out, weight = np.zeros((FEATURES, CLASSES)), 0
+            out, weight, touched = np.zeros((FEATURES, CLASSES)), 0, np.zeros(FEATURES, bool)
             for batch in batches:
                 history = batch.column(0).to_numpy().astype(np.int64)
                 counts = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, CLASSES).astype(float)
@@ -306,12 +306,18 @@ def train_classes(blocks: DataFrame, rounds: int = ROUNDS, prior: np.ndarray | N
                 expected = 0 if starting else np.exp(_log_softmax(shared.value[rows].sum(axis=1))) * seen
                 for f in range(rows.shape[1]):
                     np.add.at(out, rows[:, f], counts - expected)
+                touched[rows] = True
                 weight += int(seen.sum())
-            yield pa.RecordBatch.from_pydict({"gradient": pa.array([out.tobytes()], pa.binary()), "weight": pa.array([weight], pa.int64())})
-
-        parts = table.mapInArrow(gradient, "gradient binary, weight long").collect()  # one table of weights for each of six tasks
-        slope = sum((np.frombuffer(r["gradient"], float).reshape(FEATURES, CLASSES) for r in parts), np.zeros((FEATURES, CLASSES)))
-        total = sum(r["weight"] for r in parts)
+            if weight:
+                at = np.flatnonzero(touched)
+                packed = {"features": [at.astype("<i4").tobytes()], "gradient": [out[at].tobytes()]}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary()) for k, v in packed.items()} | {"weight": pa.array([weight], pa.int64())})
+
+        # a task sends the rows that its histories have, so all of them send 4 x CLASSES**2 rows at most (8 MB), however many tasks there are
+        slope, total = np.zeros((FEATURES, CLASSES)), 0
+        for r in table.mapInArrow(gradient, "features binary, gradient binary, weight long").collect():
+            slope[np.frombuffer(r["features"], "<i4")] += np.frombuffer(r["gradient"], float).reshape(-1, CLASSES)
+            total += r["weight"]
         shared.unpersist()
         if not total:
             break
@@ -349,10 +355,10 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
         least -= 1
         held += by_size.get(least, 0)
     threshold = 1 << min(least, 62)
-    head = words.where(F.col("n") >= threshold).toPandas()  # at most HEAD rows
-    head = head.sort_values("token")
-    head_ids, head_counts = head["token"].to_numpy(np.int64), head["n"].to_numpy(np.int64)
-    own = head[head["token"] != END].sort_values(["n", "token"], ascending=[False, True]).head(OWN)["token"].to_numpy(np.int64)
+    head = words.where(F.col("n") >= threshold).select("token", "n").toArrow().sort_by("token")  # at most HEAD rows, 16 bytes each
+    head_ids, head_counts = (head.column(k).to_numpy() for k in ("token", "n"))
+    own = head_ids[np.lexsort((head_ids, -head_counts))]
+    own = own[own != END][:OWN]
     order = np.argsort(own)
     own_ids = np.concatenate([[END], own[order]])  # END is smaller than any hash
     own_classes = np.concatenate([[0], 1 + order])
@@ -419,6 +425,7 @@ def score(docs: DataFrame, learn: DataFrame) -> DataFrame:
     scored = materialize(
         rows.mapInArrow(fn, "row long, doc_id long, n_tokens long, n_known long, counted double, history double, rare array<long>"), "scored"
     )
+    shared.destroy()
     rare = scored.select("row", F.explode("rare").alias("token")).join(words.where(F.col("n") < threshold), "token")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("rare_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("rare_counted"))
     out = scored.drop("rare").join(rare, "row", "left").na.fill(0, ["rare_known"]).na.fill(0.0, ["rare_counted"])
