@@ -79,13 +79,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str) -> DataFrame:
-    """Apply fn to each Arrow batch; fn returns the columns of the output batch."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str, rows: int = BATCH_ROWS, stateless: bool = False) -> DataFrame:
+    """Apply fn to each Arrow batch, cut into pieces of at most `rows` rows; fn returns the columns of the output batch.
+
+    stateless: fn uses no worker_state, so what an earlier task left in the worker goes first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        if stateless:
+            drop_worker_state()
         for batch in batches:
-            if batch.num_rows and (columns := fn(batch)) is not None:
-                yield pa.RecordBatch.from_pydict(columns)
+            for first in range(0, batch.num_rows, rows):
+                if (columns := fn(batch.slice(first, rows))) is not None:
+                    yield pa.RecordBatch.from_pydict(columns)
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

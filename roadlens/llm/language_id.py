@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches
+from .common import drop_worker_state, map_arrow, small_batches
 
 ORDERS = (1, 2, 3)
 #: Most n-gram buckets, and most numbers in the broadcast matrix (buckets times languages).
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         names, scores = shared.value.predict(batch.column(1).to_pylist())
         return {"doc_id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
-    return map_arrow(docs.select("doc_id", "text"), fn, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", "text"), fn, "doc_id long, lang_pred string, score double", stateless=True)
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
@@ -150,6 +150,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        drop_worker_state()
         for batch in batches:
             names, scores = shared.value.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_()))

@@ -27,6 +27,8 @@ MIN_WORDS, LONG_WORDS = 5, 40
 LEAST_RUN = 10
 #: Repeats that are broadcast (about 40 bytes each); with more of them, the texts that have some are shuffled to them.
 BROADCAST_SPANS = 100_000
+#: Texts whose units are held at once, as Python numbers, before they become Arrow columns.
+UNIT_ROWS = 200
 _LINE = re.compile(r"[^\n]+")
 #: Bounds inside a line: white space after a sentence end, a sentence end of scripts without spaces, or (if a lower-case letter stands before it) before a capitalised word.
 _BOUND = re.compile(r"[.!?…。！？]\s+|[。！？]|\s+(?=[A-ZÀ-ÖØ-Þ][^\WA-ZÀ-ÖØ-Þ])")
@@ -136,7 +138,8 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         }
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_arrow(rows, fn, "doc_id long, text_hash long, start int, end int, place int, words int, d1 long, d2 long")
+    schema = "doc_id long, text_hash long, start int, end int, place int, words int, d1 long, d2 long"
+    return map_arrow(rows, fn, schema, rows=UNIT_ROWS, stateless=True)
 
 
 def later_units(table: DataFrame) -> DataFrame:
@@ -175,7 +178,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, least_run: int = LEAST_
         }
 
     spans = "array<struct<start:int,end:int>>"
-    return map_arrow(found, fn, f"doc_id long, text_hash long, repeated {spans}, removed {spans}")
+    return map_arrow(found, fn, f"doc_id long, text_hash long, repeated {spans}, removed {spans}", stateless=True)
 
 
 def long_runs(spans: list[tuple[int, int, int, int]], least_run: int) -> list[tuple[int, int, int, int]]:
