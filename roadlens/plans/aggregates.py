@@ -507,10 +507,10 @@ _SCORED = (
 
 
 def scored(t):
-    rows = t.banded()
-    return rows.join(
-        E.shrink(rows, "model_id", "target", 10.0).select("model_id", "rate"), "model_id"
-    ).withColumn("score", F.round(F.col("rate") + F.col("age_years") / 100.0, 3))
+    """Scores of all lines. Lines are joined once and stored in four columns; the rates are stored too, so that Spark sees before the join how few they are."""
+    rows = M.stored(t.banded().select("make", "model_id", "age_years", "target"))
+    rates = M.stored(E.shrink(rows, "model_id", "target", 10.0).select("model_id", "rate"))
+    return rows.join(rates, "model_id").withColumn("score", F.round(F.col("rate") + F.col("age_years") / 100.0, 3))
 
 
 _AUC = (

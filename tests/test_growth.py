@@ -23,6 +23,23 @@ def test_fitted_tables_read_stored_sums(spark, folder):
         assert "l_orderkey" not in plan(table)
 
 
+def test_scores_are_read_from_lines_joined_once(spark, folder):
+    from roadlens.plans.aggregates import scored
+
+    assert "l_orderkey" not in plan(scored(Tables(spark, folder)))
+
+
+def test_both_versions_of_a_refresh_read_one_cube(spark, folder, monkeypatch):
+    import __spark_entry__ as entry
+    from roadlens.plans import flows as PF
+
+    refreshed = []
+    refresh = PF.IO.full_refresh
+    monkeypatch.setattr(PF.IO, "full_refresh", lambda df, *rest: refreshed.append(plan(df)) or refresh(df, *rest))
+    entry.queries()["snk01_full_refresh"](spark, folder).count()
+    assert len(refreshed) == 2 and not any("l_orderkey" in p for p in refreshed)
+
+
 def test_risk_categories_read_scores_once(spark):
     scored = spark.createDataFrame([(0.05, 0), (0.2, 1), (0.3, 0), (0.9, 1), (0.95, None)], "score double, label int")
     found = M.risk_categories(scored, "score", "label")
