@@ -82,7 +82,7 @@ def small_batches(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str, rows: int = BATCH_ROWS, stateless: bool = False) -> DataFrame:
     """Apply fn to each Arrow batch, cut into pieces of at most `rows` rows; fn returns the columns of the output batch.
 
-    stateless: fn uses no worker_state, so what an earlier task left in the worker goes first.
+    stateless: fn needs no worker_state of an earlier task, so what one left in the worker goes first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

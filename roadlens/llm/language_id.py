@@ -101,6 +101,7 @@ def train(labelled: DataFrame, alpha: float = 0.5) -> Model:
     index = {name: k for k, name in enumerate(languages)}
 
     def fn(batches):
+        drop_worker_state()
         total = np.zeros((len(index), buckets), np.int64)  # one for each task
         for batch in batches:
             by_language: dict[int, list[np.ndarray]] = {}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, join_hot, map_arrow, materialize, mix64, odd_multipliers, utf8, word_hashes
+from .common import BROADCAST_IDS, drop_worker_state, join_hot, map_arrow, materialize, mix64, odd_multipliers, utf8, word_hashes
 
 TREES, DEPTH, CHILDREN = 4, 8, 2
 #: Minwise hashes of a class; with fewer, nodes pick the same ones too often.
@@ -84,7 +84,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         }
 
     rows = docs.select("doc_id", F.xxhash64("text"), utf8("text"))
-    return map_arrow(rows, fn, "doc_id long, text_hash long, n_shingles long, set_digest binary, sketch array<int>")
+    return map_arrow(rows, fn, "doc_id long, text_hash long, n_shingles long, set_digest binary, sketch array<int>", stateless=True)
 
 
 def classes_of(sets: DataFrame) -> tuple[DataFrame, bool]:
@@ -137,6 +137,7 @@ def star_links(docs: DataFrame, classes: DataFrame, stars: DataFrame, width: int
     rows = ends.join(texts, "id").select("g", "hub", "place", "id", "text").repartition("g").sortWithinPartitions("g", "hub", "place")
 
     def run(batches):
+        drop_worker_state()
         hub = None
         for batch in batches:
             found: list[tuple[int, int]] = []
@@ -234,7 +235,7 @@ def _close_members(rows: DataFrame, sketches: DataFrame, at_least: int) -> DataF
                         close[row] = close[rest] = True
         return {"g": pa.array(np.repeat(groups, np.diff(ends))[close]), "id": pa.array(ids[close]), "root": pa.array(roots[close])}
 
-    return map_arrow(members.select(F.xxhash64("tree", "node").alias("g"), "m"), fn, "g long, id long, root long")
+    return map_arrow(members.select(F.xxhash64("tree", "node").alias("g"), "m"), fn, "g long, id long, root long", stateless=True)
 
 
 def links_within(ids: list[int], roots: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -276,6 +277,7 @@ def _node_links(docs: DataFrame, classes: DataFrame, members: DataFrame, n_membe
     rows = members.join(texts, "id").select("g", "id", "root", "text").repartition("g").sortWithinPartitions("g")
 
     def run(batches):
+        drop_worker_state()
         group, ids, roots, sets = None, [], [], []
         found: list[tuple[int, int]] = []
         for batch in batches:

@@ -206,18 +206,18 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _meet(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows (doc_id, text_hash, ...) with the columns of found, or nulls.
+def _meet(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows (doc_id, text_hash, ...) that may have repeats, with the columns of found or nulls, and the other rows, if they were told apart.
 
-    Up to BROADCAST_SPANS repeats are broadcast. With more, a map of fixed size says which rows may have some, and only those are shuffled.
+    Up to BROADCAST_SPANS repeats are broadcast. With more, a map of fixed size says which rows may have some, and only those are shuffled;
+    the join is no broadcast, so the map and what cuts the texts are steps of Python in different stages.
     """
     spark, keys = rows.sparkSession, ["doc_id", "text_hash"]
     if (found.agg(F.sum(F.size("repeated"))).first()[0] or 0) <= BROADCAST_SPANS:
-        return rows.join(F.broadcast(found), keys, "left")
+        return rows.join(F.broadcast(found), keys, "left"), None
     key = F.xxhash64(*keys)
     marked = rows.withColumn("maybe", may_be_in(spark, key_map(found.select(key.alias("key"))), key))
-    others = marked.where("not maybe").drop("maybe").withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in ("repeated", "removed")})
-    return marked.where("maybe").drop("maybe").join(found, keys, "left").unionByName(others)
+    return marked.where("maybe").drop("maybe").join(found.hint("merge"), keys, "left"), marked.where("not maybe").drop("maybe")
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, least_run: int = LEAST_RUN, report: bool = True) -> DataFrame:
@@ -233,25 +233,28 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, least_run: int
     rest = [c for c in names if c not in ("doc_id", "text")]
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.struct(*rest) if rest else F.struct(F.lit(0))).alias("rest"))
     found = materialize(repeats(packed.select("doc_id", "text"), min_words, least_run), "repeats")
-    joined = _meet(packed.withColumn("text_hash", F.xxhash64("text")), found if report else found.where(F.size("removed") > 0))
+    met, others = _meet(packed.withColumn("text_hash", F.xxhash64("text")), found if report else found.where(F.size("removed") > 0))
 
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        import pandas as pd
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([text if s is None else remove_spans(text, [(x["start"], x["end"]) for x in s]) for text, s in pairs], pa.string())
 
-        return pd.Series([text if s is None else remove_spans(text, [(x["start"], x["end"]) for x in s]) for text, s in zip(texts, spans, strict=True)], dtype=object)
-
-    # a text goes to Python only where something is cut
+    # a text goes to Python only where something is cut, and once: Spark repeats a deterministic function in a filter over its result, in a worker of its own
+    without = without.asNondeterministic()
     cut, again = F.coalesce(F.size("removed") > 0, F.lit(False)), F.coalesce(F.size("repeated") > 0, F.lit(False))
-    joined = joined.withColumn("short", without(F.when(cut, F.col("text")), F.when(cut, F.col("removed"))))
+    made_of = {"short": without(F.when(cut, F.col("text")), F.when(cut, F.col("removed")))}
+    if report:
+        made_of["bare"] = without(F.when(again, F.col("text")), F.when(again, F.col("repeated")))
+    met = met.withColumns(made_of)
+    joined = met if others is None else met.unionByName(others, allowMissingColumns=True)
     columns = {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("short")).otherwise(F.col("text"))} | {c: F.col(f"rest.`{c}`") for c in rest}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(cut, F.length("short").cast("long")).otherwise(F.col("rest.n_chars"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = [columns[c].alias(c) for c in names] + [F.when(cut, F.size("removed")).otherwise(0).alias("n_units_removed"), F.coalesce("removed", none).alias("removed_spans")]
     if report:
-        all_cut = without(F.when(again, F.col("text")), F.when(again, F.col("repeated")))
-        out += [F.coalesce("repeated", none).alias("repeated_spans"), F.when(again, all_cut).otherwise(F.col("text")).alias("text_without_repeats")]
+        out += [F.coalesce("repeated", none).alias("repeated_spans"), F.when(again, F.col("bare")).otherwise(F.col("text")).alias("text_without_repeats")]
     return joined.select(*out)
 
 
