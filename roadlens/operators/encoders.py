@@ -45,10 +45,14 @@ class Encoder:
         return tables
 
     def transform(self, rows: DataFrame, tables: list[DataFrame], name: str) -> DataFrame:
-        """rows with the finest rate known for them, down to the overall rate; Spark broadcasts levels that are small enough."""
+        """rows with the finest rate known for them, down to the overall rate.
+
+        Levels are written first: Spark sees how small they are before it plans the joins and broadcasts those that are small enough. Else
+        rows would be shuffled by each level's keys, and a coarse level has few of them, so that one task reads half of all rows.
+        """
         out = rows
         for i, level in enumerate(self.levels):
-            out = out.join(tables[i + 1].select(*level, F.col("rate").alias(f"_rate_{i}")), level, "left")
+            out = out.join(stored(tables[i + 1].select(*level, F.col("rate").alias(f"_rate_{i}"))), level, "left")
         out = out.join(F.broadcast(tables[0].select(F.col("rate").alias("_rate"))))  # one row
         fine_first = [F.col(f"_rate_{i}") for i in reversed(range(len(self.levels)))]
         return out.withColumn(name, F.coalesce(*fine_first, F.col("_rate"))).drop("_rate", *[f"_rate_{i}" for i in range(len(self.levels))])

@@ -385,7 +385,7 @@ def _(t):
 )
 def _(t):
     rows, encoder = t.banded(), E.Encoder([["area"]], [100.0])
-    return encoder.transform(rows, encoder.fit(rows, "target"), "rate").groupBy("area").agg(count(), F.round(F.avg("rate"), 7).alias("rate"))
+    return encoder.transform(rows, encoder.fit(rows, "target", store=True), "rate").groupBy("area").agg(count(), F.round(F.avg("rate"), 7).alias("rate"))
 
 
 @query("udf03_nested_to_rows", "SELECT o_custkey AS vehicle_id, count(*) AS tests, count(DISTINCT o_orderstatus) AS outcomes FROM orders GROUP BY 1")

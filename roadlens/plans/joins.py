@@ -175,7 +175,7 @@ def hierarchy(name: str, levels: list[list[str]], ks: list[float], least: int =
     def _(t):
         rows = t.banded()
         encoder = Encoder(levels, ks, least)
-        tables = encoder.fit(rows.where(before("shipped", 1996)).where(held), "target")
+        tables = encoder.fit(rows.where(before("shipped", 1996)).where(held), "target", store=True)
         return encoder.transform(rows.where(~before("shipped", 1996)), tables, "rate").groupBy(group).agg(count(), F.round(F.avg("rate"), 6).alias("rate"))
 
 

@@ -134,3 +134,11 @@ def test_cohort_means_are_stored_before_lines_meet_them(spark, folder):
 
     lines = plan(entry.queries()["jn13_cohort_ratio"](spark, folder)).splitlines()
     assert sum("Relation" in x and "l_orderkey" in x for x in lines) == 1
+
+
+def test_rows_are_not_shuffled_by_an_encoders_keys(spark, folder):
+    """A coarse level has few keys (three outcomes), so that a task would read half of all rows."""
+    import __spark_entry__ as entry
+
+    physical = entry.queries()["jn10_five_levels"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(prev_outcome" not in physical and physical.count("BroadcastHashJoin") >= 4
